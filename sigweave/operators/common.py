@@ -119,3 +119,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
     return df.checkpoint()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, with this package made importable in the session's Python workers (a zip of its sources, sent once)."""
+    import os
+    import zipfile
+
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_sigweave_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="sigweave-"), "sigweave.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        path = os.path.join(folder, f)
+                        z.write(path, os.path.join("sigweave", os.path.relpath(path, root)))
+        sc.addPyFile(target)
+        sc._sigweave_shipped = True
+    return df

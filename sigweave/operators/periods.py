@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 SLOT_MS = 1_800_000
 FLUSH = 200_000
 
@@ -166,7 +168,7 @@ def periods_and_gaps(intervals: DataFrame, max_gap_ms: int = 3_600_000, slot_ms:
     be filtered before. Result: record_id, kind ('merged' or 'gap'), start_ms, end_ms. Touching intervals belong to one
     period. A gap longer than max_gap_ms is not reported. Empty input gives no row.
     """
-    base = intervals.select("record_id", "s", "e")
+    base = shipped(intervals.select("record_id", "s", "e"))
     slots = base.groupBy("record_id", F.floor(F.col("s") / slot_ms).alias("slot")).agg(F.max("e").alias("top"))
     before = W.partitionBy("record_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     reach = slots.select("record_id", "slot", F.lit(None).cast("bigint").alias("s"), F.max("top").over(before).alias("e"), F.lit(0).cast("bigint").alias("n")).where(F.col("e").isNotNull())
