@@ -414,7 +414,7 @@ def smooth_time_warp(x: np.ndarray, to: np.ndarray, rate: float, interval: float
         r = -float(zt @ z(warp(x, rate, knots, d))) / n
         return r + float(np.sum(d**4)) / (m * dmax**4) + float(np.sum(np.diff(d, 2) ** 2)) / (m * dstep**2)
 
-    d = minimize(cost, d0)
+    d = minimize(cost, d0, 40)
     return knots, d, float(zt @ z(warp(x, rate, knots, d))) / n
 
 

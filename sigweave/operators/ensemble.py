@@ -37,9 +37,12 @@ def normalize(rows: DataFrame, values: str = "values", method: str = "meanstd",
     a, b = (1.0, 1.0) if method == "meanstd" else (alpha, beta)
     x = F.transform(values, lambda v: v.cast("double"))
     n = F.size(x)
-    total = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + f(v))
-    out = rows.withColumn("_m", F.try_divide(total(x, lambda v: v), n)).withColumn("_s", F.sqrt(F.try_divide(total(x, lambda v: (v - F.col("_m")) * (v - F.col("_m"))), n)))
-    return out.withColumn(values, F.transform(x, lambda v: F.try_divide(v - a * F.col("_m"), F.pow("_s", F.lit(b))))).drop("_m", "_s")
+    # per-row statistics go into lambdas as repeated arrays: written out there, they would be taken again for each value
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
+    mean = F.try_divide(total(x), n)
+    spread = F.sqrt(F.try_divide(total(F.zip_with(x, F.array_repeat(mean, n), lambda v, m: (v - m) * (v - m))), n))
+    stat = F.array_repeat(F.struct(mean.alias("m"), F.pow(spread, F.lit(b)).alias("s")), n)
+    return rows.withColumn(values, F.zip_with(x, stat, lambda v, st: F.try_divide(v - a * st["m"], st["s"])))
 
 
 def nan_remove(rows: DataFrame, values: str = "values") -> DataFrame:
