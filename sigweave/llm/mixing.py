@@ -140,8 +140,7 @@ def _prefix(docs: DataFrame, key: list[str]) -> DataFrame:
     size = F.when(free, F.col("n_tokens")).otherwise(0)
     up = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     buckets = docs.groupBy(*key, "_b").agg(F.sum(size).alias("_in")).withColumn("_base", F.coalesce(F.sum("_in").over(up), F.lit(0)))
-    # at most PREFIX_BUCKETS rows a leaf
-    placed = docs.join(F.broadcast(buckets), [*key, "_b"])
+    placed = docs.join(buckets, [*key, "_b"])
     edge = (F.col("_base") < F.col("rest")) & (F.col("_base") + F.col("_in") > F.col("rest"))
     w = W.partitionBy(*key, "_b", F.when(~edge, F.col("doc_id"))).orderBy("_h", "doc_id")
     upto = F.col("_base") + F.when(edge, F.sum(size).over(w)).otherwise(F.col("_in"))
