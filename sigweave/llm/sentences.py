@@ -76,6 +76,7 @@ _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
 _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
 _LOST_Q = re.compile(r"[^\W\d_]\?[a-zа-я]")
 _LOST_R = re.compile(r"[^\W\d_]�[a-zа-я]")
+_LAST_STOP = re.compile(r"(?<!\.)\.[\x00\s]*\x02")
 _QUOTE_MARK = re.compile("[“”„«»「」『』《》\"]")
 _WORD_BEFORE = re.compile(rf"([^\W_](?:[^\s\x00-\x03\"“”«»¿¡(（「『《„]*{_WCH})?)[\x00]*$")
 _NEXT = re.compile(r"[\s\x00\xa0]*")
@@ -136,8 +137,8 @@ class Stats:
         return self.counts[_bucket(word)].tolist()
 
 
-def _dots(text: str) -> Iterator[tuple[str, bool]]:
-    """(word, inside): words with one full stop; inside: what follows shows that the sentence goes on."""
+def _dots(text: str) -> Iterator[str]:
+    """Words whose full stop cannot end a sentence: a comma, digit or small letter follows. Capitals prove nothing."""
     for m in _STOP.finditer(text):
         i = m.start()
         words = text[max(0, i - 24) : i].rsplit(None, 1)
@@ -146,9 +147,7 @@ def _dots(text: str) -> Iterator[tuple[str, bool]]:
             continue
         gap, nxt = m[1], m[2]
         if gap[0] == "," or nxt.islower() or nxt.isdigit():
-            yield w.lower(), True
-        elif nxt.isupper():
-            yield w.lower(), False
+            yield w.lower()
 
 
 def count_words(text: str, into: dict[int, int]) -> None:
@@ -160,8 +159,8 @@ def count_words(text: str, into: dict[int, int]) -> None:
         if not body:
             continue
         if "." in body:
-            for w, inside in _dots(body):
-                k = _bucket(w) * KINDS + (STOP_INSIDE if inside else STOP_FINAL)
+            for w in _dots(body):
+                k = _bucket(w) * KINDS + STOP_INSIDE
                 into[k] = get(k, 0) + 1
         if body[-1] == ".":
             k = _bucket(edge_word(body[-40:], True)) * KINDS + STOP_FINAL
@@ -221,7 +220,7 @@ class Stream:
         for a, b in cue_spans(text):
             body = text[a:b]
             cut = body.rstrip()
-            if not cut:
+            if not cut or cut.strip().isdigit():
                 continue
             if "<" in cut or "{" in cut or "\ufeff" in cut or "\u200b" in cut:
                 cut = _MARKUP.sub(_blank, cut)
@@ -263,11 +262,9 @@ class _Doc:
         self.s, self.stats, self.marked = s, stats, stream.marked
         upper, lower = len(_UPPER.findall(s[:8000])), len(_LOWER.findall(s[:8000]))
         self.cased = upper > 0.01 * lower and lower > 0.2 * upper
-        self.inside: set[str] = set()
-        self.final: set[str] = set()
-        if "." in s:
-            for w, inside in _dots(s):
-                (self.inside if inside else self.final).add(w)
+        # the document's own evidence: stops inside sentences, and stops that end a cue
+        self.inside = set(_dots(s)) if "." in s else set()
+        self.final = {_word(s, m.start()).lower() for m in _LAST_STOP.finditer(s)} if self.inside else set()
         self.lower = None
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
