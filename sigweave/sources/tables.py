@@ -18,7 +18,7 @@ def read_annotations(spark: SparkSession, path: str, schema: str = ANNOTATION) -
 
 def write_annotations(annots: DataFrame, path: str) -> None:
     """Tab-separated, NULL as 'NA', a folder per annot_type where that column exists."""
-    w = annots.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "")
+    w = annots.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "NA")
     (w.partitionBy("annot_type") if "annot_type" in annots.columns else w).csv(path)
 
 
