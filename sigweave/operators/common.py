@@ -85,24 +85,21 @@ def carry_forward(
 ) -> DataFrame:
     """Adds out: the last non-NULL value of the key's rows with a smaller order (order: integer, unique per key).
 
-    The order is cut into chunks: a window inside each chunk (at most chunk rows), then one summary row per chunk
-    is carried along the key and joined back. So no task sorts a whole hot key, only its summaries.
+    The order is cut into chunks: a window inside each chunk (at most chunk rows), a window along the key over one row a
+    chunk only (the other rows are parted from it by their chunk), and the result handed to the chunk. df is computed
+    once, and no task sorts a whole hot key.
     """
     from pyspark.sql import Window as W
 
     cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    inner = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    local = cut.withColumn("_local", F.last(value, ignorenulls=True).over(inner))
-    ends = (
-        cut.where(F.col(value).isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(F.max_by(value, order).alias("_end"))
-    )
-    chunks = cut.groupBy(*keys, "_chunk").agg(F.lit(1).alias("_one")).join(ends, [*keys, "_chunk"], "left")
-    outer = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = chunks.select(*keys, "_chunk", F.last("_end", ignorenulls=True).over(outer).alias("_carry"))
-    joined = local.join(carried, [*keys, "_chunk"], "left")
-    return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(out))
+    inner = W.partitionBy(*keys, "_chunk").orderBy(order)
+    upto = inner.rowsBetween(W.unboundedPreceding, 0)
+    before = inner.rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.last(value, ignorenulls=True).over(before)).withColumn("_end", F.last(value, ignorenulls=True).over(upto)).withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
+    along = W.partitionBy(*keys, F.when(~F.col("_last"), F.col("_chunk"))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = local.withColumn("_carry", F.when(F.col("_last"), F.last("_end", ignorenulls=True).over(along)))
+    whole = W.partitionBy(*keys, "_chunk")
+    return carried.withColumn("_carry", F.max("_carry").over(whole)).select(*df.columns, F.coalesce("_local", "_carry").alias(out))
 
 
 def shared_dir(spark: SparkSession, prefix: str = "sigweave") -> str:

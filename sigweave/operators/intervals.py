@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import shipped
-from .ordered import CHUNK, carry_forward, number_rows
+from .ordered import CHUNK, number_rows
 
 SLOT_S = 64.0
 
@@ -24,12 +24,21 @@ def segment_islands(samples: DataFrame, lower: float, upper: float, rate: float
     last sample below, end the right edge of the last one above. NULL and NaN values count as below. No run, no row.
     """
     v = F.nanvl(F.col("v").cast("double"), F.lit(None).cast("double"))
-    marked = samples.select(key, "i", v.alias("v")).withColumn("_below", F.when(F.coalesce(F.col("v") < lower, F.lit(True)), F.col("i")))
+    # runs inside chunks first: one shuffle of the samples, which are then down to pieces of runs
+    cut = samples.select(key, "i", v.alias("v"), F.floor(F.col("i") / CHUNK).alias("_chunk"))
+    inner = W.partitionBy(key, "_chunk").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    above = F.coalesce(F.col("v") >= lower, F.lit(False))
+    pieces = (
+        cut.withColumn("_g", F.sum(F.when(above, 0).otherwise(1)).over(inner)).where(above).groupBy(key, "_chunk", "_g").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.max("v").alias("max_env"))
+    )
+    # only pieces at a chunk's border can go on in another one: a window along the record over these alone
+    border = (F.col("i0") % CHUNK == 0) | (F.col("i1") % CHUNK == CHUNK - 1)
+    along = W.partitionBy(key, "_own").orderBy("i0")
+    joined = pieces.withColumn("_own", F.when(~border, F.col("i0"))).withColumn("_new", F.coalesce(F.col("i0") > F.lag("i1").over(along) + 1, F.lit(True)).cast("int"))
     runs = (
-        carry_forward(marked, [key], "i", "_below", "_gid", CHUNK)
-        .where(F.col("_below").isNull())
-        .groupBy(key, F.coalesce("_gid", F.lit(-1)).alias("_gid"))
-        .agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.max("v").alias("max_env"))
+        joined.withColumn("_run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(key, "_own", "_run")
+        .agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.max("max_env").alias("max_env"))
         .where(F.col("max_env") > upper)
     )
     start = F.bround(F.greatest(F.col("i0") - 1, F.lit(0)).cast("double") / rate + delay, 3)

@@ -17,20 +17,28 @@ from .common import carry_forward  # noqa: F401  (part of this module's surface)
 CHUNK = 4096
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, chunk: Column) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, chunk: Column, scan: bool = False) -> DataFrame:
     """Adds out: 0-based position within keys by order. chunk must be monotone in order (ties of chunk ordered inside).
 
     Order should be total; rows that tie on all of it get consecutive numbers in an arbitrary order. NULL chunks come
-    first, as NULLs do in the order.
+    first, as NULLs do in the order. scan: df is a plain scan, cheaper to read twice (once for the chunks' sizes) than to
+    shuffle again; otherwise df is computed once, and the offsets go along one row a chunk, as in carry_forward.
     """
-    cut = df.withColumn("_chunk", chunk)
-    sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # NULL-safe in chunk: a left join on the filled value
-    fill = lambda d: d.withColumn("_c", F.coalesce(F.col("_chunk").cast("string"), F.lit("")))
-    offsets = fill(sizes.withColumn("_base", base)).select(*keys, "_c", "_base")
-    local = fill(cut.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order)) - 1))
-    return local.join(offsets, [*keys, "_c"]).select(*df.columns, (F.col("_base") + F.col("_rn")).cast("bigint").alias(out))
+    # _c makes NULL chunks a key
+    cut = df.withColumn("_chunk", chunk).withColumn("_c", F.coalesce(F.col("_chunk").cast("string"), F.lit("")))
+    inner = W.partitionBy(*keys, "_c").orderBy(*order)
+    local = cut.withColumn("_rn", F.row_number().over(inner))
+    if scan:
+        sizes = cut.groupBy(*keys, "_c").agg(F.max("_chunk").alias("_chunk"), F.count("*").alias("_n"))
+        base = F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+        offsets = sizes.select(*keys, "_c", base.alias("_base")).where(F.col("_base").isNotNull())
+        placed = local.join(offsets, [*keys, "_c"], "left")
+    else:
+        local = local.withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
+        along = W.partitionBy(*keys, F.when(~F.col("_last"), F.col("_c"))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+        placed = local.withColumn("_base", F.when(F.col("_last"), F.sum("_rn").over(along)))
+        placed = placed.withColumn("_base", F.max("_base").over(W.partitionBy(*keys, "_c")))
+    return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], order: str, before: int, after: int, chunk: int = CHUNK) -> tuple[DataFrame, W]:

@@ -45,7 +45,7 @@ KEY = ["rid"]
 def sig(spark: SparkSession, d: str, where: str = "true", extra: list[str] | None = None) -> DataFrame:
     """rid, i, v: events of a user in order."""
     e = table(spark, d, "events").where(where).selectExpr("user_id rid", "ts", "event_id", "value v", *(extra or []))
-    return number_rows(e, KEY, ["ts", "event_id"], "i", F.unix_date(F.to_date("ts"))).drop("ts", "event_id")
+    return number_rows(e, KEY, ["ts", "event_id"], "i", F.unix_date(F.to_date("ts")), scan=True).drop("ts", "event_id")
 
 
 def two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
