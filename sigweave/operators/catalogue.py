@@ -83,11 +83,11 @@ def add_files(files: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by file name: known names keep their file_id and take the new columns, others get max(file_id) + 1 onwards."""
     if new.groupBy("file").count().where("count > 1").limit(1).collect():
         raise ValueError("a file is given twice")
-    top = files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("_top"))
+    top = files.agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]  # one number
     old = files.join(new.select("file"), "file", "left_anti")
     same = new.join(files.select("file", "file_id"), "file")
     fresh = number_rows(new.join(files.select("file"), "file", "left_anti").withColumn("_all", F.lit(0)), ["_all"], ["file"], "_n", F.substring("file", 1, 2))
-    fresh = fresh.join(top).withColumn("file_id", F.col("_top") + 1 + F.col("_n")).drop("_all", "_n", "_top")
+    fresh = fresh.withColumn("file_id", F.lit(top + 1) + F.col("_n")).drop("_all", "_n")
     return old.unionByName(same, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
 
 

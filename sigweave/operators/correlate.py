@@ -60,8 +60,8 @@ def spectrogram_match(spec: DataFrame, template: DataFrame, keys: Sequence[str])
 
     Each cell meets only the template cells of its own frequency; the template is a parameter-sized table.
     """
-    t = template.agg(F.avg("q").alias("m"), F.stddev_pop("q").alias("s"), F.count("*").alias("c"), F.min("seg").alias("t0"), F.countDistinct("seg").alias("w"))
-    cells = template.join(t).select("f", (F.col("seg") - F.col("t0")).alias("d"), F.try_divide(F.col("q") - F.col("m"), F.col("s")).alias("z"), "c")
+    t = template.agg(F.avg("q").alias("m"), F.stddev_pop("q").alias("s"), F.count("*").alias("c"), F.min("seg").alias("t0")).first()  # four numbers
+    cells = template.select("f", (F.col("seg") - F.lit(t.t0)).alias("d"), F.try_divide(F.col("q") - F.lit(t.m), F.lit(t.s)).alias("z"), F.lit(t.c).alias("c"))
     j = spec.join(cells, "f").withColumn("seg", F.col("seg") - F.col("d"))
     g = j.groupBy(*keys, "seg").agg(F.count("*").alias("n"), F.first("c").alias("c"), F.sum(F.col("p") * F.col("z")).alias("dot"), F.sum("p").alias("s1"), F.sum(F.col("p") * F.col("p")).alias("s2"))
     var = F.col("c") * F.col("s2") - F.col("s1") * F.col("s1")

@@ -20,15 +20,16 @@ def long_rows(rows: DataFrame, keys: Sequence[str], values: str = "values") -> D
     return rows.select(*keys, F.posexplode(values).alias("k", "v")).select(*keys, F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("v"))
 
 
-def statistics(ens: DataFrame) -> DataFrame:
+def statistics(ens: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per grid position over all rows: NaN-ignoring mean, median, std, var (population), cv, eta2 and NaN-keeping average.
 
-    One partial + final aggregation by k; cv and eta2 of a zero mean are NULL.
+    One partial + final aggregation by k; cv and eta2 of a zero mean are NULL. The median is exact, with a buffer of the
+    position's distinct values; accuracy makes it a sketch of that size for ensembles too large for it.
     """
     v = missing(F.col("v"))
     m, s, q = F.avg(v), F.stddev_pop(v), F.var_pop(v)
     return ens.groupBy("k").agg(
-        m.alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), s.alias("std"), q.alias("var"), F.avg("v").alias("average"), F.try_divide(s, m).alias("cv"), F.try_divide(q, m * m).alias("eta2")
+        m.alias("mean"), (F.percentile_approx(v, 0.5, accuracy) if accuracy else F.percentile(v, F.lit(0.5))).alias("median"), s.alias("std"), q.alias("var"), F.avg("v").alias("average"), F.try_divide(s, m).alias("cv"), F.try_divide(q, m * m).alias("eta2")
     )
 
 
@@ -106,8 +107,8 @@ def sample(rows: DataFrame, n: int, seed: int = 0, replace: bool = False, order:
 
 def build(cropped: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Crops (keys, k, v) onto the grid of the longest one, 0 where a row ends before it."""
-    top = cropped.agg(F.max("k").alias("top"))
-    rows = cropped.select(*keys).distinct().join(top).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("k"))
+    top = cropped.agg(F.max("k")).first()[0]  # one number
+    rows = cropped.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(0 if top is None else top).cast("bigint"))).alias("k"))
     return rows.join(cropped, [*keys, "k"], "left").select(*keys, "k", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
@@ -119,13 +120,15 @@ def dejitter(ens: DataFrame, keys: Sequence[str], max_lag: int, iterations: int
     """
     out = ens
     for _ in range(iterations):
-        n = out.agg(F.max("k").alias("top"))
+        top = out.agg(F.max("k")).first()[0]  # one number
+        if top is None:
+            break
         med = out.groupBy("k").agg(F.percentile(missing(F.col("v")), F.lit(0.5)).alias("m"))
         lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
         shifted = out.select(*keys, "k", "v", lags).withColumn("k", F.col("k") + F.col("lag"))
         score = shifted.join(med, "k").groupBy(*keys, "lag").agg(F.sum(F.col("v") * F.col("m")).alias("score"))
         best = score.groupBy(*keys).agg(F.max(F.struct("score", (-F.abs("lag")).alias("a"), "lag")).alias("b")).select(*keys, F.col("b.lag").alias("lag"))
-        moved = out.join(best, list(keys)).join(n).withColumn("k", F.pmod(F.col("k") + F.col("lag"), F.col("top") + 1))
+        moved = out.join(best, list(keys)).withColumn("k", F.pmod(F.col("k") + F.col("lag"), F.lit(top + 1)))
         moved = checkpointed(moved)
         out = moved.select(*keys, "k", "v")
         if moved.where("lag <> 0").limit(1).count() == 0:

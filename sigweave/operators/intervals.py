@@ -119,10 +119,11 @@ def difference(x: DataFrame, y: DataFrame, key: str = "rid", x_name: str = "x")
 
 
 def overlap_filter(annots: DataFrame, windows: DataFrame, key: str = "rid") -> DataFrame:
-    """Annotations that overlap a window of their record; windows: key, start, end. Each at most once."""
-    a = annots.withColumn("_s", F.col("start")).withColumn("_e", F.col("end"))
-    w = windows.select(F.col(key).alias("_k"), F.col("start").alias("_ws"), F.col("end").alias("_we"))
-    return a.join(w, (a[key] == w["_k"]) & (a["_s"] < w["_we"]) & (a["_e"] > w["_ws"]), "left_semi").drop("_s", "_e")
+    """Annotations (unique by key and annot_id) that overlap a window of their record, each once; windows: key, start, end."""
+    x = annots.select(key, "annot_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    y = windows.select(key, F.col("start").alias("_ys"), F.col("end").alias("_ye"))
+    hits = _overlapping(x, y, key, "inner").select(key, "annot_id").distinct()
+    return annots.join(hits, [key, "annot_id"], "left_semi")
 
 
 def flanking(annots: DataFrame, before: float, after: float) -> DataFrame:
@@ -196,5 +197,5 @@ def remaining_records(records: DataFrame, annots: DataFrame, key: str = "record_
 
 def high_water(source: DataFrame, target: DataFrame, key: str = "record_id") -> DataFrame:
     """Incremental selection: rows of source beyond the greatest key in target (all, if target is empty)."""
-    top = target.agg(F.max(key).alias("_top"))
-    return source.join(top, F.col("_top").isNull() | (F.col(key) > F.col("_top"))).drop("_top")
+    top = target.agg(F.max(key)).first()[0]  # one number
+    return source if top is None else source.where(F.col(key) > top)

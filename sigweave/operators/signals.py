@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach_by_key
-from .ordered import own_rows, with_halo
+from .ordered import CHUNK, number_rows, own_rows, with_halo
 
 
 def times(i: Column, rate: float, delay: float = 0.0, tjust: float = 0.5) -> Column:
@@ -137,8 +137,7 @@ def at_times(samples: DataFrame, points: DataFrame, keys: Sequence[str], rate: f
     hold keeps the first and last value through their half samples; outside, fill (None: NULL). A point of an unknown
     signal gives fill. Points may hold further columns.
     """
-    n = lengths(samples, keys)
-    p = points.join(n, list(keys), "left")
+    p = attach_by_key(points, lengths(samples, keys), keys, "n", samples.count(), F.col("t"), "left")
     k = (F.col("t") - delay) * rate - tjust
     last = (F.col("n") - 1).cast("double")
     lo = F.least(F.greatest(F.floor(k).cast("double"), F.lit(0.0)), last)
@@ -152,11 +151,16 @@ def at_times(samples: DataFrame, points: DataFrame, keys: Sequence[str], rate: f
     return j.select(*points.columns, v.alias("v"))
 
 
+def positions(n: DataFrame, keys: Sequence[str], count: Column) -> DataFrame:
+    """(keys, i): 0 .. count - 1 for each row of n. Chunks are dealt out before they are filled, so one long signal is many tasks."""
+    starts = n.where(count > 0).select(*keys, count.cast("bigint").alias("_m")).select(*keys, "_m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1, F.lit(CHUNK).cast("bigint"))).alias("_c"))
+    dealt = starts.repartition(*keys, "_c")
+    return dealt.select(*keys, F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + CHUNK, F.col("_m")) - 1)).alias("i"))
+
+
 def grid(samples: DataFrame, keys: Sequence[str], rate: float, new_rate: float) -> DataFrame:
     """Sample times of a resampled signal: keys, i, t (delay 0, tjust 0.5)."""
-    n = lengths(samples, keys)
-    m = F.floor(F.col("n") * new_rate / rate)
-    return n.where(m > 0).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), m.cast("bigint") - 1)).alias("i")).withColumn("t", (F.col("i") + 0.5) / new_rate)
+    return positions(lengths(samples, keys), keys, F.floor(F.col("n") * new_rate / rate)).withColumn("t", (F.col("i") + 0.5) / new_rate)
 
 
 def resample(samples: DataFrame, keys: Sequence[str], rate: float, new_rate: float) -> DataFrame:
@@ -186,18 +190,18 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str], offset: Column | in
     return j.select(*keys, "i", v.alias("v"))
 
 
-def create_grid(points: DataFrame, keys: Sequence[str], rate: float) -> DataFrame:
-    """Irregular points (keys, t, v) to a regular grid: linear between neighbours, extended beyond the ends.
+def create_grid(points: DataFrame, keys: Sequence[str], rate: float, chunk: float = 3600.0) -> DataFrame:
+    """Irregular points (keys, t, v) to a regular grid: linear between neighbours.
 
-    int((tmax - tmin) * rate) samples from tmin on. Points with equal t: the greatest v counts.
+    int((tmax - tmin) * rate) samples from tmin on. Points with equal t: the greatest v counts. Neighbours are found by
+    numbering the points over chunks of chunk seconds, so no task sorts all points of a key. A key of one point has no grid.
     """
-    from pyspark.sql import Window as W
-
     one = points.groupBy(*keys, "t").agg(F.max("v").alias("v"))
-    w = W.partitionBy(*keys).orderBy("t")
-    seg = one.withColumn("_t1", F.lead("t").over(w)).withColumn("_v1", F.lead("v").over(w)).where(F.col("_t1").isNotNull())
-    span = one.groupBy(*keys).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
-    seg = seg.join(span, list(keys)).withColumn("_m", F.floor((F.col("_last") - F.col("_first")) * rate).cast("bigint"))
+    numbered = number_rows(one, keys, ["t"], "_i", F.floor(F.col("t") / chunk))
+    h, w = with_halo(numbered, keys, "_i", 0, 1)
+    seg = own_rows(h.withColumn("_t1", F.lead("t").over(w)).withColumn("_v1", F.lead("v").over(w))).where(F.col("_t1").isNotNull())
+    span = points.groupBy(*keys).agg(F.min("t").alias("_first"), F.max("t").alias("_end"), F.count("*").alias("_weight"))
+    seg = attach_by_key(seg, span, keys, "_weight", points.count(), F.col("_i")).withColumn("_m", F.floor((F.col("_end") - F.col("_first")) * rate).cast("bigint"))
     lo = F.ceil((F.col("t") - F.col("_first")) * rate).cast("bigint")
     hi = F.least(F.ceil((F.col("_t1") - F.col("_first")) * rate).cast("bigint"), F.col("_m")) - 1
     cells = seg.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo") <= F.col("_hi")).withColumn("i", F.explode(F.sequence("_lo", "_hi")))
@@ -214,12 +218,17 @@ def features(samples: DataFrame, keys: Sequence[str], rate: float = 1.0) -> Data
     )
 
 
-def robust_threshold(samples: DataFrame, keys: Sequence[str], factor: float = 1.0) -> DataFrame:
-    """median + factor * 4 * median absolute deviation / 0.6745 of each signal (exact medians by sorted partial counts)."""
+def robust_threshold(samples: DataFrame, keys: Sequence[str], factor: float = 1.0, accuracy: int | None = None) -> DataFrame:
+    """median + factor * 4 * median absolute deviation / 0.6745 of each signal.
+
+    Exact medians keep a signal's distinct values in one buffer; accuracy switches to sketches of that size, for signals
+    beyond an executor's memory.
+    """
     v = F.nanvl(F.col("v"), F.lit(None).cast("double"))
-    med = samples.groupBy(*keys).agg(F.percentile(v, F.lit(0.5)).alias("_med"), F.count("*").alias("n"))
+    median = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if accuracy else (lambda c: F.percentile(c, F.lit(0.5)))
+    med = samples.groupBy(*keys).agg(median(v).alias("_med"), F.count("*").alias("n"))
     dev = attach_by_key(samples, med, keys, "n", samples.count(), F.col("i"))
-    out = dev.groupBy(*keys).agg(F.first("_med").alias("median"), F.percentile(F.abs(v - F.col("_med")), F.lit(0.5)).alias("mad"))
+    out = dev.groupBy(*keys).agg(F.first("_med").alias("median"), median(F.abs(v - F.col("_med"))).alias("mad"))
     return out.select(*keys, "median", "mad", (F.col("median") + factor * 4 * F.col("mad") / 0.6745).alias("threshold"))
 
 
