@@ -443,6 +443,8 @@ class _Doc:
         nxt = s[j] if j < len(s) else ""
         direct = j == e + 1
         prev = s[i - 1] if i else ""
+        if (s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?") and nxt.isalpha() and not direct and self._reported(j):
+            return False  # a quotation whose closing mark was lost
         if t == "|":
             return "ऀ" <= self._before(i) <= "ॣ" or not nxt or nxt in "\x02\x03"
         if self.lost == "?" and set(t) == {"?"}:
@@ -451,11 +453,9 @@ class _Doc:
             if prev.isspace() or prev in "\x00\x02\x03":
                 if i and not re.match(r"[\s\x00]*(?:\Z|[\x02\x03]|[A-ZÀ-Þ])", s[e + 1 : e + 4]):
                     return False
-            if nxt.islower():
-                return False
-            if nxt == "\x02" and not self._next_starts(j):
-                return False
-            return True
+            if nxt.islower() or nxt in ",;:":
+                return not nxt
+            return nxt != "\x02" or self._next_starts(j)
         if direct and nxt and nxt not in "\x02\x03":
             if t == "." or t == "．":
                 if prev.isdigit() and nxt.isdigit() or not (nxt.isupper() and prev.islower() and len(_word(s, i)) > 1):
