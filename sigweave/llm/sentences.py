@@ -26,14 +26,16 @@ BUCKETS = 1 << 17
 KINDS = 6
 CLOSED, OPEN, FIRST_AFTER_CLOSED, FIRST_AFTER_OPEN, STOP_INSIDE, STOP_FINAL = range(KINDS)
 
-# Abbreviations before a name or number, in lower case without the last full stop.
+# Abbreviations before a name, in lower case without the last full stop.
 TITLES = set(
-    """dr prof mr mrs ms st sgt capt lt col gen rev hon sr sra srta dra ud mme mlle m mm me hr fr fa frl herrn nr no núm num
-    pág p art fig vol ch abs ca env approx aprox cf vgl bzw ggf z.b d.h u.a u i.e e.g vs déc janv févr avr juil sept oct nov
-    dec jan feb aug ee uu ej p.ej т т.е проф г гр ул д им стр см др тов акад डॉ प्रो श्री د أ م พ.ศ ค.ศ น ดร j.-p jr""".split()
+    """dr prof mr mrs ms st sgt capt lt col gen rev hon sr sra srta dra ud mme mlle m mm hr fr fa frl herrn
+    bzw vgl ggf z.b d.h u.a u i.e e.g vs déc janv févr avr juil sept oct nov dec jan feb aug ee uu ej p.ej т т.е проф г гр ул д
+    тов акад cf डॉ प्रो श्री د أ م พ.ศ ค.ศ น ดร j.-p jr""".split()
 )
+# Abbreviations before a number; before a capital they may end a sentence.
+NUMBERED = set("no nr núm num pág p art fig vol ch abs env approx aprox ca h стр см kap s".split())
 # Abbreviations that may end a sentence before a capital.
-CLOSERS = set("""a.m p.m am pm etc ltd inc co corp cie usw usf cía s.a u.n.r u.s u.k jr uhr h bros gmbh ag т.д т.п bc ad""".split())
+CLOSERS = set("""a.m p.m am pm etc ltd inc co corp cie usw usf cía s.a u.n.r u.s u.k gmbh т.д т.п др bc ad bros""".split())
 # What a speaker says while hesitating, before an ellipsis that does not end the sentence.
 HESITATIONS = set(
     """i well um uh er eh oh hmm mm so look bueno pues este bien ben euh alors bon äh ähm tja naja nun also ну э эм так
@@ -69,7 +71,7 @@ _LINE_START = re.compile(r"(?m)^[\x00 \t]*[-–—‐](?!>)[\x00 \t]*(?=[^\s\x00
 
 _TERM = "[.!?…。！？｡؟।॥．‼⁇⁉⁈|]"
 _CLOSE = "[\"'”’»›」』】〉》)\\]“‚‘]"
-_TOKEN = re.compile(rf"({_TERM}(?:[\x00 ]?{_TERM})*)((?:\x00*{_CLOSE}|[\x00   ]+»)*(?:�(?!\w))?)|([\x02\x03])")
+_TOKEN = re.compile(rf"({_TERM}(?:[\x00 ]?{_TERM})*)((?:\x00*{_CLOSE}|[\x00 \u00a0\u202f]+»)*(?:�(?!\w))?)|([\x02\x03])")
 _QUOTE = re.compile("[“”„«»「」『』《》\"\x03\x02]")
 _WCH = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e00-\u0e4e]"
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
@@ -479,6 +481,10 @@ class _Doc:
             if nxt == "\x02":
                 return self._next_starts(j, True)
             return not (self.cased and nxt.islower())
+        if self.cased and (s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?"):
+            k = self._next_cue(j) if nxt == "\x02" else j
+            if k < len(s) and s[k].islower():
+                return False  # the sentence around a quotation whose closing mark was lost
         if t != "." and t != "．":
             if nxt == "\x02" or nxt == "\x03" or not nxt:
                 return True
@@ -511,6 +517,8 @@ class _Doc:
             return low in CLOSERS and low not in TITLES
         if low in TITLES or (len(w) == 1 and w.isalpha()):
             return False
+        if low in NUMBERED:
+            return self.cased
         if not self.cased:
             return False
         nw = re.match(r"[^\W_]*", s[k : k + 40])[0]
@@ -529,7 +537,7 @@ class _Doc:
             return False
         if self.lost and self.lost in w and self._restored(low):
             return True
-        if low in TITLES or low in CLOSERS or (len(w) == 1 and w.isalpha()) or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w):
+        if low in TITLES or low in NUMBERED or low in CLOSERS or (len(w) == 1 and w.isalpha()) or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w):
             return True
         if low in self.inside and low not in self.final and len(low) <= 6:
             n = self.stats.get(low)
@@ -540,7 +548,7 @@ class _Doc:
     def _restored(self, low: str) -> str:
         """The listed abbreviation that low is with its lost letters filled in, or ''."""
         pattern = re.compile("".join("." if c == self.lost else re.escape(c) for c in low))
-        return next((x for x in (*TITLES, *CLOSERS) if len(x) == len(low) and pattern.fullmatch(x)), "")
+        return next((x for x in (*TITLES, *NUMBERED, *CLOSERS) if len(x) == len(low) and pattern.fullmatch(x)), "")
 
     def _next_cue(self, j: int) -> int:
         """Start of the next spoken cue after the break at j; len(s) if none; the index of a speaker break if it starts so."""
