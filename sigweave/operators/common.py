@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n\f "
+BLANKS = " \t\r\n\f\u00a0"
 #: A group is hot if it holds more than this share of all rows, so there are at most so many hot groups.
 HOT_GROUPS = 512
 SALTS = 256
@@ -21,8 +21,8 @@ def blank_trim(col: Column, extra: str = "") -> Column:
 
 
 def to_ms(seconds: Column) -> Column:
-    """Seconds (double) to whole milliseconds (bigint), half up; NULL and NaN give NULL."""
-    return F.when(~F.isnan(seconds), F.floor(seconds * 1000 + F.lit(0.5)))
+    """Seconds (double) to whole milliseconds (bigint), half up; NULL, NaN and what no bigint holds give NULL."""
+    return F.when(~F.isnan(seconds) & (F.abs(seconds) < 9e12), F.floor(seconds * 1000 + F.lit(0.5)))
 
 
 def content_hash(*cols: Column) -> Column:
@@ -45,7 +45,7 @@ def current_rows(
     """
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    packed = F.struct(F.col(updated).alias("u"), F.col(loaded).alias("l"), *[v.alias(n) for n, v in values.items()])
+    packed = F.struct(F.col(updated).alias("_updated"), F.col(loaded).alias("_loaded"), *[v.alias(n) for n, v in values.items()])
     out = df.groupBy(*keys).agg(F.max(packed).alias("_cur"), F.min(loaded).alias("first_loaded"))
     return out.select(*keys, "first_loaded", *[F.col(f"_cur.{n}").alias(n) for n in values])
 

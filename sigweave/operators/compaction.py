@@ -82,8 +82,8 @@ class Compactor:
     vacuum() deletes files that entries have replaced. Records stay exactly the same multiset.
     """
 
-    def __init__(self, spark: SparkSession, path: str, base: int = 1 << 20, fan_in: int = FAN_IN, target: int = 128 << 20):
-        self.spark, self.path, self.base, self.fan_in, self.target = spark, path.rstrip("/"), base, fan_in, target
+    def __init__(self, spark: SparkSession, path: str, base: int = 1 << 20, fan_in: int = FAN_IN, target: int = 128 << 20, max_inputs: int = 20_000):
+        self.spark, self.path, self.base, self.fan_in, self.target, self.max_inputs = spark, path.rstrip("/"), base, fan_in, target, max(max_inputs, fan_in)
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -138,7 +138,7 @@ class Compactor:
         ready = [t for t in sorted(tiers) if len(tiers[t]) >= self.fan_in]
         if not ready:
             return False
-        inputs = tiers[ready[0]]
+        inputs = tiers[ready[0]][: self.max_inputs]  # a larger tier takes several rounds
         n_out = max(1, -(-sum(live[n] for n in inputs) // self.target))
         df = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{n}" for n in inputs])
         folder = f"_merged/{len(entries) + 1:08d}-{uuid.uuid4().hex[:12]}"

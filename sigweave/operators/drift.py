@@ -29,7 +29,7 @@ ALIASES = {
 CHANNEL_PARTS = {"file": "file wav fname filename name", "min": "min lo low minimum", "max": "max hi high maximum", "delay": "delay dly lag"}
 MISSING = ["", "na", "nan", "-"]
 INTEGER, DECIMAL, TEXT = 1, 2, 4
-QUOTES = "\"'﻿"
+QUOTES = "\"'\ufeff"
 FILES = {"ch_s_file", "ch_vs_file"}
 
 

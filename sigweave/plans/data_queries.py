@@ -99,6 +99,38 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(lines, _log_fields(spark, d), lines.count()).select("rig", "log_seq", "field", "change_kind")
 
 
+def _spelling_rows() -> str:
+    """The spellings of the fields as SQL values."""
+    names = {*drift.ALIASES, *(f"ch_{c}_{k}" for c in ("s", "vs") for k in drift.CHANNEL_PARTS)}
+    return ", ".join(f"('{s}', '{f}')" for s, f in sorted(drift._spellings(names).items()))
+
+
+_P3 = f"""
+with a(s, f) as (values {_spelling_rows()}),
+q as (select ' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(160) || '"' || chr(39) || chr(65279) t),
+hd as (select rig, log_seq, coalesce(line, '') line from avimat_log where line_no = 0 qualify row_number() over (partition by rig, log_seq order by arrived_at, line) = 1),
+hn as (select *, len(line) - len(replace(line, chr(9), '')) n1, len(line) - len(replace(line, ';', '')) n2, len(line) - len(replace(line, '|', '')) n3, len(line) - len(replace(line, ',', '')) n4 from hd),
+hs as (select rig, log_seq, line, case greatest(n1, n2, n3, n4) when n1 then chr(9) when n2 then ';' when n3 then '|' else ',' end sep from hn),
+hv as (select rig, log_seq, sep, list_transform(string_split(line, sep), lambda x: trim(x, t)) names from hs, q),
+nm as (select rig, log_seq, unnest(names) name, generate_subscripts(names, 1) pos from hv),
+ff as (select rig, log_seq, pos, name, f from nm join a on a.s = regexp_replace(lower(name), '[\\s-]+', '_', 'g') where f in (select field from log_field)
+  qualify row_number() over (partition by rig, log_seq, f order by pos) = 1),
+sq as (select rig, log_seq, lag(log_seq) over (partition by rig order by log_seq) p from hd),
+shape as (select sq.rig, sq.log_seq, n.f field, case when o.name is null then 'added' when o.name <> n.name then 'renamed' end change_kind
+  from sq join ff n on n.rig = sq.rig and n.log_seq = sq.log_seq left join ff o on o.rig = sq.rig and o.log_seq = sq.p and o.f = n.f where p is not null
+  union all select sq.rig, sq.log_seq, o.f, 'removed' from sq join ff o on o.rig = sq.rig and o.log_seq = sq.p left join ff n on n.rig = sq.rig and n.log_seq = sq.log_seq and n.f = o.f where n.f is null),
+ln as (select distinct rig, log_seq, line_no, coalesce(line, '') line from avimat_log where line_no > 0),
+lv as (select rig, log_seq, line_no, names, list_transform(string_split(line, sep), lambda x: trim(x, t)) vals from ln join hv using (rig, log_seq), q),
+cv as (select rig, log_seq, f field, vals[pos] v from lv join ff using (rig, log_seq)
+  where list_transform(vals, lambda x: lower(x)) <> list_transform(names, lambda x: lower(x)) and pos <= len(vals) and lower(vals[pos]) not in ('', 'na', 'nan', '-')),
+tg as (select rig, log_seq, field, case when regexp_full_match(v, '[+-]?\\d+') then 1 when regexp_full_match(v, '[+-]?(\\d+[.,]\\d*|[.,]\\d+)') then 2 else 4 end tag from cv),
+ty as (select rig, log_seq, field, bit_or(tag) alternatives, case max(tag) when 1 then 'integer' when 2 then 'decimal' else 'text' end ty from tg group by all),
+rt as (select *, lag(ty) over (partition by rig, field order by log_seq) was from ty)
+"""
+P3_SQL = _P3 + "select * from shape where change_kind is not null union all select rig, log_seq, field, 'retyped' from rt where was <> ty"
+P3_ALTERNATIVES_SQL = _P3 + 'select field, ty "type", alternatives, count(*) n_logs from ty group by all'
+
+
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "avimat_log")
     return drift.canonical_table(lines, _log_fields(spark, d), lines.count())
@@ -160,4 +192,4 @@ union all select record_id, 'gap', s, e from gap where s is not null and e - s <
 """
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_outputs": p2_outputs, "p3_found": p3_found, "p3_table": p3_table, "p3_alternatives": p3_alternatives, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_outputs": P2_OUTPUTS_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_outputs": P2_OUTPUTS_SQL, "p3_found": P3_SQL, "p3_alternatives": P3_ALTERNATIVES_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sigweave.plans.reference_queries", "sigweave.plans.data_queries"]
+MODULES = ["sigweave.plans.reference_queries", "sigweave.plans.pipeline_queries", "sigweave.plans.data_queries"]
 OPTIONAL = ["sigweave.llm.queries"]
 
 

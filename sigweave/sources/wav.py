@@ -179,7 +179,7 @@ def write_wav(signals: DataFrame, path: str, normalize: bool = True, factor: flo
     signals.sparkSession.dataSource.register(WavSource)
     top = F.array_max(F.transform("samples", lambda x: F.abs(x)))
     opt = lambda c, d: F.col(c) if c in signals.columns else d
-    norm = normalize & (True)
+    norm = bool(normalize)
     samples = F.when(top > 0, F.transform("samples", lambda x: x / top * factor)).otherwise(F.col("samples")) if norm else F.col("samples")
     shipped(signals).select("file", F.col("rate").cast("double").alias("rate"), samples.alias("samples")).write.format("wav").option("sample_format", sample_format).mode("append").save(path)
     return signals.select(

@@ -239,3 +239,46 @@ def test_found_queries_match_sql(spark, data):
     import verify
 
     assert verify.compare(spark, data, ["p1_found", "p2_found", "p2_outputs", "p4_found", "p4_report", "p5_found"]) == {}
+
+
+def test_odd_times_and_clashing_columns(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (1.0005,), (-0.0004,), (1e300,)], "s double")
+    assert [r[0] for r in df.select(common.to_ms(F.col("s"))).collect()] == [None, None, None, 1001, 0, None]
+    rows = spark.createDataFrame([(1, at(1), None, "x", 5)], "k bigint, loaded_at timestamp_ntz, updated_at timestamp_ntz, u string, l int")
+    got = common.current_rows(rows, ["k"], {"u": F.col("u"), "l": F.col("l"), "updated_at": F.col("updated_at")}).first()
+    assert (got.u, got.l, got.updated_at) == ("x", 5, None)
+
+
+def test_all_found_queries_on_empty_tables(spark, data, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    for p in Path(data).glob("*.parquet"):
+        if p.stem in ("log_field", "run_log", "mix_target", "pack_spec"):
+            (shutil.copytree if p.is_dir() else shutil.copy)(p, tmp_path / p.name)
+        else:
+            spark.read.parquet(str(p)).limit(0).write.parquet(str(tmp_path / p.name))
+    for name, f in entry.queries().items():
+        if name.startswith(("p1_", "p2_", "p3_", "p4_", "p5_")):
+            assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_rows_of_nulls(spark, data, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    for p in Path(data).glob("*.parquet"):
+        if p.stem in ("record_db", "file_db", "annot_db", "avimat_log", "record_done", "annot_done"):
+            df = spark.read.parquet(str(p))
+            empty = spark.createDataFrame([tuple([None] * len(df.columns))] * 3, df.schema)
+            df.unionByName(empty).unionByName(df).write.parquet(str(tmp_path / p.name))
+        else:
+            (shutil.copytree if p.is_dir() else shutil.copy)(p, tmp_path / p.name)
+    q = entry.queries()
+    for name in ("p1_found", "p2_found", "p3_found", "p4_found", "p5_found"):
+        a = sorted(map(tuple, q[name](spark, data).collect()))
+        assert sorted(map(tuple, q[name](spark, str(tmp_path)).collect())) == a, name
