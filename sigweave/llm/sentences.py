@@ -8,6 +8,7 @@ several, and what no mark closes ends with its cue or speaker unless it plainly
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from bisect import bisect_right
@@ -80,9 +81,8 @@ _LOST_Q = re.compile(r"[^\W\d_]\?[a-zа-я]")
 _LOST_R = re.compile(r"[^\W\d_]�[a-zа-я]")
 _LAST_STOP = re.compile(r"(?<!\.)\.[\x00\s]*\x02")
 _QUOTE_MARK = re.compile("[“”„«»「」『』《》\"]")
-_WORD_BEFORE = re.compile(rf"([^\W_](?:[^\s\x00-\x03\"“”«»¿¡(（「『《„]*{_WCH})?)[\x00]*$")
 _NEXT = re.compile(r"[\s\x00\xa0]*")
-_VISIBLE = re.compile(r"[^\W_]|�\w|\w�")
+_VISIBLE = re.compile(r"[^\W_]")
 _OPENERS = "\"'“”„«‹「『《¿¡([（�-–—"
 _NOSPACE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
 _STOP = re.compile(r"\.([,\s]+)(\S)")
@@ -90,8 +90,16 @@ _ENDS = frozenset(".!?…。！？｡؟।॥．‼⁇⁉⁈|\"'”’»›」
 _PUNCT = ".,;:!?…。！？｡؟।॥．‼|\"'”’»›«‹「」『』【】〉》《“„‚‘()[]（）［］*♪#=<>-–—،、，؛·~～\ufeff\u200b"
 
 
+_MEMO: dict[str, int] = {}
+
+
 def _bucket(word: str) -> int:
-    return zlib.crc32(word.lower().encode()) & (BUCKETS - 1)
+    k = _MEMO.get(word)
+    if k is None:
+        if len(_MEMO) > 100_000:  # only a memo: what it forgets is computed again
+            _MEMO.clear()
+        k = _MEMO[word] = zlib.crc32(word.lower().encode("utf-8", "replace")) & (BUCKETS - 1)
+    return k
 
 
 def edge_word(text: str, last: bool) -> str:
@@ -604,9 +612,22 @@ class _Doc:
         return closes * begins < 0.5
 
 
+_BEFORE_WORD = "�?\x00\x02\x03\"'“”„«»¿¡(（「『《-–—.…"
+
+
+_INSIDE = re.compile("[\x00-\x03\"“”«»„「『《!！？…¿¡(（]+(?=.)|\\?+(?=[A-ZÀ-ÞА-Я])")
+
+
 def _word(s: str, i: int) -> str:
-    m = _WORD_BEFORE.search(s, max(0, i - 24), i)
-    return m[1] if m else ""
+    """The word that ends right before i, inner full stops included; '' if there is none."""
+    words = s[i - 24 if i > 24 else 0 : i].rsplit(None, 1)
+    if not words:
+        return ""
+    w = words[-1].rstrip("\x00")
+    if not w or s[i - 1].isspace():
+        return ""
+    w = w.lstrip(_BEFORE_WORD)
+    return w if w.isalnum() else _INSIDE.split(w)[-1]
 
 
 _NONE = Stats()
@@ -627,6 +648,7 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> Stats:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[int, int] = {}
+        gc.disable()  # the work makes no cycles
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
@@ -650,6 +672,7 @@ def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = Stats(counts.value)
+        gc.disable()  # the work makes no cycles
         for b in batches:
             ids, ends = [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
