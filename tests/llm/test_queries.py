@@ -42,7 +42,8 @@ def test_every_sentence_once_and_inside_its_text(spark, data):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = [tuple(r) for r in entry.queries()["p8_found"](spark, data).collect()]
     assert len(got) == len(set(got)) > 1000
-    assert all(0 <= e < len(docs[i]) and not docs[i][e].isspace() for i, e in got)
+    # a no-break space may be the last byte of a garbled character
+    assert all(0 <= e < len(docs[i]) and docs[i][e] not in " \t\r\n" for i, e in got)
 
 
 def test_mix_keeps_to_its_targets(spark, data):
