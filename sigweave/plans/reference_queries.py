@@ -377,12 +377,12 @@ def _(spark, d):
     return signals.fir(sig(spark, d), KEY, [0.5, 0.3, 0.2]).select("rid", "i", r6("v").alias("v"))
 
 
-@query("lti_absint", f"with recursive {_SIG}, f as (select rid, i, 0.0::double s, abs(v) x from sig where i = 0 union all select f.rid, sig.i, f.s * 0.9 + f.x, abs(sig.v) from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('s / 10')} v from f")
+@query("lti_absint", f"with recursive {_SIG}, f as (select rid, i, 0.0::double s, abs(v) x from sig where i = 0 union all select f.rid, sig.i, f.s * (1 - 1.0::double / 7) + f.x, abs(sig.v) from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('s / 7')} v from f")
 def _(spark, d):
     from ..functions import kernels as K
     from ..operators import transforms
 
-    return transforms.pointwise(sig(spark, d), KEY, lambda x: K.integrator(abs(x), 10), halo=1024).select("rid", "i", r6("v").alias("v"))
+    return transforms.pointwise(sig(spark, d), KEY, lambda x: K.integrator(abs(x), 7), halo=1024).select("rid", "i", r6("v").alias("v"))
 
 
 def _bins(agg: str, having: str = "") -> str:
