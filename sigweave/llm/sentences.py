@@ -59,9 +59,9 @@ _HAS_URL = re.compile(_URL, re.I)
 _LOST_CREDIT = re.compile(r"^[?�]{3,} ?:?\s?[A-Za-z]")
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|\{\\[^{}\n]{0,40}\}|\{[a-z]:[^{}\n]{0,20}\}|﻿|[​-‏‪-‮]")
-_SOUND = re.compile(
-    r"\[[^\[\]\x02]{0,200}\]|\([^()\x02]{0,200}\)|（[^（）\x02]{0,200}）|［[^［］\x02]{0,200}］|【[^【】\x02]{0,200}】|\*[^*\n\x02]{1,80}\*|♪[～~]|[♪♫][^♪♫\n\x02]{0,120}[♪♫]|[♪♫]"
-)
+_PAIRS = dict(zip("])）］】", "[(（［【", strict=True))
+_PAIR_MARK = re.compile(r"[\[\]()（）［］【】]")
+_STAR, _NOTE = re.compile(r"\*+"), re.compile("♪[～~]|[♪♫]+")
 _BRACKET = re.compile(r"[\[(（［【*♪♫]")
 _DASH = re.compile(r"[-–—‐]")
 _FOLD = {ord(c): None for c in " \t\r\n\x00\u00a0"} | {ord(a): b for a, b in ("0o", "1l", "|l", "ąa", "ęe", "ćc", "ńn")}
@@ -193,7 +193,66 @@ def count_words(text: str, into: dict[int, int]) -> None:
 
 
 def _blank(m: re.Match) -> str:
-    return re.sub(r"[^\n]", "\x00", m[0])
+    return re.sub(r"[^\n\x02]", "\x00", m[0])
+
+
+def _blank_spans(s: str, spans: list[tuple[int, int]]) -> str:
+    """s without what stands in spans (first, after last); spans may nest."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            a = max(a, at)
+            out += [s[at:a], re.sub(r"[^\n\x02]", "\x00", s[a:b])]
+            at = b
+    return "".join([*out, s[at:]])
+
+
+def _turns(s: str) -> bool:
+    """Whether another speaker begins in one of the lines after the first."""
+    k = s.find("\n")
+    return k >= 0 and bool(_LINE_START.search(s, k + 1) or any(_label(m) != m[0] for m in _SPEAKER.finditer(s, k + 1)))
+
+
+def _bracketed(s: str) -> list[tuple[int, int]]:
+    """Balanced brackets, also over breaks of cues unless another speaker begins inside."""
+    opened, found = {o: [] for o in _PAIRS.values()}, []
+    for m in _PAIR_MARK.finditer(s):
+        k, ch = m.start(), m[0]
+        if ch in opened:
+            opened[ch].append(k)
+        elif opened[_PAIRS[ch]]:
+            o = opened[_PAIRS[ch]].pop()
+            if "\x02" not in (inner := s[o : k + 1]) or not _turns(inner):
+                found.append((o, k + 1))
+    return found
+
+
+def _between(s: str, mark: re.Pattern) -> list[tuple[int, int]]:
+    """What stands between two marks that look alike, also over breaks of lines and cues unless another speaker begins inside.
+
+    A mark that only can open puts an earlier one without partner aside. Where both its sides are alike the mark closes what
+    is open; one that stands alone in its line opens nothing.
+    """
+    found, held = [], None
+    for m in mark.finditer(s):
+        a, b = m.span()
+        if mark is _NOTE and len(m[0]) > 1:
+            continue  # with nothing between, or the sign that music begins: whole by itself
+        before, after = s[:a].rstrip("\x00")[-1:] if a and s[a - 1] == "\x00" else s[a - 1 : a], s[b : b + 1]
+        if after == "\x00":
+            after = s[b : b + 400].lstrip("\x00")[:1]
+        first, final = before in ("", "\n"), after in ("", "\n", "\r", "\x02")
+        if m[0] == "*" and before.isalnum() and after.isalnum() and before.upper() != before.lower() or before.isdigit() and after.isdigit():
+            continue  # letters left out of a word, or a product
+        opens, closes = first or not (final or after.isspace()), final or not (first or before.isspace())
+        if held and (closes or not opens):
+            inner = s[held[0] : b]
+            if "\n" not in inner or (mark is _NOTE or held[1] and closes) and not _turns(inner):
+                found.append((held[0], b))
+                held = None
+                continue
+        held = (a, opens) if (opens or not closes) and not (first and final) else None
+    return found
 
 
 _HEAD = re.compile(
@@ -242,7 +301,11 @@ class Stream:
             n += len(cut) + 2
         s = "\x02\n".join(bodies)
         if _BRACKET.search(s):
-            s = _SOUND.sub(_blank, s)
+            s = _blank_spans(s, _bracketed(s))
+            if "*" in s:
+                s = _blank_spans(s, _between(s, _STAR))
+            if "♪" in s or "♫" in s:
+                s = _NOTE.sub(_blank, _blank_spans(s, _between(s, _NOTE)))
         if ":" in s or "：" in s:
             s = _SPEAKER.sub(_label, s)
         if _DASH.search(s):
@@ -305,7 +368,7 @@ class _Doc:
                 stack.clear()
                 continue
             if q == "\x02":
-                stack = [(c, o, n + 1) for c, o, n in stack if n < 2]
+                stack = [(c, o, n + 1) for c, o, n in stack]
                 continue
             if q == '"':
                 prev = s[i - 1] if i else " "
@@ -313,11 +376,13 @@ class _Doc:
                 if not opening and stack and stack[-1][0] == '"':
                     found.append((stack.pop()[1], i))
                 elif opening:
+                    stack = self._opened_anew(stack, '"')
                     stack.append(('"', i, 0))
                 continue
             if stack and q in stack[-1][0] and not (q == "“" and self._opens(i) and not stack[-1][0].startswith("“")):
                 found.append((stack.pop()[1], i))
             elif q in close_of:
+                stack = self._opened_anew(stack, close_of[q])
                 stack.append((close_of[q], i, 0))
             elif any(q in c for c, _, _ in stack):
                 while q not in stack[-1][0]:
@@ -330,6 +395,12 @@ class _Doc:
             out.append((o, c, mid, self._goes_on(o, c)))
         return out
 
+    @staticmethod
+    def _opened_anew(stack: list[tuple[str, int, int]], close: str) -> list[tuple[str, int, int]]:
+        """stack without a quotation of that kind, and those inside it, that an earlier cue opened: it has lost its end."""
+        k = next((k for k, (c, _, n) in enumerate(stack) if c == close and n), len(stack))
+        return stack[:k]
+
     def _fresh(self, o: int) -> bool:
         """Only openers stand between o and the start of its line."""
         a = max(self.s.rfind("\n", 0, o), self.s.rfind("\x03", 0, o))
@@ -392,12 +463,17 @@ class _Doc:
             i = m.start()
             if i <= last:
                 continue
+            while mi < nm and mute[mi][0] < i:
+                held.append(mute[mi])
+                mi += 1
+            if held:
+                held = [x for x in held if x[1] >= i]
             brk = m[3]
             if brk:
                 if not visible(s, last + 1, i):
                     continue
                 j = self._last_visible(i)
-                if j <= last or brk == "\x02" and self._runs_on(last + 1, j, i):
+                if j <= last or brk == "\x02" and (held or self._runs_on(last + 1, j, i)):
                     continue
                 ends.append(j)
                 last = j
@@ -408,17 +484,11 @@ class _Doc:
             e = m.end() - 1
             if e >= first:
                 e = self._closers(first, e)
-            if nm:
-                while mi < nm and mute[mi][0] < i:
-                    held.append(mute[mi])
-                    mi += 1
-                if held:
-                    held = [x for x in held if x[1] >= i]
-                    if held:
-                        # the end of a quotation closes the sentence around it only if nothing else holds it open
-                        c = next((k for k in range(first, e + 1) if k in ending), None)
-                        if c is None or any(x[1] != c for x in held):
-                            continue
+            if held:
+                # the end of a quotation closes the sentence around it only if nothing else holds it open
+                c = next((k for k in range(first, e + 1) if k in ending), None)
+                if c is None or any(x[1] != c for x in held):
+                    continue
             if self._is_end(last + 1, i, m[1], e):
                 ends.append(e)
                 last = e

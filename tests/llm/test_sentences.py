@@ -112,3 +112,21 @@ def test_over_documents(spark):
 def test_the_word_table_is_bounded(spark):
     docs = spark.range(300).selectExpr("id doc_id", "concat('1\n00:00:01,000 --> 00:00:02,000\nword', id, '. Next\n\n') text")
     assert S.corpus_stats(docs).counts.shape == (S.BUCKETS, S.KINDS)
+
+
+SOUNDS = {
+    "cut bracket": ["Come [What was that?", "noise] here.¶", "What [Music playing. Crowd", "cheers.] a mess!!¶"],
+    "long and nested": ["Come [" + "Crowd cheers. " * 20 + "[noise] on.] here.¶"],
+    "cut twice": ["Come (Music.", "More music.", "Silence.) here.¶"],
+    "cut star and note": ["Come *Thunder.", "Rain.* here.¶", "♪ Slow waltz.", "Fast waltz. ♪ Thank you.¶", "*wind* Not again.¶ *rain*"],
+    "unmatched": ["Come [here.¶", "- No.¶\n- Why] not?¶", "♪♪ Come here.¶", "Wait.¶ ♪"],
+    "quotation over many cues": ["He said “Wait.", "No.", "Stop.", "Go.", "Run.” and left.¶"],
+    "quotation opened anew": ["“Wait.¶", "No.¶", "He said “Go.” and left.¶"],
+}
+
+
+@pytest.mark.parametrize("name", SOUNDS)
+def test_sounds_and_quotations_over_cues(name):
+    text, want = expect(cues(*SOUNDS[name]))
+    got = S.sentence_ends(text)
+    assert got == want, [text[max(0, k - 12) : k + 1] for k in got]
