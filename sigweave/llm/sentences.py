@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,8 @@ _TOKEN = re.compile(rf"({_TERM}(?:[\x00 ]?{_TERM})*)((?:\x00*{_CLOSE}|[\x00 \u00
 _QUOTE = re.compile("[“”„«»「」『』《》\"\x03\x02]")
 _WCH = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e00-\u0e4e]"
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
+_CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}")
+_CUE_BREAK = re.compile("\x02")
 _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
 _LOST_Q = re.compile(r"[^\W\d_]\?[a-zа-я]")
 _LOST_R = re.compile(r"[^\W\d_]�[a-zа-я]")
@@ -327,14 +330,39 @@ def _label(m: re.Match) -> str:
     return "\x03" + "\x00" * (len(m[0]) - 1)
 
 
+def _style(cue: str) -> str:
+    """n: capitals and small letters as usual, s: small letters only, c: mostly capitals; '' if too few letters tell."""
+    if cue == (small := cue.lower()):
+        return "" if small == cue.upper() else "s"
+    if not _CAPITALS.search(cue):
+        return "n" if cue != cue.upper() else ""
+    return "c" if len(_UPPER.findall(cue)) > len(_LOWER.findall(cue)) else "n"
+
+
+#: Cues before and after one that tell with it how the text around is written.
+NEAR = 20
+
+
+def _cased_cues(cues: list[str]) -> list[bool]:
+    """For each cue whether the cues around it are written with capitals and small letters as usual."""
+    styles = [_style(c) for c in cues]
+    usual, small, large = (list(accumulate((x == k for x in styles), initial=0)) for k in "nsc")
+    out = []
+    for k in range(len(styles)):
+        a, b = max(0, k - NEAR), min(len(styles), k + NEAR + 1)
+        n, s, c = usual[b] - usual[a], small[b] - small[a], large[b] - large[a]
+        out.append(n > 0 and n >= c and n + 1 >= s + c)  # cues in small letters may go on from others
+    return out
+
+
 class _Doc:
     """One document being cut."""
 
     def __init__(self, stream: Stream, stats: Stats):
         s = stream.text
         self.s, self.stats, self.marked = s, stats, stream.marked
-        upper, lower = len(_UPPER.findall(s[:8000])), len(_LOWER.findall(s[:8000]))
-        self.cased = upper > 0.01 * lower and lower > 0.2 * upper
+        self._breaks = [m.start() for m in _CUE_BREAK.finditer(s)]
+        self._cased = _cased_cues(s.split("\x02"))
         # the document's own evidence: stops inside sentences, and stops that end a cue
         self.inside = set(_dots(s)) if "." in s else set()
         self.final = {_word(s, m.start()).lower() for m in _LAST_STOP.finditer(s)} if self.inside else set()
@@ -342,6 +370,10 @@ class _Doc:
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
 
+    def cased(self, i: int) -> bool:
+        """Whether sentences begin with capitals, and only they and names do, around the cue of position i."""
+        return self._cased[bisect_right(self._breaks, i - 1)]
+
     def is_lower(self, word: str) -> bool:
         """Whether the document has the word in lower case, so it is no name."""
         if self.lower is None:
@@ -422,7 +454,7 @@ class _Doc:
                 return False
             if _NOSPACE.match(s[k]) or not (s[k].isupper() or s[k].islower()):
                 return False if self._inner_ended(c) and s[k] not in "とت" else self._reported(k)
-            return s[k].islower() and self.cased or (not self.cased and self._reported(k))
+            return s[k].islower() and self.cased(k) or (not self.cased(k) and self._reported(k))
         if ch == "\x03":
             return False
         if ch in ",;:—–،、，；":
@@ -435,9 +467,9 @@ class _Doc:
             return ch.isalnum()
         if ch == "と":
             return True
-        if self.cased and ch.islower():
+        if self.cased(j) and ch.islower():
             return True
-        if not self.cased and ch.islower():
+        if not self.cased(j) and ch.islower():
             return bool(self._reported(j) or re.match(r"(?:and|und|y|et|и)\b", s[j : j + 4]))
         return self._reported(j)
 
@@ -540,7 +572,7 @@ class _Doc:
             if t == "." or t == "．":
                 if prev.isdigit() and nxt.isdigit() or not (nxt.isupper() and prev.islower() and len(_word(s, i)) > 1):
                     return False
-                return not _HAS_URL.match(s, j) and self.cased
+                return not _HAS_URL.match(s, j) and self.cased(j)
             if set(t) <= {"."} and len(t) > 1 and nxt.isalnum() and (prev in " \n\x00\x02\x03" or nxt.islower()):
                 return False
             if nxt in ".,;:،、，":
@@ -558,15 +590,15 @@ class _Doc:
                         return False
             if nxt == "\x02":
                 return self._next_starts(j, True)
-            return not (self.cased and nxt.islower())
-        if self.cased and (s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?"):
+            return not (nxt.islower() and self.cased(j))
+        if (s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?") and self.cased(i):
             k = self._next_cue(j) if nxt == "\x02" else j
             if k < len(s) and s[k].islower():
                 return False  # the sentence around a quotation whose closing mark was lost
         if t != "." and t != "．":
             if nxt == "\x02" or nxt == "\x03" or not nxt:
                 return True
-            if self.cased and nxt.islower() and not direct:
+            if nxt.islower() and not direct and self.cased(j):
                 # a mark before a small letter: a new sentence only after a break of lines that cased texts begin so
                 return not (prev.isspace() and e == i)
             return True
@@ -585,7 +617,7 @@ class _Doc:
         while k < len(s) and (s[k] in _OPENERS or s[k] == "\x00" or s[k].isspace()):
             k += 1
         ch = s[k] if k < len(s) else ""
-        if ch.islower() and self.cased:
+        if ch.islower() and self.cased(k):
             return not self._abbreviation(low, w) and "\n" in s[e:k] and s[j] in _OPENERS
         if w.isdigit() and len(w) <= 2 and ch.isalpha() and not re.search(r"[\d][.,]\d*$", s[max(0, i - 4) : i]):
             return False
@@ -596,8 +628,8 @@ class _Doc:
         if low in TITLES or (len(w) == 1 and w.isalpha()):
             return False
         if low in NUMBERED:
-            return self.cased
-        if not self.cased:
+            return self.cased(i)
+        if not self.cased(i):
             return False
         nw = re.match(r"[^\W_]*", s[k : k + 40])[0]
         if low in CLOSERS:
@@ -644,8 +676,8 @@ class _Doc:
         if re.match(r"\.\.+[^\W\d_]|…[^\W\d_]", s[k : k + 5]):
             m = re.match(r"[.…]+", s[k : k + 5])
             c = s[k + m.end()] if k + m.end() < len(s) else ""
-            return c.isupper() and self.cased and not weak
-        if self.cased and s[k].islower():
+            return c.isupper() and self.cased(k) and not weak
+        if s[k].islower() and self.cased(k):
             return False
         return True
 
@@ -659,11 +691,11 @@ class _Doc:
             return True
         if re.match(r"\.\.+|…", s[k : k + 3]):
             return True
-        if self.cased and ch.islower():
+        if ch.islower() and self.cased(k):
             return True
         if ch in "([*♪¿¡":
             return False
-        if self.lost and end == self.lost and self.cased and ch.isupper():
+        if self.lost and end == self.lost and self.cased(k) and ch.isupper():
             return False
         caseless = bool(_NOSPACE.match(ch)) or not (ch.isupper() or ch.islower())
         if ch in "“«„「『《\"" and not caseless:

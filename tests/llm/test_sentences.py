@@ -130,3 +130,12 @@ def test_sounds_and_quotations_over_cues(name):
     text, want = expect(cues(*SOUNDS[name]))
     got = S.sentence_ends(text)
     assert got == want, [text[max(0, k - 12) : k + 1] for k in got]
+
+
+def test_casing_is_judged_where_a_text_stands():
+    loud, small = ["NOBODY LEFT THE OLD GATE OPEN.¶"] * 300, ["komm her...¶", "wer war am kanal?¶"] * 150
+    usual = ["Wait for me...", "behind the mill.¶", "Nobody left the gate open.¶", "He came...", "and went.¶"] * 100
+    border, low_border = ["Nobody left the gate open.¶"] * 30, ["komm her.¶"] * 30
+    for parts in (loud + border + usual, usual + border + loud, small + low_border + border + usual, usual + border + low_border + small):
+        text, want = expect(cues(*parts))
+        assert S.sentence_ends(text) == want
