@@ -12,7 +12,7 @@ import gc
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -77,6 +77,8 @@ _TOKEN = re.compile(rf"({_TERM}(?:[\x00 ]?{_TERM})*)((?:\x00*{_CLOSE}|[\x00 \u00
 _QUOTE = re.compile("[“”„«»「」『』《》\"\x03\x02]")
 _WCH = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e00-\u0e4e]"
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
+_AFTER_LETTER = re.compile(r"[!?,;:…](?!\w)")
+_AFTER_PLAIN = re.compile(r"[!?,;:…](?!\w)|[ \n]+[a-zß-öø-ÿа-яё]")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}")
 _CUE_BREAK = re.compile("\x02")
 _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
@@ -150,8 +152,8 @@ class Stats:
         return self.counts[_bucket(word)].tolist()
 
 
-def _dots(text: str) -> Iterator[str]:
-    """Words whose full stop cannot end a sentence: a comma, digit or small letter follows. Capitals prove nothing."""
+def _dots(text: str, cased: Callable[[int], bool] | None = None) -> Iterator[str]:
+    """Words whose full stop cannot end a sentence: a comma, digit or small letter (where cased) follows. Capitals prove nothing."""
     for m in _STOP.finditer(text):
         i = m.start()
         words = text[max(0, i - 24) : i].rsplit(None, 1)
@@ -159,7 +161,7 @@ def _dots(text: str) -> Iterator[str]:
         if not w or not w[0].isalpha() or w[-1] == ".":
             continue
         gap, nxt = m[1], m[2]
-        if gap[0] == "," or nxt.islower() or nxt.isdigit():
+        if gap[0] == "," or nxt.isdigit() or nxt.islower() and (cased is None or cased(m.start(2))):
             yield w.lower()
 
 
@@ -364,9 +366,9 @@ class _Doc:
         self._breaks = [m.start() for m in _CUE_BREAK.finditer(s)]
         self._cased = _cased_cues(s.split("\x02"))
         # the document's own evidence: stops inside sentences, and stops that end a cue
-        self.inside = set(_dots(s)) if "." in s else set()
+        self.inside = set(_dots(s, self.cased)) if "." in s else set()
         self.final = {_word(s, m.start()).lower() for m in _LAST_STOP.finditer(s)} if self.inside else set()
-        self.lower = None
+        self.lower, self._plain = None, {}
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
 
@@ -380,6 +382,25 @@ class _Doc:
             self.lower = set(re.findall(r"[a-zà-öø-ÿа-яё’']{2,}", self.s))
         return word.lower() in self.lower
 
+    def is_name(self, word: str) -> bool:
+        """Whether the document has the word with a capital after a word in small letters or a comma, so it may be a name."""
+        return bool(re.search(rf"[a-zß-öø-ÿа-яё,;][ \n]+{re.escape(word)}\b", self.s))
+
+    def is_plain(self, w: str) -> bool:
+        """Whether the document has w without a stop and not as a title: before a small letter or another mark; of single
+        letters, which may be prepositions, only before a mark."""
+        known = self._plain.get(w)
+        if known is None:
+            s, follows = self.s, _AFTER_LETTER if len(w) == 1 else _AFTER_PLAIN
+            known = False
+            for form in {w} if len(w) == 1 else {w, w[0].lower() + w[1:], w[0].upper() + w[1:]}:
+                k = s.find(form)
+                while k >= 0 and not known:
+                    known = bool(follows.match(s, k + len(w))) and not (k and (s[k - 1].isalnum() or s[k - 1] in "_.'’-")) and self.cased(k)
+                    k = s.find(form, k + 1)
+            self._plain[w] = known
+        return known
+
     def after(self, i: int) -> int:
         return _NEXT.match(self.s, i).end()
 
@@ -610,7 +631,7 @@ class _Doc:
         if not nxt or nxt == "\x03":
             return True
         if nxt == "\x02":
-            if self._abbreviation(low, w):
+            if self._abbreviation(low, w, i):
                 return self._next_starts(j, low in TITLES or len(w) == 1)
             return True
         k = j
@@ -618,10 +639,10 @@ class _Doc:
             k += 1
         ch = s[k] if k < len(s) else ""
         if ch.islower() and self.cased(k):
-            return not self._abbreviation(low, w) and "\n" in s[e:k] and s[j] in _OPENERS
+            return not self._abbreviation(low, w, i) and "\n" in s[e:k] and s[j] in _OPENERS
         if w.isdigit() and len(w) <= 2 and ch.isalpha() and not re.search(r"[\d][.,]\d*$", s[max(0, i - 4) : i]):
             return False
-        if not self._abbreviation(low, w):
+        if not self._abbreviation(low, w, i):
             return True
         if ch.isdigit():
             return low in CLOSERS and low not in TITLES
@@ -634,26 +655,32 @@ class _Doc:
         nw = re.match(r"[^\W_]*", s[k : k + 40])[0]
         if low in CLOSERS:
             return True
-        return self.is_lower(nw)
+        return self.is_lower(nw) and not self.is_name(nw)
 
     def _starts(self, a: int, i: int) -> bool:
         """The sentence from a has at most two words before i."""
         words = re.findall(r"[^\W_]+", self.s[a:i])
         return len(words) <= 2
 
-    def _abbreviation(self, low: str, w: str) -> bool:
-        """Document first: seen with a stop inside a sentence; then the corpus; then the lists."""
-        if not w or w.isdigit():
+    def _abbreviation(self, low: str, w: str, i: int) -> bool:
+        """The document first: seen with a stop inside a sentence, or without any where an abbreviation has one; then the
+        corpus; then the lists. That a stop ended a cue proves nothing against a listed word: abbreviations end sentences too."""
+        if not w or w[0].isdigit():
             return False
         if self.lost and self.lost in w and self._restored(low):
             return True
-        if low in TITLES or low in NUMBERED or low in CLOSERS or (len(w) == 1 and w.isalpha()) or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w):
+        if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w):
+            return True
+        listed = low in TITLES or low in NUMBERED or low in CLOSERS or (len(w) == 1 and w.isalpha())
+        inside = low in self.inside
+        if listed and not inside and not (len(w) == 1 and self.s[max(0, i - 9) : i - 1].rstrip("\x00 \n")[-1:] == ".") and self.is_plain(w):
+            return False
+        if listed:
             return True
-        if low in self.inside and low not in self.final and len(low) <= 6:
-            n = self.stats.get(low)
-            return n[STOP_INSIDE] >= n[STOP_FINAL]
         n = self.stats.get(low)
-        return len(low) <= 6 and n[STOP_INSIDE] >= 5 and n[STOP_INSIDE] > 2 * n[STOP_FINAL]
+        if inside and low not in self.final and not self.is_plain(w):
+            return n[STOP_INSIDE] >= n[STOP_FINAL]
+        return n[STOP_INSIDE] >= 5 and n[STOP_INSIDE] > 2 * n[STOP_FINAL]
 
     def _restored(self, low: str) -> str:
         """The listed abbreviation that low is with its lost letters filled in, or ''."""

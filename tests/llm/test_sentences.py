@@ -139,3 +139,20 @@ def test_casing_is_judged_where_a_text_stands():
     for parts in (loud + border + usual, usual + border + loud, small + low_border + border + usual, usual + border + low_border + small):
         text, want = expect(cues(*parts))
         assert S.sentence_ends(text) == want
+
+
+EVIDENCE = {
+    "a listed word that is none": ["Ils sont sept hommes.¶ Nous partons.¶", "Ils sont sept.¶ Nous partons.¶"],
+    "a hesitation": ["Mm, okay.¶", "Mm.¶ Okay.¶"],
+    "a letter": ["Who am I?¶", "So do I.¶ We left.¶", "Prof. J. I. Hill slept.¶"],
+    "still abbreviations": ["Dr Hill slept.¶", "We met Dr.\nHill and Dr. Moss.¶"],
+    "a long one": ["The Olymbrand. valley, and the Olymbrand. valley.¶", "The Olymbrand. Brannik fell.¶"],
+    "a name": ["A rose grew.¶", "We saw Rose here.¶ The olym. valley.¶ The olym. Rose fell.¶"],
+}
+
+
+@pytest.mark.parametrize("name", EVIDENCE)
+def test_document_evidence_comes_before_the_lists(name):
+    text, want = expect(cues(*EVIDENCE[name]))
+    got = S.sentence_ends(text)
+    assert got == want, [text[max(0, k - 12) : k + 1] for k in got]
