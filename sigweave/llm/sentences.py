@@ -9,6 +9,7 @@ several, and what no mark closes ends with its cue or speaker unless it plainly
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.common import shipped
 from .repair import repair
 
-#: Words are counted by hash, so the corpus table has at most this many rows however large the corpus is.
+#: Least rows of a table of counts; one that is filled by hand has a row for each hash of so many.
 BUCKETS = 1 << 17
 KINDS = 6
 CLOSED, OPEN, FIRST_AFTER_CLOSED, FIRST_AFTER_OPEN, STOP_INSIDE, STOP_FINAL = range(KINDS)
@@ -107,6 +108,19 @@ def _bucket(word: str) -> int:
     return k
 
 
+_KEYS: dict[str, int] = {}
+
+
+def _key(word: str) -> int:
+    """60 bits of a hash: among a thousand million words two that share one are rare."""
+    k = _KEYS.get(word)
+    if k is None:
+        if len(_KEYS) > 100_000:
+            _KEYS.clear()
+        k = _KEYS[word] = int.from_bytes(hashlib.blake2b(word.lower().encode("utf-8", "replace"), digest_size=8).digest()) >> 4
+    return k
+
+
 def edge_word(text: str, last: bool) -> str:
     """The last or first word of text; of scripts without spaces its two characters."""
     words = text.rsplit(None, 3) if last else text.split(None, 3)
@@ -143,13 +157,31 @@ def script(ch: str) -> str:
 
 
 class Stats:
-    """Corpus counts by word hash: an array of BUCKETS x KINDS."""
+    """Corpus counts by word: rows of KINDS numbers, found by the sorted keys of their words; without keys by bucket."""
 
-    def __init__(self, counts: np.ndarray | None = None):
+    def __init__(self, counts: np.ndarray | None = None, keys: np.ndarray | None = None):
         self.counts = np.zeros((BUCKETS, KINDS), np.int64) if counts is None else counts
+        self.keys, self._found = keys, {}
 
     def get(self, word: str) -> list[int]:
-        return self.counts[_bucket(word)].tolist()
+        if self.keys is None:
+            return self.counts[_bucket(word)].tolist()
+        n = self._found.get(word)
+        if n is None:
+            if len(self._found) > 50_000:  # only a memo, as above
+                self._found.clear()
+            k = _key(word)
+            i = int(self.keys.searchsorted(k))
+            n = self._found[word] = self.counts[i].tolist() if i < len(self.keys) and self.keys[i] == k else [0] * KINDS
+        return n
+
+    @classmethod
+    def of(cls, k: np.ndarray, n: np.ndarray) -> Stats:
+        """From counts n of k, which are key * KINDS + kind."""
+        keys, row = np.unique(k // KINDS, return_inverse=True)
+        counts = np.zeros((max(BUCKETS, len(keys)), KINDS), np.int64)
+        counts[row, k % KINDS] = n
+        return cls(counts, keys)
 
 
 def _dots(text: str, cased: Callable[[int], bool] | None = None) -> Iterator[str]:
@@ -165,8 +197,8 @@ def _dots(text: str, cased: Callable[[int], bool] | None = None) -> Iterator[str
             yield w.lower()
 
 
-def count_words(text: str, into: dict[int, int]) -> None:
-    """Adds the document's evidence to into, keyed bucket * KINDS + kind."""
+def count_words(text: str, into: dict[int, int], key: Callable[[str], int] = _bucket) -> None:
+    """Adds the document's evidence to into, keyed key(word) * KINDS + kind."""
     get = into.get
     before = ""
     for a, b in cue_spans(text):
@@ -175,24 +207,24 @@ def count_words(text: str, into: dict[int, int]) -> None:
             continue
         if "." in body:
             for w in _dots(body):
-                k = _bucket(w) * KINDS + STOP_INSIDE
+                k = key(w) * KINDS + STOP_INSIDE
                 into[k] = get(k, 0) + 1
         if body[-1] == ".":
-            k = _bucket(edge_word(body[-40:], True)) * KINDS + STOP_FINAL
+            k = key(edge_word(body[-40:], True)) * KINDS + STOP_FINAL
             into[k] = get(k, 0) + 1
         if before and before[-1] not in ">])）]】♪*=～":
             first = body[0]
             closed = before[-1] in _ENDS and first not in ".…"
             w = edge_word(before[-40:], True)
             if w and (closed or first not in "-–—[(♪*"):
-                k = _bucket(w) * KINDS + (CLOSED if closed else OPEN)
+                k = key(w) * KINDS + (CLOSED if closed else OPEN)
                 into[k] = get(k, 0) + 1
             if first not in "-–—[(（♪*<":
                 v = edge_word(body[:40], False)
                 if v:
-                    k = _bucket(v) * KINDS + (FIRST_AFTER_CLOSED if closed else FIRST_AFTER_OPEN)
+                    k = key(v) * KINDS + (FIRST_AFTER_CLOSED if closed else FIRST_AFTER_OPEN)
                     into[k] = get(k, 0) + 1
-                    k = _bucket("\x00" + script(v[0])) * KINDS + (CLOSED if closed else OPEN)
+                    k = key("\x00" + script(v[0])) * KINDS + (CLOSED if closed else OPEN)
                     into[k] = get(k, 0) + 1
         before = body
 
@@ -773,7 +805,7 @@ def sentence_ends(text: str | None, stats: Stats | None = None) -> list[int]:
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> Stats:
-    """Counts over all documents, combined in the tasks and by hash: at most BUCKETS * KINDS numbers reach the driver."""
+    """Exact counts over all documents, combined in the tasks and by word: KINDS numbers a distinct edge word reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[int, int] = {}
@@ -781,13 +813,11 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> Stats:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    count_words(t, into)
+                    count_words(t, into, _key)
         yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.int64()), pa.array(into.values(), pa.int64())], names=["k", "n"])
 
     rows = shipped(docs.select(text)).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(BUCKETS * KINDS, np.int64)
-    flat[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    return Stats(flat.reshape(BUCKETS, KINDS))
+    return Stats.of(rows.column("k").to_numpy(), rows.column("n").to_numpy())
 
 
 def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -795,12 +825,13 @@ def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Documents with NULL or empty text give no row; repeated rows of a document are taken once each. Whole texts are
     read, however long; each document is cut by itself, so no group of documents meets in a task. The corpus counts are
-    gathered first, over all documents, and broadcast (BUCKETS * KINDS numbers, 6 MB).
+    gathered first, over all documents, and broadcast (56 bytes a distinct word at the edge of a cue, 7 MB at least).
     """
-    counts = docs.sparkSession.sparkContext.broadcast(corpus_stats(docs, text).counts)
+    found = corpus_stats(docs, text)
+    counts = docs.sparkSession.sparkContext.broadcast((found.counts, found.keys))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = Stats(counts.value)
+        stats = Stats(*counts.value)
         gc.disable()  # the work makes no cycles
         for b in batches:
             ids, ends = [], []

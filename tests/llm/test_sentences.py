@@ -156,3 +156,15 @@ def test_document_evidence_comes_before_the_lists(name):
     text, want = expect(cues(*EVIDENCE[name]))
     got = S.sentence_ends(text)
     assert got == want, [text[max(0, k - 12) : k + 1] for k in got]
+
+
+def test_words_that_share_a_bucket_keep_their_own_counts(spark):
+    seen, k = {}, 0
+    while (b := S._bucket(f"word{k}")) not in seen:
+        seen[b] = f"word{k}"
+        k += 1
+    one, two = seen[b], f"word{k}"
+    docs = spark.createDataFrame([(1, cues(f"We saw {one}.", "Yes.")), (2, cues(f"We saw {two}", "on.", f"We saw {two}", "on."))], "doc_id bigint, text string")
+    stats = S.corpus_stats(docs)
+    assert stats.get(one)[: S.OPEN + 1] == [1, 0] and stats.get(two)[: S.OPEN + 1] == [0, 2]
+    assert stats.get("absent") == [0] * S.KINDS
