@@ -105,8 +105,17 @@ def envelope(samples: DataFrame, keys: Sequence[str], rate: float, method: str =
     return _map_blocks(blocks(samples, keys, size=size), keys, fn, "i0 bigint, i bigint, v double, env_rate double")
 
 
-def spectrogram(samples: DataFrame, keys: Sequence[str], rate: float, method: str = "scipy", nperseg: int = 512, noverlap: int = 448, **args) -> DataFrame:
-    """keys, seg, t, freq_idx, freq, log10_power. Segments start in their block and reach into its halo: each comes once."""
+def spectrogram(samples: DataFrame, keys: Sequence[str], rate: float, method: str = "scipy", nperseg: int = 512, noverlap: int | None = None, **args) -> DataFrame:
+    """keys, seg, t, freq_idx, freq, log10_power. Segments start in their block and reach into its halo: each comes once.
+
+    The praat methods, whose floor (and hop, with scipy) hangs on the whole signal, still take each block by itself.
+    """
+    if method == "mlab":
+        nperseg, noverlap = args.get("nfft", 256), 128 if noverlap is None else noverlap
+        args = {"nfft": nperseg, "noverlap": noverlap}
+    elif noverlap is None:
+        noverlap = 448
+    whole = method in ("scipy", "mlab")
     hop = nperseg - noverlap
     size = max(BLOCK // hop, 1) * hop
 
@@ -115,20 +124,23 @@ def spectrogram(samples: DataFrame, keys: Sequence[str], rate: float, method: st
         a = {"nperseg": nperseg, "noverlap": noverlap, **args} if method == "scipy" else args
         f, t, p = K.log_spectrogram(x, rate, method, **a)
         first = i0 + own0
-        keep = [s for s in range(p.shape[1]) if method != "scipy" or s * hop < own_n]
+        keep = [s for s in range(p.shape[1]) if not whole or s * hop < own_n]
         return [((first // hop) + s, first / rate + float(t[s]), k, float(f[k]), float(p[k, s])) for s in keep for k in range(len(f))]
 
-    return _map_blocks(blocks(samples, keys, size=size, halo=nperseg if method == "scipy" else 0), keys, fn, "seg bigint, t double, freq_idx bigint, freq double, log10_power double")
+    return _map_blocks(blocks(samples, keys, size=size, halo=nperseg if whole else 0), keys, fn, "seg bigint, t double, freq_idx bigint, freq double, log10_power double")
 
 
 def welch(samples: DataFrame, keys: Sequence[str], rate: float, nperseg: int = 512) -> DataFrame:
-    """Power density by frequency: segment powers per block, averaged over blocks in Spark."""
+    """Power density by frequency: powers of the segments that start in a block, averaged over blocks in Spark."""
+    hop = nperseg - nperseg // 2
+    size = max(BLOCK // hop, 1) * hop
 
     def fn(_, i0, own0, own_n, x):
-        f, _t, p = K.spectrogram(x, rate, nperseg, nperseg // 2, "hann", "density")
+        f, _t, p = K.spectrogram(x[own0 : own0 + own_n + nperseg], rate, nperseg, nperseg // 2, "hann", "density")
+        p = p[:, : -(-own_n // hop)]
         return [(k, float(f[k]), float(p[k].sum()), p.shape[1]) for k in range(len(f))] if p.shape[1] else []
 
-    parts = _map_blocks(blocks(samples, keys), keys, fn, "freq_idx bigint, freq double, total double, n bigint")
+    parts = _map_blocks(blocks(samples, keys, size=size, halo=nperseg), keys, fn, "freq_idx bigint, freq double, total double, n bigint")
     return parts.groupBy(*keys, "freq_idx", "freq").agg((F.sum("total") / F.sum("n")).alias("power"))
 
 

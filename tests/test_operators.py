@@ -251,3 +251,16 @@ def test_dataset_methods(spark):
     assert d.get_annotation("a", 1, 0, (1.0, 1.0)).first().start == -1.0
     with pytest.raises(ValueError):
         d.get_annotation("a", annot_id=0)
+
+
+def test_segments_across_blocks(spark):
+    n = transforms.BLOCK * 2 + 700
+    x = np.sin(np.arange(n) ** 1.5 / 300)
+    s = spark.range(n).selectExpr("0L rid", "id i", "sin(pow(id, 1.5D) / 300) v")
+    f, p = K.welch(x, 100.0, 500)
+    got = sorted(transforms.welch(s, KEY, 100.0, 500).collect(), key=lambda r: r.freq_idx)
+    assert np.allclose([r.power for r in got], p, rtol=1e-6)
+    f, t, p = K.log_spectrogram(x, 100.0, "mlab", nfft=96, noverlap=64)
+    got = transforms.spectrogram(s, KEY, 100.0, "mlab", nfft=96, noverlap=64).where("freq_idx = 3").orderBy("seg").collect()
+    assert [r.seg for r in got] == list(range(p.shape[1]))
+    assert np.allclose([r.t for r in got], t) and np.allclose([r.log10_power for r in got], p[3], atol=1e-4)
