@@ -17,6 +17,8 @@ _SUSPECT = re.compile(f"[\xc2-\xf4][\x80-\xbf{_SPECIAL}]|[\x80-\x9f\xc0-\xff]{{3
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|quot|amp|lt|gt|apos|nbsp);")
 _NARROW = re.compile("[\xa0-\xff]")
 _GB = re.compile("(?:[\xa1-\xf7][\xa1-\xfe])+")
+_HIGHS = re.compile("[" + "".join(re.escape(c) for c in _BYTE) + "]+")
+_LATIN, _LOWS, _BEYOND = re.compile("[A-Za-z]+"), re.compile("[\xa1-\xbf]+"), re.compile("[\u0250-\U0010ffff]+")
 
 
 class Repaired:
@@ -82,8 +84,9 @@ def _utf8(m: re.Match) -> str | None:
         return None
 
 
-def _high(text: str) -> int:
-    return sum(1 for c in text if c in _BYTE)
+def _count(pattern: re.Pattern, text: str) -> int:
+    """Characters in the matches of pattern."""
+    return sum(map(len, pattern.findall(text)))
 
 
 def repair(text: str) -> Repaired:
@@ -100,18 +103,15 @@ def repair(text: str) -> Repaired:
     if "&" in text:
         out.replace(_ENTITY, lambda m: html.unescape(m[0]))
     for _ in range(2):
-        high = _high(out.text)
-        covered = sum(len(m) for m in _UTF8.findall(out.text))
-        if not high or covered < 0.9 * high:
+        high = _count(_HIGHS, out.text)
+        if not high or _count(_UTF8, out.text) < 0.9 * high:
             break
         out.replace(_UTF8, _utf8)
     t = out.text
     narrow = len(_NARROW.findall(t))
     if narrow >= 6:
-        letters = sum(1 for c in t if c.isascii() and c.isalpha())
-        if not any(ord(c) > 0x24F and c.isalpha() for c in t):
-            low = sum(1 for c in t if "\xa1" <= c <= "\xbf")
-            paired = sum(len(m) for m in _GB.findall(t))
+        if not any(c.isalpha() for run in _BEYOND.findall(t) for c in run):
+            letters, low, paired = _count(_LATIN, t), _count(_LOWS, t), _count(_GB, t)
             runs = re.findall("[\xc0-\xff]{4}", t)
             if paired >= 0.9 * narrow and low > 0.12 * narrow and re.search("[\xa1-\xfe]{4}", t):
                 out.replace(_GB, lambda m: m[0].encode("latin-1").decode("gb18030", "replace"))

@@ -26,8 +26,8 @@ from .repair import repair
 
 #: Least rows of a table of counts; one that is filled by hand has a row for each hash of so many.
 BUCKETS = 1 << 17
-KINDS = 6
-CLOSED, OPEN, FIRST_AFTER_CLOSED, FIRST_AFTER_OPEN, STOP_INSIDE, STOP_FINAL = range(KINDS)
+KINDS = 8
+CLOSED, OPEN, FIRST_AFTER_CLOSED, FIRST_AFTER_OPEN, STOP_INSIDE, STOP_FINAL, COMMON, NAME = range(KINDS)
 
 # Abbreviations before a name, in lower case without the last full stop.
 TITLES = set(
@@ -44,6 +44,8 @@ HESITATIONS = set(
     """i well um uh er eh oh hmm mm so look bueno pues este bien ben euh alors bon äh ähm tja naja nun also ну э эм так
     अच्छा खैर तो حسنا حسناً طيب يعني เอ่อ อืม あの あのう ええと えっと まあ その 那个 这个 嗯 呃""".split()
 )
+# Those of scripts without spaces, which have no word before them.
+_HESITANT = ("那个", "这个", "あの", "えっと", "ええと", "เอ่อ", "嗯", "呃")
 # Verbs by which a quotation is part of the sentence around it.
 REPORT = re.compile(
     r"\b(?:shout(?:ed|s)|said|says|ask(?:ed|s)|yell(?:ed|s)|cri(?:ed|es)|call(?:ed|s)|whispered|replied|answered|rief|sagte|fragte|schrie|gritó|dijo|preguntó|susurró|cria|dit|demanda|murmura|"
@@ -60,9 +62,10 @@ _ONLY_URL = re.compile(rf"^[\W_]*{_URL}[\W_]*$", re.I)
 _HAS_URL = re.compile(_URL, re.I)
 _LOST_CREDIT = re.compile(r"^[?�]{3,} ?:?\s?[A-Za-z]")
 
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|\{\\[^{}\n]{0,40}\}|\{[a-z]:[^{}\n]{0,20}\}|﻿|[​-‏‪-‮]")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*>|\{\\[^{}\n]*\}|\{[a-z]:[^{}\n]*\}|﻿|[​-‏‪-‮]")
 _PAIRS = dict(zip("])）］】", "[(（［【", strict=True))
 _PAIR_MARK = re.compile(r"[\[\]()（）［］【】]")
+_SHOWN = re.compile("[^\x00]")
 _STAR, _NOTE = re.compile(r"\*+"), re.compile("♪[～~]|[♪♫]+")
 _BRACKET = re.compile(r"[\[(（［【*♪♫]")
 _DASH = re.compile(r"[-–—‐]")
@@ -73,6 +76,13 @@ _SPEAKER = re.compile(
 _LINE_START = re.compile(r"(?m)^[\x00 \t]*[-–—‐](?!>)[\x00 \t]*(?=[^\s\x00\d-])|^[\x00 \t]*[-–—‐](?!>) ?(?=\d)")
 
 _TERM = "[.!?…。！？｡؟।॥．‼⁇⁉⁈|]"
+_TERMS = _TERM[1:-1]
+#: A verb of saying is looked for in so many words after a quotation, or so many signs of a script without spaces.
+WORDS_AHEAD, SIGNS_AHEAD = 5, 24
+_BARE = r"[^.!?…。！？｡؟।॥．|\x03\"“«「\s\x00\x02]+"
+_GAP = r"(?:[.…]*[\s\x00]*\x02[\s\x00\x02]*[.…]*|[\s\x00]+)"
+_AHEAD = re.compile(rf"[\x00 \n]*(?:{_GAP})?{_BARE}(?:{_GAP}{_BARE}){{0,{WORDS_AHEAD - 1}}}")
+_GAPS = re.compile(_GAP)
 _CLOSE = "[\"'”’»›」』】〉》)\\]“‚‘]"
 _TOKEN = re.compile(rf"({_TERM}(?:[\x00 ]?{_TERM})*)((?:\x00*{_CLOSE}|[\x00 \u00a0\u202f]+»)*(?:�(?!\w))?)|([\x02\x03])")
 _QUOTE = re.compile("[“”„«»「」『』《》\"\x03\x02]")
@@ -86,9 +96,11 @@ _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
 _LOST_Q = re.compile(r"[^\W\d_]\?[a-zа-я]")
 _LOST_R = re.compile(r"[^\W\d_]�[a-zа-я]")
 _LAST_STOP = re.compile(r"(?<!\.)\.[\x00\s]*\x02")
+_TURN_STOP = re.compile(r"(?<!\.)\.[\x00\s\x02]*(?:\x03|\Z)")
 _QUOTE_MARK = re.compile("[“”„«»「」『』《》\"]")
 _NEXT = re.compile(r"[\s\x00\xa0]*")
 _VISIBLE = re.compile(r"[^\W_]")
+_LETTERS = re.compile(r"[^\W_]*")
 _OPENERS = "\"'“”„«‹「『《¿¡([（�-–—"
 _NOSPACE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
 _STOP = re.compile(r"\.([,\s]+)(\S)")
@@ -129,24 +141,30 @@ def edge_word(text: str, last: bool) -> str:
         if w:
             if "\u0e00" <= w[-1] and _NOSPACE.search(w):
                 return w[-2:] if last else w[:2]
-            return w.lower()
+            return w
     return ""
 
 
 def cue_spans(text: str) -> list[tuple[int, int]]:
     """Where the text lines of each cue stand: between timing lines, without the number line and outer blanks."""
-    spans, at, begin, before = [], 0, 0, 0
-    numbered = False
-    for line in text.split("\n"):
-        n = len(line) + 1
-        if "->" in line and ":" in line and line.lstrip("\ufeff \t")[:1].isdigit():
-            spans.append((begin, before if numbered else at))
-            begin, numbered = at + n, False
-        else:
-            bare = line.strip("\ufeff \t\r")
-            numbered, before = bare.isdigit(), at
-        at += n
-    spans.append((begin, len(text)))
+    spans, begin, n = [], 0, len(text)
+    find, back = text.find, text.rfind
+    k = find("->")
+    while k >= 0:
+        a = back("\n", begin, k) + 1 or begin
+        e = find("\n", k)
+        if e < 0:
+            e = n
+        if find(":", a, e) >= 0 and text[a:e].lstrip("\ufeff \t")[:1].isdigit():
+            end = a
+            if a > begin:
+                line = back("\n", begin, a - 1) + 1 or begin
+                if text[line : a - 1].strip("\ufeff \t\r").isdigit():
+                    end = line
+            spans.append((begin, end))
+            begin = e + 1
+        k = find("->", e)
+    spans.append((begin, n))
     return spans
 
 
@@ -184,11 +202,17 @@ class Stats:
         return cls(counts, keys)
 
 
+def _line_word(s: str, i: int) -> int:
+    """Where the word before i begins at the earliest: after the last blank or break of lines."""
+    a = s.rfind("\n", 0, i) + 1
+    return s.rfind(" ", a, i) + 1 or a
+
+
 def _dots(text: str, cased: Callable[[int], bool] | None = None) -> Iterator[str]:
     """Words whose full stop cannot end a sentence: a comma, digit or small letter (where cased) follows. Capitals prove nothing."""
     for m in _STOP.finditer(text):
         i = m.start()
-        words = text[max(0, i - 24) : i].rsplit(None, 1)
+        words = text[_line_word(text, i) : i].rsplit(None, 1)
         w = words[-1].lstrip(_PUNCT) if words else ""
         if not w or not w[0].isalpha() or w[-1] == ".":
             continue
@@ -210,20 +234,26 @@ def count_words(text: str, into: dict[int, int], key: Callable[[str], int] = _bu
                 k = key(w) * KINDS + STOP_INSIDE
                 into[k] = get(k, 0) + 1
         if body[-1] == ".":
-            k = key(edge_word(body[-40:], True)) * KINDS + STOP_FINAL
+            k = key(edge_word(body, True)) * KINDS + STOP_FINAL
             into[k] = get(k, 0) + 1
         if before and before[-1] not in ">])）]】♪*=～":
             first = body[0]
             closed = before[-1] in _ENDS and first not in ".…"
-            w = edge_word(before[-40:], True)
+            w = edge_word(before, True)
             if w and (closed or first not in "-–—[(♪*"):
                 k = key(w) * KINDS + (CLOSED if closed else OPEN)
                 into[k] = get(k, 0) + 1
+                if w.islower():
+                    k = key(w) * KINDS + COMMON
+                    into[k] = get(k, 0) + 1
             if first not in "-–—[(（♪*<":
-                v = edge_word(body[:40], False)
+                v = edge_word(body, False)
                 if v:
                     k = key(v) * KINDS + (FIRST_AFTER_CLOSED if closed else FIRST_AFTER_OPEN)
                     into[k] = get(k, 0) + 1
+                    if v.islower() or v[0].isupper() and before[-1].islower() and not v.isupper():
+                        k = key(v) * KINDS + (COMMON if v.islower() else NAME)
+                        into[k] = get(k, 0) + 1
                     k = key("\x00" + script(v[0])) * KINDS + (CLOSED if closed else OPEN)
                     into[k] = get(k, 0) + 1
         before = body
@@ -277,7 +307,8 @@ def _between(s: str, mark: re.Pattern) -> list[tuple[int, int]]:
             continue  # with nothing between, or the sign that music begins: whole by itself
         before, after = s[:a].rstrip("\x00")[-1:] if a and s[a - 1] == "\x00" else s[a - 1 : a], s[b : b + 1]
         if after == "\x00":
-            after = s[b : b + 400].lstrip("\x00")[:1]
+            after = _SHOWN.search(s, b)
+            after = after[0] if after else ""
         first, final = before in ("", "\n"), after in ("", "\n", "\r", "\x02")
         if m[0] == "*" and before.isalnum() and after.isalnum() and before.upper() != before.lower() or before.isdigit() and after.isdigit():
             continue  # letters left out of a word, or a product
@@ -400,6 +431,8 @@ class _Doc:
         # the document's own evidence: stops inside sentences, and stops that end a cue
         self.inside = set(_dots(s, self.cased)) if "." in s else set()
         self.final = {_word(s, m.start()).lower() for m in _LAST_STOP.finditer(s)} if self.inside else set()
+        #: words before a stop that closes a turn or the text, where a title cannot stand
+        self.closing = {_word(s, m.start()).lower() for m in _TURN_STOP.finditer(s)}
         self.lower, self._plain = None, {}
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
@@ -408,6 +441,12 @@ class _Doc:
         """Whether sentences begin with capitals, and only they and names do, around the cue of position i."""
         return self._cased[bisect_right(self._breaks, i - 1)]
 
+    def _shown_before(self, i: int) -> str:
+        s, k = self.s, i - 1
+        while k >= 0 and s[k] in "\x00 \n":
+            k -= 1
+        return s[k] if k >= 0 else ""
+
     def is_lower(self, word: str) -> bool:
         """Whether the document has the word in lower case, so it is no name."""
         if self.lower is None:
@@ -527,15 +566,19 @@ class _Doc:
         return self._reported(j)
 
     def _inner_ended(self, c: int) -> bool:
-        return bool(re.search(rf"{_TERM}[\s\x00\"”»“」』]*$", self.s[max(0, c - 6) : c]))
+        s, k = self.s, c - 1
+        while k >= 0 and (s[k] in "\x00\"”»“」』" or s[k].isspace()):
+            k -= 1
+        return k >= 0 and s[k] in _TERMS
 
     def _reported(self, j: int) -> bool:
         """A verb of saying stands in the words from j on, before any mark."""
-        near = re.sub(r"[.…]*[\s\x00]*\x02[\s\x00\x02]*[.…]*", " ", self.s[j : j + 160].lstrip("\x00 \n"))
-        words = re.match(r"[^.!?…。！？｡؟।॥．|\x03\"“«「]{0,60}", near)[0]
-        if _NOSPACE.search(words):
-            return bool(REPORT.search(words[:24]))
-        return bool(REPORT.search(" ".join(words.replace("\x00", " ").split()[:5])))
+        words = _AHEAD.match(self.s, j)
+        if not words:
+            return False
+        if _NOSPACE.search(words[0]):
+            return bool(REPORT.search(_GAPS.sub(" ", words[0]).lstrip(), 0, SIGNS_AHEAD))
+        return bool(REPORT.search(words[0]))
 
     def cut(self) -> list[int]:
         """Positions in s of the last characters of the sentences."""
@@ -546,7 +589,7 @@ class _Doc:
         held, mi, nm = [], 0, len(mute)
         for m in _TOKEN.finditer(s):
             i = m.start()
-            if i <= last:
+            if i <= last or i == last + 1 and m[3]:
                 continue
             while mi < nm and mute[mi][0] < i:
                 held.append(mute[mi])
@@ -554,17 +597,15 @@ class _Doc:
             if held:
                 held = [x for x in held if x[1] >= i]
             brk = m[3]
+            if not (s[last + 2 : last + 3].isalnum() and last + 2 < i or visible(s, last + 1, i)):
+                continue
             if brk:
-                if not visible(s, last + 1, i):
-                    continue
                 j = self._last_visible(i)
                 if j <= last or brk == "\x02" and (held or self._runs_on(last + 1, j, i)):
                     continue
                 ends.append(j)
                 last = j
                 continue
-            if not visible(s, last + 1, i):
-                continue
             first = m.end(1)
             e = m.end() - 1
             if e >= first:
@@ -632,12 +673,11 @@ class _Doc:
                 return False
         if nxt and nxt in ",;:،、，；)" and nxt != ")":
             return False
-        dots = set(t) <= {".", "…"}
-        if dots and t != ".":
+        if t != "." and not t.strip(".…"):
             w = _word(s, i).lower()
             if not _VISIBLE.search(s, a, i):
                 return False
-            if w in HESITATIONS or any(s[:i].endswith(h) for h in ("那个", "这个", "あの", "えっと", "ええと", "เอ่อ", "嗯", "呃")) and self._starts(a, i):
+            if w in HESITATIONS or s.endswith(_HESITANT, 0, i) and self._starts(a, i):
                 if self._starts(a, i) or w == "i":
                     if nxt and nxt not in "\x02\x03":
                         return False
@@ -684,10 +724,14 @@ class _Doc:
             return self.cased(i)
         if not self.cased(i):
             return False
-        nw = re.match(r"[^\W_]*", s[k : k + 40])[0]
+        nw = _LETTERS.match(s, k)[0]
         if low in CLOSERS:
             return True
-        return self.is_lower(nw) and not self.is_name(nw)
+        lower, name = self.is_lower(nw), self.is_name(nw)
+        if lower or name:
+            return lower and not name
+        n = self.stats.get(nw)
+        return not self.lost and n[COMMON] > n[NAME]
 
     def _starts(self, a: int, i: int) -> bool:
         """The sentence from a has at most two words before i."""
@@ -705,7 +749,7 @@ class _Doc:
             return True
         listed = low in TITLES or low in NUMBERED or low in CLOSERS or (len(w) == 1 and w.isalpha())
         inside = low in self.inside
-        if listed and not inside and not (len(w) == 1 and self.s[max(0, i - 9) : i - 1].rstrip("\x00 \n")[-1:] == ".") and self.is_plain(w):
+        if listed and not inside and not (len(w) == 1 and self._shown_before(i - 1) == ".") and (self.is_plain(w) or low in TITLES and low in self.closing):
             return False
         if listed:
             return True
@@ -759,7 +803,10 @@ class _Doc:
         caseless = bool(_NOSPACE.match(ch)) or not (ch.isupper() or ch.islower())
         if ch in "“«„「『《\"" and not caseless:
             return False
-        w, v = edge_word(s[max(a, j - 60) : j + 1], True), edge_word(s[k : k + 60], False)
+        c = bisect_right(self._breaks, j)
+        w = edge_word(s[max(a, self._breaks[c - 1] if c else 0) : j + 1], True)
+        c = bisect_right(self._breaks, k)
+        v = edge_word(s[k : self._breaks[c] if c < len(self._breaks) else len(s)], False)
         n, f = self.stats.get(w), self.stats.get(v)
         total = self.stats.get("\x00" + script(ch))
         if not self.marked:
@@ -781,7 +828,7 @@ _INSIDE = re.compile("[\x00-\x03\"“”«»„「『《!！？…¿¡(（]+(?=.
 
 def _word(s: str, i: int) -> str:
     """The word that ends right before i, inner full stops included; '' if there is none."""
-    words = s[i - 24 if i > 24 else 0 : i].rsplit(None, 1)
+    words = s[_line_word(s, i) : i].rsplit(None, 1)
     if not words:
         return ""
     w = words[-1].rstrip("\x00")

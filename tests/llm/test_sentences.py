@@ -168,3 +168,32 @@ def test_words_that_share_a_bucket_keep_their_own_counts(spark):
     stats = S.corpus_stats(docs)
     assert stats.get(one)[: S.OPEN + 1] == [1, 0] and stats.get(two)[: S.OPEN + 1] == [0, 2]
     assert stats.get("absent") == [0] * S.KINDS
+
+
+def test_windows_follow_words_not_signs():
+    long = "Olym" + "brand" * 12
+    text, want = expect(cues(f"The {long}. valley, and the {long}. valley.¶", f"The {long}. Brannik fell.¶"))
+    assert S.sentence_ends(text) == want
+    far = "“Wait!” " + "Marwenna" * 12 + " shouted\nat the mill.¶"
+    text, want = expect(cues("It is late.¶", far))
+    assert S.sentence_ends(text) == want
+    text, want = expect(cues("<font color='" + "x" * 120 + "'>Come. here.¶</font>".replace(". here", " here")))
+    assert S.sentence_ends(text) == want
+
+
+def test_a_title_that_closes_turns_is_none():
+    text, want = expect(cues("- A rev.¶\n- The rev.¶", "- My rev.¶\n- Just one rev.¶ Then we go.¶"))
+    assert S.sentence_ends(text) == want
+    text, want = expect(cues("We met Rev. Hill and Rev.\nMoss.¶"))
+    assert S.sentence_ends(text) == want
+
+
+def test_names_by_the_corpus_where_the_document_is_silent(spark):
+    near = [cues("The olym. valley,", "and the olym. hill.")] * 6
+    names = [cues("We met", "Brannik there.")] * 3
+    plain = [cues("We know", "nobody there.")] * 3
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(near + names + plain)], "doc_id bigint, text string")
+    stats = S.corpus_stats(docs)
+    for text in ("We saw the olym. Brannik fell.¶", "We saw the olym.¶ Nobody fell.¶"):
+        text, want = expect(cues(text))
+        assert S.sentence_ends(text, stats) == want
