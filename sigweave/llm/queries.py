@@ -31,10 +31,18 @@ def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
     return {r.source.strip().lower(): (r.target_share, r.max_repeat) for r in rows}
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
-    counted = checkpointed(tokens.token_counts(_docs(spark, d), ["doc_id", "lang", "source"], loss=False))
+#: p7_shortage asks for so many times the tokens at hand, more than some sources can give.
+SHORT = 1.5
+#: Subtitles of fewer cues are clips, the others programmes: the two domains of the budget tree.
+CLIP_CUES = 20
+
+
+def _mixed(spark: SparkSession, d: str, relative: float | None = None) -> tuple[DataFrame, dict]:
+    domain = F.when(F.col("n_cues") < CLIP_CUES, "clip").otherwise("programme")
+    docs = _docs(spark, d).withColumn("domain", domain)
+    counted = checkpointed(tokens.token_counts(docs, ["doc_id", "lang", "source", "domain"], loss=False))
     targets = _targets(spark, d)
-    return mixing.mix(counted, targets), targets
+    return mixing.mix(counted, targets, relative=relative), targets
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -45,9 +53,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(*_mixed(spark, d))
 
 
+def p7_shortage(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, SHORT)[0].where(F.col("uses") > 0)
+
+
+def p7_shortage_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.tree_report(*_mixed(spark, d, SHORT), relative=SHORT)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(_docs(spark, d))
 
 
-QUERIES = {"p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p7_shortage": p7_shortage, "p7_shortage_report": p7_shortage_report, "p8_found": p8_found}
 SQL: dict[str, str] = {}

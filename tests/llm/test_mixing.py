@@ -66,3 +66,36 @@ def test_nothing_to_mix(spark):
 def test_languages(spark):
     d = spark.createDataFrame([("eng",), ("zh-Hans",), ("es-419",), (None,), (" DE ",), ("klingon",)], "l string")
     assert [r[0] for r in d.select(mixing.language_of(d.l)).collect()] == ["en", "zh", "es", "und", "de", "und"]
+
+
+def test_nothing_that_fits_is_left_over(spark):
+    d = docs(spark, [("en", "a", 300), ("de", "a", 200), ("en", "b", 5)])
+    targets = {"a": (0.8, 1), "b": (0.2, 1)}
+    m = mixing.mix(d, targets).collect()
+    leaves: dict = {}
+    for r in m:
+        leaves.setdefault((r.domain, r.lang, r.source), []).append(r)
+    share = mixing.budgets([(*k, sum(r.n_tokens for r in v)) for k, v in leaves.items()], targets)
+    for k, v in leaves.items():
+        left = share[k] - sum(r.n_tokens * r.uses for r in v)
+        free = [r.n_tokens for r in v if r.uses < targets[k[2]][1]]
+        assert left >= -1e-6 and (not free or left < min(free))
+
+
+def test_each_epoch_has_its_own_order(spark):
+    d = docs(spark, [("en", "a", 200)])
+    tokens = sum(r.n_tokens for r in d.collect())
+    extra = [{r.doc_id for r in mixing.mix(d, {"a": (1.0, 3)}, total=tokens * (e + 0.5)).collect() if r.uses == e + 1} for e in (0, 1)]
+    assert all(40 < len(x) < 160 for x in extra) and extra[0] != extra[1]
+
+
+def test_shortages_in_the_tree_report(spark):
+    rows = [(k, lang, s, 10, dom) for k, (dom, lang, s) in enumerate([("x", "en", "a")] * 10 + [("x", "en", "b")] * 90 + [("x", "de", "a")] * 100 + [("y", "en", "b")] * 100)]
+    d = spark.createDataFrame(rows, SCHEMA + ", domain string")
+    targets = {"a": (0.6, 1), "b": (0.4, 1)}
+    m = mixing.mix(d, targets, relative=0.9)
+    rep = {(r.domain, r.lang, r.source): r for r in mixing.tree_report(m, targets, relative=0.9).collect()}
+    leaf, sibling, root = rep["x", "en", "a"], rep["x", "en", "b"], rep[None, None, None]
+    assert root.used_tokens == 2700 == root.budget and leaf.budget == leaf.capacity == 100 == leaf.used_tokens
+    assert sibling.budget >= sibling.asked and sum(r.budget for k, r in rep.items() if k[2]) == pytest.approx(2700)
+    assert {r.level for r in rep.values()} == {"all", "domain", "lang", "source"}
