@@ -1,9 +1,10 @@
 """Only new or changed records: persisted key and content-hash state, joined with the current rows.
 
 State lives in a folder as immutable parquet segments; a numbered manifest under _versions names the segments of a
-version. A commit writes one segment of the handled keys, then creates the next manifest exclusively: that single
-create is the atomic swap. A run that dies before it leaves an unreferenced segment and nothing else, so its keys
-come again; a run that got through it never sees them again. Two runs racing for one version: one fails cleanly.
+version. A plan writes the keys due as a segment and remembers the version it saw; its commit creates the next manifest
+exclusively, naming that segment: that single create is the atomic swap. A run that dies before it leaves an unreferenced
+segment and nothing else, so its keys come again; a run that got through it never sees them again. Of two runs racing
+for one version, one fails cleanly.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_hash
+from .common import Store, content_hash
 
 HASH = "content_hash"
 
@@ -54,78 +56,81 @@ def new_or_changed(current: DataFrame, state: DataFrame, keys: Sequence[str]) ->
     )
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Keys to handle now (due: keys, content_hash, change), as written in a segment, and the version they were planned on."""
+
+    due: DataFrame
+    segment: str
+    version: int
+
+
 class ChangeTracker:
     """Exactly-once selection of new and changed keys over repeated runs.
 
-    plan(rows) gives the keys to handle now; commit(plan) after the work succeeded records them. Nothing is recorded
-    otherwise. Segments are merged into one when a version would name more than max_segments of them.
+    plan(rows) writes the keys to handle as a segment and hands that out; commit(plan) after the work succeeded makes the
+    same segment part of the state. What arrives between the two is neither handled nor recorded, so it comes in the next
+    plan. Nothing is recorded without a commit, and a plan made on a version that another run has replaced cannot be
+    committed. Segments are merged into one when a version would name more than max_segments of them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], content: Sequence[Column], max_segments: int = 8):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], content: Sequence[Column] = (), max_segments: int = 8):
         self.spark, self.path, self.keys, self.content, self.max_segments = spark, path.rstrip("/"), list(keys), list(content), max_segments
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _p(self, *parts: str):
-        return self._hadoop.Path("/".join([self.path, *parts]))
+        self.store = Store(spark, self.path)
 
     def version(self) -> int:
         """Number of the latest version, 0 before the first commit."""
-        folder = self._p("_versions")
-        if not self._fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
+        return max((int(n[:-5]) for n in self.store.names("_versions") if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
     def segments(self, version: int | None = None) -> list[str]:
         v = self.version() if version is None else version
-        if not v:
-            return []
-        with_stream = self._fs.open(self._p("_versions", f"{v:010d}.json"))
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
-        with_stream.close()
-        return json.loads(text)["segments"]
+        return json.loads(self.store.read(f"_versions/{v:010d}.json"))["segments"] if v else []
 
     def _read(self, segments: list[str]) -> DataFrame | None:
         if not segments:
             return None
-        parts = [self.spark.read.parquet(f"{self.path}/{s}").withColumn("_seq", F.lit(i)) for i, s in enumerate(segments)]
+        parts = [self.spark.read.parquet(f"{self.path}/{s}").select(*self.keys, HASH, F.lit(i).alias("_seq")) for i, s in enumerate(segments)]
+        if len(parts) == 1:
+            return parts[0].drop("_seq")
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
         top = rows.groupBy(*self.keys).agg(F.max(F.struct("_seq", HASH)).alias("_s"))
         return top.select(*self.keys, F.col(f"_s.{HASH}").alias(HASH))
 
+    def _write(self, rows: DataFrame) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _swap(self, before: int, names: list[str]) -> int:
+        if not self.store.create_once(f"_versions/{before + 1:010d}.json", json.dumps({"segments": names})):
+            raise RuntimeError(f"version {before + 1} was committed by another run")
+        return before + 1
+
     def state(self) -> DataFrame | None:
         """The latest state (keys, content_hash), None before the first commit."""
         return self._read(self.segments())
 
-    def plan(self, rows: DataFrame) -> DataFrame:
-        """rows (one per key) hashed and joined with the state: keys, content_hash, change."""
-        current = with_hash(rows, self.keys, self.content)
-        state = self.state()
-        if state is None:
-            return current.withColumn("change", F.lit("new"))
-        return new_or_changed(current, state, self.keys)
-
-    def commit(self, handled: DataFrame) -> int:
-        """Records handled (keys, content_hash) as done and swaps the version; returns the new version."""
-        before = self.version()
-        names = self.segments(before)
-        name = f"segment-{uuid.uuid4().hex}"
-        handled.select(*self.keys, HASH).write.parquet(f"{self.path}/{name}")
-        names = [*names, name]
+    def seed(self, state: DataFrame) -> int:
+        """First version from a state known otherwise (keys, content_hash; one row a key)."""
+        return self._swap(0, [self._write(state.select(*self.keys, HASH))])
+
+    def plan(self, rows: DataFrame) -> Plan:
+        """rows (one per key) hashed and joined with the state."""
+        return self.plan_hashed(with_hash(rows, self.keys, self.content))
+
+    def plan_hashed(self, current: DataFrame) -> Plan:
+        """As plan, of rows (keys, content_hash)."""
+        version = self.version()
+        state = self._read(self.segments(version))
+        due = new_or_changed(current, state, self.keys) if state is not None else current.select(*self.keys, HASH, F.lit("new").alias("change"))
+        name = self._write(due)
+        return Plan(self.spark.read.parquet(f"{self.path}/{name}"), name, version)
+
+    def commit(self, plan: Plan) -> int:
+        """Makes the plan's segment part of the state; returns the new version. Raises if another run was faster."""
+        names = [*self.segments(plan.version), plan.segment]
         if len(names) > self.max_segments:
-            merged = f"segment-{uuid.uuid4().hex}"
-            self._read(names).write.parquet(f"{self.path}/{merged}")
-            names = [merged]
-        target = self._p("_versions", f"{before + 1:010d}.json")
-        staged = self._p("_versions", f"_{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(staged, False)
-        out.write(bytearray(json.dumps({"segments": names}).encode()))
-        out.close()
-        # an atomic move that refuses to replace: the loser of a race sees the winner's version
-        if self._fs.exists(target) or not self._fs.rename(staged, target):
-            self._fs.delete(staged, False)
-            raise RuntimeError(f"version {before + 1} was committed by another run")
-        return before + 1
+            names = [self._write(self._read(names))]
+        return self._swap(plan.version, names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -103,13 +105,92 @@ def carry_forward(
 
 
 def shared_dir(spark: SparkSession, prefix: str = "sigweave") -> str:
-    """A fresh path under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A fresh path under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local folder serves a session on one machine; on a cluster it raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sigweave-")
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+class Store:
+    """Small text files of a folder, created once and never changed, and its Hadoop file system.
+
+    create_once is exclusive: a hard link on local disks, a rename that refuses to replace on HDFS-like systems. Where a
+    rename is a copy (object stores) neither holds, so their schemes raise.
+    """
+
+    RENAMES = {"hdfs", "viewfs", "ofs", "abfs", "abfss"}
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.at("").getFileSystem(self._conf)
+        self.scheme = self.fs.getUri().getScheme()
+
+    def at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder, sorted; none if it does not exist."""
+        p = self.at(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def delete(self, name: str) -> bool:
+        return bool(self.fs.delete(self.at(name), True))
+
+    def create_once(self, name: str, text: str) -> bool:
+        """Creates the file with its whole text; False, and nothing done, if it exists. Of several at once one gets True."""
+        folder, base = name.rsplit("/", 1)
+        staged = f"{folder}/_{uuid.uuid4().hex}"
+        if self.scheme == "file":
+            target, part = (self.at(n).toUri().getPath() for n in (name, staged))
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(part, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(part)
+            return True
+        if self.scheme not in self.RENAMES:
+            raise ValueError(f"{self.scheme}: no exclusive creation of files is known for this file system")
+        return self._create_by_rename(name, staged, text)
+
+    def _create_by_rename(self, name: str, staged: str, text: str) -> bool:
+        out = self.fs.create(self.at(staged), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        context = self._hadoop.FileContext.getFileContext(self.fs.getUri(), self._conf)
+        option = self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
+        options[0] = option.getEnumConstants()[0]  # NONE: an existing target is an error
+        try:
+            context.rename(self.at(staged), self.at(name), options)
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            self.delete(staged)
+            return False
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage through the reliable checkpoint folder of the session."""
     sc = df.sparkSession.sparkContext
@@ -120,7 +201,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shipped(df: DataFrame) -> DataFrame:
     """df, with this package made importable in the session's Python workers (a zip of its sources, sent once)."""
-    import os
     import zipfile
 
     sc = df.sparkSession.sparkContext

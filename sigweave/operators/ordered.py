@@ -34,13 +34,21 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         offsets = sizes.select(*keys, "_c", base.alias("_base")).where(F.col("_base").isNotNull())
         placed = local.join(offsets, [*keys, "_c"], "left")
     else:
-        local = local.withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
-        along = W.partitionBy(*keys, F.when(~F.col("_last"), F.col("_c"))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-        placed = local.withColumn("_base", F.when(F.col("_last"), F.sum("_rn").over(along)))
-        placed = placed.withColumn("_base", F.max("_base").over(W.partitionBy(*keys, "_c")))
+        return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk)
     return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, out: str, chunk: Column) -> DataFrame:
+    """Adds out: the sum of value over the rows of keys that come before in order; chunk as in number_rows."""
+    cut = df.withColumn("_chunk", chunk).withColumn("_c", F.coalesce(F.col("_chunk").cast("string"), F.lit(""))).withColumn("_v", value)
+    inner = W.partitionBy(*keys, "_c").orderBy(*order)
+    local = cut.withColumn("_upto", F.sum("_v").over(inner.rowsBetween(W.unboundedPreceding, 0))).withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
+    along = W.partitionBy(*keys, F.when(~F.col("_last"), F.col("_c"))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    placed = local.withColumn("_base", F.when(F.col("_last"), F.sum("_upto").over(along)))
+    placed = placed.withColumn("_base", F.max("_base").over(W.partitionBy(*keys, "_c")))
+    return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_upto") - F.col("_v")).alias(out))
+
+
 def with_halo(df: DataFrame, keys: Sequence[str], order: str, before: int, after: int, chunk: int = CHUNK) -> tuple[DataFrame, W]:
     """df with chunk numbers and copies of border rows, and the window spec (per keys and chunk, by order).
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, compaction, drift, orphans, periods
-from ..operators.common import blank_trim, current_rows, to_ms
+from ..operators.common import blank_trim, current_rows, shared_dir, to_ms
 
 NO_ANNOT = -1
 
@@ -16,23 +16,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "run_log")
-    rec = current_rows(
-        table(spark, d, "record_db"), ["record_id"], {c: F.col(c) for c in ("ch_s_file", "ch_vs_file")} | {"gone": F.col("deleted_at").isNotNull()}
-    ).where(~F.col("gone"))
-    content = [F.col("ch_s_file"), F.col("ch_vs_file")]
-    key = ["record_id"]
-    rec_due = changes.new_or_changed(
-        changes.with_hash(rec, key, content), changes.state_from_history(table(spark, d, "record_done"), runs, key, content), key
-    )
+    """What the next run must handle, by a tracker of each table: its state is what the successful runs left."""
+    runs, where = table(spark, d, "run_log"), shared_dir(spark, "changes")
+
+    def due(name: str, keys: list[str], done: str, content: list[Column], current: DataFrame) -> DataFrame:
+        tracker = changes.ChangeTracker(spark, f"{where}/{name}", keys)
+        tracker.seed(changes.state_from_history(table(spark, d, done), runs, keys, content))
+        return tracker.plan_hashed(current).due.select(F.lit(name).alias("table_name"), *keys)
+
+    key, content = ["record_id"], [F.col("ch_s_file"), F.col("ch_vs_file")]
+    rec = current_rows(table(spark, d, "record_db"), key, {changes.HASH: changes.content_hash(*content), "gone": F.col("deleted_at").isNotNull()}).where(~F.col("gone"))
+    rec_due = due("record_db", key, "record_done", content, rec)
     key = ["record_id", "annot_id"]
-    comment = F.coalesce(blank_trim(F.col("comment")), F.lit(""))
-    content = [to_ms(F.col("start")), to_ms(F.col("end")), comment]
+    content = [to_ms(F.col("start")), to_ms(F.col("end")), F.coalesce(blank_trim(F.col("comment")), F.lit(""))]
     ann = current_rows(table(spark, d, "annot_db"), key, {changes.HASH: changes.content_hash(*content)})
-    ann_due = changes.new_or_changed(ann, changes.state_from_history(table(spark, d, "annot_done"), runs, key, content), key)
-    return rec_due.select(F.lit("record_db").alias("table_name"), "record_id", F.lit(NO_ANNOT).cast("bigint").alias("annot_id")).unionByName(
-        ann_due.select(F.lit("annot_db").alias("table_name"), "record_id", "annot_id")
-    )
+    return rec_due.withColumn("annot_id", F.lit(NO_ANNOT).cast("bigint")).unionByName(due("annot_db", key, "annot_done", content, ann))
 
 
 P1_SQL = """
@@ -54,13 +52,14 @@ where d.record_id is null or r.a is distinct from d.a or r.b is distinct from d.
 """
 
 
-def _merge_plan(spark: SparkSession, d: str, tiers: list[int] | None) -> DataFrame:
-    files = table(spark, d, "file_db")
-    return compaction.plan_merges(compaction.whole_pieces(files), files.count(), tiers)
+def _compacted(spark: SparkSession, d: str) -> compaction.CatalogueCompaction:
+    """Every level of the compaction of file_db's pieces, journalled in the shared folder."""
+    return compaction.CatalogueCompaction(spark, shared_dir(spark, "compaction")).run(compaction.whole_pieces(table(spark, d, "file_db")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _merge_plan(spark, d, [0]).select("record_id", "file_id")
+    """The inputs that the journal has of the first level, which merges files of the lowest tier."""
+    return _compacted(spark, d).merges(1).select("record_id", F.col("file_id").cast("bigint").alias("file_id"))
 
 
 P2_SQL = """
@@ -72,21 +71,27 @@ select record_id, file_id from kept where n_bytes < 65536 qualify count(*) over
 
 
 def p2_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """The files that the merges of every tier would write."""
-    s = compaction.merge_summary(_merge_plan(spark, d, None))
-    return s.select("record_id", "channel", "tier", F.col("merge_no.chunk").alias("chunk"), F.col("merge_no.part").alias("part"), "n_inputs", "out_bytes", "first_piece", "last_piece")
+    """The files that the merges of every level write."""
+    return _compacted(spark, d).files().where("level > 0").select("record_id", "channel", "level", "n_inputs", F.col("n_bytes").alias("out_bytes"), "first_piece", "last_piece")
 
 
-P2_OUTPUTS_SQL = """
+def _levels_sql() -> str:
+    tier = " + ".join(f"(n_bytes >= {compaction.BASE_BYTES * 4**k})::int" for k in range(10))
+    out = f"""
 with whole as (select record_id, lower(trim(channel)) channel, piece_no, file_id, written_at, n_bytes from file_db
   where record_id is not null and channel is not null and n_bytes = 44 + n_samples * case sample_fmt when 'int16' then 2 when 'float32' then 4 end),
-kept as (select *, case when n_bytes < 65536 then 0 else 1 + floor(log2(n_bytes / 65536.0) / 2 + 1e-9)::int end tier from whole
-  qualify row_number() over (partition by record_id, channel, piece_no order by written_at nulls last, file_id) = 1),
-due as (select *, piece_no // 512 chunk from kept qualify count(*) over (partition by record_id, channel, tier) >= 4),
-cut as (select *, coalesce(sum(n_bytes) over (partition by record_id, channel, tier, chunk order by piece_no, file_id rows between unbounded preceding and 1 preceding), 0)::bigint // 33554432 part from due)
-select record_id, channel, tier, chunk::bigint chunk, part::bigint part, count(*) n_inputs, (sum(n_bytes - 44) + 44)::bigint out_bytes, min(piece_no) first_piece, max(piece_no) last_piece
-from cut group by all
-"""
+f0 as (select record_id, channel, piece_no a, piece_no z, n_bytes, 1::bigint n_inputs, {tier} tier from whole
+  qualify row_number() over (partition by record_id, channel, piece_no order by written_at nulls last, file_id) = 1)"""
+    for t in range(6):
+        live = " union all ".join(f"select * from f{k} where tier = {t}" for k in range(t + 1))
+        out += f""",
+l{t} as (select *, count(*) over g c, sum(n_bytes) over g tot, coalesce(sum(n_bytes) over (partition by record_id, channel order by a rows between unbounded preceding and 1 preceding), 0) b from ({live}) window g as (partition by record_id, channel)),
+f{t + 1} as (select *, {tier} tier from (select record_id, channel, min(a) a, max(z) z, (sum(n_bytes - 44) + 44)::bigint n_bytes, count(*) n_inputs from l{t} where c >= 4
+  group by record_id, channel, floor((b + n_bytes / 2.0::double) * greatest(ceil(tot / 33554432.0::double), 1) / tot) having count(*) > 1))"""
+    return out + " union all ".join(f" select record_id, channel, {t}::int \"level\", n_inputs, n_bytes out_bytes, a first_piece, z last_piece from f{t}" for t in range(1, 7))
+
+
+P2_OUTPUTS_SQL = _levels_sql()
 
 
 def _log_fields(spark: SparkSession, d: str) -> list[str]:

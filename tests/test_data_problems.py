@@ -71,19 +71,56 @@ def test_changes_exactly_once_over_failures(spark, tmp_path):
     t = changes.ChangeTracker(spark, str(tmp_path / "state"), ["k"], [F.col("v")], max_segments=2)
     v1 = spark.createDataFrame([(1, "a"), (2, None), (None, "x")], "k bigint, v string")
     first = t.plan(v1)
-    assert sorted((r.k, r.change) for r in first.collect()) == [(1, "new"), (2, "new")]
+    assert sorted((r.k, r.change) for r in first.due.collect()) == [(1, "new"), (2, "new")]
     # the run dies before its commit: everything comes again
-    assert t.plan(v1).count() == 2
+    assert t.plan(v1).due.count() == 2
     t.commit(first)
-    assert t.plan(v1).count() == 0
+    assert t.plan(v1).due.count() == 0
     v2 = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "k bigint, v string")
-    assert sorted((r.k, r.change) for r in t.plan(v2).collect()) == [(2, "changed"), (3, "new")]
+    assert sorted((r.k, r.change) for r in t.plan(v2).due.collect()) == [(2, "changed"), (3, "new")]
     # a commit that dies before the swap leaves a segment nobody names
-    t.plan(v2).select("k", "content_hash").write.parquet(str(tmp_path / "state" / "segment-orphan"))
-    assert t.plan(v2).count() == 2
+    t.plan(v2).due.select("k", "content_hash").write.parquet(str(tmp_path / "state" / "segment-orphan"))
+    assert t.plan(v2).due.count() == 2
     for _ in range(3):
         t.commit(t.plan(v2))
-    assert t.version() == 4 and len(t.segments()) <= 3 and t.plan(v2).count() == 0
+    assert t.version() == 4 and len(t.segments()) <= 3 and t.plan(v2).due.count() == 0
+
+
+def test_rows_that_arrive_before_the_commit_are_not_skipped(spark, tmp_path):
+    source = str(tmp_path / "source")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string").write.parquet(source)
+    t = changes.ChangeTracker(spark, str(tmp_path / "state"), ["k"], [F.col("v")])
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    plan = t.plan(spark.read.schema("k bigint, v string").parquet(source))
+    spark.createDataFrame([(3, "c")], "k bigint, v string").write.mode("append").parquet(source)
+    t.commit(plan)
+    assert t.state().count() == 2 and rows.count() == 2
+    assert [r.k for r in t.plan(spark.read.parquet(source)).due.collect()] == [3]
+
+
+def test_of_two_runs_from_one_version_one_fails(spark, tmp_path):
+    t = changes.ChangeTracker(spark, str(tmp_path / "state"), ["k"], [F.col("v")])
+    old, new = (t.plan(spark.createDataFrame([(1, v)], "k bigint, v string")) for v in ("old", "new"))
+    t.commit(new)
+    with pytest.raises(RuntimeError):
+        t.commit(old)
+    assert t.version() == 1 and t.plan(spark.createDataFrame([(1, "new")], "k bigint, v string")).due.count() == 0
+    with pytest.raises(RuntimeError):
+        t.seed(t.state())
+
+
+def test_files_created_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = common.Store(spark, str(tmp_path / "s"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: store.create_once("a/one", str(k)), range(8)))
+    assert won.count(True) == 1 and store.read("a/one") == str(won.index(True)) and store.names("a") == ["one"]
+    assert store._create_by_rename("a/two", "a/_x", "2") and not store._create_by_rename("a/two", "a/_y", "3")
+    assert store.read("a/two") == "2" and store.names("none") == []
+    store.scheme = "s3a"
+    with pytest.raises(ValueError):
+        store.create_once("a/three", "")
 
 
 def test_state_ignores_runs_that_failed(spark):
@@ -98,39 +135,78 @@ def test_state_ignores_runs_that_failed(spark):
 # ---- p2
 
 
-def test_merge_plan_whole_pieces_and_ties(spark):
+def test_merge_plan_whole_pieces_and_ties(spark, tmp_path):
     cols = "file_id bigint, record_id bigint, channel string, piece_no bigint, sample_fmt string, n_samples bigint, n_bytes bigint, written_at timestamp_ntz, extra int"
     ok = lambda f, r, c, p, w=0, n=100: (f, r, c, p, "int16", n, 44 + 2 * n, at(w) if w is not None else None, 0)
     rows = [ok(i, 1, "s" if i % 2 else " S ", i) for i in range(5)]
     rows += [ok(10, 1, "s", 0, 5), ok(11, 1, "s", 0, None), (12, 1, "s", 9, "int16", 100, 100, at(0), 0), (13, 1, "s", 9, "wav", 1, 46, at(0), 0)]
     rows += [ok(20, None, "s", 1), ok(21, 1, None, 1), ok(0, 1, " S ", 0)] + [ok(30 + i, 2, "s", i) for i in range(3)] + [ok(33, 2, "s", 3, 0, 40_000)]
     df = spark.createDataFrame(rows, cols)
-    plan = compaction.plan_merges(compaction.whole_pieces(df), df.count(), [0])
-    assert sorted(r.file_id for r in plan.collect()) == [0, 1, 2, 3, 4]
-    assert compaction.plan_merges(compaction.whole_pieces(df.limit(0)), 0, [0]).count() == 0
-    s = compaction.merge_summary(plan).collect()
-    assert [(r.n_inputs, r.out_bytes) for r in s] == [(5, 44 + 5 * 200)]
+    c = compaction.CatalogueCompaction(spark, str(tmp_path / "a")).run(compaction.whole_pieces(df))
+    assert sorted(r.file_id for r in c.merges(1).collect()) == ["0", "1", "2", "3", "4"]
+    assert [(r.n_inputs, r.n_bytes) for r in c.files().where("level > 0").collect()] == [(5, 44 + 5 * 200)]
+    # a run that is repeated finds every level in the journal
+    entries = c.entries()
+    assert compaction.CatalogueCompaction(spark, str(tmp_path / "a")).run(compaction.whole_pieces(df)).entries() == entries
+    assert compaction.CatalogueCompaction(spark, str(tmp_path / "b")).run(compaction.whole_pieces(df.limit(0))).merges().count() == 0
+
+
+def test_levels_merge_what_lower_levels_wrote(spark, tmp_path):
+    tiny = [(1, "s", k, k, 60_000) for k in range(40)] + [(1, "s", 100 + k, 100 + k, 1 << 20) for k in range(3)] + [(2, "s", k, 500 + k, 100_000 + k) for k in range(4)]
+    df = spark.createDataFrame(tiny, "record_id bigint, channel string, piece_no bigint, file_id bigint, n_bytes bigint")
+    c = compaction.CatalogueCompaction(spark, str(tmp_path / "a"), target_bytes=5 << 20).run(df)
+    made = {(r.record_id, r.level): (r.n_inputs, r.first_piece, r.last_piece) for r in c.files().where("level > 0").collect()}
+    # 40 tiny files make one of 2.4 MB, the fourth of tier 3, whose 5.4 MB are then cut after it
+    assert made == {(1, 1): (40, 0, 39), (2, 2): (4, 0, 3), (1, 4): (3, 100, 102)}
+    inputs = [r.file_id for r in c.merges().collect()]
+    assert len(inputs) == len(set(inputs)) == 47
+    # a level that died half-way is taken up again
+    half = compaction.CatalogueCompaction(spark, str(tmp_path / "b"), target_bytes=5 << 20).run(df)
+    for n in half.store.names("_journal")[1:]:
+        half.store.delete(f"_journal/{n}")
+    assert len(half.run(df).entries()) == len(c.entries()) and half.merges().count() == 47
+
+
+def test_outputs_are_fewer_than_inputs(spark, tmp_path):
+    near = spark.createDataFrame([(1, "s", k, k, 1000) for k in range(9)], "record_id bigint, channel string, first_piece bigint, file_id bigint, n_bytes bigint")
+    for target in (1001, 1500, 2100, 100_000):
+        m = compaction.plan_merges(near, ["record_id", "channel"], ["first_piece"], F.floor(F.col("first_piece") / 2), 4, target)
+        outs = m.groupBy("part").count().collect()
+        assert all(r["count"] >= 2 for r in outs) and (target == 1001) == (not outs)
 
 
 def test_compactor_keeps_every_record_once(spark, tmp_path):
     path = str(tmp_path / "d")
     spark.range(400).repartition(16).write.parquet(path)
     c = compaction.Compactor(spark, path, base=1 << 20)
-    assert len(c.live()) == 16
-    assert c.compact() >= 1 and not c.round()
+    assert c.live().count() == 16
+    assert c.compact() >= 1 and c.compact() == 0
     assert sorted(r.id for r in c.read().collect()) == list(range(400))
     spark.range(400, 440).repartition(4).write.mode("append").parquet(path)
     c.compact()
     # outputs without a journal entry (a round that died) are not read, and vacuum removes them
-    spark.range(5).write.parquet(f"{path}/_merged/lost")
+    spark.range(5).write.parquet(f"{path}/_merged/lost/data")
     assert sorted(r.id for r in c.read().collect()) == list(range(440))
     assert c.vacuum() > 0
-    assert sorted(r.id for r in c.read().collect()) == list(range(440)) and len(c.live()) < 4
+    assert sorted(r.id for r in c.read().collect()) == list(range(440)) and c.live().count() < 4
     empty = compaction.Compactor(spark, str(tmp_path / "e"))
     spark.range(0).write.parquet(str(tmp_path / "e"))
     assert not empty.read().collect()
 
 
+def test_compactor_of_a_partitioned_folder_in_small_batches(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = spark.range(600).selectExpr("id", "concat('x y', id % 3) k", "if(id % 2 = 0, null, id) v")
+    rows.repartition(12).write.partitionBy("k").parquet(path)
+    c = compaction.Compactor(spark, path, max_inputs=5)
+    before = c.live().count()
+    assert c.compact() >= 3 and c.live().count() < before / 4
+    assert sorted(map(tuple, c.read().select("id", "k", "v").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    # files just below the target are left as they are, so it ends
+    size = c.live().agg(F.max("n_bytes")).first()[0]
+    assert compaction.Compactor(spark, path, base=64, target=size + 1).compact() == 0
+
+
 # ---- p3
 
 FIELDS = ["date", "time", "gain", "temp_c", "ch_s_file", "ch_vs_delay"]
