@@ -4,86 +4,91 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from collections.abc import Callable
+
+import numpy as np
 
 # byte 0x80-0x9f as windows-1252 shows it; bytes it leaves undefined stay control characters
 _HIGH = {b: (bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b)) for b in range(0x80, 0xA0)}
-_BYTE = {ch: b for b, ch in _HIGH.items()} | {chr(b): b for b in range(0x80, 0x100)}
+_TO_BYTE = {ch: chr(b) for b, ch in _HIGH.items()}
 _C1 = {b: ord(ch) for b, ch in _HIGH.items() if ord(ch) != b}
 _SPECIAL = "".join(re.escape(c) for c in _HIGH.values() if ord(c) > 0xFF)
-_CONT = f"[\x80-\xbf{_SPECIAL}]"
-_UTF8 = re.compile(f"[\xc2-\xdf]{_CONT}|[\xe0-\xef]{_CONT}{{2}}|[\xf0-\xf4]{_CONT}{{3}}")
-_SUSPECT = re.compile(f"[\xc2-\xf4][\x80-\xbf{_SPECIAL}]|[\x80-\x9f\xc0-\xff]{{3}}|[\x80-\x9f]|&[#a-z]")
+_SPECIALS = re.compile(f"[{_SPECIAL}]")
+# characters as bytes, once windows-1252's own are put back to theirs
+_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_UTF8_RUN = re.compile(f"(?:{_UTF8.pattern})+")
+_BYTES = re.compile("[\x80-\xff]+")
+# begins with one class, which is looked for fast
+_SUSPECT = re.compile(f"[\x80-\xff&](?:(?<=[\xc2-\xf4])[\x80-\xbf{_SPECIAL}]|(?<=[\x80-\x9f\xc0-\xff])[\x80-\x9f\xc0-\xff]{{2}}|(?<=[\x80-\x9f])|(?<=&)[#a-z])")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|quot|amp|lt|gt|apos|nbsp);")
-_NARROW = re.compile("[\xa0-\xff]")
+_NARROW = re.compile("[\xa0-\xff]+")
 _GB = re.compile("(?:[\xa1-\xf7][\xa1-\xfe])+")
-_HIGHS = re.compile("[" + "".join(re.escape(c) for c in _BYTE) + "]+")
 _LATIN, _LOWS, _BEYOND = re.compile("[A-Za-z]+"), re.compile("[\xa1-\xbf]+"), re.compile("[\u0250-\U0010ffff]+")
 
 
 class Repaired:
     """text, and end(i): the position in the stored text of the last character that became text[i]."""
 
-    __slots__ = ("text", "_at", "_shift")
+    __slots__ = ("text", "_ends")
 
     def __init__(self, text: str):
-        self.text, self._at, self._shift = text, [], []
+        self.text, self._ends = text, None
 
     def end(self, i: int) -> int:
-        k = bisect_right(self._at, i)
-        return i + (self._shift[k - 1] if k else 0)
-
-    def replace(self, pattern: re.Pattern, change) -> None:
-        """Puts change(match) for each match; a match of another length shifts what follows."""
-        out, at, shift, last, moved = [], [], [], 0, 0
-        for m in pattern.finditer(self.text):
-            new = change(m)
-            if new is None or new == m[0]:
+        return i if self._ends is None else int(self._ends[i])
+
+    def ends(self, at: list[int]) -> list[int]:
+        return at if self._ends is None else self._ends[at].tolist() if at else []
+
+    def replace(self, seen: str, pattern: re.Pattern, change: Callable[[str], str | None], sizes: Callable[[list[str], list[str]], np.ndarray]) -> None:
+        """Puts change(match) for each match of pattern in seen, which has the text's length; None leaves the match alone.
+
+        sizes tells for all new characters of all matches how many old ones each takes up.
+        """
+        out, lengths, old, new, last = [], [], [], [], 0
+        for m in pattern.finditer(seen):
+            got = change(m[0])
+            if not got:
                 continue
-            out.append(self.text[last : m.start()])
-            out.append(new)
-            last = m.end()
-            old, n = len(m[0]), len(new)
-            for k in range(n):  # the k-th new character ends where its share of the old ones ends
-                here = m.start() + (k + 1) * old // n - 1
-                moved_k = here - (m.start() - moved + k)
-                if not shift or shift[-1] != moved_k:
-                    at.append(m.start() - moved + k)
-                    shift.append(moved_k)
-            moved += old - n
+            a, b = m.span()
+            out += [self.text[last:a], got]
+            lengths += [a - last, len(got)]
+            old.append(m[0])
+            new.append(got)
+            last = b
         if not out:
             return
         out.append(self.text[last:])
-        if self._at:  # through the earlier steps
-            points = sorted({*at, *(self._forward(a, at, shift) for a in self._at)})
-            both = [(p, self.end(p + self._of(p, at, shift)) - p) for p in points]
-            at, shift = [p for p, _ in both], [s for _, s in both]
-        self._at, self._shift, self.text = at, shift, "".join(out)
-
-    @staticmethod
-    def _of(i: int, at: list[int], shift: list[int]) -> int:
-        k = bisect_right(at, i)
-        return shift[k - 1] if k else 0
-
-    @classmethod
-    def _forward(cls, old: int, at: list[int], shift: list[int]) -> int:
-        lo, hi = 0, old + 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if mid + cls._of(mid, at, shift) < old:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
-
-
-def _utf8(m: re.Match) -> str | None:
+        lengths.append(len(out[-1]))
+        changed = np.repeat(np.arange(len(lengths)) % 2 == 1, lengths)
+        size = np.ones(len(changed), np.int64)
+        size[changed] = sizes(old, new)
+        at = np.cumsum(size) - 1
+        self._ends = at if self._ends is None else self._ends[at]
+        self.text = "".join(out)
+
+
+def _shares(old: list[str], new: list[str]) -> np.ndarray:
+    """The old characters of each match dealt to its new ones in their order."""
+    return np.concatenate([np.diff(np.arange(len(b) + 1) * len(a) // len(b)) for a, b in zip(old, new, strict=True)])
+
+
+def _utf8(run: str) -> str | None:
     try:
-        return bytes(_BYTE[c] for c in m[0]).decode()
+        return run.encode("latin-1").decode()
     except UnicodeDecodeError:
         return None
 
 
+def _utf8_sizes(old: list[str], _: list[str]) -> np.ndarray:
+    raw = np.frombuffer("".join(old).encode("latin-1"), np.uint8)
+    return np.diff(np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)))
+
+
+def _decoded(codec: str) -> Callable[[str], str]:
+    return lambda run: run.encode("latin-1").decode(codec, "replace")
+
+
 def _count(pattern: re.Pattern, text: str) -> int:
     """Characters in the matches of pattern."""
     return sum(map(len, pattern.findall(text)))
@@ -101,22 +106,24 @@ def repair(text: str) -> Repaired:
     if not _SUSPECT.search(text):
         return out
     if "&" in text:
-        out.replace(_ENTITY, lambda m: html.unescape(m[0]))
+        out.replace(out.text, _ENTITY, html.unescape, _shares)
     for _ in range(2):
-        high = _count(_HIGHS, out.text)
-        if not high or _count(_UTF8, out.text) < 0.9 * high:
+        seen = _SPECIALS.sub(lambda m: _TO_BYTE[m[0]], out.text)
+        high = _count(_BYTES, seen)
+        if not high or _count(_UTF8_RUN, seen) < 0.9 * high:
             break
-        out.replace(_UTF8, _utf8)
+        # a run that holds what is no character is taken character by character
+        out.replace(seen, _UTF8_RUN if all(_utf8(r) for r in _UTF8_RUN.findall(seen)) else _UTF8, _utf8, _utf8_sizes)
     t = out.text
-    narrow = len(_NARROW.findall(t))
+    narrow = _count(_NARROW, t)
     if narrow >= 6:
         if not any(c.isalpha() for run in _BEYOND.findall(t) for c in run):
             letters, low, paired = _count(_LATIN, t), _count(_LOWS, t), _count(_GB, t)
             runs = re.findall("[\xc0-\xff]{4}", t)
             if paired >= 0.9 * narrow and low > 0.12 * narrow and re.search("[\xa1-\xfe]{4}", t):
-                out.replace(_GB, lambda m: m[0].encode("latin-1").decode("gb18030", "replace"))
+                out.replace(t, _GB, _decoded("gb18030"), _shares)
             elif len(runs) * 4 > 0.3 * narrow and narrow > 0.1 * letters:
-                out.replace(re.compile("[\x80-\xff]+"), lambda m: m[0].encode("latin-1").decode("cp1251", "replace"))
+                out.replace(t, _BYTES, _decoded("cp1251"), _shares)
     if re.search("[\x80-\x9f]", out.text):
         out.text = out.text.translate(_C1)
     return out

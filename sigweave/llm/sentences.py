@@ -13,8 +13,9 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -68,12 +69,11 @@ _PAIR_MARK = re.compile(r"[\[\]()（）［］【】]")
 _SHOWN = re.compile("[^\x00]")
 _STAR, _NOTE = re.compile(r"\*+"), re.compile("♪[～~]|[♪♫]+")
 _BRACKET = re.compile(r"[\[(（［【*♪♫]")
-_DASH = re.compile(r"[-–—‐]")
 _FOLD = {ord(c): None for c in " \t\r\n\x00\u00a0"} | {ord(a): b for a, b in ("0o", "1l", "|l", "ąa", "ęe", "ćc", "ńn")}
-_SPEAKER = re.compile(
-    r"(?m)^[\x00 \t]*[-–—‐]?[\x00 ]*(?:[^\W\d_][^\W\d_.]*(?: ?\d{1,2})?) ?[:：](?=[\x00\s]*[^\s\x00])"
-)
-_LINE_START = re.compile(r"(?m)^[\x00 \t]*[-–—‐](?!>)[\x00 \t]*(?=[^\s\x00\d-])|^[\x00 \t]*[-–—‐](?!>) ?(?=\d)")
+_SPEAKER = re.compile(r"[\x00 \t]*[-–—‐]?[\x00 ]*(?:[^\W\d_][^\W\d_.]*(?: ?\d{1,2})?) ?[:：](?=[\x00\s]*[^\s\x00])")
+_COLON = re.compile("[:：]")
+_DASH = re.compile(r"[-–—‐](?!>)(?:(?=[\x00 \t]*[^\s\x00\d-])| ?(?=\d))")
+_BEFORE_LETTER = re.compile(r"[\x00 \t]*(?=[^\s\x00\d-])")
 
 _TERM = "[.!?…。！？｡؟।॥．‼⁇⁉⁈|]"
 _TERMS = _TERM[1:-1]
@@ -84,7 +84,8 @@ _GAP = r"(?:[.…]*[\s\x00]*\x02[\s\x00\x02]*[.…]*|[\s\x00]+)"
 _AHEAD = re.compile(rf"[\x00 \n]*(?:{_GAP})?{_BARE}(?:{_GAP}{_BARE}){{0,{WORDS_AHEAD - 1}}}")
 _GAPS = re.compile(_GAP)
 _CLOSE = "[\"'”’»›」』】〉》)\\]“‚‘]"
-_TOKEN = re.compile(rf"({_TERM}(?:[\x00 ]?{_TERM})*)((?:\x00*{_CLOSE}|[\x00 \u00a0\u202f]+»)*(?:�(?!\w))?)|([\x02\x03])")
+# patterns begin with one class or character, which is looked for fast; what stands before is looked back at
+_TOKEN = re.compile(rf"([{_TERMS}\x02\x03](?:(?<![\x02\x03])(?:[\x00 ]?{_TERM})*|))((?<![\x02\x03])(?:\x00*{_CLOSE}|[\x00 \u00a0\u202f]+»)*(?:�(?!\w))?|)")
 _QUOTE = re.compile("[“”„«»「」『』《》\"\x03\x02]")
 _WCH = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e00-\u0e4e]"
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
@@ -93,10 +94,10 @@ _AFTER_PLAIN = re.compile(r"[!?,;:…](?!\w)|[ \n]+[a-zß-öø-ÿа-яё]")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}")
 _CUE_BREAK = re.compile("\x02")
 _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
-_LOST_Q = re.compile(r"[^\W\d_]\?[a-zа-я]")
-_LOST_R = re.compile(r"[^\W\d_]�[a-zа-я]")
-_LAST_STOP = re.compile(r"(?<!\.)\.[\x00\s]*\x02")
-_TURN_STOP = re.compile(r"(?<!\.)\.[\x00\s\x02]*(?:\x03|\Z)")
+_LOST_Q = re.compile(r"\?(?<=[^\W\d_]\?)[a-zа-я]")
+_LOST_R = re.compile(r"�(?<=[^\W\d_]�)[a-zа-я]")
+_LAST_STOP = re.compile(r"\.(?<!\.\.)[\x00\s]*\x02")
+_TURN_STOP = re.compile(r"\.(?<!\.\.)[\x00\s\x02]*(?:\x03|\Z)")
 _QUOTE_MARK = re.compile("[“”„«»「」『』《》\"]")
 _NEXT = re.compile(r"[\s\x00\xa0]*")
 _VISIBLE = re.compile(r"[^\W_]")
@@ -135,14 +136,17 @@ def _key(word: str) -> int:
 
 def edge_word(text: str, last: bool) -> str:
     """The last or first word of text; of scripts without spaces its two characters."""
-    words = text.rsplit(None, 3) if last else text.split(None, 3)
-    for w in reversed(words) if last else words:
-        w = w.strip(_PUNCT)
-        if w:
-            if "\u0e00" <= w[-1] and _NOSPACE.search(w):
-                return w[-2:] if last else w[:2]
-            return w
-    return ""
+    if last:
+        w = text[max(text.rfind(" "), text.rfind("\n")) + 1 :].strip(_PUNCT)
+    else:
+        k = text.find(" ")
+        w = (text[:k] if k >= 0 else text).strip(_PUNCT)
+    if not w.isalpha():  # more than a word, or none
+        words = text.rsplit(None, 3) if last else text.split(None, 3)
+        w = next(filter(None, (x.strip(_PUNCT) for x in (reversed(words) if last else words))), "")
+    if w and "\u0e00" <= w[-1] and _NOSPACE.search(w):
+        return w[-2:] if last else w[:2]
+    return w
 
 
 def cue_spans(text: str) -> list[tuple[int, int]]:
@@ -211,54 +215,69 @@ def _line_word(s: str, i: int) -> int:
 def _dots(text: str, cased: Callable[[int], bool] | None = None) -> Iterator[str]:
     """Words whose full stop cannot end a sentence: a comma, digit or small letter (where cased) follows. Capitals prove nothing."""
     for m in _STOP.finditer(text):
-        i = m.start()
-        words = text[_line_word(text, i) : i].rsplit(None, 1)
-        w = words[-1].lstrip(_PUNCT) if words else ""
-        if not w or not w[0].isalpha() or w[-1] == ".":
-            continue
-        gap, nxt = m[1], m[2]
-        if gap[0] == "," or nxt.isdigit() or nxt.islower() and (cased is None or cased(m.start(2))):
-            yield w.lower()
+        nxt = m[2]
+        if m[1][0] == "," or nxt.isdigit() or nxt.islower() and (cased is None or cased(m.start(2))):
+            i = m.start()
+            words = text[_line_word(text, i) : i].rsplit(None, 1)
+            w = words[-1].lstrip(_PUNCT) if words else ""
+            if w and w[0].isalpha() and w[-1] != ".":
+                yield w.lower()
 
 
-def count_words(text: str, into: dict[int, int], key: Callable[[str], int] = _bucket) -> None:
-    """Adds the document's evidence to into, keyed key(word) * KINDS + kind."""
-    get = into.get
+def gather_words(text: str, seen: list[list[str]]) -> None:
+    """Adds the document's words, and scripts of words (after a \x00), to the lists of their kinds."""
+    closed_last, open_last, closed_first, open_first, inside, final, common, name = seen
     before = ""
     for a, b in cue_spans(text):
         body = text[a:b].strip()
         if not body:
             continue
         if "." in body:
-            for w in _dots(body):
-                k = key(w) * KINDS + STOP_INSIDE
-                into[k] = get(k, 0) + 1
-        if body[-1] == ".":
-            k = key(edge_word(body, True)) * KINDS + STOP_FINAL
-            into[k] = get(k, 0) + 1
+            inside += _dots(body)
+            if body[-1] == ".":
+                final.append(edge_word(body, True))
         if before and before[-1] not in ">])）]】♪*=～":
             first = body[0]
             closed = before[-1] in _ENDS and first not in ".…"
             w = edge_word(before, True)
             if w and (closed or first not in "-–—[(♪*"):
-                k = key(w) * KINDS + (CLOSED if closed else OPEN)
-                into[k] = get(k, 0) + 1
+                (closed_last if closed else open_last).append(w)
                 if w.islower():
-                    k = key(w) * KINDS + COMMON
-                    into[k] = get(k, 0) + 1
+                    common.append(w)
             if first not in "-–—[(（♪*<":
                 v = edge_word(body, False)
                 if v:
-                    k = key(v) * KINDS + (FIRST_AFTER_CLOSED if closed else FIRST_AFTER_OPEN)
-                    into[k] = get(k, 0) + 1
-                    if v.islower() or v[0].isupper() and before[-1].islower() and not v.isupper():
-                        k = key(v) * KINDS + (COMMON if v.islower() else NAME)
-                        into[k] = get(k, 0) + 1
-                    k = key("\x00" + script(v[0])) * KINDS + (CLOSED if closed else OPEN)
-                    into[k] = get(k, 0) + 1
+                    if closed:
+                        closed_first.append(v)
+                        closed_last.append("\x00" + v[0])
+                    else:
+                        open_first.append(v)
+                        open_last.append("\x00" + v[0])
+                    if v.islower():
+                        common.append(v)
+                    elif v[0].isupper() and before[-1].islower() and not v.isupper():
+                        name.append(v)
         before = body
 
 
+def add_counts(seen: list[list[str]], into: dict[int, int], key: Callable[[str], int]) -> None:
+    """Adds the gathered words to into, keyed key(word) * KINDS + kind, and empties the lists."""
+    for kind, words in enumerate(seen):
+        for w, n in Counter(words).items():
+            if w[:1] == "\x00":
+                w = "\x00" + script(w[1])
+            k = key(w) * KINDS + kind
+            into[k] = into.get(k, 0) + n
+        words.clear()
+
+
+def count_words(text: str, into: dict[int, int], key: Callable[[str], int] = _bucket) -> None:
+    """Adds the document's evidence to into."""
+    seen: list[list[str]] = [[] for _ in range(KINDS)]
+    gather_words(text, seen)
+    add_counts(seen, into, key)
+
+
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n\x02]", "\x00", m[0])
 
@@ -277,7 +296,7 @@ def _blank_spans(s: str, spans: list[tuple[int, int]]) -> str:
 def _turns(s: str) -> bool:
     """Whether another speaker begins in one of the lines after the first."""
     k = s.find("\n")
-    return k >= 0 and bool(_LINE_START.search(s, k + 1) or any(_label(m) != m[0] for m in _SPEAKER.finditer(s, k + 1)))
+    return k >= 0 and (next(_dashes(s, k + 1), None) or next(_labels(s, k + 1), None)) is not None
 
 
 def _bracketed(s: str) -> list[tuple[int, int]]:
@@ -345,7 +364,7 @@ def _is_credit(raw: str) -> bool:
 
 
 class Stream:
-    """The spoken text of all cues joined: text, and at(i): the place of text[i] in the document.
+    """The spoken text of all cues joined: text, and places(ends): where they are in the document.
 
     Unspoken characters are \\x00, cues are parted by \\x02 and a new line, speakers by \\x03 in place of their mark.
     """
@@ -353,21 +372,23 @@ class Stream:
     __slots__ = ("text", "marked", "_own", "_there")
 
     def __init__(self, text: str):
-        bodies, own, there, n = [], [], [], 0
+        marked_up = "<" in text or "{" in text or "\ufeff" in text or "\u200b" in text
+        bodies, there = [], []
         for a, b in cue_spans(text):
-            body = text[a:b]
-            cut = body.rstrip()
-            if not cut or cut.strip().isdigit():
+            cut = text[a:b].rstrip()
+            if not cut or cut.isdecimal() or cut.strip().isdigit():
                 continue
-            if "<" in cut or "{" in cut or "\ufeff" in cut or "\u200b" in cut:
-                cut = _MARKUP.sub(_blank, cut)
-            if _is_credit(cut):
-                continue
-            own.append(n)
+            bodies.append(_MARKUP.sub(_blank, cut) if marked_up else cut)
             there.append(a)
-            bodies.append(cut)
-            n += len(cut) + 2
+        if "&" in text or "==" in text or "." in text and _TLD.search(text):
+            spoken = [not _is_credit(c) for c in bodies]
+        else:
+            head = _HEAD.match
+            spoken = [not (head(c) and _is_credit(c)) for c in bodies]
+        if not all(spoken):
+            bodies, there = list(compress(bodies, spoken)), list(compress(there, spoken))
         s = "\x02\n".join(bodies)
+        own = list(accumulate((len(c) + 2 for c in bodies), initial=0))[:-1]
         if _BRACKET.search(s):
             s = _blank_spans(s, _bracketed(s))
             if "*" in s:
@@ -375,24 +396,55 @@ class Stream:
             if "♪" in s or "♫" in s:
                 s = _NOTE.sub(_blank, _blank_spans(s, _between(s, _NOTE)))
         if ":" in s or "：" in s:
-            s = _SPEAKER.sub(_label, s)
-        if _DASH.search(s):
-            s = _LINE_START.sub(lambda m: "\x03" + "\x00" * (len(m[0]) - 1), s)
+            s = _marked(s, _labels(s))
+        s = _marked(s, _dashes(s))
         self.text, self._own, self._there = s, own, there
         ends = [p.rstrip("\x00 \r\n\t")[-1:] for p in s.split("\x02\n")]
         ends = [e for e in ends if e]
         self.marked = 2 * sum(e in _ENDS for e in ends) > len(ends)
 
-    def at(self, i: int) -> int:
-        k = bisect_right(self._own, i) - 1
-        return i - self._own[k] + self._there[k]
+    def places(self, ends: list[int]) -> list[int]:
+        """Places in the document of ascending positions in the text."""
+        own, there, out, k, n = self._own, self._there, [], 0, len(self._own)
+        for i in ends:
+            while k + 1 < n and own[k + 1] <= i:
+                k += 1
+            out.append(i - own[k] + there[k])
+        return out
+
+
+def _labels(s: str, at: int = 0) -> Iterator[tuple[int, int]]:
+    """Where names of speakers stand at the beginning of lines, from at on."""
+    done = -1
+    for m in _COLON.finditer(s, at):
+        a = s.rfind("\n", 0, m.start()) + 1
+        if a < at or a == done:
+            continue
+        done = a
+        m = _SPEAKER.match(s, a)
+        if m:
+            name = m[0].strip("\x00 \t\r\n-–—‐:：")
+            if name and not (name[0].islower() and name.upper() != name):
+                yield m.span()
+
 
+def _dashes(s: str, at: int = 0) -> Iterator[tuple[int, int]]:
+    """Where dashes of speakers stand at the beginning of lines, from at on."""
+    for m in _DASH.finditer(s, at):
+        a, k = m.start(), m.start()
+        while a > 0 and s[a - 1] in "\x00 \t":
+            a -= 1
+        if (a == 0 or s[a - 1] == "\n") and a >= at:
+            yield a, (_BEFORE_LETTER.match(s, k + 1) or m).end()
 
-def _label(m: re.Match) -> str:
-    name = m[0].strip("\x00 \t\r\n-–—‐:：")
-    if not name or (name[0].islower() and name.upper() != name):
-        return m[0]
-    return "\x03" + "\x00" * (len(m[0]) - 1)
+
+def _marked(s: str, spans: Iterator[tuple[int, int]]) -> str:
+    """s with a break of speakers in place of the spans."""
+    out, last = [], 0
+    for a, b in spans:
+        out += [s[last:a], "\x03", "\x00" * (b - a - 1)]
+        last = b
+    return "".join([*out, s[last:]]) if out else s
 
 
 def _style(cue: str) -> str:
@@ -427,20 +479,26 @@ class _Doc:
         s = stream.text
         self.s, self.stats, self.marked = s, stats, stream.marked
         self._breaks = [m.start() for m in _CUE_BREAK.finditer(s)]
-        self._cased = _cased_cues(s.split("\x02"))
+        self._cased = self._closing = None
         # the document's own evidence: stops inside sentences, and stops that end a cue
         self.inside = set(_dots(s, self.cased)) if "." in s else set()
         self.final = {_word(s, m.start()).lower() for m in _LAST_STOP.finditer(s)} if self.inside else set()
-        #: words before a stop that closes a turn or the text, where a title cannot stand
-        self.closing = {_word(s, m.start()).lower() for m in _TURN_STOP.finditer(s)}
         self.lower, self._plain = None, {}
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
 
     def cased(self, i: int) -> bool:
         """Whether sentences begin with capitals, and only they and names do, around the cue of position i."""
+        if self._cased is None:
+            self._cased = _cased_cues(self.s.split("\x02"))
         return self._cased[bisect_right(self._breaks, i - 1)]
 
+    def closes_turn(self, low: str) -> bool:
+        """Whether the document has the word before a stop that closes a turn or the text, where a title cannot stand."""
+        if self._closing is None:
+            self._closing = {_word(self.s, m.start()).lower() for m in _TURN_STOP.finditer(self.s)}
+        return low in self._closing
+
     def _shown_before(self, i: int) -> str:
         s, k = self.s, i - 1
         while k >= 0 and s[k] in "\x00 \n":
@@ -589,14 +647,15 @@ class _Doc:
         held, mi, nm = [], 0, len(mute)
         for m in _TOKEN.finditer(s):
             i = m.start()
-            if i <= last or i == last + 1 and m[3]:
+            brk = s[i]
+            brk = brk if brk in "\x02\x03" else ""
+            if i <= last or brk and i == last + 1:
                 continue
             while mi < nm and mute[mi][0] < i:
                 held.append(mute[mi])
                 mi += 1
             if held:
                 held = [x for x in held if x[1] >= i]
-            brk = m[3]
             if not (s[last + 2 : last + 3].isalnum() and last + 2 < i or visible(s, last + 1, i)):
                 continue
             if brk:
@@ -749,7 +808,7 @@ class _Doc:
             return True
         listed = low in TITLES or low in NUMBERED or low in CLOSERS or (len(w) == 1 and w.isalpha())
         inside = low in self.inside
-        if listed and not inside and not (len(w) == 1 and self._shown_before(i - 1) == ".") and (self.is_plain(w) or low in TITLES and low in self.closing):
+        if listed and not inside and not (len(w) == 1 and self._shown_before(i - 1) == ".") and (self.is_plain(w) or low in TITLES and self.closes_turn(low)):
             return False
         if listed:
             return True
@@ -847,8 +906,7 @@ def sentence_ends(text: str | None, stats: Stats | None = None) -> list[int]:
         return []
     fixed = repair(text)
     s = Stream(fixed.text)
-    at, end = s.at, fixed.end
-    return [end(at(e)) for e in _Doc(s, stats or _NONE).cut()]
+    return fixed.ends(s.places(_Doc(s, stats or _NONE).cut()))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> Stats:
@@ -856,11 +914,15 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> Stats:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[int, int] = {}
+        seen: list[list[str]] = [[] for _ in range(KINDS)]
         gc.disable()  # the work makes no cycles
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for k, t in enumerate(b.column(0).to_pylist(), 1):
                 if t:
-                    count_words(t, into, _key)
+                    gather_words(t, seen)
+                if k % 500 == 0:
+                    add_counts(seen, into, _key)
+        add_counts(seen, into, _key)
         yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.int64()), pa.array(into.values(), pa.int64())], names=["k", "n"])
 
     rows = shipped(docs.select(text)).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
