@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.query import to_sql
-from .operators import catalogue, intervals
+from .operators import catalogue, intervals, pipeline
 
 
 @dataclass(frozen=True)
@@ -43,11 +43,20 @@ class Dataset:
         keep = lambda t: t.join(keys, "record_id", "left_semi") if t is not None else None
         return replace(self, records=keep(self.records), channels=keep(self.channels), samples=keep(self.samples), annotations={k: keep(v) for k, v in self.annotations.items()})
 
-    def transform(self, table: str, **columns: str | Column) -> "Dataset":
-        """Columns added one after the other, later ones may use earlier ones. Strings are Spark SQL."""
+    def transform(self, table: str, by: Sequence[str] = (), **columns) -> "Dataset":
+        """Columns added one after the other, later ones may use earlier ones.
+
+        A column is a Spark SQL string, a Column, or a pair of a function of the row (a dict) and its SQL type. With by,
+        strings are aggregates of the rows that agree in these columns.
+        """
         df = self._tables()[table]
         for name, c in columns.items():
-            df = df.withColumn(name, F.expr(c) if isinstance(c, str) else c)
+            if by and isinstance(c, str):
+                df = pipeline.transform_by(df, by, **{name: c})
+            elif isinstance(c, tuple):
+                df = pipeline.transform_rows(df, name, *c)
+            else:
+                df = df.withColumn(name, F.expr(c) if isinstance(c, str) else c)
         return replace(self, **{table: df}) if table in ("records", "channels", "samples") else self.annotate(table, df, False)
 
     def annotate(self, name: str, annots: DataFrame, register: bool = True) -> "Dataset":
@@ -78,7 +87,7 @@ class Dataset:
     def difference(self, x: str, y: str, name: str) -> "Dataset":
         return self.annotate(name, intervals.difference(self.annotations[x], self.annotations[y], "record_id", x))
 
-    def consolidate(self, x: str, when: str, name: str, additive: Sequence[str] = ()) -> "Dataset":
+    def consolidate(self, x: str, when: str | Callable[[dict], bool], name: str, additive: Sequence[str] = ()) -> "Dataset":
         return self.annotate(name, intervals.consolidate(self.annotations[x], when, additive, "record_id"))
 
     def remaining(self, name: str) -> DataFrame:

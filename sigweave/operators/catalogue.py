@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import number_rows
+from .ordered import number_all
 
 
 def record_id(*parts: Column) -> Column:
@@ -41,9 +41,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return g.select(*[F.col(c) if c in keys else F.col(f"_f.{c}").alias(c) for c in df.columns])
 
 
-def file_ids(files: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame:
-    """file_id: 0-based position by order over all files; chunk is monotone in order (see number_rows)."""
-    return number_rows(files.withColumn("_all", F.lit(0)), ["_all"], list(order), "file_id", chunk).drop("_all")
+def file_ids(files: DataFrame, order: Sequence[str]) -> DataFrame:
+    """file_id: 0-based position by order over all files."""
+    return number_all(files, list(order), "file_id")
 
 
 def subset(tables: dict[str, DataFrame], by: str, where: str | Column, key: str = "record_id") -> dict[str, DataFrame]:
@@ -79,6 +79,12 @@ def register_channel(channels: DataFrame, mapping: DataFrame, known: str, new: s
     return channels.where(F.col("channel") != new).unionByName(made)
 
 
+def channel_file_ids(channels: DataFrame, files: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, channel, file_id: each channel's file by name; of files of one name the smallest id, NULL if there is none."""
+    by_name = files.groupBy("file").agg(F.min("file_id").alias("file_id"))
+    return channels.select(key, "channel", "file").join(by_name, "file", "left").select(key, "channel", "file_id")
+
+
 def add_files(files: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by file name: known names keep their file_id and take the new columns, others get max(file_id) + 1 onwards."""
     if new.groupBy("file").count().where("count > 1").limit(1).collect():
@@ -86,8 +92,7 @@ def add_files(files: DataFrame, new: DataFrame) -> DataFrame:
     top = files.agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]  # one number
     old = files.join(new.select("file"), "file", "left_anti")
     same = new.join(files.select("file", "file_id"), "file")
-    fresh = number_rows(new.join(files.select("file"), "file", "left_anti").withColumn("_all", F.lit(0)), ["_all"], ["file"], "_n", F.substring("file", 1, 2))
-    fresh = fresh.withColumn("file_id", F.lit(top + 1) + F.col("_n")).drop("_all", "_n")
+    fresh = number_all(new.join(files.select("file"), "file", "left_anti"), ["file"], "file_id", top + 1)
     return old.unionByName(same, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
 
 
@@ -100,6 +105,5 @@ def set_delay(channels: DataFrame, new: float, key: str = "record_id", channel:
 
 def factor_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """1-based codes of the sorted distinct values (a factor's levels); NULL stays NULL. Levels are joined, not windowed over rows."""
-    levels = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_all", F.lit(0))
-    coded = number_rows(levels, ["_all"], [column], "_c", F.substring(F.col(column).cast("string"), 1, 1)).select(column, (F.col("_c") + 1).alias(out))
-    return df.join(coded, column, "left")
+    levels = df.where(F.col(column).isNotNull()).select(column).distinct()
+    return df.join(number_all(levels, [column], out, 1), column, "left")

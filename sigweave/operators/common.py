@@ -57,19 +57,20 @@ def attach_by_key(
     table: DataFrame,
     keys: Sequence[str],
     weight: str,
-    n_rows: int,
+    n_rows: int | Column,
     spread: Column,
     how: str = "inner",
 ) -> DataFrame:
     """rows joined with table (at most one row per key), however skewed the keys of rows are.
 
-    weight names table's column holding the number of rows of that key, n_rows an upper bound on all rows.
+    weight names table's column holding the number of rows of that key, n_rows an upper bound on all rows (a number or
+    a scalar column).
     Keys with more than n_rows / HOT_GROUPS rows number fewer than HOT_GROUPS: that part of table is broadcast,
     a proven bound. Rows of hot keys then go through the shuffle join under a salt made from spread and match
     nothing there, so no reducer gets a hot key's rows. NULL keys match nothing.
     """
     extra = [c for c in table.columns if c not in keys]
-    limit = max(1, n_rows // HOT_GROUPS)
+    limit = F.greatest(F.lit(1), F.floor(n_rows / HOT_GROUPS)) if isinstance(n_rows, Column) else max(1, n_rows // HOT_GROUPS)
     hot = F.broadcast(table.where(F.col(weight) > limit).select(*keys, F.struct(*extra).alias("_hot")))
     salted = rows.join(hot, list(keys), "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") + 1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import BLANKS, attach_by_key, carry_forward
@@ -33,24 +33,8 @@ QUOTES = "\"'\ufeff"
 FILES = {"ch_s_file", "ch_vs_file"}
 
 
-def field_of(name: str, fields: set[str]) -> str | None:
-    """Proper name of a header spelling: an alias, or a channel's field named by its parts in any order."""
-    low = re.sub(r"[\s\-]+", "_", name.strip().lower())
-    if low in fields:
-        return low
-    for proper, spelled in ALIASES.items():
-        if low in spelled.split():
-            return proper if proper in fields else None
-    parts = [p for p in re.split(r"_", low) if p and p != "ch"]
-    parts = [p[2:] if p in ("chs", "chvs") else p for p in parts]
-    channel = next((p for p in parts if p in ("s", "vs")), None)
-    kind = next((k for k, v in CHANNEL_PARTS.items() if any(p in v.split() for p in parts)), None)
-    proper = f"ch_{channel}_{kind}"
-    return proper if channel and kind and proper in fields else None
-
-
 def _spellings(fields: set[str]) -> dict[str, str]:
-    """Every lower-case spelling the rules know, with its field."""
+    """Every spelling (lower case, blanks and hyphens as _) that names a field, with that field."""
     out = {}
     for proper, spelled in ALIASES.items():
         out |= {s: proper for s in spelled.split() if proper in fields}
@@ -58,11 +42,16 @@ def _spellings(fields: set[str]) -> dict[str, str]:
         for kind, words in CHANNEL_PARTS.items():
             if f"ch_{c}_{kind}" in fields:
                 for w in words.split():
-                    for s in (f"ch_{c}_{w}", f"{c}_{w}", f"{w}_{c}", f"ch{c}_{w}", f"{w}_ch_{c}", f"ch_{w}_{c}"):
+                    for s in (f"ch_{c}_{w}", f"ch{c}_{w}", f"{c}_{w}", f"{w}_ch_{c}", f"{w}_ch{c}", f"{w}_{c}", f"ch_{w}_{c}"):
                         out[s] = f"ch_{c}_{kind}"
     return out | {f: f for f in fields}
 
 
+def field_of(name: str, fields: set[str]) -> str | None:
+    """Proper name of a header spelling, None if it names no field."""
+    return _spellings(fields).get(re.sub(r"[\s\-]+", "_", name.strip().lower()))
+
+
 def clean(col: Column) -> Column:
     """A header or value without outer blanks, quotes and byte-order marks."""
     return F.btrim(col, F.lit(BLANKS + QUOTES))
@@ -82,7 +71,7 @@ def headers(lines: DataFrame, fields: list[str]) -> DataFrame:
     """One row per log: rig, log_seq, sep, names (cleaned spellings), proper (field of each position, or NULL), n_lines.
 
     The header is line 0 of the earliest delivery. If two columns mean one field, the first counts. fields is the
-    catalogue of proper names (fixed and small). Logs without a line 0 are not present.
+    catalogue of proper names (fixed and small). Logs without a line 0 are not present (see data_lines).
     """
     spell = F.create_map(*[F.lit(x) for kv in _spellings(set(fields)).items() for x in kv])
     logs = lines.groupBy("rig", "log_seq").agg(
@@ -96,12 +85,17 @@ def headers(lines: DataFrame, fields: list[str]) -> DataFrame:
     return logs.select("rig", "log_seq", "n_lines", "sep", "names", proper.alias("proper"))
 
 
-def data_lines(lines: DataFrame, logs: DataFrame, n_rows: int) -> DataFrame:
-    """Data lines with their log's header attached: ..., sep, names, proper, vals (cleaned). Repeated headers fall out."""
-    j = attach_by_key(lines.where(F.col("line_no") > 0), logs, ["rig", "log_seq"], "n_lines", n_rows, F.col("line_no"))
-    j = j.withColumn("vals", F.transform(F.split(F.coalesce("line", F.lit("")), F.col("sep")), clean))
+def data_lines(lines: DataFrame, logs: DataFrame, n_rows: int, headless: bool = False) -> DataFrame:
+    """Data lines with their log's header attached: ..., sep, names, proper, vals (cleaned). Repeated headers fall out.
+
+    headless also keeps the lines that have no header (their log has no line 0, or they name no log): with names and
+    proper NULL and the whole line as the one value.
+    """
+    body = lines.where((F.col("line_no") > 0) | F.col("line_no").isNull() if headless else F.col("line_no") > 0)
+    j = attach_by_key(body, logs, ["rig", "log_seq"], "n_lines", n_rows, F.col("line_no"), "left" if headless else "inner")
+    j = j.withColumn("vals", F.transform(F.when(F.col("sep").isNull(), F.array(F.coalesce("line", F.lit("")))).otherwise(F.split(F.coalesce("line", F.lit("")), F.col("sep"))), clean))
     same = F.lower(F.array_join("vals", "\t")) == F.lower(F.array_join("names", "\t"))
-    return j.where(~same)
+    return j.where(F.coalesce(~same, F.lit(True)))
 
 
 def alternative(value: Column) -> Column:
@@ -181,21 +175,37 @@ def canonical_number(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(v, r"\s*[A-Za-z%°]+$", ""), ",", ".").try_cast("double")
 
 
+def appearing_alternatives(lines: DataFrame, fields: list[str], n_rows: int) -> DataFrame:
+    """rig, log_seq, field, alternative: where a field's values first take a form that none of the rig's earlier logs had.
+
+    The first log of a rig with any value in a field begins its union and reports nothing.
+    """
+    masks = fused_schemas(data_lines(lines, headers(lines, fields), n_rows))
+    tags = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(n).alias("alternative")) for t, n in ((INTEGER, "integer"), (DECIMAL, "decimal"), (TEXT, "text"))])
+    each = masks.select("rig", "log_seq", "field", "mask", F.explode(tags).alias("t")).where(F.col("mask").bitwiseAND(F.col("t.tag")) > 0)
+    first = each.groupBy("rig", "field", F.col("t.alternative").alias("alternative")).agg(F.min("log_seq").alias("log_seq"))
+    begin = F.min("log_seq").over(W.partitionBy("rig", "field"))  # over the alternatives of a field: three rows at most
+    return first.withColumn("_begin", begin).where(F.col("log_seq") > F.col("_begin")).select("rig", "log_seq", "field", "alternative")
+
+
 def canonical_table(lines: DataFrame, fields: list[str], n_rows: int) -> DataFrame:
     """One row per data line (rig, log_seq, line_no, once): each field with one name and type, and its text branch.
 
     date is DATE, time HH:mm:ss, files and operator text, the rest double; <field>_text holds the value as written where
-    the conversion does not take it or it carries a unit, else NULL. Missing values are NULL. Lines without any value
-    are dropped.
+    the conversion does not take it or it carries a unit, else NULL. unknown_text (JSON, name and value) holds what no
+    field takes: columns that the catalogue lacks, second columns of a field, values beyond the header, and whole lines
+    of logs without a header. Missing values are NULL. Of a line delivered twice the earliest delivery counts, as with
+    headers. Lines without any value are dropped.
     """
-    data = data_lines(lines, headers(lines, fields), n_rows)
-    at = F.map_from_entries(
-        F.filter(
-            F.transform("proper", lambda f, i: F.struct(f.alias("k"), F.when(alternative(F.get("vals", i)).isNotNull(), F.get("vals", i)).alias("v"))),
-            lambda s: s["k"].isNotNull() & s["v"].isNotNull(),
-        )
-    )
-    data = data.select("rig", "log_seq", "line_no", at.alias("m")).where(F.size("m") > 0)
+    data = data_lines(lines, headers(lines, fields), n_rows, headless=True)
+    given = lambda x: alternative(x).isNotNull()
+    cells = F.transform("vals", lambda x, i: F.struct(F.get("proper", i).alias("k"), F.coalesce(F.get("names", i), F.when(F.col("names").isNull(), F.lit("line")), F.concat(F.lit("column "), (i + 1).cast("string"))).alias("name"), x.alias("value")))
+    some = F.filter(cells, lambda c: given(c["value"]))
+    at = F.map_from_entries(F.transform(F.filter(some, lambda c: c["k"].isNotNull()), lambda c: F.struct(c["k"], c["value"])))
+    rest = F.filter(some, lambda c: c["k"].isNull())
+    unknown = F.when(F.size(rest) > 0, F.to_json(F.transform(rest, lambda c: F.struct(c["name"], c["value"]))))
+    whose = F.when(F.col("rig").isNull() | F.col("log_seq").isNull() | F.col("line_no").isNull(), F.col("line"))  # lines that name no place are kept apart
+    data = data.select("rig", "log_seq", "line_no", "arrived_at", whose.alias("_whose"), at.alias("m"), unknown.alias("unknown_text")).where((F.size("m") > 0) | F.col("unknown_text").isNotNull())
     cols = []
     for f in fields:
         v = F.try_element_at("m", F.lit(f))
@@ -205,6 +215,7 @@ def canonical_table(lines: DataFrame, fields: list[str], n_rows: int) -> DataFra
         typed = canonical_date(v) if f == "date" else canonical_time(v) if f == "time" else canonical_number(v)
         plain = typed.isNotNull() & ((alternative(v) != TEXT) if f not in ("date", "time") else F.lit(True))
         cols += [typed.alias(f), F.when(~plain, v).alias(f"{f}_text")]
-    flat = data.select("rig", "log_seq", "line_no", *cols)
-    rest = [c for c in flat.columns if c not in ("rig", "log_seq", "line_no")]
-    return flat.groupBy("rig", "log_seq", "line_no").agg(F.min(F.struct(*rest)).alias("_v")).select("rig", "log_seq", "line_no", *[F.col(f"_v.{c}").alias(c) for c in rest])
+    key = ["rig", "log_seq", "line_no", "_whose"]
+    flat = data.select(*key, "arrived_at", *cols, "unknown_text")
+    rest = [c for c in flat.columns if c not in (*key, "arrived_at")]
+    return flat.groupBy(*key).agg(F.min(F.struct("arrived_at", *rest)).alias("_v")).select("rig", "log_seq", "line_no", *[F.col(f"_v.{c}").alias(c) for c in rest])

@@ -65,6 +65,21 @@ def vstack(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def rows_in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that both have; NULLs are alike."""
+    return a.intersect(b)
+
+
+def rows_only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a without as many equal ones as b has; NULLs are alike."""
+    return a.exceptAll(b)
+
+
+def first_row(rows: DataFrame, where: str | Column, order: Sequence[str]) -> DataFrame:
+    """The first of the rows that match, by order."""
+    return rows.where(where).orderBy(*order).limit(1)
+
+
 def hstack(a: DataFrame, b: DataFrame, keys: Sequence[str], overlap: int = 0, values: str = "values") -> DataFrame:
     """b's values after a's, row by row; over overlap positions they cross-fade linearly, b's weight being (m + 1/n) spaced 1/n to 1.
 
@@ -91,44 +106,50 @@ def add(a: DataFrame, b: DataFrame, keys: Sequence[str], offset: int = 0, sign:
 def sample(rows: DataFrame, n: int, seed: int = 0, replace: bool = False, order: Sequence[str] = ()) -> DataFrame:
     """n rows at random by seed, with or without replacement (without: at most all).
 
-    Without replacement it is a top-n by random number. With it, each row comes Poisson(1)-like: n draws of positions
-    met by an equi-join with the numbered rows.
+    Without replacement it is a top-n by random number. With it, n draws of positions meet the rows, numbered in the order
+    of a hash over chunks of hashes, so no task holds them all.
     """
     if not replace:
         return rows.orderBy(F.rand(seed), *order).limit(n)
     from .ordered import number_rows
 
-    one = rows.withColumn("_all", F.lit(0))
-    numbered = number_rows(one, ["_all"], list(order) or [F.xxhash64(*rows.columns)], "_at", F.floor(F.spark_partition_id()) if not order else F.col(order[0]))
-    total = rows.count()
+    one = rows.withColumn("_all", F.lit(0)).withColumn("_h", F.xxhash64(*(order or rows.columns)))
+    numbered = number_rows(one, ["_all"], ["_h", *order], "_at", F.shiftright("_h", 48)).drop("_h")
+    total = rows.select(F.count("*")).scalar()
     draws = rows.sparkSession.range(n).select(F.floor(F.rand(seed) * total).cast("bigint").alias("_at"), F.col("id").alias("draw"))
     return draws.join(numbered, "_at").drop("_at", "_all")
 
 
 def build(cropped: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Crops (keys, k, v) onto the grid of the longest one, 0 where a row ends before it."""
-    top = cropped.agg(F.max("k")).first()[0]  # one number
-    rows = cropped.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(0 if top is None else top).cast("bigint"))).alias("k"))
+    top = cropped.select(F.coalesce(F.max("k"), F.lit(0)).cast("bigint")).scalar()
+    rows = cropped.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("k"))
     return rows.join(cropped, [*keys, "k"], "left").select(*keys, "k", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def dejitter(ens: DataFrame, keys: Sequence[str], max_lag: int, iterations: int = 1) -> DataFrame:
     """Rows rolled (circularly) to the lag within max_lag at which they correlate best with the median trace; iterated.
 
-    A round: medians by position (one small row a position), scores of every row and lag by an equi-join on position,
-    best lag a row (least |lag| on ties). Rounds are cut by a checkpoint and stop when nothing moves.
+    A round: medians by position (one small row a position); of every row and lag the Pearson correlation of the median
+    with the row shifted against it, positions that a shifted row does not have counting as zeros, by an equi-join on
+    position; best lag a row (least |lag| on ties). Rounds are cut by a checkpoint and stop when nothing moves.
     """
     out = ens
     for _ in range(iterations):
-        top = out.agg(F.max("k")).first()[0]  # one number
-        if top is None:
-            break
         med = out.groupBy("k").agg(F.percentile(missing(F.col("v")), F.lit(0.5)).alias("m"))
+        # of the median as a template: its mean, spread and length
+        t = med.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.count("*").alias("n"), F.max("k").alias("top")).first()  # four numbers
+        if t.top is None:
+            break
         lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
         shifted = out.select(*keys, "k", "v", lags).withColumn("k", F.col("k") + F.col("lag"))
-        score = shifted.join(med, "k").groupBy(*keys, "lag").agg(F.sum(F.col("v") * F.col("m")).alias("score"))
-        best = score.groupBy(*keys).agg(F.max(F.struct("score", (-F.abs("lag")).alias("a"), "lag")).alias("b")).select(*keys, F.col("b.lag").alias("lag"))
-        moved = out.join(best, list(keys)).withColumn("k", F.pmod(F.col("k") + F.col("lag"), F.lit(top + 1)))
+        z = F.when(F.lit((t.std or 0.0) > 1e-12), (F.col("m") - t.mean) / F.lit(t.std or 1.0)).otherwise(F.lit(0.0))
+        v = F.col("v")
+        sums = shifted.join(med, "k").groupBy(*keys, "lag").agg(F.sum(v * z).alias("dot"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"))
+        var = t.n * F.col("s2") - F.col("s1") * F.col("s1")
+        score = F.when(var > 1e-9, F.col("dot") / F.sqrt(F.greatest(var, F.lit(1e-300))))
+        best = sums.groupBy(*keys).agg(F.max(F.struct(score.alias("score"), (-F.abs("lag")).alias("a"), "lag")).alias("b")).select(*keys, F.when(F.col("b.score").isNotNull(), F.col("b.lag")).otherwise(0).alias("lag"))
+        moved = out.join(best, list(keys)).withColumn("k", F.pmod(F.col("k") + F.col("lag"), F.lit(t.top + 1)))
         moved = checkpointed(moved)
         out = moved.select(*keys, "k", "v")
         if moved.where("lag <> 0").limit(1).count() == 0:

@@ -6,13 +6,14 @@ its joins by record_id and bounds them by the interval itself; none pairs all ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import attach_by_key, carry_forward, shipped
 from .ordered import CHUNK, number_rows
+from .signals import all_of
 
 SLOT_S = 64.0
 
@@ -67,7 +68,9 @@ def register(annots: DataFrame, records: DataFrame, key: str = "record_id") -> D
     a = annots.where(F.col("annot_id").isNotNull())
     comment = F.coalesce(a["comment"].cast("string"), F.lit("")) if "comment" in annots.columns else F.lit("")
     a = a.select(key, "annot_id", "start", "end", comment.alias("comment"), *extra)
-    j = a.join(records.select(key, F.col("datetime").alias("_at")), key, "left")
+    w = a.groupBy(key).agg(F.count("*").alias("_w"))
+    at = records.select(key, F.col("datetime").alias("_at")).join(w, key)
+    j = attach_by_key(a, at, [key], "_w", all_of(w, "_w"), F.col("annot_id"), "left")
     at = F.expr("_at + make_dt_interval(0, 0, 0, cast(start as decimal(18,6)))")
     return j.select(key, "annot_id", "start", "end", (F.col("end") - F.col("start")).alias("duration"), at.alias("datetime"), "comment", *extra)
 
@@ -131,14 +134,15 @@ def flanking(annots: DataFrame, before: float, after: float) -> DataFrame:
     return annots.withColumn("start", F.col("start") - before).withColumn("end", F.col("end") + after)
 
 
-def consolidate(annots: DataFrame, when: str, additive: Sequence[str] = (), key: str = "rid", drop_singletons: bool = False) -> DataFrame:
+def consolidate(annots: DataFrame, when: str | Callable[[dict], bool], additive: Sequence[str] = (), key: str = "rid", drop_singletons: bool = False, max_gap: float | None = None) -> DataFrame:
     """Runs of neighbours (by start, end, annot_id) merged while the predicate holds for the row that would result.
 
-    when (see functions.query.row_predicate) may use start, end, duration, consolidated_duration (sum of the parts), n and
+    when, a query string (see functions.query.row_predicate) or a function of the row as a dict, may use start, end, duration, consolidated_duration (sum of the parts), n and
     the additive columns of the merged row. Merged: start and annot_id of the first, end of the last, comments joined,
     additive columns summed. drop_singletons leaves out records of one annotation. The fold is sequential by definition:
     rows are sorted by record and start (a sort that spills) and stream through with one open run as the only state, so
-    no record is ever held as a whole. Rows with NULL start or end are left out.
+    no record is ever held as a whole. max_gap says that no run goes on over a longer gap between neighbours: records are
+    then cut there and their parts folded in parallel. Rows with NULL start or end are left out.
     """
     add = list(additive)
     fields = ["annot_id", "start", "end", *add, "comment"]
@@ -156,8 +160,8 @@ def consolidate(annots: DataFrame, when: str, additive: Sequence[str] = (), key:
     def fold(batches):
         from sigweave.functions.query import row_predicate
 
-        holds = row_predicate(when)
-        run, record, parts, out = None, None, 0, [[] for _ in out_names]
+        holds = when if callable(when) else row_predicate(when)
+        run, record, place, parts, out = None, None, None, 0, [[] for _ in out_names]
 
         def emit():
             if run is not None and not (drop_singletons and parts == 1):
@@ -165,11 +169,11 @@ def consolidate(annots: DataFrame, when: str, additive: Sequence[str] = (), key:
                     c.append(record if n == key else run[n])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in (key, *fields)]
-            for rid, *vals in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in (key, "_part", *fields)]
+            for rid, part, *vals in zip(*cols, strict=True):
                 r = dict(zip(fields, vals, strict=True))
                 length = r["end"] - r["start"]
-                if run is not None and rid == record:
+                if run is not None and (rid, part) == (record, place):
                     parts += 1
                     m = run | {"end": r["end"], "duration": r["end"] - run["start"], "consolidated_duration": run["consolidated_duration"] + length, "n": run["n"] + 1, "comment": run["comment"] + r["comment"]} | {c: run[c] + r[c] for c in add}
                     if holds(m):
@@ -178,7 +182,7 @@ def consolidate(annots: DataFrame, when: str, additive: Sequence[str] = (), key:
                     emit()
                 else:
                     emit()
-                    record, parts = rid, 1
+                    record, place, parts = rid, part, 1
                 run = r | {"duration": length, "consolidated_duration": length, "n": 1}
             if len(out[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -186,7 +190,17 @@ def consolidate(annots: DataFrame, when: str, additive: Sequence[str] = (), key:
         emit()
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    ordered = shipped(rows).repartition(key).sortWithinPartitions(key, "start", "end", "annot_id")
+    if max_gap is not None and drop_singletons:
+        single = rows.groupBy(key).agg(F.count("*").alias("_w")).where("_w = 1")
+        rows, drop_singletons = rows.join(single.select(key), key, "left_anti"), False
+    if max_gap is None:
+        rows = rows.withColumn("_part", F.lit(0).cast("bigint"))
+    else:
+        placed = number_rows(rows, [key], ["start", "end", "annot_id"], "_at", F.floor(F.col("start") / SLOT_S))
+        placed = carry_forward(placed, [key], "_at", "end", "_before", CHUNK)
+        placed = placed.withColumn("_head", F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") > max_gap), F.col("_at")))
+        rows = carry_forward(placed, [key], "_at", "_head", "_earlier", CHUNK).withColumn("_part", F.coalesce("_head", "_earlier")).drop("_at", "_before", "_head", "_earlier")
+    ordered = shipped(rows).repartition(key, "_part").sortWithinPartitions(key, "_part", "start", "end", "annot_id")
     return ordered.mapInArrow(fold, ", ".join(f"`{n}` {x}" for n, x in zip(out_names, out_types, strict=True)))
 
 
@@ -197,5 +211,5 @@ def remaining_records(records: DataFrame, annots: DataFrame, key: str = "record_
 
 def high_water(source: DataFrame, target: DataFrame, key: str = "record_id") -> DataFrame:
     """Incremental selection: rows of source beyond the greatest key in target (all, if target is empty)."""
-    top = target.agg(F.max(key)).first()[0]  # one number
-    return source if top is None else source.where(F.col(key) > top)
+    top = target.select(F.max(key)).scalar()
+    return source.where(F.coalesce(F.col(key) > top, F.lit(True)))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import carry_forward  # noqa: F401  (part of this module's surface)
+from .common import carry_forward, checkpointed  # noqa: F401  (part of this module's surface)
 
 CHUNK = 4096
 
@@ -38,15 +38,33 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
+def number_all(df: DataFrame, order: Sequence[str | Column], out: str, first: int = 0) -> DataFrame:
+    """Adds out: first, first + 1, ... by order over all rows, whatever their values: a range-partitioned sort.
+
+    Rows are kept by a checkpoint between the sort and the count of its partitions, whose sizes (a number each) go
+    through the driver, so a repeated task cannot see another cut. order should be total.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = checkpointed(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}
+    offsets, at = [], first
+    for k in range(max(sizes, default=-1) + 1):
+        offsets.append(at)
+        at += sizes.get(k, 0)
+    base = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in offsets or [0]]), F.col("_part") + 1)
+    return placed.select(*df.columns, (base + F.col("_at")).alias(out))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, out: str, chunk: Column) -> DataFrame:
     """Adds out: the sum of value over the rows of keys that come before in order; chunk as in number_rows."""
-    cut = df.withColumn("_chunk", chunk).withColumn("_c", F.coalesce(F.col("_chunk").cast("string"), F.lit(""))).withColumn("_v", value)
+    cut = df.withColumn("_chunk", chunk).withColumn("_c", F.coalesce(F.col("_chunk").cast("string"), F.lit(""))).withColumn("_amount", value)
     inner = W.partitionBy(*keys, "_c").orderBy(*order)
-    local = cut.withColumn("_upto", F.sum("_v").over(inner.rowsBetween(W.unboundedPreceding, 0))).withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
+    local = cut.withColumn("_upto", F.sum("_amount").over(inner.rowsBetween(W.unboundedPreceding, 0))).withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
     along = W.partitionBy(*keys, F.when(~F.col("_last"), F.col("_c"))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     placed = local.withColumn("_base", F.when(F.col("_last"), F.sum("_upto").over(along)))
     placed = placed.withColumn("_base", F.max("_base").over(W.partitionBy(*keys, "_c")))
-    return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_upto") - F.col("_v")).alias(out))
+    return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_upto") - F.col("_amount")).alias(out))
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], order: str, before: int, after: int, chunk: int = CHUNK) -> tuple[DataFrame, W]:
@@ -66,16 +84,19 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 
 
-def blocks(samples: DataFrame, keys: Sequence[str], value: str = "v", order: str = "i", size: int = 1 << 16, halo: int = 0) -> DataFrame:
+def blocks(samples: DataFrame, keys: Sequence[str], value: str = "v", order: str = "i", size: int | Column = 1 << 16, halo: int = 0, after: int | None = None) -> DataFrame:
     """Samples as array rows of bounded length: keys, block, i0 (position of the first value), own0, own_n, x.
 
-    A block holds at most size + 2 * halo values; own0 and own_n tell which of them are its own. A signal shorter than
-    size is one block. Positions must be complete (0 .. n-1); NULL values become NaN.
+    A block holds at most size values and halo before and after them (after, if given, behind them); own0 and own_n tell
+    which are its own. A signal shorter than size is one block. size may be a column that is the same within a key.
+    Positions must be complete (0 .. n-1); NULL values become NaN.
     """
-    i = F.col(order)
+    i, size = F.col(order), size if isinstance(size, Column) else F.lit(size)
+    after = halo if after is None else after
     out = samples.withColumn("_home", F.floor(i / size))
-    if halo:
-        out = out.withColumn("block", F.explode(F.sequence(F.floor((F.greatest(i - halo, F.lit(0))) / size), F.floor((i + halo) / size))))
+    if halo or after:
+        # what a block has behind it lies in the heads of the next ones: a sample goes back to them by after, on by halo
+        out = out.withColumn("block", F.explode(F.sequence(F.floor(F.greatest(i - after, F.lit(0)) / size), F.floor((i + halo) / size))))
         # a halo may reach a block that does not exist
         out = out.withColumn("_own", F.col("_home") == F.col("block"))
     else:

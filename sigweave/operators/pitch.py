@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from .signals import create_grid
 
 
@@ -28,3 +29,21 @@ def fundamental(points: DataFrame, keys: Sequence[str], rate: float) -> DataFram
     """freq / harmonic interpolated to a regular series from the first to the last point: keys, i, v."""
     f = points.select(*keys, "time", F.try_divide(F.col("freq"), F.coalesce(F.col("harmonic"), F.lit(1))).alias("v"))
     return create_grid(f.select(*keys, F.col("time").alias("t"), "v"), keys, rate)
+
+
+def tract_gain(freq: Column, reflect: float = 0.1, length: float = 4.0, **tract: float) -> Column:
+    """Steady-state gain of the upper tract at a frequency: kernels.tract_magnitude without Python, in real numbers."""
+    c, w = K.TRACT | tract, 2 * F.pi() * freq
+    tube = (1 - reflect) / F.sqrt(1 + 2 * reflect * F.cos(2 * w * length / K.SOUND_SPEED) + reflect * reflect)
+    k = c["ch"] * c["lg"] * w * w / (F.pow(c["ch"] * c["rh"] * w, F.lit(2.0)) + 1)
+    real = c["rb"] - k * (c["rb"] + c["lb"] * c["ch"] * c["rh"] * w * w)
+    imaginary = w * (c["lb"] + c["lg"]) + k * w * (c["rb"] * c["ch"] * c["rh"] - c["lb"])
+    return tube / F.sqrt(real * real + imaginary * imaginary)
+
+
+def tract_taps(rate: float, taps: int = 1001, reflect: float = 0.1, length: float = 4.0, **tract: float) -> list[float]:
+    """Taps of the filter with that gain, for transforms.lfilter: given at as many frequencies as it has taps."""
+    import numpy as np
+
+    f = np.linspace(0, rate / 2, taps)
+    return K.fir_from_magnitude(f, K.tract_magnitude(f, reflect, length, **tract), rate, taps).tolist()

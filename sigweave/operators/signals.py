@@ -27,7 +27,12 @@ def lengths(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_totals(samples: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """samples with per-signal aggregates attached (n always), whatever the skew."""
     totals = samples.groupBy(*keys).agg(F.count("*").alias("n"), *[a.alias(n) for n, a in aggs.items()])
-    return attach_by_key(samples, totals, keys, "n", samples.count(), F.col("i"))
+    return attach_by_key(samples, totals, keys, "n", all_of(totals, "n"), F.col("i"))
+
+
+def all_of(totals: DataFrame, column: str) -> Column:
+    """Sum of a per-signal count over all signals, as a scalar subquery: no job runs while a plan is built."""
+    return totals.select(F.coalesce(F.sum(column), F.lit(0))).scalar()
 
 
 def crop_bounds(n: Column, start: float | None, end: float | None, rate: float, delay: float = 0.0, samples: int | None = None) -> tuple[Column, Column]:
@@ -137,7 +142,8 @@ def at_times(samples: DataFrame, points: DataFrame, keys: Sequence[str], rate: f
     hold keeps the first and last value through their half samples; outside, fill (None: NULL). A point of an unknown
     signal gives fill. Points may hold further columns.
     """
-    p = attach_by_key(points, lengths(samples, keys), keys, "n", samples.count(), F.col("t"), "left")
+    n = lengths(samples, keys)
+    p = attach_by_key(points, n, keys, "n", all_of(n, "n"), F.col("t"), "left")
     k = (F.col("t") - delay) * rate - tjust
     last = (F.col("n") - 1).cast("double")
     lo = F.least(F.greatest(F.floor(k).cast("double"), F.lit(0.0)), last)
@@ -190,6 +196,15 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str], offset: Column | in
     return j.select(*keys, "i", v.alias("v"))
 
 
+def combine_times(a: DataFrame, b: DataFrame, keys: Sequence[str], rate: float, rate_b: float, delay: float = 0.0, delay_b: float = 0.0, op: str = "+") -> DataFrame:
+    """a + b or a - b at a's times, b (of its own rate and delay) interpolated there; missing partners as in combine."""
+    points = a.select(*keys, "i", F.col("v").alias("_mine"), times(F.col("i"), rate, delay).alias("t"))
+    j = at_times(b, points, keys, rate_b, delay_b, fill=None)
+    x, y = F.nanvl(F.col("_mine"), F.lit(None).cast("double")), F.nanvl(F.col("v"), F.lit(None).cast("double"))
+    z = F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)) * (1 if op == "+" else -1)
+    return j.select(*keys, "i", (F.when(x.isNotNull() | y.isNotNull(), z) if op == "+" else z).alias("v"))
+
+
 def create_grid(points: DataFrame, keys: Sequence[str], rate: float, chunk: float = 3600.0) -> DataFrame:
     """Irregular points (keys, t, v) to a regular grid: linear between neighbours.
 
@@ -201,7 +216,7 @@ def create_grid(points: DataFrame, keys: Sequence[str], rate: float, chunk: floa
     h, w = with_halo(numbered, keys, "_i", 0, 1)
     seg = own_rows(h.withColumn("_t1", F.lead("t").over(w)).withColumn("_v1", F.lead("v").over(w))).where(F.col("_t1").isNotNull())
     span = points.groupBy(*keys).agg(F.min("t").alias("_first"), F.max("t").alias("_end"), F.count("*").alias("_weight"))
-    seg = attach_by_key(seg, span, keys, "_weight", points.count(), F.col("_i")).withColumn("_m", F.floor((F.col("_end") - F.col("_first")) * rate).cast("bigint"))
+    seg = attach_by_key(seg, span, keys, "_weight", all_of(span, "_weight"), F.col("_i")).withColumn("_m", F.floor((F.col("_end") - F.col("_first")) * rate).cast("bigint"))
     lo = F.ceil((F.col("t") - F.col("_first")) * rate).cast("bigint")
     hi = F.least(F.ceil((F.col("_t1") - F.col("_first")) * rate).cast("bigint"), F.col("_m")) - 1
     cells = seg.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo") <= F.col("_hi")).withColumn("i", F.explode(F.sequence("_lo", "_hi")))
@@ -227,19 +242,24 @@ def robust_threshold(samples: DataFrame, keys: Sequence[str], factor: float = 1.
     v = F.nanvl(F.col("v"), F.lit(None).cast("double"))
     median = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if accuracy else (lambda c: F.percentile(c, F.lit(0.5)))
     med = samples.groupBy(*keys).agg(median(v).alias("_med"), F.count("*").alias("n"))
-    dev = attach_by_key(samples, med, keys, "n", samples.count(), F.col("i"))
-    out = dev.groupBy(*keys).agg(F.first("_med").alias("median"), median(F.abs(v - F.col("_med"))).alias("mad"))
-    return out.select(*keys, "median", "mad", (F.col("median") + factor * 4 * F.col("mad") / 0.6745).alias("threshold"))
+    dev = attach_by_key(samples, med, keys, "n", all_of(med, "n"), F.col("i"))
+    out = dev.groupBy(*keys).agg(F.first("_med").alias("median"), median(F.abs(v - F.col("_med"))).alias("mad"), F.count("*").alias("n"))
+    return out.select(*keys, "n", "median", "mad", (F.col("median") + factor * 4 * F.col("mad") / 0.6745).alias("threshold"))
 
 
-def annotation_samples(samples: DataFrame, annots: DataFrame, key: str = "rid", rate: float = 1.0, delay: float = 0.0, set_delay: float | None = None) -> DataFrame:
-    """Samples of each annotation: key, annot_id, k (position in it), v: an equi-join on exploded sample positions.
+def annotation_samples(samples: DataFrame, annots: DataFrame, key: str = "rid", rate: float = 1.0, delay: float = 0.0) -> DataFrame:
+    """Samples of each annotation: key, annot_id, k (position in it), v.
 
-    The interval is expanded to its positions on the annotation side, so the join is on (key, i) and no record's samples
-    meet in one task.
+    Annotations meet arrays of CHUNK samples, by (key, chunk), and take their slice of each: the join has a row for each
+    annotation and chunk, not for each sample, and no record's samples meet in one task.
     """
     i0 = F.greatest(F.lit(0), F.floor((F.col("start") - delay) * rate)).cast("bigint")
     i1 = F.floor((F.col("end") - delay) * rate).cast("bigint")
     a = annots.select(key, "annot_id", i0.alias("_i0"), i1.alias("_i1")).where(F.col("_i1") > F.col("_i0"))
-    cells = a.select(key, "annot_id", "_i0", F.explode(F.sequence(F.col("_i0"), F.col("_i1") - 1)).alias("i"))
-    return cells.join(samples.select(key, "i", "v"), [key, "i"]).select(key, "annot_id", (F.col("i") - F.col("_i0")).alias("k"), "v")
+    a = a.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_i0") / CHUNK), F.floor((F.col("_i1") - 1) / CHUNK))))
+    at = F.col("_chunk") * CHUNK
+    g = samples.select(key, F.floor(F.col("i") / CHUNK).alias("_chunk"), F.struct("i", "v").alias("_s")).groupBy(key, "_chunk").agg(F.array_sort(F.collect_list("_s")).alias("_x"))
+    j = a.join(g, [key, "_chunk"])
+    cut = F.filter("_x", lambda s: (s["i"] >= F.col("_i0")) & (s["i"] < F.col("_i1")))
+    whole = F.when((F.col("_i0") <= at) & (F.col("_i1") >= at + CHUNK), F.col("_x")).otherwise(cut)
+    return j.select(key, "annot_id", "_i0", F.explode(whole).alias("s")).select(key, "annot_id", (F.col("s.i") - F.col("_i0")).alias("k"), F.col("s.v").alias("v"))

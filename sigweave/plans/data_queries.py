@@ -96,7 +96,7 @@ P2_OUTPUTS_SQL = _levels_sql()
 
 def _log_fields(spark: SparkSession, d: str) -> list[str]:
     """The catalogue of fields: a fixed table of 13 rows."""
-    return sorted(r.field for r in table(spark, d, "log_field").where(F.col("field").isNotNull()).distinct().limit(1000).collect())
+    return sorted(r.field for r in table(spark, d, "log_field").where(F.col("field").isNotNull()).distinct().collect())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -104,21 +104,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(lines, _log_fields(spark, d), lines.count()).select("rig", "log_seq", "field", "change_kind")
 
 
-def _spelling_rows() -> str:
-    """The spellings of the fields as SQL values."""
-    names = {*drift.ALIASES, *(f"ch_{c}_{k}" for c in ("s", "vs") for k in drift.CHANNEL_PARTS)}
-    return ", ".join(f"('{s}', '{f}')" for s, f in sorted(drift._spellings(names).items()))
+def _fields_sql() -> str:
+    """The field a spelling s names, as rules of the SQL's own."""
+    words = {
+        "date": "date|day|datum|dia|fecha|jour|data|date_rec|rec_date|log_date", "time": "time|tm|clock|hms|hora|uhrzeit|heure|zeit|rec_time|time_rec",
+        "temp_c": "temp|temp_c|tempc|temperature|temperatura|t_cage|temp_cage|cage_temp", "humidity": "hum|humidity|humidity_pct|humedad|rh|rel_hum|feuchte",
+        "operator": "oper|operator|observer|user|initials|user_initials|who", "trigger": "trig|trigger|triggered|auto_trig|trigger_auto", "gain": "gain|gain_db|gaindb|amp_gain|preamp|preamp_gain",
+    }
+    for c in ("s", "vs"):
+        for kind, w in (("file", "file|filename|fname|name|wav"), ("min", "min|minimum|lo|low"), ("max", "max|maximum|hi|high"), ("delay", "delay|dly|lag")):
+            words[f"ch_{c}_{kind}"] = f"(ch_?)?{c}_({w})|({w})_(ch_?)?{c}|ch_({w})_{c}"
+    return "case " + " ".join(f"when s = '{f}' or regexp_full_match(s, '{w}') then '{f}'" for f, w in words.items()) + " else s end"
 
 
 _P3 = f"""
-with a(s, f) as (values {_spelling_rows()}),
-q as (select ' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(160) || '"' || chr(39) || chr(65279) t),
+with q as (select ' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(160) || '"' || chr(39) || chr(65279) t),
 hd as (select rig, log_seq, coalesce(line, '') line from avimat_log where line_no = 0 qualify row_number() over (partition by rig, log_seq order by arrived_at, line) = 1),
 hn as (select *, len(line) - len(replace(line, chr(9), '')) n1, len(line) - len(replace(line, ';', '')) n2, len(line) - len(replace(line, '|', '')) n3, len(line) - len(replace(line, ',', '')) n4 from hd),
 hs as (select rig, log_seq, line, case greatest(n1, n2, n3, n4) when n1 then chr(9) when n2 then ';' when n3 then '|' else ',' end sep from hn),
 hv as (select rig, log_seq, sep, list_transform(string_split(line, sep), lambda x: trim(x, t)) names from hs, q),
 nm as (select rig, log_seq, unnest(names) name, generate_subscripts(names, 1) pos from hv),
-ff as (select rig, log_seq, pos, name, f from nm join a on a.s = regexp_replace(lower(name), '[\\s-]+', '_', 'g') where f in (select field from log_field)
+ns as (select *, regexp_replace(lower(name), '[\\s-]+', '_', 'g') s from nm),
+nf as (select *, {_fields_sql()} f from ns),
+ff as (select rig, log_seq, pos, name, f from nf where f in (select field from log_field)
   qualify row_number() over (partition by rig, log_seq, f order by pos) = 1),
 sq as (select rig, log_seq, lag(log_seq) over (partition by rig order by log_seq) p from hd),
 shape as (select sq.rig, sq.log_seq, n.f field, case when o.name is null then 'added' when o.name <> n.name then 'renamed' end change_kind
@@ -135,6 +143,15 @@ rt as (select *, lag(ty) over (partition by rig, field order by log_seq) was fro
 P3_SQL = _P3 + "select * from shape where change_kind is not null union all select rig, log_seq, field, 'retyped' from rt where was <> ty"
 P3_ALTERNATIVES_SQL = _P3 + 'select field, ty "type", alternatives, count(*) n_logs from ty group by all'
 
+P3_APPEARING_SQL = _P3 + """, fa as (select rig, field, tag, min(log_seq) log_seq from tg group by all)
+select rig, log_seq, field, case tag when 1 then 'integer' when 2 then 'decimal' else 'text' end alternative from fa qualify log_seq > min(log_seq) over (partition by rig, field)"""
+
+
+def p3_appearing(spark: SparkSession, d: str) -> DataFrame:
+    """Where a field's values first take a form that the rig's earlier logs did not have."""
+    lines = table(spark, d, "avimat_log")
+    return drift.appearing_alternatives(lines, _log_fields(spark, d), lines.count())
+
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "avimat_log")
@@ -196,5 +213,5 @@ select record_id, 'merged' kind, s start_ms, e end_ms from per where n > 1
 union all select record_id, 'gap', s, e from gap where s is not null and e - s <= 3600000
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_outputs": p2_outputs, "p3_found": p3_found, "p3_table": p3_table, "p3_alternatives": p3_alternatives, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_outputs": P2_OUTPUTS_SQL, "p3_found": P3_SQL, "p3_alternatives": P3_ALTERNATIVES_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_outputs": p2_outputs, "p3_found": p3_found, "p3_table": p3_table, "p3_alternatives": p3_alternatives, "p3_appearing": p3_appearing, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_outputs": P2_OUTPUTS_SQL, "p3_found": P3_SQL, "p3_alternatives": P3_ALTERNATIVES_SQL, "p3_appearing": P3_APPEARING_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL}

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import intervals, pipeline
-from .reference_queries import _A, _N, _REC, _SIG, KEY, TEMPLATE, ann_a, annots, r6, records, s6, sig, table
+from .reference_queries import _A, _CUT, _N, _REC, _SIG, KEY, SQL as SQL_OF, TEMPLATE, ann_a, annots, r6, records, s6, sig, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,11 +113,30 @@ def _(spark, d):
     return pipeline.preprocess(s, KEY, {"s": lambda x: x - np.mean(x)})
 
 
+@query("preprocess_detrend", f"with {_SIG} select rid, i, {s6('case when rid % 2 = 0 then v - avg(v) over (partition by rid) else v end')} v from sig")
+def _(spark, d):
+    s = sig(spark, d).withColumn("channel", F.when(F.col("rid") % 2 == 0, "s").otherwise("vs"))
+    return pipeline.preprocess(s, KEY, {"s": lambda x: x - np.mean(x)}).select("rid", "i", r6("v").alias("v"))
+
+
 @query("detect_envelope")
 def _(spark, d):
     return pipeline.detect(sig(spark, d), "rid", 100.0, 3, 5.0, (60.0, 20.0))
 
 
+_OWN = f"""with {_SIG}, f as (select *, v >= 20 and i > 0 a from sig), g as (select *, sum(case when a then 0 else 1 end) over (partition by rid order by i) g from f),
+r as (select rid, g, min(i) i0, max(i) i1, max(v) m from g where a group by rid, g having max(v) > 60)
+select rid, row_number() over (partition by rid order by i0) - 1 annot_id, greatest(i0 - 1, 0)::double "start", i1 + 1.0::double "end", m max_env from r"""
+
+
+@query("detect_function", _OWN)
+def _(spark, d):
+    def silent_start(x):
+        return np.where(np.arange(len(x)) > 0, x, 0.0)
+
+    return pipeline.detect(sig(spark, d), "rid", 1.0, threshold=(60.0, 20.0), envelope=silent_start)
+
+
 @query("match_template")
 def _(spark, d):
     return pipeline.match(sig(spark, d), "rid", TEMPLATE, 1.0, 0.6)
@@ -128,7 +147,57 @@ def _(spark, d):
     return pipeline.match(sig(spark, d), "rid", TEMPLATE, 1.0, robust=0.5)
 
 
+@query("match_preprocessed")
+def _(spark, d):
+    return pipeline.match(sig(spark, d), "rid", TEMPLATE, 1.0, 0.6, preprocess=lambda x: np.log1p(np.abs(x)))
+
+
+@query("match_envelope")
+def _(spark, d):
+    t = pipeline.Template([20.0, 80.0, 80.0, 20.0], 50.0, "env", "binmax", {"bin_size": 2})
+    return pipeline.match(sig(spark, d), "rid", t, 100.0, 0.5)
+
+
+@query("match_spectrogram")
+def _(spark, d):
+    cells = [(seg, f, float(-f * (1 + seg))) for seg in range(2) for f in range(5)]
+    t = pipeline.Template(cells, 25.0, "spe", "scipy", {"nperseg": 8, "noverlap": 4})
+    return pipeline.match(sig(spark, d), "rid", t, 100.0, 0.3)
+
+
+@query("match_own_template")
+def _(spark, d):
+    return pipeline.match(sig(spark, d), "rid", lambda x: x[3:9], 1.0, 0.7)
+
+
 @query("ensemble_resampled")
 def _(spark, d):
     s = sig(spark, d)
     return pipeline.ensemble_of(s, intervals.segment_islands(s, 20, 60), "rid", 1.0, 2.0)
+
+
+@query("ensemble_get", f"with {_SIG}, {_A}, {_CUT}, dd as (select rid, annot_id, k, v - lag(v) over (partition by rid, annot_id order by k) v from cut), c as (select rid, annot_id, k - 1 k, v from dd where v is not null), top as (select max(k) t from c), g as (select rid, annot_id, unnest(range(0, t + 1)) k from (select distinct rid, annot_id from c), top) select g.rid, g.annot_id, g.k, {s6('coalesce(c.v, 0)')} v from g left join c on g.rid = c.rid and g.annot_id = c.annot_id and g.k = c.k")
+def _(spark, d):
+    s = sig(spark, d)
+    e = pipeline.ensemble_of(s, intervals.segment_islands(s, 20, 60), "rid", 1.0, get=np.diff)
+    return e.select("rid", "annot_id", "k", r6("v").alias("v"))
+
+
+@query("transform_function", "select event_id, event_type || ':' || round(value)::bigint label, 2 * value double_value from events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    e = pipeline.transform_rows(e, "label", lambda r: f"{r['event_type']}:{int(r['value'] + 0.5)}", "string")
+    return pipeline.transform_rows(e, "double_value", lambda r: 2 * r["value"], "double").select("event_id", "label", "double_value")
+
+
+@query("consolidate_function", SQL_OF["consolidate"])
+def _(spark, d):
+    m = intervals.consolidate(ann_a(spark, d), lambda r: r["consolidated_duration"] / r["duration"] > 0.9 and r["duration"] < 40, ["max_env"])
+    return m.select("rid", "annot_id", "start", "end", r6("duration").alias("duration"), r6("consolidated_duration").alias("consolidated_duration"), "n", r6("max_env").alias("max_env"))
+
+
+@query("consolidate_parts", SQL_OF["consolidate"])
+def _(spark, d):
+    # runs shorter than 40 of which nine tenths are covered cannot hold a gap of 4
+    m = intervals.consolidate(ann_a(spark, d), "consolidated_duration / duration > 0.9 and duration < 40", ["max_env"], max_gap=4.0)
+    return m.select("rid", "annot_id", "start", "end", r6("duration").alias("duration"), r6("consolidated_duration").alias("consolidated_duration"), "n", r6("max_env").alias("max_env"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, common, correlate, ensemble, intervals, pitch, signals
-from ..operators.ordered import number_rows
+from ..operators import catalogue, common, correlate, ensemble, intervals, pipeline, pitch, signals, transforms
+from ..operators.ordered import number_all, number_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -184,7 +184,7 @@ def _(spark, d):
 @query("file_ids", "select folder, file, row_number() over (order by folder, file) - 1 file_id from (select distinct folder, file from file_db)")
 def _(spark, d):
     f = table(spark, d, "file_db").select("folder", "file").distinct()
-    return catalogue.file_ids(f, ["folder", "file"], F.col("folder"))
+    return catalogue.file_ids(f, ["folder", "file"])
 
 
 @query("subset_semi_join", "with r as (select user_id from events where value > 400) select event_id, user_id, value from events where user_id in (select user_id from r)")
@@ -234,15 +234,13 @@ def _(spark, d):
 
 @query("channel_file_ids", f"with {_REC}, {_FIL}, byname as (select file, min(file_id) file_id from fil group by file) select record_id, channel, file_id from (select record_id, 's' channel, ch_s_file f from rec where ch_s_file is not null union all select record_id, 'vs', ch_vs_file from rec where ch_vs_file is not null) c left join byname on c.f = byname.file")
 def _(spark, d):
-    ch = catalogue.record_channels(records(spark, d))
-    by_name = files(spark, d).groupBy("file").agg(F.min("file_id").alias("file_id"))
-    return ch.join(by_name, "file", "left").select("record_id", "channel", "file_id")
+    return catalogue.channel_file_ids(catalogue.record_channels(records(spark, d)), files(spark, d))
 
 
 @query("add_files", "with old as (select row_number() over (order by p_name, p_partkey) - 1 file_id, p_brand || '#' || p_partkey file, p_size size from part where p_partkey % 3 > 0), new as (select p_brand || '#' || p_partkey file, p_size + 1 size from part where p_partkey % 2 = 0), t as (select max(file_id) m from old) select file_id, file, size from old where file not in (select file from new) union all select file_id, file, new.size from new join old using (file) union all select m + row_number() over (order by file), file, size from new, t where file not in (select file from old)")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", F.concat_ws("#", "p_brand", "p_partkey").alias("file"), "p_size")
-    old = number_rows(p.where("p_partkey % 3 > 0").withColumn("_all", F.lit(0)), ["_all"], ["p_name", "p_partkey"], "file_id", F.substring("p_name", 1, 1))
+    old = number_all(p.where("p_partkey % 3 > 0"), ["p_name", "p_partkey"], "file_id")
     return catalogue.add_files(old.select("file_id", "file", F.col("p_size").alias("size")), p.where("p_partkey % 2 = 0").select("file", (F.col("p_size") + 1).alias("size"))).select("file_id", "file", "size")
 
 
@@ -333,22 +331,27 @@ def _(spark, d):
     return signals.at_times(b, p, KEY, rate=0.5, fill=None).select("rid", "i", "a", r6("v").alias("b"))
 
 
-@query("interp_add", f"with {_TWO} select ca.rid, ca.i, {s6('ca.v + coalesce(cb.v, 0)')} v from ca left join cb on ca.rid = cb.rid and ca.i = cb.i + 2")
+# b has half the rate and begins 1.2 later: sample i of a lies at b's position k
+_ON_A = f"with {_TWO}, n as (select rid, count(*) n from cb group by rid), h as (select ca.rid, ca.i, ca.v, ca.i + 0.5 t, n, (ca.i + 0.5 - 1.2) * 0.5 - 0.5 k from ca left join n using (rid)), l as (select *, least(greatest(floor(k), 0), n - 1)::bigint lo from h), j as (select l.rid, l.i, l.v, case when n is null or t < 1.2 or t > 1.2 + n / 0.5 then null else a.v + (b.v - a.v) * least(greatest(k - lo, 0), 1) end w from l left join cb a on a.rid = l.rid and a.i = l.lo left join cb b on b.rid = l.rid and b.i = least(l.lo + 1, n - 1))"
+
+
+@query("interp_add", _ON_A + f" select rid, i, {s6('v + coalesce(w, 0)')} v from j")
 def _(spark, d):
     a, b = two(spark, d)
-    return signals.combine(a, b, KEY, 2).select("rid", "i", r6("v").alias("v"))
+    return signals.combine_times(a, b, KEY, 1.0, 0.5, delay_b=1.2).select("rid", "i", r6("v").alias("v"))
 
 
-@query("interp_sub", f"with {_TWO} select ca.rid, ca.i, {s6('ca.v - coalesce(cb.v, 0)')} v from ca left join cb on ca.rid = cb.rid and ca.i = cb.i + 2")
+@query("interp_sub", _ON_A + f" select rid, i, {s6('v - coalesce(w, 0)')} v from j")
 def _(spark, d):
     a, b = two(spark, d)
-    return signals.combine(a, b, KEY, 2, "-").select("rid", "i", r6("v").alias("v"))
+    return signals.combine_times(a, b, KEY, 1.0, 0.5, delay_b=1.2, op="-").select("rid", "i", r6("v").alias("v"))
 
 
-@query("nearest_offset_add", f"with {_TWO} select coalesce(ca.rid, cb.rid) rid, coalesce(ca.i, cb.i + 2) i, {s6('coalesce(ca.v, 0) + coalesce(cb.v, 0)')} v from ca full join cb on ca.rid = cb.rid and ca.i = cb.i + 2")
+@query("nearest_offset_add", f"with {_TWO}, cc as (select rid, i + round((rid % 7) * 0.4)::bigint i, v from cb) select coalesce(ca.rid, cc.rid) rid, coalesce(ca.i, cc.i) i, {s6('coalesce(ca.v, 0) + coalesce(cc.v, 0)')} v from ca full join cc on ca.rid = cc.rid and ca.i = cc.i")
 def _(spark, d):
     a, b = two(spark, d)
-    return signals.combine(a, b, KEY, 2, "+", outer=True, outside_null=False).select("rid", "i", r6("v").alias("v"))
+    starts = pipeline.nearest_offset(F.lit(2.0), 2.0 + (F.col("rid") % 7) * 0.4, 1.0)
+    return signals.combine(a, b, KEY, starts, "+", outer=True, outside_null=False).select("rid", "i", r6("v").alias("v"))
 
 
 @query("create_regular_grid", f"with p as (select user_id rid, epoch_us(ts) / 3600000000.0 t, max(value) v from events group by all), s as (select *, lead(t) over w t1, lead(v) over w v1, min(t) over (partition by rid) a, max(t) over (partition by rid) z from p window w as (partition by rid order by t)), g as (select *, unnest(range(ceil((t - a) * 0.5)::bigint, least(ceil((t1 - a) * 0.5)::bigint, floor((z - a) * 0.5)::bigint))) i from s where t1 is not null) select rid, i, {s6('v + (a + i / 0.5 - t) * (v1 - v) / (t1 - t)')} v from g")
@@ -377,12 +380,9 @@ def _(spark, d):
     return signals.fir(sig(spark, d), KEY, [0.5, 0.3, 0.2]).select("rid", "i", r6("v").alias("v"))
 
 
-@query("lti_absint", f"with recursive {_SIG}, f as (select rid, i, 0.0::double s, abs(v) x from sig where i = 0 union all select f.rid, sig.i, f.s * (1 - 1.0::double / 7) + f.x, abs(sig.v) from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('s / 7')} v from f")
+@query("lti_absint", f"with recursive {_SIG}, f as (select rid, i, 0.0::double s, abs(v) x from sig where i = 0 union all select f.rid, sig.i, f.s * (1 - 1.0::double / 44) + f.x, abs(sig.v) from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('s / 44')} v from f")
 def _(spark, d):
-    from ..functions import kernels as K
-    from ..operators import transforms
-
-    return transforms.pointwise(sig(spark, d), KEY, lambda x: K.integrator(abs(x), 7), halo=1024).select("rid", "i", r6("v").alias("v"))
+    return transforms.envelope(sig(spark, d), KEY, 1.0, "absint").select("rid", "i", r6("v").alias("v"))
 
 
 def _bins(agg: str, having: str = "") -> str:
@@ -440,12 +440,18 @@ _WIN = f"{_SIG}, {_T}, win as (select a.rid, a.i - j i, count(*) c, sum(v * (t -
 
 for _name, _kw, _sql in [
     ("pearson_valid", {"method": "pearson"}, "case when 5 * s2 - s1 * s1 > 1e-9 then dz / sqrt(5 * s2 - s1 * s1) end"),
-    ("pearson_global", {"method": "pearson_global"}, "dz / 5"),
+    ("pearson_global", {"method": "pearson_global"}, "dt / 5"),
     ("similitude_ned", {"method": "similitude"}, "(1 - sqrt(greatest(1 - 2 * dt / (s2 + tt), 0))) / (1 + sqrt(greatest(1 - 2 * dt / (s2 + tt), 0)))"),
     ("similitude_sned", {"method": "similitude", "distance": "SNED", "similitude": "1/(1+d)"}, "1 / (1 + 1 - 2 * dt / (s2 + tt))"),
 ]:
     query(_name, f"with {_WIN} select rid, i, {s6(_sql)} v from win")(lambda spark, d, _kw=_kw: correlate.sliding(sig(spark, d), KEY, TEMPLATE, **_kw).select("rid", "i", r6("v").alias("v")))
 
+_PADDED = "pd as (select rid, i + {b} i, v from sig union all select rid, g, 0.0::double from n, lateral (select unnest(range(0, {b})) g union all select unnest(range(n + {b}, n + {b} + {e})) g) t)"
+for _name, _mode, _b, _e in [("pearson_full", "full", 4, 4), ("pearson_same", "same", 2, 2)]:
+    query(_name, f"with {_SIG}, {_N}, {_PADDED.format(b=_b, e=_e)}, {_T}, win as (select a.rid, a.i - j i, count(*) c, sum(v * (t - m) / s) dz, sum(v) s1, sum(v * v) s2 from pd a, tpl, ts group by a.rid, a.i - j having count(*) = 5) select rid, i, {s6('case when 5 * s2 - s1 * s1 > 1e-9 then dz / sqrt(5 * s2 - s1 * s1) end')} v from win")(
+        lambda spark, d, _m=_mode: correlate.sliding(sig(spark, d), KEY, TEMPLATE, mode=_m).select("rid", "i", r6("v").alias("v"))
+    )
+
 _R = "case when n * sxx - sx * sx > 1e-9 and n * syy - sy * sy > 1e-9 then (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) end"
 
 
@@ -459,6 +465,20 @@ def _(spark, d):
     return correlate.lagged(*two(spark, d), KEY, 8, 4, 2).select("rid", "c", "lag", r6("r").alias("r"))
 
 
+_LAG = "x as (select ca.*, unnest(range(greatest(ceil((i - 7) / 4.0), 0)::bigint, i // 4 + 1)) w from ca), y as (select x.rid, w * 4 c, lag, x.v x, cb.v y from x, (select unnest(range(-2, 3)) lag) l, cb where cb.rid = x.rid and cb.i = x.i + lag), g as (select rid, c, lag, count(*) n, sum(x * y) sxy, sum(x * x) sxx, sum(y * y) syy from y group by all)"
+_NED = "sqrt(greatest(1 - 2 * sxy / (sxx + syy), 0))"
+
+
+@query("corspe_similitude", f"with {_TWO}, {_LAG} select rid, c, lag, {s6(f'(1 - {_NED}) / (1 + {_NED})')} r from g where n = 8")
+def _(spark, d):
+    return correlate.lagged(*two(spark, d), KEY, 8, 4, 2, "similitude").select("rid", "c", "lag", r6("r").alias("r"))
+
+
+@query("corspe_orthogonal", f"with {_TWO}, t as (select cb.*, unnest(range(greatest(ceil((i - 3) / 3.0), 0)::bigint, i // 3 + 1)) w from cb), g as (select t.rid, w * 3 c, ca.i - (t.i - w * 3) i, count(*) n, sum(t.v) sx, sum(ca.v) sy, sum(t.v * ca.v) sxy, sum(t.v * t.v) sxx, sum(ca.v * ca.v) syy from t join ca on ca.rid = t.rid and t.i - w * 3 between 0 and 3 group by all) select rid, c, i, {s6(_R)} r from g where n = 4 and i >= 0")
+def _(spark, d):
+    return correlate.orthogonal(*two(spark, d), KEY, 4, 3).select("rid", "c", "i", r6("r").alias("r"))
+
+
 @query("dft_power_small", f"with {_SIG}, fr as (select rid, i // 8 seg, i % 8 j, v from sig), ok as (select rid, seg from fr group by all having count(*) = 8), z as (select fr.rid, fr.seg, f, sum(v * cos(-2 * pi() * (j * f % 8) / 8)) re, sum(v * sin(-2 * pi() * (j * f % 8) / 8)) im from fr join ok using (rid, seg), (select unnest(range(0, 5)) f) t group by all) select rid, seg, f, {s6('re * re + im * im')} power from z")
 def _(spark, d):
     f = sig(spark, d).select("rid", F.floor(F.col("i") / 8).alias("seg"), (F.col("i") % 8).alias("j"), "v")
@@ -514,8 +534,7 @@ def _(spark, d):
 
 @query("ens_get", f"with {_ENS} select vec_id, k, v from ens where vec_id = (select min(vec_id) from embeddings where label = 2)")
 def _(spark, d):
-    first = ens_rows(spark, d).where("label = 2").agg(F.min("vec_id").alias("vec_id"))
-    return ensemble.long_rows(ens_rows(spark, d).join(first, "vec_id"), ["vec_id"])
+    return ensemble.long_rows(ensemble.first_row(ens_rows(spark, d), "label = 2", ["vec_id"]), ["vec_id"])
 
 
 @query("ens_long_uaid", f"with {_ENS} select vec_id record_id, label annot_id, (vec_id * 100 + label)::varchar uaid, k, (k + 0.5) / 8 \"time\", v from ens")
@@ -535,6 +554,18 @@ def _(spark, d):
     return ensemble.vstack([e.where("label < 5"), e.where("label >= 3")])
 
 
+@query("rows_in_both", "select vec_id, label from embeddings where label < 5 intersect select vec_id, label from embeddings where label >= 3")
+def _(spark, d):
+    e = ens_rows(spark, d).select("vec_id", "label")
+    return ensemble.rows_in_both(e.where("label < 5"), e.where("label >= 3"))
+
+
+@query("rows_only_in_first", "select event_type, user_id from events where value < 300 except all select event_type, user_id from events where value > 100")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return ensemble.rows_only_in_first(e.where("value < 300").select("event_type", "user_id"), e.where("value > 100").select("event_type", "user_id"))
+
+
 @query("ens_hstack_crossfade", f"with {_ENS}, w as (select vec_id, k, v from ens where k < 60 union all select vec_id, k + 64, v from ens where k >= 4), x as (select a.vec_id, a.k, a.v * (1 - (0.25 + (a.k - 60) * 0.1875)) + b.v * (0.25 + (a.k - 60) * 0.1875) v from ens a join ens b on a.vec_id = b.vec_id and a.k >= 60 and b.k = a.k - 60) select vec_id, case when k >= 64 then k - 4 else k end k, {s6('v')} v from (select vec_id, k, v from w union all select * from x)")
 def _(spark, d):
     e = ens_rows(spark, d)
@@ -589,15 +620,13 @@ def _(spark, d):
 
 
 def _arrays():
-    from ..operators import transforms as t
-
-    rate = 100.0
+    t, rate = transforms, 100.0
     made = {
         "butter_lowpass": lambda s: t.butter(s, KEY, rate, high=10.0),
         "butter_highpass": lambda s: t.butter(s, KEY, rate, low=10.0),
         "butter_bandpass": lambda s: t.butter(s, KEY, rate, 5.0, 20.0),
+        "butter_bandstop": lambda s: t.butter(s, KEY, rate, 20.0, 5.0),
         "butter_causal": lambda s: t.butter(s, KEY, rate, high=10.0, causal=True),
-        "lfilter_iir": lambda s: t.lfilter(s, KEY, [0.2], [1.0, -0.8]),
         "decimate": lambda s: t.decimate(s, KEY, 4),
         "smooth_savgol": lambda s: t.smooth(s, KEY),
         "hilbert": lambda s: t.hilbert(s, KEY),
@@ -607,41 +636,87 @@ def _arrays():
     for m in ("scipy", "scipy_praat", "mlab", "mlab_praat"):
         a = {"nperseg": 16, "noverlap": 8} if m == "scipy" else {"nfft": 16, "noverlap": 8} if m == "mlab" else {"window_length": 0.08}
         made[f"spectrogram_{m}"] = lambda s, m=m, a=a: t.spectrogram(s, KEY, rate, m, **a)
-    for m in ("binmax", "binmin", "binabs", "binmap", "robust", "teager", "robust_teager", "log_robust_teager", "jarne", "mindlin", "absint"):
-        a = {} if m in ("teager", "absint") else {"sg_window": 9} if m == "mindlin" else {"bin_size": 5}
+    made["spectrogram_tlim"] = lambda s: t.spectrogram(s, KEY, rate, "scipy", (0.1, 0.5), nperseg=16, noverlap=8)
+    for m in ("robust", "robust_teager", "log_robust_teager", "jarne", "mindlin"):
+        a = {"sg_window": 9} if m == "mindlin" else {"bin_size": 5, "cut_freq": 4.0}
         made[f"envelope_{m}"] = lambda s, m=m, a=a: t.envelope(s, KEY, rate, m, **a)
+    made["envelope_binmap"] = lambda s: t.envelope(s, KEY, rate, "binmap", bin_size=5, func=lambda x: float(x[-1] - x[0]))
+    made["envelope_function"] = lambda s: t.envelope(s, KEY, rate, lambda x: abs(x - x.mean()))
+    made["apply_function"] = lambda s: t.apply(s, KEY, lambda x: x[::2].cumsum())
     for name, f in made.items():
         query(name)(lambda spark, d, f=f: f(sig(spark, d)))
 
+    @query("lfilter_iir", f"with recursive {_SIG}, f as (select rid, i, 0.2 * v y from sig where i = 0 union all select f.rid, sig.i, 0.2 * sig.v + 0.8 * f.y from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('y')} v from f")
+    def _(spark, d):
+        return t.lfilter(sig(spark, d), KEY, [0.2], [1.0, -0.8]).select("rid", "i", r6("v").alias("v"))
+
+    @query("lfilter_sum", f"with {_SIG} select rid, i, {s6('sum(v) over (partition by rid order by i)')} v from sig")
+    def _(spark, d):
+        return t.lfilter(sig(spark, d), KEY, [1.0], [1.0, -1.0]).select("rid", "i", r6("v").alias("v"))
+
+    for m, sql in [("binmax", "max(v)"), ("binmin", "min(v)"), ("binabs", "max(abs(v))"), ("robust95", "quantile_cont(abs(v), 0.95)")]:
+        query(f"envelope_{m}", _bins(sql).replace("group by all", "group by rid, case when i < r * (q + 1) then i // (q + 1) else r + (i - r * (q + 1)) // q end").replace(" from p ", ", 14.285714 env_rate from p "))(
+            lambda spark, d, m=m: t.envelope(sig(spark, d), KEY, rate, m.removesuffix("95"), bin_size=7).select("rid", "i", r6("v").alias("v"), F.round("env_rate", 6).alias("env_rate"))
+        )
+
+    @query("envelope_teager", f"with {_SIG}, w as (select *, lag(v) over w p, lead(v) over w q from sig window w as (partition by rid order by i)) select rid, i - 1 i, {s6('v * v - p * q')} v, 100.0::double env_rate from w where p is not null and q is not null")
+    def _(spark, d):
+        return t.envelope(sig(spark, d), KEY, rate, "teager").select("rid", "i", r6("v").alias("v"), "env_rate")
+
+    @query("envelope_absint", f"with recursive {_SIG}, f as (select rid, i, 0.0::double s, abs(v) x from sig where i = 0 union all select f.rid, sig.i, f.s * (1 - 1.0::double / 30) + f.x, abs(sig.v) from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('s / 30')} v from f")
+    def _(spark, d):
+        return t.envelope(sig(spark, d), KEY, rate, "absint", tau=30).select("rid", "i", r6("v").alias("v"))
+
     @query("nmf_lag")
     def _(spark, d):
         m = table(spark, d, "events").select("event_type", (F.hour("ts")).alias("t"), "value").groupBy(F.lit(0).alias("g"), F.hash("event_type").alias("row"), "t").agg(F.sum("value").alias("y"))
-        return t.nmf(m, ["g"], 2, search=1, steps=50)
+        return t.nmf(m, ["g"], 2, lags=1)
+
+    def pairs(spark, d):
+        a, b = two(spark, d)
+        return a.join(b.withColumnRenamed("v", "y"), ["rid", "i"]).withColumnRenamed("v", "x")
 
     @query("stw")
     def _(spark, d):
-        a, b = two(spark, d)
-        j = a.join(b.withColumnRenamed("v", "y"), ["rid", "i"]).withColumnRenamed("v", "x")
-        return t.stw(j, KEY, 100.0)
+        return t.stw(pairs(spark, d), KEY, 100.0)
+
+    @query("stw_summary")
+    def _(spark, d):
+        return t.warp_summary(t.stw(pairs(spark, d), KEY, 100.0), KEY)
+
+    @query("warp_given")
+    def _(spark, d):
+        return t.warped(sig(spark, d), KEY, 100.0, "[[0 0.2 0.4 0.9] [0.01 0.02 0 -0.01]]")
+
+    def song(spark, d):
+        return ensemble.long_rows(ens_rows(spark, d), ["vec_id"]).select("vec_id", F.col("k").alias("i"), F.abs("v").alias("env"), F.lit(900.0).alias("fund"))
+
+    table_of_betas = ([400.0, 900.0, 2000.0], [-0.4, -0.1, 0.05])
 
     @query("finch")
     def _(spark, d):
-        s = ensemble.long_rows(ens_rows(spark, d), ["vec_id"]).select("vec_id", F.col("k").alias("i"), F.abs("v").alias("env"), F.lit(900.0).alias("fund"))
-        return t.finch(s, ["vec_id"], 44150.0, ([400.0, 900.0, 2000.0], [-0.4, -0.1, 0.05]), steps=4)
+        return t.finch(song(spark, d), ["vec_id"], 44150.0, table_of_betas)
 
     @query("finch_two_sources")
     def _(spark, d):
-        s = ensemble.long_rows(ens_rows(spark, d), ["vec_id"]).select("vec_id", F.col("k").alias("i"), F.abs("v").alias("env"), F.lit(900.0).alias("fund"))
-        return t.finch(s, ["vec_id"], 44150.0, ([400.0, 900.0, 2000.0], [-0.4, -0.1, 0.05]), 2, 0.9, steps=4)
+        return t.finch(song(spark, d), ["vec_id"], 44150.0, table_of_betas, 0.9)
+
+    @query("finch_unfiltered")
+    def _(spark, d):
+        return t.finch(song(spark, d).withColumn("beta", F.lit(-0.1)), ["vec_id"], 44150.0, filtered=False)
+
+    @query("finch_fir")
+    def _(spark, d):
+        return t.lfilter(sig(spark, d), KEY, pitch.tract_taps(44150.0, 101))
 
 
 _arrays()
 
-_G = lambda r, l: f"1 / sqrt(1 - 2 * {r} * cos(4 * pi() * f * {l} / 343.0) + {r} * {r})"
+_TUBE = "0.9::double / sqrt(1 + 0.2 * cos(4 * pi() * f * 4 / 35000) + 0.01)"
+_CH = "(0.8e-8::double / 360)"
+_CAVITY = f"w * w * {_CH} * 82 / (power({_CH} * 6e5 * w, 2) + 1)"
 
 
-@query("tract_magnitude", f"with g as (select i, i * 22.075 f from (select unnest(range(0, 1001)) i)) select i, {s6(_G(0.5, 0.035) + ' * ' + _G(0.3, 0.015))} gain from g")
+@query("tract_magnitude", f"with g as (select i, i * 22.075::double f, 2 * pi() * i * 22.075 w from (select unnest(range(0, 1001)) i)), k as (select *, {_CAVITY} k from g) select i, {s6(f'{_TUBE} / sqrt(power(0.5e7 - k * (0.5e7 + 1e4 * {_CH} * 6e5 * w * w), 2) + power(w * 10082 + k * w * (0.5e7 * {_CH} * 6e5 - 1e4), 2)) * 1e7')} gain from k")
 def _(spark, d):
-    f = F.col("id") * 22.075
-    g = lambda r, l: 1 / F.sqrt(1 - 2 * r * F.cos(4 * F.pi() * f * l / 343.0) + r * r)
-    return spark.range(1001).select(F.col("id").alias("i"), r6(g(0.5, 0.035) * g(0.3, 0.015)).alias("gain"))
+    return spark.range(1001).select(F.col("id").alias("i"), r6(pitch.tract_gain(F.col("id") * 22.075) * 1e7).alias("gain"))

@@ -1,26 +1,15 @@
-"""All registered queries and their SQL. The llm subpackage is added only if it can be imported."""
+"""All registered queries of the core and their SQL."""
 
 from __future__ import annotations
 
-import importlib
+from . import data_queries, long_queries, pipeline_queries, reference_queries, source_queries
 
-MODULES = ["sigweave.plans.reference_queries", "sigweave.plans.pipeline_queries", "sigweave.plans.data_queries"]
-OPTIONAL = ["sigweave.llm.queries"]
-
-
-def _modules():
-    out = [importlib.import_module(m) for m in MODULES]
-    for m in OPTIONAL:
-        try:
-            out.append(importlib.import_module(m))
-        except ImportError:
-            pass
-    return out
+MODULES = (reference_queries, pipeline_queries, long_queries, source_queries, data_queries)
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v.strip() for m in _modules() for k, v in m.SQL.items()}
+    return {k: v.strip() for m in MODULES for k, v in m.SQL.items()}

@@ -18,7 +18,7 @@ def read_annotations(spark: SparkSession, path: str, schema: str = ANNOTATION) -
 
 def write_annotations(annots: DataFrame, path: str) -> None:
     """Tab-separated, NULL as 'NA', a folder per annot_type where that column exists."""
-    w = annots.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "NA")
+    w = annots.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "NA").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (w.partitionBy("annot_type") if "annot_type" in annots.columns else w).csv(path)
 
 
@@ -55,9 +55,3 @@ def write_matrix(rows: DataFrame, axis: DataFrame, path: str) -> None:
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/axis")
-
-
-def write_record_folder(samples: DataFrame, annots: DataFrame, path: str) -> None:
-    """Records as folders: samples by record_id and channel, annotations by type."""
-    samples.write.mode("overwrite").partitionBy("record_id", "channel").parquet(f"{path}/samples")
-    write_annotations(annots, f"{path}/annotations")

@@ -245,7 +245,23 @@ def test_drift_table_has_one_type_a_field(spark):
     assert len(t) == 5
 
 
-@pytest.mark.parametrize("name,field", [("CH_S_FILE", "ch_s_file"), ("chs_fname", "ch_s_file"), ("vS_dly", "ch_vs_delay"), ("delay_vs", "ch_vs_delay"), ("fecha", "date"), ("what", None), ("", None)])
+def test_drift_keeps_what_no_field_takes(spark):
+    rows = [("a", 1, 0, "date\tcolour\tdatum", at(0)), ("a", 1, 1, "2024-01-02\tred\tother\tmore", at(0)), ("a", 1, 1, "2024-01-01\tblue", at(3)), ("b", 7, 1, "no; header here", at(0)), (None, 1, 1, "lost", at(0)), (None, 1, 1, "lost too", at(0)), ("a", 1, 2, "-\tNA", at(0))]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], LOG)
+    got = {(r.rig, r.log_seq, r.line_no, r.unknown_text): r for r in drift.canonical_table(df, FIELDS, len(rows)).collect()}
+    assert len(got) == 4
+    line = next(r for r in got.values() if r.rig == "a")
+    assert line.date == dt.date(2024, 1, 2) and line.unknown_text == '[{"name":"colour","value":"red"},{"name":"datum","value":"other"},{"name":"column 4","value":"more"}]'
+    assert sorted(k[3] for k in got if k[0] != "a") == ['[{"name":"line","value":"lost too"}]', '[{"name":"line","value":"lost"}]', '[{"name":"line","value":"no; header here"}]']
+
+
+def test_appearing_alternatives(spark):
+    lines = _lines([("a", k, 0, ["gain", *v]) for k, v in enumerate([["-"], ["1"], ["2", "x"], ["3"], ["x", "4,5"], ["5"]])])
+    got = drift.appearing_alternatives(spark.createDataFrame(lines, LOG), FIELDS, len(lines)).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, "gain", "text"), ("a", 4, "gain", "decimal")]
+
+
+@pytest.mark.parametrize("name,field", [("wav_chs", "ch_s_file"), ("CH_S_FILE", "ch_s_file"), ("chs_fname", "ch_s_file"), ("vS_dly", "ch_vs_delay"), ("delay_vs", "ch_vs_delay"), ("fecha", "date"), ("what", None), ("", None)])
 def test_field_spellings(name, field):
     assert drift.field_of(name, set(FIELDS)) == field
 

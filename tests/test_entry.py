@@ -16,3 +16,16 @@ def test_some_queries_match_their_sql(spark, data):
 
     names = ["annot_intersect", "consolidate", "resample_linear", "pearson_valid", "ens_median", "get_ensemble", "add_files", "silence_fill"]
     assert verify.compare(spark, data, names) == {}
+
+
+def test_the_core_stands_without_the_text_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "sigweave", tmp_path / "sigweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('p8') for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.split()[-1] == "False" and int(out.stdout.split()[-2]) > 150

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigweave.dataset import Dataset
 from sigweave.functions import kernels as K
 from sigweave.functions.query import row_predicate, to_sql
-from sigweave.operators import catalogue, correlate, ensemble, intervals, ordered, pitch, signals, transforms
+from sigweave.operators import catalogue, correlate, ensemble, intervals, ordered, pipeline, pitch, signals, transforms
 
 KEY = ["rid"]
 
@@ -176,7 +176,166 @@ def test_blocks_give_what_the_whole_gives(spark):
 
 def test_user_function_errors_are_rows(spark):
     got = transforms.apply(samples(spark, [1.0, 2.0], [3.0]), KEY, lambda x: x * 2 if len(x) > 1 else 1 / 0).collect()
-    assert sorted((r.rid, r.i, r.v) for r in got if r.rid == 0) == [(0, 0, 2.0), (0, 1, 4.0)] and [r.i for r in got if r.rid == 1] == [-1]
+    assert sorted((r.rid, r.i, r.v, r.error) for r in got if r.rid == 0) == [(0, 0, 2.0, None), (0, 1, 4.0, None)]
+    assert [(r.i, r.v, r.error) for r in got if r.rid == 1] == [(None, None, "ZeroDivisionError")]
+    half = values(transforms.apply(samples(spark, range(10)), KEY, lambda x: x[::2].cumsum()))
+    assert half == {0: [0.0, 2.0, 6.0, 12.0, 20.0]}
+    local = values(transforms.apply(samples(spark, range(100)), KEY, lambda x: np.convolve(x, [1, 1, 1], "same"), halo=1, size=7))
+    assert local[0] == np.convolve(np.arange(100.0), [1, 1, 1], "same").tolist()
+
+
+LONG = 3 * transforms.BLOCK + 777
+
+
+@pytest.fixture(scope="module")
+def long_signal(spark):
+    x = np.sin(np.arange(LONG) ** 1.2 / 50) * (1 + np.arange(LONG) % 977 / 500) + 0.3
+    return spark.createDataFrame([(0, x.tolist())], "rid bigint, x array<double>").select("rid", F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("bigint")).checkpoint(), x
+
+
+@pytest.mark.parametrize(
+    "method,rate,args",
+    [
+        ("binmax", 44_100.0, {}), ("binmap", 44_100.0, {"func": lambda c: float(c[0] + c[-1]), "repeat": 2}), ("robust", 44_100.0, {"cut_freq": 20.0}), ("teager", 44_100.0, {}), ("robust_teager", 44_100.0, {"percentile": 5}),
+        ("log_robust_teager", 44_100.0, {}), ("jarne", 44_100.0, {}), ("jarne", 44_100.0, {"bin_size": 4415, "cut_freq": 4.0}), ("mindlin", 44_100.0, {}), ("absint", 44_100.0, {}),
+    ],
+)
+def test_envelopes_of_a_long_signal(long_signal, method, rate, args):
+    s, x = long_signal
+    want, r = K.envelope(x, rate, method, **args)
+    got = transforms.envelope(s, KEY, rate, method, **args).orderBy("i").toPandas()
+    assert got["i"].tolist() == list(range(len(want))) and got["env_rate"].iloc[0] == pytest.approx(r)
+    assert np.allclose(got["v"], want, atol=1e-9 * np.nanmax(np.abs(want)), equal_nan=True)
+
+
+@pytest.mark.parametrize("method", ["scipy", "scipy_praat", "mlab", "mlab_praat"])
+def test_spectrograms_of_a_long_signal(long_signal, method):
+    s, x = long_signal
+    f, t, p = K.log_spectrogram(x, 44_100.0, method)
+    got = transforms.spectrogram(s, KEY, 44_100.0, method, delay=2.0).where("freq_idx % 37 = 1").toPandas()
+    assert len(got) == p.shape[1] * len(range(1, len(f), 37)) and got["seg"].max() == p.shape[1] - 1
+    assert np.allclose(got["log10_power"], p[got["freq_idx"], got["seg"]], atol=1e-6) and np.allclose(got["t"], t[got["seg"]] + 2)
+
+
+def test_filters_of_a_long_signal(long_signal):
+    s, x = long_signal
+    for kw in ({"high": 5.0}, {"low": 50.0, "high": 400.0}, {"low": 3.0, "causal": True}):
+        got = transforms.butter(s, KEY, 44_100.0, **kw).orderBy("i").toPandas()["v"]
+        assert np.allclose(got, K.butter(x, 44_100.0, **kw), atol=1e-9), kw
+    got = transforms.lfilter(s, KEY, [1.0], [1.0, -1.0]).orderBy("i").toPandas()["v"]
+    assert np.allclose(got, np.cumsum(x))
+    got = transforms.lfilter(s, KEY, [0.1, 0.2], [1.0, -1.6, 0.65]).orderBy("i").toPandas()["v"]
+    assert np.allclose(got, K.lfilter([0.1, 0.2], [1.0, -1.6, 0.65], x))
+    got = transforms.decimate(s, KEY, 10).orderBy("i").toPandas()["v"]
+    assert np.allclose(got, K.decimate(x, 10), atol=1e-9)
+    got = transforms.hilbert(s, KEY).orderBy("i").toPandas()["v"]
+    assert np.allclose(got, K.hilbert_magnitude(x), atol=1e-9)
+
+
+def test_a_cut_too_high_raises_and_short_signals_are_whole(spark):
+    s = samples(spark, np.sin(np.arange(300)).tolist(), [1.0])
+    with pytest.raises(ValueError):
+        transforms.envelope(s, KEY, 100.0, "jarne", bin_size=5)
+    _, p = K.welch(np.sin(np.arange(300)), 100.0, 512)
+    assert np.allclose([r.power for r in transforms.welch(s, KEY, 100.0).where("rid = 0").orderBy("freq_idx").collect()], p)
+    t = transforms.spectrogram(s, KEY, 10.0, tlim=(5.0, 12.0), nperseg=16, noverlap=8).agg(F.min("t"), F.max("t"), F.countDistinct("seg")).first()
+    assert tuple(t) == pytest.approx((5.8, 10.6, 7))
+
+
+def test_correlation_modes_follow_their_definition(spark):
+    x, tpl = np.random.default_rng(2).random(30), [1.0, 3.0, 2.0, 5.0]
+    s = samples(spark, x.tolist())
+    for mode in ("valid", "full", "same"):
+        got = values(correlate.sliding(s, KEY, tpl, "pearson_global", mode=mode))[0]
+        assert np.allclose(got, np.correlate(x, tpl, mode) / 4), mode
+    assert correlate.mode_delay("full", 4, 2.0) == -2.0 and correlate.mode_delay("same", 4, 2.0) == 0.0
+
+
+def test_records_with_too_many_matches_say_so(spark):
+    x = np.tile([0.0, 1.0, 3.0, 1.0, 0.0, 0.5, 0.2, 0.1], 20)
+    s = samples(spark, x.tolist(), x[:40].tolist())
+    m = pipeline.match(s, "rid", [0.0, 1.0, 3.0, 1.0, 0.0], 1.0, 0.99, max_roi=10).collect()
+    assert [(r.rid, r.error) for r in m if r.error] == [(0, "max_roi")] and sorted(r.start for r in m if r.rid == 1) == [0.0, 8.0, 16.0, 24.0, 32.0]
+    assert pipeline.match(s, "rid", [0.0, 1.0, 3.0, 1.0, 0.0], 1.0, 0.99, max_roi=None).count() == 25
+    own = pipeline.match(s, "rid", lambda x: x[8:13] if len(x) > 100 else x[:0], 1.0, 0.99, max_roi=None).collect()
+    assert len([r for r in own if r.rid == 0]) == 20
+
+
+def test_templates_conform_signals(spark):
+    x = np.zeros(400)
+    x[100:140], x[300:340] = np.hanning(40) * 5, np.hanning(40) * 2
+    s = samples(spark, x.tolist())
+    env, r = K.envelope(x, 100.0, "binmax", bin_size=4)
+    hits = pipeline.match(s, "rid", pipeline.Template(env[25:35].tolist(), r, "env", "binmax", {"bin_size": 4}), 100.0, 0.95).orderBy("start").collect()
+    assert [round(h.start, 2) for h in hits] == [1.0, 3.0]
+    with pytest.raises(ValueError):
+        pipeline.conform(s, KEY, 100.0, pipeline.Template([1.0], 50.0))
+
+
+def test_spectrogram_match_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    p, q = rng.random((20, 5)), rng.random((3, 5))
+    spec = spark.createDataFrame([(0, s, f, float(p[s, f])) for s in range(20) for f in range(5)], "rid bigint, seg bigint, f bigint, p double")
+    tpl = spark.createDataFrame([(s + 7, f, float(q[s, f])) for s in range(3) for f in range(5)], "seg bigint, f bigint, q double")
+    got = [r.r for r in correlate.spectrogram_match(spec, tpl, KEY).orderBy("seg").collect()]
+    assert np.allclose(got, [np.corrcoef(p[k : k + 3].ravel(), q.ravel())[0, 1] for k in range(18)])
+
+
+def test_consolidate_in_parts(spark):
+    rng = random.Random(2)
+    rows, t = [], 0.0
+    for k in range(200):
+        t += rng.choice([0.1, 0.5, 30.0])
+        rows.append((k % 2, k, t, t + 1.0))
+        t += 1.0
+    a = spark.createDataFrame(rows, "rid bigint, annot_id bigint, start double, end double")
+    rule = "consolidated_duration / duration > 0.3 and duration < 20"
+    whole, parts = intervals.consolidate(a, rule), intervals.consolidate(a, rule, max_gap=20.0)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    single = a.where("annot_id in (0, 1, 3)")
+    assert intervals.consolidate(single, rule, drop_singletons=True, max_gap=1.0).select("rid").distinct().collect()[0].rid == 1
+
+
+def test_warp_summary_text_is_read_again(spark):
+    x = np.sin(np.arange(300) / 15)
+    pairs = spark.createDataFrame([(1, i, float(x[i]), float(np.sin((i - 3) / 15))) for i in range(300)] + [(2, 0, 1.0, 1.0)], "rid bigint, i bigint, x double, y double")
+    knots = transforms.stw(pairs, KEY, 1000.0)
+    s = transforms.warp_summary(knots, KEY).collect()
+    assert [r.rid for r in s] == [1] and len(s[0].times) == len(s[0].delays) == 4 and s[0].min_delay <= s[0].max_delay and s[0].cor > 0.99
+    assert knots.where("rid = 2").first().error
+    w = transforms.warped(pairs.where("rid = 1").selectExpr("rid", "i", "x v"), KEY, 1000.0, s[0].text).orderBy("i").collect()
+    assert np.nanmax(np.abs(np.array([r.v for r in w], float) - np.sin((np.arange(300) - 3) / 15))[20:-20]) < 0.1
+
+
+# ---- hot keys and positions
+
+
+def test_last_before_over_chunks(spark):
+    rng = random.Random(1)
+    left = [(k % 3, k, rng.uniform(0, 50)) for k in range(300)]
+    right = [(k % 3, rng.uniform(0, 50), k) for k in range(100)]
+    a, b = spark.createDataFrame(left, "k int, id int, t double"), spark.createDataFrame(right, "k int, t double, v int")
+    got = {r.id: r.v for r in pipeline.last_before(a, b, ["k"], "t", "v", F.floor(F.col("t") / 3)).collect()}
+    assert got == {i: max(((t2, v) for k2, t2, v in right if k2 == k and t2 <= t), default=(0, None))[1] for k, i, t in left}
+
+
+def test_numbers_over_all_rows(spark):
+    df = spark.range(1000).selectExpr("concat('same prefix ', lpad(id * 7919 % 1000, 4, '0')) s", "id")
+    got = ordered.number_all(df, ["s"], "n", 5).collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.s)] == list(range(5, 1005))
+    assert ordered.number_all(df.limit(0), ["s"], "n").count() == 0
+
+
+def test_record_positions(spark):
+    df = spark.createDataFrame([(k,) for k in (5, 1, 9, 3)], "record_id bigint")
+    assert [[r.record_id for r in pipeline.record_at(df, p).collect()] for p in (0, 2, -1, 4, -5)] == [[1], [5], [9], [], []]
+
+
+def test_columns_by_functions(spark):
+    rec = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "record_id bigint, rig string")
+    d = Dataset(rec).transform("records", name=(lambda r: r["rig"].upper(), "string")).transform("records", by=["rig"], n="count(*)")
+    assert sorted((r.record_id, r["name"], r.n) for r in d.records.collect() if r.rig) == [(1, "A", 2), (3, "A", 2)]
+    assert d.records.where("record_id = 2").first()["name"] is None
 
 
 # ---- ensembles

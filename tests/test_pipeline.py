@@ -46,7 +46,7 @@ def test_shifts_zeros_and_slices(spark):
     with pytest.raises(ValueError):
         pipeline.zeros(spark, {}, rate=1.0)
     assert pipeline.zeros(spark, {"a": 1}, 10.0, samples=7).count() == 7
-    assert pipeline.nearest_offset(1.0, 1.26, 10.0) == 3
+    assert spark.range(1).select(pipeline.nearest_offset(F.lit(1.0), F.lit(1.26), 10.0)).first()[0] == 3
     s = samples(spark, [1, 2, 3])
     assert [r.v for r in pipeline.roll0(s, KEY, 1).orderBy("i").collect()] == [0.0, 1.0, 2.0]
     assert [r.v for r in pipeline.roll0(s, KEY, -2).orderBy("i").collect()] == [3.0, 0.0, 0.0]
@@ -75,15 +75,36 @@ def test_load_a_folder_tree(spark, tmp_path):
         folders.load(spark, str(tmp_path))
 
 
+def test_load_signals_and_folders_without_logs(spark, tmp_path):
+    (tmp_path / "d1").mkdir()
+    sig = spark.createDataFrame([("a.wav", 100.0, [0.5, -0.5]), ("b.wav", 100.0, [0.25])], "file string, rate double, samples array<double>")
+    wav.write_wav(sig, str(tmp_path / "d1"), normalize=False, sample_format="float32")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        folders.load(spark, str(tmp_path))
+    ds = folders.load(spark, str(tmp_path), log_required=False, samples=True)
+    assert sorted((r.record_id, r.channel, r.i, r.v) for r in ds.samples.collect()) == [(0, "s", 0, 0.5), (0, "s", 1, -0.5), (1, "s", 0, 0.25)]
+    (tmp_path / "d1" / "x.log").write_text("date\ttime\tch_s_file\tch_vs_file\n2024-01-01\t03.04.05\ta.wav\tb.wav\n")
+    ds = folders.load(spark, str(tmp_path), samples=True, preprocess={"s": lambda x: -x})
+    assert sorted((r.channel, r.i, r.v) for r in ds.samples.collect()) == [("s", 0, -0.5), ("s", 1, 0.5), ("vs", 0, 0.25)]
+
+
 def test_record_folder_and_npz(spark, tmp_path):
-    s = samples(spark, [1, 2]).withColumn("channel", F.lit("s")).withColumnRenamed("rid", "record_id")
-    a = spark.createDataFrame([(0, 0, 0.0, 1.0, "x", "t")], tables.ANNOTATION + ", annot_type string")
-    tables.write_record_folder(s, a, str(tmp_path / "r"))
-    got, ann = folders.read_record_folder(spark, str(tmp_path / "r"))
-    assert got.where("channel = 's'").count() == 2 and ann.first().annot_type == "t"
+    rec = spark.createDataFrame([(7, "rig a", None)], "record_id bigint, rig string, note string")
+    s = spark.createDataFrame([(7, "s", 100.0, [1.5, -2.0]), (7, "x[y", 50.0, [0.5])], "record_id bigint, channel string, rate double, samples array<double>")
+    a = spark.createDataFrame([(7, 1, 0.5, None, "y", "t"), (7, 0, 0.0, 1.0, "x", "t"), (7, 0, 2.0, 3.0, "z", "u")], tables.ANNOTATION + ", annot_type string")
+    folders.write_record_folder(rec, s, a, str(tmp_path / "r"))
+    assert sorted(p.name for p in (tmp_path / "r" / "7").iterdir()) == ["7[s].wav", "7[x[y].wav", "7_annot[t].dat", "7_annot[u].dat", "7_record.dat"]
+    r, got, ann = folders.read_record_folder(spark, str(tmp_path / "r"))
+    assert r.first()["values"] == {"record_id": "7", "rig": "rig a", "note": None}
+    assert sorted((x.channel, x.rate, x.samples) for x in got.collect()) == [("s", 100.0, [1.5, -2.0]), ("x[y", 50.0, [0.5])]
+    assert sorted((x.annot_type, x.annot_id, x.start, x.end, x.comment) for x in ann.collect()) == [("t", 0, 0.0, 1.0, "x"), ("t", 1, 0.5, None, "y"), ("u", 0, 2.0, 3.0, "z")]
     np.savez(tmp_path / "m.npz", array=np.ones((2, 3)), y=np.array([5, 6]), times=np.arange(3.0), tjust=0.5)
     rows = folders.read_npz(spark, str(tmp_path / "*.npz")).orderBy("row").collect()
     assert [(r.y, r["values"], r.tjust) for r in rows] == [("5", [1, 1, 1], 0.5), ("6", [1, 1, 1], 0.5)]
+    m = spark.createDataFrame([("m1", 0, "a", [1.0, 2.0], [0.0, 1.0], 0.5, 9, None), ("m1", 1, "b", [3.0, 4.0], [0.0, 1.0], 0.5, 8, "q")], "name string, row bigint, y string, values array<double>, times array<double>, tjust double, record_id bigint, note string")
+    folders.write_npz(m, str(tmp_path / "n"))
+    back = folders.read_matrix_rows(spark, str(tmp_path / "n"), "record_id bigint, note string")
+    assert sorted(map(str, back.select(*m.columns).collect())) == sorted(map(str, m.collect()))
 
 
 def test_as_of_join_and_record_position(spark):

@@ -25,10 +25,27 @@ def test_wav_round_trip_with_log(spark, tmp_path):
 def test_wav_float_and_parts(spark, tmp_path):
     sig = spark.createDataFrame([("f.wav", 100.0, [5.0, -2.5] * 50)], "file string, rate double, samples array<double>")
     wav.write_wav(sig, str(tmp_path), normalize=False, sample_format="float32")
-    parts = spark.read.format("wav").option("part_samples", 30).load(str(tmp_path)).orderBy("first").collect()
+    parts = wav.read_wav(spark, str(tmp_path), part_samples=30).orderBy("first").collect()
     assert [(r.first, len(r.samples)) for r in parts] == [(0, 30), (30, 30), (60, 30), (90, 10)] and parts[0].samples[:2] == [5.0, -2.5]
 
 
+def test_wav_channels_come_apart(spark, tmp_path):
+    import struct
+
+    x = np.arange(20, dtype="<i2").reshape(10, 2)
+    head = b"RIFF" + struct.pack("<I", 36 + 8 + 40) + b"WAVE" + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 100, 400, 4, 16) + b"data" + struct.pack("<I", 40)
+    (tmp_path / "two.WAV").write_bytes(head + x.tobytes())
+    got = {(r.channel_no, r.first): r.samples for r in wav.read_files(spark, str(tmp_path), part_samples=6).collect()}
+    assert got == {(c, f): x[f : f + 6, c].tolist() for c in (0, 1) for f in (0, 6)}
+    assert [(r.channel_no, r.n_samples) for r in wav.read_files(spark, str(tmp_path), header_only=True).orderBy("channel_no").collect()] == [(0, 10), (1, 10)]
+    (tmp_path / "none.wav").write_bytes(b"RIFX")
+    try:
+        wav.read_files(spark, str(tmp_path)).collect()
+        raise AssertionError
+    except Exception as e:
+        assert "no RIFF WAVE file" in str(e)
+
+
 def test_annotation_files(spark, tmp_path):
     rows = [(1, 0, 0.5, 1.5, "song", "a"), (1, 1, None, None, None, "a"), (2, 0, 1.0, 2.0, "", "b")]
     df = spark.createDataFrame(rows, tables.ANNOTATION + ", annot_type string")
