@@ -42,9 +42,9 @@ def _(spark, d):
     return transforms.envelope(long_signal(spark, d), KEY, RATE, "binmax", bin_size=440).select("rid", "i", r6("v").alias("v"))
 
 
-@query("long_robust", _BIN + f" select rid, i, {s6('quantile_cont(abs(v), 0.95)')} v from b group by rid, i")
+@query("long_robust", _BIN + f" select rid, i, {s6('pi() * quantile_cont(abs(v), 0.95)')} v from b group by rid, i")
 def _(spark, d):
-    return transforms.envelope(long_signal(spark, d), KEY, RATE, "robust").select("rid", "i", r6("v").alias("v"))
+    return transforms.envelope(long_signal(spark, d), KEY, RATE, "robust").select("rid", "i", r6(F.pi() * F.col("v")).alias("v"))
 
 
 @query("long_teager", f"with {_LONG}, w as (select *, lag(v) over w p, lead(v) over w q from sig window w as (partition by rid order by i)) select rid, i - 1 i, {s6('v * v - p * q')} v from w where p is not null and q is not null")

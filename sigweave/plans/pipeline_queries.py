@@ -113,10 +113,10 @@ def _(spark, d):
     return pipeline.preprocess(s, KEY, {"s": lambda x: x - np.mean(x)})
 
 
-@query("preprocess_detrend", f"with {_SIG} select rid, i, {s6('case when rid % 2 = 0 then v - avg(v) over (partition by rid) else v end')} v from sig")
+@query("preprocess_detrend", f"with {_SIG} select rid, i, {s6('pi() * case when rid % 2 = 0 then v - avg(v) over (partition by rid) else v end')} v from sig")
 def _(spark, d):
     s = sig(spark, d).withColumn("channel", F.when(F.col("rid") % 2 == 0, "s").otherwise("vs"))
-    return pipeline.preprocess(s, KEY, {"s": lambda x: x - np.mean(x)}).select("rid", "i", r6("v").alias("v"))
+    return pipeline.preprocess(s, KEY, {"s": lambda x: x - np.mean(x)}).select("rid", "i", r6(F.pi() * F.col("v")).alias("v"))
 
 
 @query("detect_envelope")
