@@ -40,6 +40,8 @@ TITLES = set(
 NUMBERED = set("no nr núm num pág p art fig vol ch abs env approx aprox ca h стр см kap s".split())
 # Abbreviations that may end a sentence before a capital.
 CLOSERS = set("""a.m p.m am pm etc ltd inc co corp cie usw usf cía s.a u.n.r u.s u.k gmbh т.д т.п др bc ad bros""".split())
+# Those of firms, after which initials name their legal form.
+FIRMS = set("cía cie co corp inc ltd bros gmbh".split())
 # What a speaker says while hesitating, before an ellipsis that does not end the sentence.
 HESITATIONS = set(
     """i well um uh er eh oh hmm mm so look bueno pues este bien ben euh alors bon äh ähm tja naja nun also ну э эм так
@@ -102,6 +104,7 @@ _QUOTE_MARK = re.compile("[“”„«»「」『』《》\"]")
 _NEXT = re.compile(r"[\s\x00\xa0]*")
 _VISIBLE = re.compile(r"[^\W_]")
 _LETTERS = re.compile(r"[^\W_]*")
+_INITIALS = re.compile(r"[^\W\d_]\.")
 _OPENERS = "\"'“”„«‹「『《¿¡([（�-–—"
 _NOSPACE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
 _STOP = re.compile(r"\.([,\s]+)(\S)")
@@ -499,6 +502,13 @@ class _Doc:
             self._closing = {_word(self.s, m.start()).lower() for m in _TURN_STOP.finditer(self.s)}
         return low in self._closing
 
+    def _shown_end(self, i: int) -> int:
+        """End of what is shown before i in the same line."""
+        s = self.s
+        while i > 0 and s[i - 1] in "\x00 \u00a0\t":
+            i -= 1
+        return i
+
     def _shown_before(self, i: int) -> str:
         s, k = self.s, i - 1
         while k >= 0 and s[k] in "\x00 \n":
@@ -574,7 +584,7 @@ class _Doc:
         for o, c in sorted(found):
             prev = self._before(o)
             mid = bool(prev) and not re.match(f"{_TERM}|[\"”»」』“]", prev) and not (prev in "¿¡-–—“«「『„\"" and self._fresh(o))
-            out.append((o, c, mid, self._goes_on(o, c)))
+            out.append((o, c, mid, self._goes_on(o, c, mid)))
         return out
 
     @staticmethod
@@ -591,7 +601,8 @@ class _Doc:
     def _opens(self, i: int) -> bool:
         return i + 1 < len(self.s) and (self.s[i + 1].isalnum() or self.s[i + 1] in "¿¡\"“«„'…�?\x00.")
 
-    def _goes_on(self, o: int, c: int) -> bool:
+    def _goes_on(self, o: int, c: int, mid: bool) -> bool:
+        """Whether the sentence around the quotation from o to c, opened inside it if mid, goes on after c."""
         s, j = self.s, self.after(c + 1)
         if j >= len(s):
             return False
@@ -620,7 +631,8 @@ class _Doc:
         if self.cased(j) and ch.islower():
             return True
         if not self.cased(j) and ch.islower():
-            return bool(self._reported(j) or re.match(r"(?:and|und|y|et|и)\b", s[j : j + 4]))
+            # small letters tell nothing here; what a sentence has begun before its quotation it goes on with
+            return mid or self._reported(j) or bool(re.match(r"(?:and|und|y|et|и)\b", s[j : j + 4]))
         return self._reported(j)
 
     def _inner_ended(self, c: int) -> bool:
@@ -733,10 +745,11 @@ class _Doc:
         if nxt and nxt in ",;:،、，；)" and nxt != ")":
             return False
         if t != "." and not t.strip(".…"):
-            w = _word(s, i).lower()
+            before = self._shown_end(i)
+            w = _word(s, before).lower()
             if not _VISIBLE.search(s, a, i):
                 return False
-            if w in HESITATIONS or s.endswith(_HESITANT, 0, i) and self._starts(a, i):
+            if w in HESITATIONS or s.endswith(_HESITANT, 0, before) and self._starts(a, i):
                 if self._starts(a, i) or w == "i":
                     if nxt and nxt not in "\x02\x03":
                         return False
@@ -762,9 +775,7 @@ class _Doc:
         if not nxt or nxt == "\x03":
             return True
         if nxt == "\x02":
-            if self._abbreviation(low, w, i):
-                return self._next_starts(j, low in TITLES or len(w) == 1)
-            return True
+            return not self._abbreviation(low, w, i) or self._closed_by_cue(low, w, j)
         k = j
         while k < len(s) and (s[k] in _OPENERS or s[k] == "\x00" or s[k].isspace()):
             k += 1
@@ -785,13 +796,31 @@ class _Doc:
             return False
         nw = _LETTERS.match(s, k)[0]
         if low in CLOSERS:
-            return True
-        lower, name = self.is_lower(nw), self.is_name(nw)
+            return not (low in FIRMS and _INITIALS.match(s, k))
+        return self._common(nw)
+
+    def _common(self, word: str) -> bool:
+        """Whether a word with a capital is no name: by the document, else by the corpus (not where quotations are lost)."""
+        lower, name = self.is_lower(word), self.is_name(word)
         if lower or name:
             return lower and not name
-        n = self.stats.get(nw)
+        n = self.stats.get(word)
         return not self.lost and n[COMMON] > n[NAME]
 
+    def _closed_by_cue(self, low: str, w: str, j: int) -> bool:
+        """Whether the cue that breaks at j ends a sentence with its last word, an abbreviation: not between a title and
+        the name, an abbreviation and its number, or initials."""
+        s, k = self.s, self._next_cue(j)
+        if k >= len(s) or s[k] == "\x03":
+            return True
+        if low in NUMBERED and s[k].isdigit():
+            return False
+        if len(w) == 1 and w.isalpha():
+            return not (_INITIALS.match(s, k) or s[k].islower() or not self._common(_LETTERS.match(s, k)[0]))
+        if low in TITLES:
+            return False
+        return self._next_starts(j)
+
     def _starts(self, a: int, i: int) -> bool:
         """The sentence from a has at most two words before i."""
         words = re.findall(r"[^\W_]+", self.s[a:i])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +16,8 @@ from .sentences import cue_spans
 
 #: Fixed value: how the vocabulary's tokenizer parts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Vocabulary file used where none is given; every executor reads it there.
+VOCABULARY = os.environ.get("SIGWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
 @lru_cache(maxsize=2)
