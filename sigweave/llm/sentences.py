@@ -775,7 +775,7 @@ class _Doc:
         if not nxt or nxt == "\x03":
             return True
         if nxt == "\x02":
-            return not self._abbreviation(low, w, i) or self._closed_by_cue(low, w, j)
+            return not self._abbreviation(low, w, i) or self._closed_by_cue(low, w, j, a, i)
         k = j
         while k < len(s) and (s[k] in _OPENERS or s[k] == "\x00" or s[k].isspace()):
             k += 1
@@ -807,14 +807,14 @@ class _Doc:
         n = self.stats.get(word)
         return not self.lost and n[COMMON] > n[NAME]
 
-    def _closed_by_cue(self, low: str, w: str, j: int) -> bool:
-        """Whether the cue that breaks at j ends a sentence with its last word, an abbreviation: not between a title and
-        the name, an abbreviation and its number, or initials."""
+    def _closed_by_cue(self, low: str, w: str, j: int, a: int, i: int) -> bool:
+        """Whether the cue that breaks at j ends the sentence from a with its last word (before i), an abbreviation: not
+        between a title and the name, an abbreviation and its number (a word alone asks for none), or initials."""
         s, k = self.s, self._next_cue(j)
         if k >= len(s) or s[k] == "\x03":
             return True
         if low in NUMBERED and s[k].isdigit():
-            return False
+            return not _VISIBLE.search(s, a, i - len(w))
         if len(w) == 1 and w.isalpha():
             return not (_INITIALS.match(s, k) or s[k].islower() or not self._common(_LETTERS.match(s, k)[0]))
         if low in TITLES:
@@ -880,6 +880,10 @@ class _Doc:
         end, ch = s[j], s[k]
         if end in ",;:،、，；–—-":
             return True
+        if end == ".":
+            w = _word(s, j)
+            if self._abbreviation(w.lower(), w, j) and not self._closed_by_cue(w.lower(), w, i, a, j):
+                return True
         if re.match(r"\.\.+|…", s[k : k + 3]):
             return True
         if ch.islower() and self.cased(k):

@@ -204,7 +204,7 @@ GOES_ON = {
     "a quotation amid small letters": ["the sign reads \"keep out!\nwet paint.\" on the north pier.¶ no.¶"] * 3,
     "the form of a firm": ["Tolva y Cía. S. A. pintó la barca.¶", "¡Tolva y Cía. S.\nA. perdió la señal!¶ No.¶"],
     "a title and its name": ["Her brother moved to St.", "Orrin St. in the end.¶", "Ask Mr. Hill or Mrs.", "Skammoya.¶ No.¶"],
-    "an abbreviation and its number": ["It is in fig. 3, vol.", "2, not here.¶", "Es war ca.", "5 Uhr.¶"],
+    "an abbreviation and its number": ["It is in fig. 3, vol.", "2, not here.¶", "Es war ca.", "5 Uhr.¶", "No.¶", "3 of them slept.¶"],
     "initials": ["We met Prof. J.", "R. Fendra there.¶ No.¶"],
     "firms and hours that end a cue": ["She works for Hill & Co.¶", "We left at 5 p.m.¶", "Come here.¶"],
     "a title before another speaker": ["- We saw the Rev.¶", "- Why?¶"],
