@@ -70,6 +70,8 @@ _PAIRS = dict(zip("])）］】", "[(（［【", strict=True))
 _PAIR_MARK = re.compile(r"[\[\]()（）［］【】]")
 _SHOWN = re.compile("[^\x00]")
 _STAR, _NOTE = re.compile(r"\*+"), re.compile("♪[～~]|[♪♫]+")
+#: Between notes that were lost: nothing else stands between such marks and blanks without a mark of its own.
+_LOST_NOTE = re.compile(r"�(?<![^\s\x00]�) [^�.!?…\n\x02]+ �(?=[ \r\x00]*(?:\n|\x02|\Z))")
 _BRACKET = re.compile(r"[\[(（［【*♪♫]")
 _FOLD = {ord(c): None for c in " \t\r\n\x00\u00a0"} | {ord(a): b for a, b in ("0o", "1l", "|l", "ąa", "ęe", "ćc", "ńn")}
 _SPEAKER = re.compile(r"[\x00 \t]*[-–—‐]?[\x00 ]*(?:[^\W\d_][^\W\d_.]*(?: ?\d{1,2})?) ?[:：](?=[\x00\s]*[^\s\x00])")
@@ -398,6 +400,8 @@ class Stream:
                 s = _blank_spans(s, _between(s, _STAR))
             if "♪" in s or "♫" in s:
                 s = _NOTE.sub(_blank, _blank_spans(s, _between(s, _NOTE)))
+        if "� " in s:
+            s = _LOST_NOTE.sub(_blank, s)
         if ":" in s or "：" in s:
             s = _marked(s, _labels(s))
         s = _marked(s, _dashes(s))
@@ -890,10 +894,10 @@ class _Doc:
             return True
         if ch in "([*♪¿¡":
             return False
-        if self.lost and end == self.lost and self.cased(k) and ch.isupper():
-            return False
+        if (end == "�" and not s[j - 1].isspace() or self.lost and end == self.lost) and self.cased(k) and ch.isupper():
+            return False  # a closing mark that was lost
         caseless = bool(_NOSPACE.match(ch)) or not (ch.isupper() or ch.islower())
-        if ch in "“«„「『《\"" and not caseless:
+        if ch in "“«„「『《\"" and not self.marked:
             return False
         c = bisect_right(self._breaks, j)
         w = edge_word(s[max(a, self._breaks[c - 1] if c else 0) : j + 1], True)

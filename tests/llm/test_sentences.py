@@ -207,6 +207,8 @@ GOES_ON = {
     "an abbreviation and its number": ["It is in fig. 3, vol.", "2, not here.¶", "Es war ca.", "5 Uhr.¶", "No.¶", "3 of them slept.¶"],
     "initials": ["We met Prof. J.", "R. Fendra there.¶ No.¶"],
     "firms and hours that end a cue": ["She works for Hill & Co.¶", "We left at 5 p.m.¶", "Come here.¶"],
+    "an unmarked cue before a quotation": ["มานี่¶", "\"หยุด!\" โทลวาตะโกน¶", "ไม่¶"],
+    "lost marks": ["Keep your voice down�¶", "There is a light.¶ � slow waltz �", "Nobody called about the �", "lamp in room four.¶"],
     "a title before another speaker": ["- We saw the Rev.¶", "- Why?¶"],
 }
 
