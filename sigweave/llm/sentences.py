@@ -637,13 +637,19 @@ class _Doc:
         if not self.cased(j) and ch.islower():
             # small letters tell nothing here; what a sentence has begun before its quotation it goes on with
             return mid or self._reported(j) or bool(re.match(r"(?:and|und|y|et|и)\b", s[j : j + 4]))
-        return self._reported(j)
+        # after a full stop in the quotation a capital begins anew, whatever verb follows
+        return not (ch.isupper() and self.cased(j) and self._inner_end(c) == ".") and self._reported(j)
 
-    def _inner_ended(self, c: int) -> bool:
+    def _inner_end(self, c: int) -> str:
+        """The last mark or character of the quotation that closes at c."""
         s, k = self.s, c - 1
         while k >= 0 and (s[k] in "\x00\"”»“」』" or s[k].isspace()):
             k -= 1
-        return k >= 0 and s[k] in _TERMS
+        return s[k] if k >= 0 else ""
+
+    def _inner_ended(self, c: int) -> bool:
+        end = self._inner_end(c)
+        return bool(end) and end in _TERMS
 
     def _reported(self, j: int) -> bool:
         """A verb of saying stands in the words from j on, before any mark."""
@@ -739,9 +745,11 @@ class _Doc:
             return nxt != "\x02" or self._next_starts(j)
         if direct and nxt and nxt not in "\x02\x03":
             if t == "." or t == "．":
+                if nxt in "“„«「『¿¡" and prev.islower() and s[j + 1 : j + 2].isalpha():
+                    return True
                 if prev.isdigit() and nxt.isdigit() or not (nxt.isupper() and prev.islower() and len(_word(s, i)) > 1):
                     return False
-                return not _HAS_URL.match(s, j) and self.cased(j)
+                return not _HAS_URL.match(s, j) and (self.cased(j) or s[j + 1 : j + 2].islower())
             if set(t) <= {"."} and len(t) > 1 and nxt.isalnum() and (prev in " \n\x00\x02\x03" or nxt.islower()):
                 return False
             if nxt in ".,;:،、，":
@@ -795,7 +803,7 @@ class _Doc:
         if low in TITLES or (len(w) == 1 and w.isalpha()):
             return False
         if low in NUMBERED:
-            return self.cased(i)
+            return self.cased(i) or not _VISIBLE.search(s, a, i - len(w))
         if not self.cased(i):
             return False
         nw = _LETTERS.match(s, k)[0]
@@ -919,7 +927,7 @@ class _Doc:
 _BEFORE_WORD = "�?\x00\x02\x03\"'“”„«»¿¡(（「『《-–—.…"
 
 
-_INSIDE = re.compile("[\x00-\x03\"“”«»„「『《!！？…¿¡(（]+(?=.)|\\?+(?=[A-ZÀ-ÞА-Я])")
+_INSIDE = re.compile("[\x00-\x03\"“”«»„「『《!！？…¿¡(（]+(?=.)|\\?+(?=[A-ZÀ-ÞА-Я])|(?<=[a-zß-öø-ÿа-яё])\\.(?=[A-ZÀ-ÞА-Я])")
 
 
 def _word(s: str, i: int) -> str:

@@ -209,6 +209,9 @@ GOES_ON = {
     "firms and hours that end a cue": ["She works for Hill & Co.¶", "We left at 5 p.m.¶", "Come here.¶"],
     "an unmarked cue before a quotation": ["มานี่¶", "\"หยุด!\" โทลวาตะโกน¶", "ไม่¶"],
     "lost marks": ["Keep your voice down�¶", "There is a light.¶ � slow waltz �", "Nobody called about the �", "lamp in room four.¶"],
+    "nothing between": ["Komm her.¶„Nein.“¶", "What a mess.¶“Did he ask you.”¶", "It was late.¶Sgt. Hill slept.¶"],
+    "a capital after a full stop in quotation": ["“They say he left years ago.”¶ So the clerk asked for a spoon.¶", "“Stop!” Hill shouted.¶"],
+    "small letters and a word alone": ["no.¶ creo que llueve.¶", "no.¶ ¡mi tía llegó!¶"] * 3,
     "a title before another speaker": ["- We saw the Rev.¶", "- Why?¶"],
 }
 
