@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .functions.query import to_sql
-from .operators import catalogue, intervals, pipeline
+from .operators import catalogue, intervals, pipeline, signals
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,28 @@ class Dataset:
             a = a.where(F.col("annot_id") == annot_id)
         return intervals.flanking(a.orderBy("record_id", "annot_id").limit(1), *flanking)
 
+    def annotation_signals(self, name: str, record_id: int | None = None, annot_id: int | None = None, flanking: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+        """All channels cut to the interval of get_annotation: record_id, channel, i, v, with the channels' delays.
+
+        samples need the columns channel and rate; a channel without delay begins at 0, one that has nothing there no row.
+        """
+        one = self.get_annotation(name, record_id, annot_id, flanking).select("record_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+        delays = self.channels.select("record_id", "channel", F.coalesce("delay", F.lit(0.0)).alias("_d"))
+        j = self.samples.join(one, "record_id").join(delays, ["record_id", "channel"], "left").withColumn("_d", F.coalesce("_d", F.lit(0.0)))
+        i0, i1 = (F.floor((F.col(t) - F.col("_d")) * F.col("rate")) for t in ("_s", "_e"))
+        return j.where((F.col("i") >= F.greatest(F.lit(0), i0)) & (F.col("i") < i1)).select("record_id", "channel", "i", "v", F.col("_d").alias("delay"), "rate")
+
+    def iterate(self, name: str, rate: float = 1.0, flanking: tuple[float, float] = (0.0, 0.0)) -> Iterator[Row]:
+        """Annotations one after the other by (record_id, annot_id), each with its samples (an array, empty if it has none).
+
+        They come partition by partition, so a loop over them needs memory for one partition only.
+        """
+        a = intervals.flanking(self.annotations[name], *flanking)
+        cells = signals.annotation_samples(self.samples, a, "record_id", rate)
+        g = cells.groupBy("record_id", "annot_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("samples"))
+        rows = a.join(g, ["record_id", "annot_id"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<double>")))
+        return rows.orderBy("record_id", "annot_id").toLocalIterator()
+
     def intersect(self, x: str, y: str, name: str, x_cols: Sequence[str] = (), y_cols: Sequence[str] = ()) -> "Dataset":
         return self.annotate(name, intervals.intersect(self.annotations[x], self.annotations[y], "record_id", x, y, x_cols, y_cols))
 

@@ -107,3 +107,17 @@ def factor_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """1-based codes of the sorted distinct values (a factor's levels); NULL stays NULL. Levels are joined, not windowed over rows."""
     levels = df.where(F.col(column).isNotNull()).select(column).distinct()
     return df.join(number_all(levels, [column], out, 1), column, "left")
+
+
+def r_frame(df: DataFrame, factors: Sequence[str] = (), long_as_text: bool = True) -> DataFrame:
+    """df as a statistics package without 64-bit integers and nested values takes it.
+
+    bigint columns become text, factors get a column <name>_code of 1-based codes of their sorted values. Arrays, maps,
+    structs and binary columns raise.
+    """
+    bad = [n for n, t in df.dtypes if t.startswith(("array", "map", "struct", "binary"))]
+    if bad:
+        raise ValueError(f"no plain columns: {bad}")
+    for c in factors:
+        df = factor_codes(df, c, f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code").cast("int"))
+    return df.select(*[F.col(n).cast("string").alias(n) if t == "bigint" and long_as_text else F.col(n) for n, t in df.dtypes])

@@ -87,16 +87,17 @@ class CatalogueCompaction:
         self.spark, self.path, self.min_files, self.target = spark, path.rstrip("/"), min_files, target_bytes
         self.store = Store(spark, self.path)
 
-    def entries(self) -> dict[int, str]:
-        """Run folder of each level that the journal has."""
+    def entries(self) -> dict[int, str | None]:
+        """Run folder of each level that the journal has; None if there was nothing to merge."""
         names = [n for n in self.store.names("_journal") if n.endswith(".json")]
         return {int(n[:-5]): json.loads(self.store.read(f"_journal/{n}"))["run"] for n in names}
 
-    def _read(self, kind: str, schema: str, levels: dict[int, str]) -> DataFrame:
-        paths = [f"{self.path}/{run}/{kind}/level={k}" for k, run in sorted(levels.items()) if kind == "files" or k > 0]
+    def _read(self, kind: str, schema: str, levels: dict[int, str | None]) -> DataFrame:
         out = None
-        for p, k in zip(paths, sorted(levels) if kind == "files" else [k for k in sorted(levels) if k > 0], strict=True):
-            part = self.spark.read.schema(schema.replace(", level int", "")).parquet(p).withColumn("level", F.lit(k))
+        for k, run in sorted(levels.items()):
+            if run is None or kind == "merges" and k == 0:
+                continue
+            part = self.spark.read.schema(schema.replace(", level int", "")).parquet(f"{self.path}/{run}/{kind}/level={k}").withColumn("level", F.lit(k))
             out = part if out is None else out.unionByName(part)
         return out if out is not None else self.spark.createDataFrame([], schema)
 
@@ -125,6 +126,10 @@ class CatalogueCompaction:
             level = tier + 1
             if level in done:
                 continue
+            if not any(f"tier={tier}" in self.store.names(f"{r}/files/level={k}") for k, r in done.items() if r is not None):
+                self._enter(level, None)
+                done[level] = None
+                continue
             live = self._read("files", _FILES, {k: r for k, r in done.items() if k < level}).where(F.col("tier") == tier)
             order = ["first_piece", "file_id"]
             m = plan_merges(live, key, order, F.floor(F.col("first_piece") / CHUNK), self.min_files, self.target)
@@ -140,6 +145,9 @@ class CatalogueCompaction:
 
     def _commit(self, run: str, level: int, files: DataFrame) -> None:
         files.write.partitionBy("tier").parquet(f"{self.path}/{run}/files/level={level}")
+        self._enter(level, run)
+
+    def _enter(self, level: int, run: str | None) -> None:
         if not self.store.create_once(f"_journal/{level:04d}.json", json.dumps({"run": run})):
             raise RuntimeError(f"another run compacted level {level}")
 

@@ -120,6 +120,13 @@ def sample(rows: DataFrame, n: int, seed: int = 0, replace: bool = False, order:
     return draws.join(numbered, "_at").drop("_at", "_all")
 
 
+def zeros(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Rows of zeros on a grid of n positions: keys, k, v."""
+    from .signals import positions
+
+    return positions(rows.select(*keys).distinct(), keys, F.lit(n)).select(*keys, F.col("i").alias("k"), F.lit(0.0).alias("v"))
+
+
 def build(cropped: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Crops (keys, k, v) onto the grid of the longest one, 0 where a row ends before it."""
     top = cropped.select(F.coalesce(F.max("k"), F.lit(0)).cast("bigint")).scalar()

@@ -48,8 +48,15 @@ def crop_bounds(n: Column, start: float | None, end: float | None, rate: float,
     return i0, i1
 
 
-def crop(samples: DataFrame, keys: Sequence[str], start: float, end: float, rate: float = 1.0, delay: float = 0.0) -> DataFrame:
-    """Samples of [start, end): i stays the original position. Needs no length, so it is a filter without a shuffle."""
+def crop(samples: DataFrame, keys: Sequence[str], start: float, end: float, rate: float | Column = 1.0, delay: float | Column = 0.0) -> DataFrame:
+    """Samples of [start, end): i stays the original position. Needs no length, so it is a filter without a shuffle.
+
+    rate and delay may be columns, so the channels of a record are cut at one time whatever their own; a channel that has
+    nothing there has no rows. Also cuts matrices in long form.
+    """
+    if isinstance(rate, Column) or isinstance(delay, Column):
+        i0, i1 = (F.floor((F.lit(float(t)) - delay) * rate) for t in (start, end))
+        return samples.where((F.col("i") >= F.greatest(F.lit(0), i0)) & (F.col("i") < i1))
     i0 = max(0, int((start - delay) * rate // 1))
     i1 = int((end - delay) * rate // 1)
     return samples.where((F.col("i") >= i0) & (F.col("i") < i1))

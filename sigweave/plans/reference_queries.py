@@ -262,6 +262,11 @@ def _(spark, d):
     return catalogue.factor_codes(table(spark, d, "events").select("event_id", "event_type"), "event_type", "code")
 
 
+@query("r_frame", "with l as (select event_type, row_number() over (order by event_type)::int event_type_code from (select distinct event_type from events)) select event_id::varchar event_id, user_id::varchar user_id, event_type, value, event_type_code from events left join l using (event_type)")
+def _(spark, d):
+    return catalogue.r_frame(table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), ["event_type"])
+
+
 @query("augment_highwater", "select o_orderkey, o_totalprice from orders where coalesce(o_orderkey > (select max(o_orderkey) from orders where o_totalprice < 2000), true)")
 def _(spark, d):
     o = table(spark, d, "orders")
@@ -286,6 +291,11 @@ def _(spark, d):
     return signals.crop(sig(spark, d), KEY, 5.2, 20.7)
 
 
+@query("crop_record", f"with {_SIG} select rid, i, v from sig where i >= greatest(0, floor((5.2 - (rid % 5) * 0.7) * (1 + rid % 2))) and i < floor((20.7 - (rid % 5) * 0.7) * (1 + rid % 2))")
+def _(spark, d):
+    return signals.crop(sig(spark, d), KEY, 5.2, 20.7, (1 + F.col("rid") % 2).cast("double"), (F.col("rid") % 5) * 0.7)
+
+
 @query("crop_none", f"with {_SIG} select rid, i, v from sig where i >= 1000000")
 def _(spark, d):
     return signals.crop(sig(spark, d), KEY, 1_000_000.0, 1_000_010.0)
@@ -584,6 +594,11 @@ def _(spark, d):
     return ensemble.build(signals.annotation_samples(s, intervals.segment_islands(s, 20, 60)), ["rid", "annot_id"])
 
 
+@query("ens_zeros", "select vec_id, unnest(range(0, 7)) k, 0.0::double v from embeddings where label = 1")
+def _(spark, d):
+    return ensemble.zeros(ens_rows(spark, d).where("label = 1"), ["vec_id"], 7)
+
+
 @query("dejitter")
 def _(spark, d):
     return ensemble.dejitter(ens(spark, d), ["vec_id"], 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -25,25 +26,43 @@ def augment(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame], targe
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_periods(stream: DataFrame, key: str = "record_id"):
-    """Disjoint periods per entity over a stream of (key, s, e): after each batch the periods it changed.
+def live_periods(stream: DataFrame, key: str = "record_id", longest_gap: int = 3_600_000, horizon: int | None = None):
+    """Disjoint periods per entity, and the gaps between them, over a stream of (key, s, e): after each batch what changed.
 
-    The ordered interval map is the key's state (three arrays). Output: key, start_ms, end_ms, n; a period that grew comes
-    again with its new bounds. Use with output mode update.
+    Output: key, op, kind, start_ms, end_ms, n. op '+' is a period (made of n intervals) or gap that holds from now on, '-'
+    one that no longer does, because it grew, was absorbed or was filled; gaps longer than longest_gap are none. The
+    ordered interval map is the key's state. With horizon (ms) what ended longer ago than that before the entity's latest
+    end is final and leaves the state, which bounds it; an interval that reaches back into it comes out with op 'late' and
+    changes nothing. Use with output mode update.
     """
 
+    def rows(m: IntervalMap) -> set[tuple]:
+        out = {("period", a, b, n) for a, b, n in zip(m.starts, m.ends, m.counts, strict=True)}
+        return out | {("gap", a, b, 0) for a, b in m.gaps() if b - a <= longest_gap}
+
     def update(k: tuple, batches, state: GroupState):
-        m = IntervalMap()
+        m, floor = IntervalMap(), None
         if state.exists:
-            m.starts, m.ends, m.counts = (list(x) for x in state.get)
-        before = set(zip(m.starts, m.ends, m.counts, strict=True))
+            starts, ends, counts, floor = state.get
+            m.starts, m.ends, m.counts = list(starts), list(ends), list(counts)
+        before, late = rows(m), []
         for pdf in batches:
             for s, e in zip(pdf["s"], pdf["e"], strict=True):
-                m.insert(int(s), int(e))
-        state.update((m.starts, m.ends, m.counts))
-        rows = [x for x in zip(m.starts, m.ends, m.counts, strict=True) if x not in before]
-        yield pd.DataFrame([(k[0], *r) for r in rows], columns=[key, "start_ms", "end_ms", "n"])
+                if floor is not None and s <= floor:
+                    late.append(("late", "interval", int(s), int(e), 1))
+                else:
+                    m.insert(int(s), int(e))
+        after = rows(m)
+        if horizon is not None and m.ends:
+            # a period stays while the gap behind it, or an interval within the horizon, may still concern it
+            keep = bisect_left(m.ends, m.ends[-1] - horizon - longest_gap)
+            if keep:
+                floor = m.ends[keep - 1]
+                m.starts, m.ends, m.counts = m.starts[keep:], m.ends[keep:], m.counts[keep:]
+        state.update((m.starts, m.ends, m.counts, floor))
+        out = [("-", *r) for r in sorted(before - after)] + [("+", *r) for r in sorted(after - before)] + late
+        yield pd.DataFrame([(k[0], *r) for r in out], columns=[key, "op", "kind", "start_ms", "end_ms", "n"])
 
     return shipped(stream).groupBy(key).applyInPandasWithState(
-        update, f"{key} bigint, start_ms bigint, end_ms bigint, n bigint", "starts array<bigint>, ends array<bigint>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout
+        update, f"{key} bigint, op string, kind string, start_ms bigint, end_ms bigint, n bigint", "starts array<bigint>, ends array<bigint>, counts array<bigint>, floor bigint", "update", GroupStateTimeout.NoTimeout
     )

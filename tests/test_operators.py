@@ -412,6 +412,27 @@ def test_dataset_methods(spark):
         d.get_annotation("a", annot_id=0)
 
 
+def test_channels_of_an_annotation(spark):
+    rec = spark.createDataFrame([(1,), (2,)], "record_id bigint")
+    rows = [(1, c, i, float(i), r) for c, n, r in (("s", 10, 1.0), ("x", 20, 2.0), ("late", 3, 1.0)) for i in range(n)]
+    s = spark.createDataFrame(rows, "record_id bigint, channel string, i bigint, v double, rate double")
+    ch = spark.createDataFrame([(1, "s", None), (1, "x", 1.0), (1, "late", 50.0)], "record_id bigint, channel string, delay double")
+    a = spark.createDataFrame([(1, 0, 2.0, 4.0), (2, 0, 0.0, 9.0)], "record_id bigint, annot_id bigint, start double, end double")
+    got = Dataset(rec, ch, samples=s, annotations={"a": a}).annotation_signals("a", 1)
+    assert sorted((r.channel, r.i) for r in got.collect()) == [("s", 2), ("s", 3), ("x", 2), ("x", 3), ("x", 4), ("x", 5)]
+    with pytest.raises(ValueError):
+        catalogue.r_frame(spark.range(1).select(F.array("id").alias("a")))
+
+
+def test_iteration_over_annotations(spark):
+    rec = spark.createDataFrame([(1,), (2,)], "record_id bigint")
+    s = samples(spark, [], [5.0, 6.0, 7.0, 8.0], [9.0]).withColumnRenamed("rid", "record_id")
+    a = spark.createDataFrame([(1, 1, 1.0, 3.0), (1, 0, 0.0, 1.0), (2, 0, 5.0, 6.0)], "record_id bigint, annot_id bigint, start double, end double")
+    d = Dataset(rec, samples=s, annotations={"a": a})
+    assert [(r.record_id, r.annot_id, r.samples) for r in d.iterate("a")] == [(1, 0, [5.0]), (1, 1, [6.0, 7.0]), (2, 0, [])]
+    assert [r.samples for r in d.iterate("a", flanking=(0.0, 1.0))][:2] == [[5.0, 6.0], [6.0, 7.0, 8.0]]
+
+
 def test_segments_across_blocks(spark):
     n = transforms.BLOCK * 2 + 700
     x = np.sin(np.arange(n) ** 1.5 / 300)

@@ -83,14 +83,27 @@ def test_augment_takes_each_row_once(spark, tmp_path):
     assert run() and spark.read.parquet(out).count() == 2
 
 
-def test_live_periods(spark, tmp_path):
+def _live(spark, tmp_path, batches, **options):
     src = str(tmp_path / "s")
     schema = "record_id bigint, s bigint, e bigint"
-    spark.createDataFrame([(1, 0, 10), (1, 10, 20), (1, 40, 50)], schema).coalesce(1).write.parquet(src)
-    q = incremental.live_periods(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    spark.createDataFrame([(1, 15, 45)], schema).coalesce(1).write.mode("append").parquet(src)
-    q.processAllAvailable()
+    q, out = None, []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        if q is None:
+            q = incremental.live_periods(spark.readStream.schema(schema).parquet(src), **options).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        now = [tuple(r)[1:] for r in spark.table("live").collect()]
+        out.append(sorted(now)[:])
     q.stop()
-    got = [tuple(r) for r in spark.table("live").collect()]
-    assert sorted(got) == [(1, 0, 20, 2), (1, 0, 50, 4), (1, 40, 50, 1)]
+    return out
+
+
+def test_live_periods_retract_what_they_absorb(spark, tmp_path):
+    one, two = _live(spark, tmp_path, [[(1, 0, 10), (1, 10, 20), (1, 40, 50)], [(1, 15, 45)]], longest_gap=100)
+    assert one == [("+", "gap", 20, 40, 0), ("+", "period", 0, 20, 2), ("+", "period", 40, 50, 1)]
+    assert sorted(set(two) - set(one)) == [("+", "period", 0, 50, 4), ("-", "gap", 20, 40, 0), ("-", "period", 0, 20, 2), ("-", "period", 40, 50, 1)]
+
+
+def test_live_periods_within_a_horizon(spark, tmp_path):
+    _, last = _live(spark, tmp_path, [[(1, 0, 10), (1, 1000, 1010)], [(1, 5, 8), (1, 995, 1000)]], longest_gap=50, horizon=100)
+    assert ("late", "interval", 5, 8, 1) in last and ("+", "period", 995, 1010, 2) in last and ("-", "period", 1000, 1010, 1) in last
