@@ -89,8 +89,11 @@ def blocks(samples: DataFrame, keys: Sequence[str], value: str = "v", order: str
 
     A block holds at most size values and halo before and after them (after, if given, behind them); own0 and own_n tell
     which are its own. A signal shorter than size is one block. size may be a column that is the same within a key.
-    Positions must be complete (0 .. n-1); NULL values become NaN.
+    Positions must be complete (0 .. n-1); NULL values become NaN. Signals may also come as array parts (keys, first,
+    samples), as sources give them: see blocks_of_parts.
     """
+    if "samples" in samples.columns:
+        return blocks_of_parts(samples, keys, size, halo, halo if after is None else after)
     i, size = F.col(order), size if isinstance(size, Column) else F.lit(size)
     after = halo if after is None else after
     out = samples.withColumn("_home", F.floor(i / size))
@@ -108,6 +111,23 @@ def blocks(samples: DataFrame, keys: Sequence[str], value: str = "v", order: str
     return g.where(F.col("own_n") > 0).select(*keys, "block", F.col("_x")[0]["i"].alias("i0"), (F.col("_first") - F.col("_x")[0]["i"]).cast("int").alias("own0"), "own_n", F.transform("_x", lambda s: s["v"]).alias("x"))
 
 
+def blocks_of_parts(parts: DataFrame, keys: Sequence[str], size: int | Column, halo: int, after: int) -> DataFrame:
+    """blocks of array parts (keys, first, samples) of any length: parts are sliced, so no sample is a row anywhere."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    first, n = F.col("first"), F.size("samples")
+    each = parts.where(n > 0).select(*keys, "first", "samples", F.explode(F.sequence(F.floor(F.greatest(first - after, F.lit(0)) / size), F.floor((first + n - 1 + halo) / size))).alias("block"))
+    start, stop = F.col("block") * size, (F.col("block") + 1) * size
+    lo, hi = F.greatest(first, start - halo), F.least(first + n, stop + after)
+    own = F.greatest(F.least(first + n, stop) - F.greatest(first, start), F.lit(0))
+    piece = F.slice("samples", (lo - first + 1).cast("int"), (hi - lo).cast("int"))
+    cut = each.where(lo < hi).select(*keys, "block", F.struct(lo.alias("at"), piece.alias("x")).alias("p"), own.alias("own"), start.alias("start"))
+    g = cut.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("p")).alias("_p"), F.sum("own").cast("bigint").alias("own_n"), F.first("start").alias("_start")).where(F.col("own_n") > 0)
+    x = F.transform(F.flatten(F.transform("_p", lambda q: q["x"])), lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
+    i0 = F.col("_p")[0]["at"]
+    return g.select(*keys, "block", i0.alias("i0"), F.greatest(F.col("_start") - i0, F.lit(0)).cast("int").alias("own0"), "own_n", x.alias("x"))
+
+
 def explode_signal(signals: DataFrame, keys: Sequence[str], values: str = "samples") -> DataFrame:
-    """(keys, i, v) of array rows."""
-    return signals.select(*keys, F.posexplode(values).alias("i", "v")).withColumn("i", F.col("i").cast("bigint"))
+    """(keys, i, v) of array rows, or of array parts with their first position."""
+    first = F.col("first") if "first" in signals.columns else F.lit(0)
+    return signals.select(*keys, first.alias("_first"), F.posexplode(values).alias("i", "v")).select(*keys, (F.col("_first") + F.col("i")).cast("bigint").alias("i"), "v")

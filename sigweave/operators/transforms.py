@@ -29,6 +29,7 @@ def _map_blocks(b: DataFrame, keys: Sequence[str], fn: Callable, out: str) -> Da
     """fn(key values, i0, own0, own_n, x) -> arrays of equal length, one for each column of out after the keys; or None."""
     types = dict(b.dtypes)
     fields = [p.strip().rsplit(" ", 1) for p in out.split(",")]
+    listed = pa.list_(pa.float64())
     ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{n.strip('`')}` {t}" for n, t in fields)])
     n_keys = len(keys)
 
@@ -50,20 +51,28 @@ def _map_blocks(b: DataFrame, keys: Sequence[str], fn: Callable, out: str) -> Da
                 index = pa.array(np.concatenate(take))
                 cols = [rb.column(k).take(index) for k in range(n_keys)]
                 for p, (_, t) in zip(parts, fields, strict=True):
-                    cols.append(pa.array(np.concatenate(p) if t != "string" else [x for q in p for x in q], _ARROW[t]))
+                    flat = t != "string" and not t.startswith("array")
+                    cols.append(pa.array(np.concatenate(p) if flat else [x for q in p for x in q], _ARROW.get(t, listed)))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, *(n.strip("`") for n, _ in fields)])
 
     return shipped(b.select(*keys, "i0", "own0", "own_n", "x")).mapInArrow(run, ddl)
 
 
 def pointwise(samples: DataFrame, keys: Sequence[str], f: Callable[[np.ndarray], np.ndarray], halo: int = 0, size: int = BLOCK, after: int | None = None) -> DataFrame:
-    """f: array to array of equal length, on blocks with halo: (keys, i, v)."""
+    """f: array to array of equal length, on blocks with halo: (keys, i, v), or array parts (keys, first, samples) if these
+    came in, so that a chain of filters never has a row a sample."""
 
     def fn(_, i0, own0, own_n, x):
         y = np.asarray(f(x), float)
         return np.arange(i0 + own0, i0 + own0 + own_n), y[own0 : own0 + own_n]
 
-    return _map_blocks(blocks(samples, keys, size=max(size, halo), halo=halo, after=after), keys, fn, "i bigint, v double")
+    def part(*block):
+        i, y = fn(*block)
+        return i[:1], [y]
+
+    parts = "samples" in samples.columns
+    b = blocks(samples, keys, size=max(size, halo), halo=halo, after=after)
+    return _map_blocks(b, keys, part if parts else fn, "first bigint, samples array<double>" if parts else "i bigint, v double")
 
 
 def apply(samples: DataFrame, keys: Sequence[str], f: Callable[[np.ndarray], np.ndarray], halo: int | None = None, size: int = BLOCK) -> DataFrame:

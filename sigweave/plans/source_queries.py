@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import transforms
 from ..operators.common import shared_dir
+from ..operators.ordered import explode_signal
 from ..sources import folders, tables, wav
 from ..sources.files import write_files
 from .reference_queries import _ANN, _SIG, KEY, annots, ens_rows, r6, s6, sig, table
@@ -44,6 +46,15 @@ def _(spark, d):
     return wav.read_wav(spark, where, header_only=True).select("file", "rate", "channels", "n_samples", "format")
 
 
+@query("wav_filter_chain", f"with recursive {_SIG}, q as (select rid, i, (v::float)::double v from sig), f as (select rid, i, 0.2 * v y from q where i = 0 union all select f.rid, q.i, 0.2 * q.v + 0.8 * f.y from f join q on q.rid = f.rid and q.i = f.i + 1), g as (select rid, i, y + coalesce(lag(y) over (partition by rid order by i), 0) z from f) select 'u' || rid || '.wav' file, i, {s6('z')} v from g")
+def _(spark, d):
+    where = shared_dir(spark, "wav")
+    wav.write_wav(arrays(spark, d), where, normalize=False, sample_format="float32")
+    parts = wav.read_wav(spark, where, part_samples=50).select("file", "first", "samples")
+    y = transforms.lfilter(transforms.lfilter(parts, ["file"], [0.2], [1.0, -0.8]), ["file"], [1.0, 1.0])
+    return explode_signal(y, ["file"]).select("file", "i", r6("v").alias("v"))
+
+
 def typed(spark, d):
     a = annots(spark, d).withColumn("comment", F.coalesce(F.regexp_replace("comment", r"[\t\r\n]", " "), F.lit("none")))
     return a.withColumn("annot_type", F.when(F.col("record_id") % 2 == 0, "even").otherwise("odd"))

@@ -50,3 +50,46 @@ def changes(lines, field_of):
                     out.add((rig, seq, f, "retyped"))
                 last[rig, f] = t
     return out
+
+
+def table(lines, field_of, fields):
+    """(rig, log_seq, line_no) -> {field: value as written} of every data line with a known, given value; first deliveries."""
+    heads, rows = {}, {}
+    for rig, seq, no, line, at in sorted((x for x in lines if None not in x[:3]), key=lambda r: (str(r[0]), r[1], r[2], r[4])):
+        if no == 0:
+            heads.setdefault((rig, seq), line or "")
+        else:
+            rows.setdefault((rig, seq, no), line or "")
+    out = {}
+    for (rig, seq, no), line in rows.items():
+        if (rig, seq) not in heads:
+            continue
+        sep = max("\t;|,", key=heads[rig, seq].count)
+        names, vals = ([clean(x) for x in t.split(sep)] for t in (heads[rig, seq], line))
+        if [x.lower() for x in names] == [x.lower() for x in vals]:
+            continue
+        got = {}
+        for n, v in zip(names, vals, strict=False):
+            f = field_of(n)
+            if f in fields and f not in got:
+                got[f] = v
+        got = {f: v for f, v in got.items() if v.lower() not in MISSING}
+        if got:
+            out[rig, seq, no] = got
+    return out
+
+
+def seconds(v):
+    """Seconds of the day of a time however written, None if it is none."""
+    m = re.fullmatch(r"(\d{1,2})(?:[:.h])(\d{2})(?:[:.m])(\d{2})s?", v) or re.fullmatch(r"(\d{2})(\d{2})(\d{2})", v)
+    if m:
+        h, mi, s = map(int, m.groups())
+        return h * 3600 + mi * 60 + s
+    return int(float(v.replace(",", ".")) + 0.5) if re.fullmatch(r"\d{1,5}[.,]\d*", v) else None
+
+
+def number(v):
+    try:
+        return float(re.sub(r"\s*[A-Za-z%°]+$", "", v).replace(",", "."))
+    except ValueError:
+        return None

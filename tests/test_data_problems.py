@@ -374,3 +374,42 @@ def test_rows_of_nulls(spark, data, tmp_path):
     for name in ("p1_found", "p2_found", "p3_found", "p4_found", "p5_found"):
         a = sorted(map(tuple, q[name](spark, data).collect()))
         assert sorted(map(tuple, q[name](spark, str(tmp_path)).collect())) == a, name
+
+
+def test_canonical_table_against_plain_reading(spark, data):
+    import __spark_entry__ as entry
+
+    fields = {r.field for r in spark.read.parquet(f"{data}/log_field.parquet").collect()}
+    lines = [tuple(r) for r in spark.read.parquet(f"{data}/avimat_log.parquet").select("rig", "log_seq", "line_no", "line", "arrived_at").collect()]
+    want = brute_drift.table(lines, lambda n: drift.field_of(n, fields), fields)
+    got = {(r.rig, r.log_seq, r.line_no): r for r in entry.queries()["p3_table"](spark, data).collect()}
+    assert set(want) <= set(got) and len(want) > 50
+    checked = set()
+    for k, values in want.items():
+        r = got[k]
+        for f, v in values.items():
+            if f == "time":
+                s = brute_drift.seconds(v)
+                have = r.time and sum(int(x) * n for x, n in zip(r.time.split(":"), (3600, 60, 1), strict=True))
+                assert have == s if s is not None else r.time_text == v, (k, v)
+            elif f == "date":
+                assert (r.date is not None and (v.isdigit() or str(r.date.year) in v)) or r.date_text == v, (k, v)
+            elif f in drift.FILES or f == "operator":
+                assert r[f] == v
+            else:
+                n = brute_drift.number(v)
+                assert r[f] == n and (n is not None or r[f"{f}_text"] == v), (k, f, v)
+            checked.add(f)
+        assert all(r[f] is None and r.asDict().get(f"{f}_text") is None for f in fields - set(values)), k
+    assert {"date", "time"} <= checked and len(checked) > 8
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    session = lambda master, folder: N(conf=N(get=lambda *_: folder), sparkContext=N(master=master))
+    assert common.shared_dir(session("spark://host:7077", "hdfs://x/y/"), "p").startswith("hdfs://x/y/p-")
+    assert common.shared_dir(session("local[4]", ""), "p") != common.shared_dir(session("local", ""), "p")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master, ""))

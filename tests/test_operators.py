@@ -217,6 +217,23 @@ def test_spectrograms_of_a_long_signal(long_signal, method):
     assert np.allclose(got["log10_power"], p[got["freq_idx"], got["seg"]], atol=1e-6) and np.allclose(got["t"], t[got["seg"]] + 2)
 
 
+def test_chains_of_array_parts(spark):
+    x = np.sin(np.arange(5000) / 30) + np.random.default_rng(1).random(5000)
+    rng, cuts = random.Random(3), [0]
+    while cuts[-1] < 5000:
+        cuts.append(min(5000, cuts[-1] + rng.choice([1, 3, 500, 1700])))
+    rows = [(0, a, x[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)] + [(1, 0, [1.0, None, 2.0]), (2, 0, [])]
+    parts = spark.createDataFrame(rows, "rid bigint, first bigint, samples array<double>")
+    for size, halo, after in ((700, 10, 10), (64, 200, 5), (5000, 0, 0), (333, 0, 40)):
+        want = ordered.blocks(ordered.explode_signal(parts, KEY), KEY, size=size, halo=halo, after=after).drop("x")
+        got = ordered.blocks(parts, KEY, size=size, halo=halo, after=after)
+        assert sorted(map(str, got.drop("x").collect())) == sorted(map(str, want.collect())), (size, halo, after)
+        assert all(r.x == x[r.i0 : r.i0 + len(r.x)].tolist() for r in got.where("rid = 0").collect())
+    y = transforms.integrate(transforms.butter(parts.where("rid = 0"), KEY, 100.0, high=10.0), KEY, 20)
+    assert y.columns == ["rid", "first", "samples"]
+    assert np.allclose(values(ordered.explode_signal(y, KEY))[0], K.integrator(np.abs(K.butter(x, 100.0, high=10.0)), 20))
+
+
 def test_filters_of_a_long_signal(long_signal):
     s, x = long_signal
     for kw in ({"high": 5.0}, {"low": 50.0, "high": 400.0}, {"low": 3.0, "causal": True}):
