@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from .common import Store, attach_by_key, blank_trim
@@ -66,8 +66,9 @@ def plan_merges(files: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     placed = running_sum(chosen, keys, order, F.col("n_bytes"), "_before", chunk)
     n_out = F.greatest(F.ceil(F.col("_total") / float(target_bytes)), F.lit(1))
     placed = placed.withColumn("part", F.floor((F.col("_before") + F.col("n_bytes") / 2.0) * n_out / F.col("_total")).cast("bigint"))
-    alone = placed.groupBy(*keys, "part").agg(F.count("*").alias("_k")).where(F.col("_k") == 1).select(*keys, "part")
-    return placed.drop("_n_files", "_total", "_before").join(alone, [*keys, "part"], "left_anti")
+    # an output's inputs are bounded by its bytes
+    inputs = F.count("*").over(W.partitionBy(*keys, "part"))
+    return placed.withColumn("_k", inputs).where(F.col("_k") > 1).drop("_n_files", "_total", "_before", "_k")
 
 
 _FILES = "record_id bigint, channel string, file_id string, first_piece bigint, last_piece bigint, n_bytes bigint, n_inputs bigint, level int, tier int"
