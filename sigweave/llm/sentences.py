@@ -100,6 +100,12 @@ _CUE_BREAK = re.compile("\x02")
 _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
 _LOST_Q = re.compile(r"\?(?<=[^\W\d_]\?)[a-zа-я]")
 _LOST_R = re.compile(r"�(?<=[^\W\d_]�)[a-zа-я]")
+# quotations whose marks were lost: after a colon, or set off by blanks; inside, such a mark touches a word
+_LOST_QUOTE_R = [
+    re.compile(r":\s?(�)(?=\w)(?:[^�\x03]|(?<=\w)�|�(?=\w))*?[.!?…]�(?!\w)"),
+    re.compile(r"(�)(?<!\w�) (?=\w)(?:[^�\x03]|(?<=\w)�|�(?=\w))*?[.!?…] �(?=[\s\x02]|\Z)"),
+]
+_LOST_QUOTE_Q = [re.compile(r":\s?(\?)(?=\w)(?:[^?\x03]|(?<=\w)\?|\?(?=\w))*?[.!…]\?(?!\w)")]
 _LAST_STOP = re.compile(r"\.(?<!\.\.)[\x00\s]*\x02")
 _TURN_STOP = re.compile(r"\.(?<!\.\.)[\x00\s\x02]*(?:\x03|\Z)")
 _QUOTE_MARK = re.compile("[“”„«»「」『』《》\"]")
@@ -168,7 +174,7 @@ def cue_spans(text: str) -> list[tuple[int, int]]:
             end = a
             if a > begin:
                 line = back("\n", begin, a - 1) + 1 or begin
-                if text[line : a - 1].strip("\ufeff \t\r").isdigit():
+                if text[line : a - 1].strip("\ufeff�? \t\r").isdigit():
                     end = line
             spans.append((begin, end))
             begin = e + 1
@@ -493,6 +499,8 @@ class _Doc:
         self.lower, self._plain = None, {}
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
+        if self.lost == "?" or "�" in s:
+            self.spans = sorted([*self.spans, *self._lost_quotes()])
 
     def cased(self, i: int) -> bool:
         """Whether sentences begin with capitals, and only they and names do, around the cue of position i."""
@@ -591,6 +599,16 @@ class _Doc:
             out.append((o, c, mid, self._goes_on(o, c, mid)))
         return out
 
+    def _lost_quotes(self) -> list[tuple[int, int, bool, bool]]:
+        """As _quotes, of quotations whose marks were lost: after a colon, or set off by blanks."""
+        out = []
+        for pattern in _LOST_QUOTE_Q if self.lost == "?" else _LOST_QUOTE_R:
+            for m in pattern.finditer(self.s):
+                o, c = m.start(1), m.end() - 1
+                mid = self.s[m.start()] == ":"
+                out.append((o, c, mid, self._goes_on(o, c, mid)))
+        return out
+
     @staticmethod
     def _opened_anew(stack: list[tuple[str, int, int]], close: str) -> list[tuple[str, int, int]]:
         """stack without a quotation of that kind, and those inside it, that an earlier cue opened: it has lost its end."""
@@ -688,6 +706,13 @@ class _Doc:
                 last = j
                 continue
             first = m.end(1)
+            if self.lost == "?" and " ?" in m[1] and s[first : first + 1].isupper():
+                # what stands after the blank opens the next sentence
+                e = i + m[1].rindex(" ") - 1
+                if not held and self._is_end(last + 1, i, m[1][: e - i + 1], e):
+                    ends.append(e)
+                    last = e
+                continue
             e = m.end() - 1
             if e >= first:
                 e = self._closers(first, e)

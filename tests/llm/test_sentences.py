@@ -212,6 +212,8 @@ GOES_ON = {
     "nothing between": ["Komm her.¶„Nein.“¶", "What a mess.¶“Did he ask you.”¶", "It was late.¶Sgt. Hill slept.¶"],
     "a capital after a full stop in quotation": ["“They say he left years ago.”¶ So the clerk asked for a spoon.¶", "“Stop!” Hill shouted.¶"],
     "small letters and a word alone": ["no.¶ creo que llueve.¶", "no.¶ ¡mi tía llegó!¶"] * 3,
+    "quotations whose marks were lost": ["Tolva sagte: �Warte. Bleib da.� und schwieg.¶", "� Arr�tez tout ! � cria Quildo.¶ Non.¶", "Sie fl�stern.¶"],
+    "their marks as questions": ["El afinador dijo: ?Espera. No te muevas.? y call? tambi?n.¶", "Est? aqu?.¶ ??Ven!?¶", "La se?al es as?.¶"],
     "a title before another speaker": ["- We saw the Rev.¶", "- Why?¶"],
 }
 
