@@ -634,6 +634,37 @@ def _(spark, d):
 # ---- array transforms (no SQL: checked against closed forms in the tests) -----------------------------------------
 
 
+def _powers(hop: int, window: str, detrend: bool, scale: str) -> str:
+    """Powers by segment and frequency of frames of 16 samples at 100 Hz, as sums of sines: pw(rid, seg, f, p)."""
+    v = "(v - mean)" if detrend else "v"
+    return f"""{_SIG}, wn as (select j, {window} w from (select unnest(range(0, 16)) j)), ws as (select sum(w) sw, sum(w * w) sww from wn),
+fr as (select rid, (i - j) // {hop} seg, j, v, w, avg(v) over g mean, count(*) over g c from sig, wn where i >= j and (i - j) % {hop} = 0 window g as (partition by rid, (i - j) // {hop})),
+z as (select rid, seg, f, sum({v} * w * cos(2 * pi() * (j * f % 16) / 16)) re, sum({v} * w * sin(2 * pi() * (j * f % 16) / 16)) im from fr, (select unnest(range(0, 9)) f) where c = 16 group by all),
+pw as (select rid, seg, f, (re * re + im * im) * case when f in (0, 8) then 1 else 2 end * {scale} p from z, ws)"""
+
+
+_EPS = "2.220446049250313e-16"
+_HANN, _HANNING = "0.5 - 0.5 * cos(2 * pi() * j / 16)", "0.5 - 0.5 * cos(2 * pi() * j / 15)"
+_BARTHANN = "0.62 - 0.48 * abs(j / 16.0::double - 0.5) + 0.38 * cos(2 * pi() * (j / 16.0::double - 0.5))"
+_GAUSS = "exp(-0.5 * power((j - 8) / 16.0::double, 2))"
+
+
+def _log_powers(hop: int, window: str, detrend: bool, scale: str, keep: float | None = None, shift: float = 0.0) -> str:
+    floor = f"greatest(p, {_EPS})" if keep is None else f"greatest(p, max(p) over (partition by rid) * power(10, -{keep / 10}::double), {_EPS})"
+    return f"with {_powers(hop, window, detrend, scale)} select rid, seg, {s6(f'(seg * {hop} + 8) / 100.0::double + {shift}')} t, f freq_idx, {s6('f * 6.25')} freq, {s6(f'log10({floor})')} log10_power from pw"
+
+
+_DENSITY, _SPECTRUM = "1 / (100 * sww)", "1 / (sw * sw)"
+SPECTRA = {
+    "scipy": _log_powers(8, _BARTHANN, True, _SPECTRUM),
+    "scipy_praat": _log_powers(2, _GAUSS, True, _DENSITY, 70),  # the overlap of signals of fewer than 2,000 samples
+    "mlab": _log_powers(8, _HANNING, False, _DENSITY),
+    "mlab_praat": _log_powers(8, _HANNING, False, _DENSITY, 70),
+}
+_HILBERT = f"""with {_SIG}, {_N}, h as (select a.rid, a.i, any_value(a.v) v, sum(b.v * case when t = 0 then 0 when n % 2 = 0 then case when t % 2 = 1 then 2 / tan(pi() * t / n) / n else 0 end when t % 2 = 1 then 1 / tan(pi() * t / (2 * n)) / n else -tan(pi() * t / (2 * n)) / n end) y
+from sig a join n using (rid) join sig b on a.rid = b.rid, lateral (select (a.i - b.i + n) % n t) group by a.rid, a.i) select rid, i, {s6('sqrt(v * v + y * y)')} v from h"""
+
+
 def _arrays():
     t, rate = transforms, 100.0
     made = {
@@ -644,23 +675,44 @@ def _arrays():
         "butter_causal": lambda s: t.butter(s, KEY, rate, high=10.0, causal=True),
         "decimate": lambda s: t.decimate(s, KEY, 4),
         "smooth_savgol": lambda s: t.smooth(s, KEY),
-        "hilbert": lambda s: t.hilbert(s, KEY),
-        "welch": lambda s: t.welch(s, KEY, rate, 16),
         "match_nms": lambda s: t.match(correlate.sliding(s, KEY, TEMPLATE), KEY, len(TEMPLATE), 1.0, 0.6),
     }
     for m in ("scipy", "scipy_praat", "mlab", "mlab_praat"):
         a = {"nperseg": 16, "noverlap": 8} if m == "scipy" else {"nfft": 16, "noverlap": 8} if m == "mlab" else {"window_length": 0.08}
-        made[f"spectrogram_{m}"] = lambda s, m=m, a=a: t.spectrogram(s, KEY, rate, m, **a)
-    made["spectrogram_tlim"] = lambda s: t.spectrogram(s, KEY, rate, "scipy", (0.1, 0.5), nperseg=16, noverlap=8)
+        query(f"spectrogram_{m}", SPECTRA[m])(lambda spark, d, m=m, a=a: t.spectrogram(sig(spark, d), KEY, rate, m, **a).select("rid", "seg", r6("t").alias("t"), "freq_idx", r6("freq").alias("freq"), r6("log10_power").alias("log10_power")))
+
+    @query("spectrogram_tlim", _log_powers(8, _BARTHANN, True, _SPECTRUM, shift=0.1).replace(_SIG, _SIG.replace("sig as", "every as") + ", sig as (select rid, i - 10 i, v from every where i >= 10 and i < 50)"))
+    def _(spark, d):
+        g = t.spectrogram(sig(spark, d), KEY, rate, "scipy", (0.1, 0.5), nperseg=16, noverlap=8)
+        return g.select("rid", "seg", r6("t").alias("t"), "freq_idx", r6("freq").alias("freq"), r6("log10_power").alias("log10_power"))
+
     for m in ("robust", "robust_teager", "log_robust_teager", "jarne", "mindlin"):
         a = {"sg_window": 9} if m == "mindlin" else {"bin_size": 5, "cut_freq": 4.0}
         made[f"envelope_{m}"] = lambda s, m=m, a=a: t.envelope(s, KEY, rate, m, **a)
-    made["envelope_binmap"] = lambda s: t.envelope(s, KEY, rate, "binmap", bin_size=5, func=lambda x: float(x[-1] - x[0]))
-    made["envelope_function"] = lambda s: t.envelope(s, KEY, rate, lambda x: abs(x - x.mean()))
-    made["apply_function"] = lambda s: t.apply(s, KEY, lambda x: x[::2].cumsum())
     for name, f in made.items():
         query(name)(lambda spark, d, f=f: f(sig(spark, d)))
 
+    @query("hilbert", _HILBERT)
+    def _(spark, d):
+        return t.hilbert(sig(spark, d), KEY).select("rid", "i", r6("v").alias("v"))
+
+    @query("welch", f"with {_powers(8, _HANN, True, _DENSITY)} select rid, f freq_idx, {s6('f * 6.25')} freq, {s6('avg(p)')} power from pw group by rid, f")
+    def _(spark, d):
+        return t.welch(sig(spark, d), KEY, rate, 16).select("rid", "freq_idx", r6("freq").alias("freq"), r6("power").alias("power"))
+
+    @query("envelope_binmap", _bins("max_by(v, i) - min_by(v, i)").replace("group by all", "group by rid, case when i < r * (q + 1) then i // (q + 1) else r + (i - r * (q + 1)) // q end"))
+    def _(spark, d):
+        return t.envelope(sig(spark, d), KEY, rate, "binmap", bin_size=7, func=lambda x: float(x[-1] - x[0])).select("rid", "i", r6("v").alias("v"))
+
+    @query("envelope_function", f"with {_SIG} select rid, i, {s6('pi() * abs(v - avg(v) over (partition by rid))')} v, 50.0::double env_rate from sig")
+    def _(spark, d):
+        e = t.envelope(sig(spark, d), KEY, rate, lambda x: abs(x - x.mean()), env_rate=50.0)
+        return e.select("rid", "i", r6(F.pi() * F.col("v")).alias("v"), "env_rate")
+
+    @query("apply_function", f"with {_SIG} select rid, i // 2 i, {s6('sum(v) over (partition by rid order by i)')} v, null::varchar error from sig where i % 2 = 0")
+    def _(spark, d):
+        return t.apply(sig(spark, d), KEY, lambda x: x[::2].cumsum()).select("rid", "i", r6("v").alias("v"), "error")
+
     @query("lfilter_iir", f"with recursive {_SIG}, f as (select rid, i, 0.2 * v y from sig where i = 0 union all select f.rid, sig.i, 0.2 * sig.v + 0.8 * f.y from f join sig on sig.rid = f.rid and sig.i = f.i + 1) select rid, i, {s6('y')} v from f")
     def _(spark, d):
         return t.lfilter(sig(spark, d), KEY, [0.2], [1.0, -0.8]).select("rid", "i", r6("v").alias("v"))
