@@ -121,7 +121,7 @@ def shared_dir(spark: SparkSession, prefix: str = "sigweave") -> str:
 class Store:
     """Small text files of a folder, created once and never changed, and its Hadoop file system.
 
-    create_once is exclusive: a hard link on local disks, a rename that refuses to replace on HDFS-like systems. Where a
+    create_once is exclusive: a hard link on local disks and mounted folders (an exclusive open where they have none), a rename that refuses to replace on HDFS-like systems. Where a
     rename is a copy (object stores) neither holds, so their schemes raise.
     """
 
@@ -167,6 +167,8 @@ class Store:
                 os.link(part, target)
             except FileExistsError:
                 return False
+            except OSError:  # a mounted folder without hard links: exclusive all the same, but written after it is made
+                return self._create_exclusive(target, text)
             finally:
                 os.remove(part)
             return True
@@ -174,6 +176,17 @@ class Store:
             raise ValueError(f"{self.scheme}: no exclusive creation of files is known for this file system")
         return self._create_by_rename(name, staged, text)
 
+    @staticmethod
+    def _create_exclusive(target: str, text: str) -> bool:
+        try:
+            with open(target, "x", encoding="utf-8") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            return True
+        except FileExistsError:
+            return False
+
     def _create_by_rename(self, name: str, staged: str, text: str) -> bool:
         out = self.fs.create(self.at(staged), False)
         out.write(bytearray(text.encode()))

@@ -118,9 +118,11 @@ def test_files_created_once(spark, tmp_path):
     assert won.count(True) == 1 and store.read("a/one") == str(won.index(True)) and store.names("a") == ["one"]
     assert store._create_by_rename("a/two", "a/_x", "2") and not store._create_by_rename("a/two", "a/_y", "3")
     assert store.read("a/two") == "2" and store.names("none") == []
+    assert store._create_exclusive(str(tmp_path / "s" / "a" / "three"), "3") and not store._create_exclusive(str(tmp_path / "s" / "a" / "three"), "4")
+    assert store.read("a/three") == "3"
     store.scheme = "s3a"
     with pytest.raises(ValueError):
-        store.create_once("a/three", "")
+        store.create_once("a/four", "")
 
 
 def test_state_ignores_runs_that_failed(spark):
