@@ -121,8 +121,9 @@ def shared_dir(spark: SparkSession, prefix: str = "sigweave") -> str:
 class Store:
     """Small text files of a folder, created once and never changed, and its Hadoop file system.
 
-    create_once is exclusive: a hard link on local disks and mounted folders (an exclusive open where they have none), a rename that refuses to replace on HDFS-like systems. Where a
-    rename is a copy (object stores) neither holds, so their schemes raise.
+    create_once is exclusive: a hard link on local disks and mounted folders (an exclusive open where they have none), a
+    rename that refuses to replace on HDFS-like systems. Where a rename is a copy (object stores) neither holds, so their
+    schemes raise.
     """
 
     RENAMES = {"hdfs", "viewfs", "ofs", "abfs", "abfss"}
