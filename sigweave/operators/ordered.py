@@ -7,14 +7,18 @@ halo of copied border rows (lag, lead, frames).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import carry_forward, checkpointed  # noqa: F401  (part of this module's surface)
+from .common import carry_forward, checkpointed, shipped  # noqa: F401  (part of this module's surface)
 
 CHUNK = 4096
+#: Rows of a task that are packed together before a shuffle.
+PACKED = 1 << 20
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, chunk: Column, scan: bool = False) -> DataFrame:
@@ -38,6 +42,87 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return placed.select(*df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
+def _pack(cols: list[np.ndarray]) -> bytes:
+    """Columns of 8-byte numbers, the bytes of equal weight side by side, compressed."""
+    a = np.stack([c.view(np.int64) for c in cols])
+    a[0, 1:] -= a[0, :-1].copy()
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1, 8).transpose(0, 2, 1)), asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, dtypes: Sequence[np.dtype]) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, n * 8 * len(dtypes), asbytes=True), np.uint8)
+    a = raw.reshape(len(dtypes), 8, n).transpose(0, 2, 1).copy().view(np.int64)[:, :, 0]
+    a[0] = np.cumsum(a[0])
+    return [c.view(t) for c, t in zip(a, dtypes, strict=True)]
+
+
+def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], values: Callable[..., Sequence[np.ndarray]], width: int, chunk: Column) -> DataFrame:
+    """Array parts (keys, first, samples), one a chunk: the signals whose samples are width values a row, rows by order.
+
+    values: arrays of columns (doubles, NULL as NaN) to width arrays. order and columns are numbers, NULLs come first;
+    rows that tie on order go by columns, so the result is deterministic. chunk is a bigint as in number_rows, and df a
+    plain scan, which is read twice. Rows go packed and compressed through the one shuffle; a chunk must fit a task.
+    """
+    types = dict(df.dtypes)
+    names = list(dict.fromkeys([*order, *columns]))
+    floats = {c: types[c] in ("double", "float") or c not in order for c in names}
+    dtypes = [np.dtype(np.float64 if floats[c] else np.int64) for c in names]
+    n_keys, ddl = len(keys), "".join(f"`{k}` {types[k]}, " for k in keys)
+    cut = df.select(*keys, chunk.cast("bigint").alias("_chunk"), *names)
+    present = F.lit(0).cast("bigint")
+    for j, c in enumerate(names):
+        present = present + F.when(F.col(c).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
+    rows = cut.select(*keys, "_chunk", *[F.coalesce(F.col(c).cast("double" if floats[c] else "bigint"), F.lit(0)).alias(c) for c in names], present.alias("_present"))
+
+    def packed(batches):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        codes = [t.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in range(n_keys + 1)]
+        cols = [t.column(n_keys + 1 + k).to_numpy() for k in range(len(names) + 1)]
+        by = np.lexsort([cols[0], *codes])
+        new = np.zeros(len(by), bool)
+        new[:1] = True
+        for c in codes:
+            new[1:] |= np.diff(c[by]) != 0
+        at = [*np.flatnonzero(new).tolist(), len(by)]
+        cols = [c[by] for c in cols]
+        heads = t.select(range(n_keys + 1)).take(pa.array(by[at[:-1]])).combine_chunks()
+        blobs = [_pack([c[a:b] for c in cols]) for a, b in zip(at, at[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([*(heads.column(k).combine_chunks() for k in range(n_keys + 1)), pa.array(np.diff(at), pa.int64()), pa.array(blobs, pa.binary())], names=[*keys, "_chunk", "n", "packed"])
+
+    def pack(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def place(key, t):
+        base, parts = 0, []
+        for n, blob, b in zip(*(t.column(c).to_pylist() for c in ("n", "packed", "base")), strict=True):
+            if blob is None:
+                base = b
+            else:
+                parts.append(_unpack(blob, n, [*dtypes, np.dtype(np.int64)]))
+        *cols, there = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        # order first, then the other columns; of each, NULLs before values
+        sort = [x for j, c in enumerate(cols) for x in ((there >> j) & 1, c)]
+        by = np.lexsort(sort[::-1])
+        got = {c: np.where((there >> j) & 1 == 1, a, np.nan)[by] for j, (c, a) in enumerate(zip(names, cols, strict=True)) if c in columns}
+        samples = np.stack([np.asarray(v, float) for v in values(*(got[c] for c in columns))], axis=1).ravel()
+        samples = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key[:n_keys]), pa.array([base * width], pa.int64()), samples], names=[*keys, "first", "samples"])
+
+    sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    base = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    bases = sizes.select(*keys, "_chunk", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("packed"), base.alias("base"))
+    sent = shipped(rows).mapInArrow(pack, ddl + "_chunk bigint, n bigint, packed binary").withColumn("base", F.lit(None).cast("bigint"))
+    return sent.unionByName(bases).groupBy(*keys, "_chunk").applyInArrow(place, ddl + "first bigint, samples array<double>")
+
+
 def number_all(df: DataFrame, order: Sequence[str | Column], out: str, first: int = 0) -> DataFrame:
     """Adds out: first, first + 1, ... by order over all rows, whatever their values: a range-partitioned sort.
 

@@ -25,9 +25,10 @@ def lengths(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_totals(samples: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """samples with per-signal aggregates attached (n always), whatever the skew."""
-    totals = samples.groupBy(*keys).agg(F.count("*").alias("n"), *[a.alias(n) for n, a in aggs.items()])
-    return attach_by_key(samples, totals, keys, "n", all_of(totals, "n"), F.col("i"))
+    """samples, or array parts (keys, first, samples), with per-signal aggregates attached (n always), whatever the skew."""
+    parts = "samples" in samples.columns
+    totals = samples.groupBy(*keys).agg((F.sum(F.size("samples")) if parts else F.count("*")).alias("n"), *[a.alias(n) for n, a in aggs.items()])
+    return attach_by_key(samples, totals, keys, "n", all_of(totals, "n"), F.col("first" if parts else "i"))
 
 
 def all_of(totals: DataFrame, column: str) -> Column:

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from . import longfft, signals
 from .common import attach_by_key, shipped
-from .ordered import blocks
+from .ordered import blocks, explode_signal
 
 BLOCK = 1 << 16
+#: Numbers that a task gathers before it hands them on.
+FLUSH = 1 << 18
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}
 
 
@@ -33,12 +35,20 @@ def _map_blocks(b: DataFrame, keys: Sequence[str], fn: Callable, out: str) -> Da
     ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{n.strip('`')}` {t}" for n, t in fields)])
     n_keys = len(keys)
 
+    def joined(rb, take, parts):
+        index = pa.array(np.concatenate(take))
+        cols = [rb.column(k).take(index) for k in range(n_keys)]
+        for p, (_, t) in zip(parts, fields, strict=True):
+            flat = t != "string" and not t.startswith("array")
+            cols.append(pa.array(np.concatenate(p) if flat else [x for q in p for x in q], _ARROW.get(t, listed)))
+        return pa.RecordBatch.from_arrays(cols, names=[*keys, *(n.strip("`") for n, _ in fields)])
+
     def run(batches):
         for rb in batches:
             lists = rb.column(n_keys + 3)
             values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             small = [rb.column(k).to_pylist() for k in range(n_keys + 3)]
-            take, parts = [], [[] for _ in fields]
+            take, parts, held = [], [[] for _ in fields], 0
             for r in range(rb.num_rows):
                 row = [c[r] for c in small]
                 got = fn(tuple(row[:n_keys]), *row[n_keys:], np.array(values[at[r] : at[r + 1]], float))
@@ -47,13 +57,12 @@ def _map_blocks(b: DataFrame, keys: Sequence[str], fn: Callable, out: str) -> Da
                 take.append(np.full(len(got[0]), r))
                 for p, a in zip(parts, got, strict=True):
                     p.append(a)
+                held += sum(np.size(x) for x in got[-1]) if fields[-1][1].startswith("array") else len(got[0])
+                if held >= FLUSH:  # a batch may hold many blocks, and a block may give many times its own length
+                    yield joined(rb, take, parts)
+                    take, parts, held = [], [[] for _ in fields], 0
             if take:
-                index = pa.array(np.concatenate(take))
-                cols = [rb.column(k).take(index) for k in range(n_keys)]
-                for p, (_, t) in zip(parts, fields, strict=True):
-                    flat = t != "string" and not t.startswith("array")
-                    cols.append(pa.array(np.concatenate(p) if flat else [x for q in p for x in q], _ARROW.get(t, listed)))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keys, *(n.strip("`") for n, _ in fields)])
+                yield joined(rb, take, parts)
 
     return shipped(b.select(*keys, "i0", "own0", "own_n", "x")).mapInArrow(run, ddl)
 
@@ -221,22 +230,22 @@ def spectrogram(samples: DataFrame, keys: Sequence[str], rate: float, method: st
 
     Segments start in their block and reach into its halo: each comes once. The overlap of scipy_praat follows from the
     signal's length, the floor of the praat methods from its greatest power. tlim limits the signal to [start, end) first.
-    Signals shorter than a segment have none.
+    Signals shorter than a segment have none. They may also come as array parts (keys, first, samples).
     """
     if tlim:
         first = max(0, int((tlim[0] - delay) * rate // 1))
-        samples = signals.crop(samples, keys, *tlim, rate, delay).withColumn("i", F.col("i") - first)
+        samples = signals.crop(samples if "i" in samples.columns else explode_signal(samples, keys), keys, *tlim, rate, delay).withColumn("i", F.col("i") - first)
         delay = delay + first / rate
     given = K.spectrogram_settings(method, rate, None, **args)
     keep, size = given.pop("keep"), given["nperseg"]
-    s = signals.with_totals(samples, keys).select(*keys, "i", "v", "n")
-    lap = F.lit(given.pop("noverlap"))
+    s, lap, own = samples, F.lit(given.pop("noverlap")), ["first", "samples"] if "samples" in samples.columns else ["i", "v"]
     if method == "scipy_praat":
         most = int(size * (1 - 1 / (8 * np.sqrt(np.pi))))
+        s = signals.with_totals(samples, keys)
         lap = F.least(F.greatest((F.lit(size) - F.col("n") / float(args.get("time_steps", 1000))).cast("bigint"), F.lit(0)), F.lit(most))
-    s = s.withColumn("_hop", F.lit(size) - lap)
+    s = s.select(*keys, *own, (F.lit(size) - lap).cast("bigint").alias("_hop"))
     span = F.col("_hop") * F.greatest(F.floor(F.lit(BLOCK) / F.col("_hop")), F.lit(1))
-    inner = [*keys, "n", "_hop"]
+    inner = [*keys, "_hop"]
 
     def fn(key, i0, own0, own_n, x):
         hop, at = int(key[-1]), i0 + own0
@@ -246,7 +255,7 @@ def spectrogram(samples: DataFrame, keys: Sequence[str], rate: float, method: st
         seg = at // hop + np.repeat(np.arange(n), len(f))
         return seg, delay + at / rate + np.repeat(t[:n], len(f)), np.tile(np.arange(len(f)), n), np.tile(f, n), p.T.ravel()
 
-    out = _map_blocks(blocks(s, inner, size=span, halo=0, after=size), inner, fn, "seg bigint, t double, freq_idx bigint, freq double, power double").drop("n", "_hop")
+    out = _map_blocks(blocks(s, inner, size=span, halo=0, after=size), inner, fn, "seg bigint, t double, freq_idx bigint, freq double, power double").drop("_hop")
     power = F.col("power")
     if keep is not None:
         top = out.groupBy(*keys).agg(F.max("power").alias("_top"), F.count("*").alias("_w"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlate, intervals, signals, transforms
-from ..operators.ordered import number_rows
+from ..operators.ordered import number_rows, parts_of_rows
 from .reference_queries import KEY, TEMPLATE, r6, s6, table
 
 QUERIES: dict = {}
@@ -31,6 +31,12 @@ def long_signal(spark: SparkSession, d: str) -> DataFrame:
     return at.select("rid", "n", F.posexplode("x").alias("j", "v")).select("rid", (F.col("n") * 4 + F.col("j")).alias("i"), "v")
 
 
+def long_parts(spark: SparkSession, d: str) -> DataFrame:
+    """long_signal as array parts: rid, first, samples."""
+    rows = table(spark, d, "lineitem").selectExpr("0L rid", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice p", "l_quantity q", "l_discount d", "l_tax t")
+    return parts_of_rows(rows, KEY, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p"], ["q", "d", "t", "p"], lambda q, d, t, p: (q, 100 * d, -100 * t, p / 1000), 4, F.floor(F.col("l_orderkey") / 4096))
+
+
 _LONG = """num as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 n from lineitem),
 sig as (select 0::bigint rid, n * 4 i, l_quantity v from num union all select 0, n * 4 + 1, 100 * l_discount from num union all select 0, n * 4 + 2, -100 * l_tax from num union all select 0, n * 4 + 3, l_extendedprice / 1000 from num),
 tot as (select count(*) n from sig)"""
@@ -91,10 +97,10 @@ def _rows_only():
         "long_decimate": lambda s: transforms.decimate(s, KEY, 10),
         "long_welch": lambda s: transforms.welch(s, KEY, RATE),
     }
-    for m in ("scipy", "scipy_praat", "mlab", "mlab_praat"):
-        made[f"long_spectrogram_{m}"] = lambda s, m=m: transforms.spectrogram(s, KEY, RATE, m)
     for name, f in made.items():
         query(name)(lambda spark, d, f=f: f(long_signal(spark, d)))
+    for m in ("scipy", "scipy_praat", "mlab", "mlab_praat"):
+        query(f"long_spectrogram_{m}")(lambda spark, d, m=m: transforms.spectrogram(long_parts(spark, d), KEY, RATE, m))
 
 
 _rows_only()

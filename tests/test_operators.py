@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,54 @@ def test_spectrograms_of_a_long_signal(long_signal, method):
     assert np.allclose(got["log10_power"], p[got["freq_idx"], got["seg"]], atol=1e-6) and np.allclose(got["t"], t[got["seg"]] + 2)
 
 
+def test_spectrograms_of_array_parts(spark, long_signal):
+    _, x = long_signal
+    x = x[:150_000]
+    cuts = [0, 70_000, 70_001, 131_072, 150_000]
+    parts = spark.createDataFrame([(0, a, x[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)], "rid bigint, first bigint, samples array<double>")
+    for method in ("scipy", "scipy_praat"):
+        f, t, p = K.log_spectrogram(x, 44_100.0, method)
+        got = transforms.spectrogram(parts, KEY, 44_100.0, method).where("freq_idx % 37 = 1").toPandas()
+        assert len(got) == p.shape[1] * len(range(1, len(f), 37)) and np.allclose(got["log10_power"], p[got["freq_idx"], got["seg"]], atol=1e-6)
+    got = transforms.spectrogram(parts, KEY, 1000.0, tlim=(60.0, 80.0)).toPandas()
+    assert got["seg"].nunique() == (20_000 - 512) // 64 + 1
+
+
+def test_blocks_of_a_batch_are_handed_on_one_by_one(monkeypatch):
+    class Rows:
+        dtypes = [("rid", "bigint")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(transforms, "shipped", lambda df: df)
+    n = transforms.FLUSH // 4
+    for out, ddl in ((lambda i0: (np.arange(i0, i0 + n), np.zeros(n)), "i bigint, v double"), (lambda i0: (np.array([i0]), [np.zeros(n)]), "first bigint, samples array<double>")):
+        run = transforms._map_blocks(Rows(), KEY, lambda _, i0, own0, own_n, x, out=out: out(i0), ddl)
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 10), pa.array([k * n for k in range(10)]), pa.array([0] * 10), pa.array([1] * 10), pa.array([[0.0]] * 10)], names=["rid", "i0", "own0", "own_n", "x"])
+        got = list(run([batch]))
+        sizes = [rb.num_rows for rb in got]
+        assert sizes == ([4 * n, 4 * n, 2 * n] if "v" in ddl.split() else [4, 4, 2])
+        assert [k for rb in got for k in rb.column(1).to_pylist()][:: n if "v" in ddl.split() else 1] == [k * n for k in range(10)]
+
+
+def test_parts_of_rows_number_as_rows_do(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 0, 1]), rng.choice([None, *range(-40, 40)]), rng.choice([None, 0.5, 2.5, float("nan")]), rng.choice([None, -1.5, 0.1, 7.0])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "rid bigint, k int, o double, q double").repartition(5)
+    got = ordered.parts_of_rows(df, KEY, ["k", "o"], ["q", "o"], lambda q, o: (10 * q, -o), 2, F.floor(F.col("k") / 16))
+    got = [tuple(map(str, r)) for r in ordered.explode_signal(got, KEY).orderBy("rid", "i").collect()]
+    want = ordered.number_rows(df, KEY, ["k", "o", "q"], "n", F.floor(F.col("k") / 16), scan=True).orderBy("rid", "n").collect()
+    nan = float("nan")
+    want = [(str(r.rid), str(2 * r.n + j), str(v)) for r in want for j, v in enumerate((nan if r.q is None else 10 * r.q, nan if r.o is None else -r.o))]
+    assert got == want and len(got) == 6000
+    none = ordered.parts_of_rows(df.where("k > 99"), KEY, ["k"], ["q"], lambda q: (q,), 1, F.floor(F.col("k") / 16))
+    assert none.count() == 0
+
+
 def test_chains_of_array_parts(spark):
     x = np.sin(np.arange(5000) / 30) + np.random.default_rng(1).random(5000)
     rng, cuts = random.Random(3), [0]
