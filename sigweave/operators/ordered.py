@@ -18,7 +18,7 @@ from .common import carry_forward, checkpointed, shipped  # noqa: F401  (part of
 
 CHUNK = 4096
 #: Rows of a task that are packed together before a shuffle.
-PACKED = 1 << 20
+PACKED = 1 << 19
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, chunk: Column, scan: bool = False) -> DataFrame:
@@ -57,8 +57,9 @@ def _unpack(packed: bytes, n: int, dtypes: Sequence[np.dtype]) -> list[np.ndarra
 
 
 def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], values: Callable[..., Sequence[np.ndarray]], width: int, chunk: Column) -> DataFrame:
-    """Array parts (keys, first, samples), one a chunk: the signals whose samples are width values a row, rows by order.
+    """Array parts (keys, first, samples, n), one a chunk: the signals whose samples are width values a row, rows by order.
 
+    n is the length of the signal.
     values: arrays of columns (doubles, NULL as NaN) to width arrays. order and columns are numbers, NULLs come first;
     rows that tie on order go by columns, so the result is deterministic. chunk is a bigint as in number_rows, and df a
     plain scan, which is read twice. Rows go packed and compressed through the one shuffle; a chunk must fit a task.
@@ -101,10 +102,10 @@ def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
             yield packed(held)
 
     def place(key, t):
-        base, parts = 0, []
+        base, total, parts = 0, 0, []
         for n, blob, b in zip(*(t.column(c).to_pylist() for c in ("n", "packed", "base")), strict=True):
             if blob is None:
-                base = b
+                base, total = b, n
             else:
                 parts.append(_unpack(blob, n, [*dtypes, np.dtype(np.int64)]))
         *cols, there = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -114,13 +115,13 @@ def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
         got = {c: np.where((there >> j) & 1 == 1, a, np.nan)[by] for j, (c, a) in enumerate(zip(names, cols, strict=True)) if c in columns}
         samples = np.stack([np.asarray(v, float) for v in values(*(got[c] for c in columns))], axis=1).ravel()
         samples = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
-        return pa.table([*(pa.array([k.as_py()], k.type) for k in key[:n_keys]), pa.array([base * width], pa.int64()), samples], names=[*keys, "first", "samples"])
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key[:n_keys]), pa.array([base * width], pa.int64()), samples, pa.array([total * width], pa.int64())], names=[*keys, "first", "samples", "n"])
 
     sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     base = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-    bases = sizes.select(*keys, "_chunk", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("packed"), base.alias("base"))
+    bases = sizes.select(*keys, "_chunk", F.sum("_n").over(W.partitionBy(*keys)).alias("n"), F.lit(None).cast("binary").alias("packed"), base.alias("base"))
     sent = shipped(rows).mapInArrow(pack, ddl + "_chunk bigint, n bigint, packed binary").withColumn("base", F.lit(None).cast("bigint"))
-    return sent.unionByName(bases).groupBy(*keys, "_chunk").applyInArrow(place, ddl + "first bigint, samples array<double>")
+    return sent.unionByName(bases).groupBy(*keys, "_chunk").applyInArrow(place, ddl + "first bigint, samples array<double>, n bigint")
 
 
 def number_all(df: DataFrame, order: Sequence[str | Column], out: str, first: int = 0) -> DataFrame:

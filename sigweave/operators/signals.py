@@ -25,8 +25,13 @@ def lengths(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_totals(samples: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """samples, or array parts (keys, first, samples), with per-signal aggregates attached (n always), whatever the skew."""
+    """samples, or array parts (keys, first, samples), with per-signal aggregates attached (n always), whatever the skew.
+
+    Parts that have their signal's length n keep it.
+    """
     parts = "samples" in samples.columns
+    if parts and "n" in samples.columns and not aggs:
+        return samples
     totals = samples.groupBy(*keys).agg((F.sum(F.size("samples")) if parts else F.count("*")).alias("n"), *[a.alias(n) for n, a in aggs.items()])
     return attach_by_key(samples, totals, keys, "n", all_of(totals, "n"), F.col("first" if parts else "i"))
 

@@ -3,7 +3,7 @@
 Samples are gathered into blocks of bounded length with a halo (see ordered.blocks), so no task holds a long signal, and
 each result is that of the whole signal: halos are as long as the filter remembers, to 1e-18 of what it held; bins and
 segments belong to the signal, not to the block; what hangs on the whole signal (its length, its greatest power) comes
-from an aggregate, and analytic signals from a transform dealt over tasks (see longfft).
+from an aggregate, and analytic signals from near and far samples apart (see longfft).
 """
 
 from __future__ import annotations
@@ -158,11 +158,18 @@ def smooth(samples: DataFrame, keys: Sequence[str], window: int = 7, order: int
     return pointwise(samples, keys, lambda x: K.savgol(x, window, order), window)
 
 
-def hilbert(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Magnitude of the analytic signal of the whole signal: in one task up to BLOCK samples, else dealt over tasks."""
-    s = signals.with_totals(samples, keys).select(*keys, "i", F.col("v").cast("double").alias("v"), "n")
-    short = pointwise(s.where(F.col("n") <= BLOCK), keys, K.hilbert_magnitude)
-    return short.unionByName(longfft.magnitude(s.where(F.col("n") > BLOCK), keys))
+def hilbert(samples: DataFrame, keys: Sequence[str], then: Callable[[np.ndarray], np.ndarray] | None = None, before: int = 0, after: int = 0) -> DataFrame:
+    """Magnitude of the analytic signal of the whole signal: in one task up to BLOCK samples, else dealt over tasks.
+
+    Samples or array parts, as they came in. then: a filter of the magnitudes that looks at so many before and after.
+    """
+    s, n, parts = signals.with_totals(samples, keys), F.col("n"), "samples" in samples.columns
+    short = pointwise(s.where(n <= BLOCK), keys, lambda x: then(K.hilbert_magnitude(x)) if then else K.hilbert_magnitude(x))
+    long = s.where(n > BLOCK)
+    if not parts:
+        long = blocks(long, [*keys, "n"]).select(*keys, "n", F.col("i0").alias("first"), F.col("x").alias("samples"))
+    out = longfft.magnitude(long, keys, then, before, after)
+    return short.unionByName(out if parts else explode_signal(out, keys))
 
 
 def decimate(samples: DataFrame, keys: Sequence[str], q: int = 10, zero_phase: bool = True) -> DataFrame:
@@ -194,7 +201,8 @@ def envelope(samples: DataFrame, keys: Sequence[str], rate: float, method: str |
     binmax, binmin, binabs, binmap (func), robust, teager, robust_teager, log_robust_teager, jarne, mindlin, absint; or a
     function of arrays, whose result has the rate env_rate (default: the signal's). Bins are those of the signal (see
     signals.bin_of), aggregated without Python except binmap's. teager begins a sample later than its signal. A cut_freq
-    that does not lie below half the envelope's rate raises. The logarithm is -inf of 0 and NaN below.
+    that does not lie below half the envelope's rate raises. The logarithm is -inf of 0 and NaN below. mindlin and absint take array parts
+    (keys, first, samples) as well and give such parts.
     """
     if callable(method):
         out = apply(samples, keys, method).where("error is null").select(*keys, "i", "v")
@@ -204,8 +212,12 @@ def envelope(samples: DataFrame, keys: Sequence[str], rate: float, method: str |
     if method == "absint":
         return integrate(samples, keys, a.get("tau", 44)).withColumn("env_rate", F.lit(float(rate)))
     if method == "mindlin":
-        y = integrate(hilbert(samples, keys), keys, a.get("tau", 100))
-        return smooth(y, keys, a.get("sg_window", 513), a.get("sg_order", 4)).withColumn("env_rate", F.lit(float(rate)))
+        tau, window, order = a.get("tau", 100), a.get("sg_window", 513), a.get("sg_order", 4)
+        if tau <= 1:
+            raise ValueError("tau must exceed one sample")
+        late = K.memory(np.array([1 - 1.0 / tau])) + window
+        y = hilbert(samples, keys, lambda x: K.savgol(K.integrator(np.abs(x), tau), window, order), late, window)
+        return y.withColumn("env_rate", F.lit(float(rate)))
     if method not in K.BIN_SIZE:
         raise ValueError(f"no envelope {method}")
     size, repeat, share = a.get("bin_size", K.BIN_SIZE[method]), a.get("repeat", 1), a.get("percentile", 95) / 100

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlate, intervals, signals, transforms
-from ..operators.ordered import number_rows, parts_of_rows
+from ..operators.ordered import explode_signal, number_rows, parts_of_rows
 from .reference_queries import KEY, TEMPLATE, r6, s6, table
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def long_signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_parts(spark: SparkSession, d: str) -> DataFrame:
-    """long_signal as array parts: rid, first, samples."""
+    """long_signal as array parts: rid, first, samples, n."""
     rows = table(spark, d, "lineitem").selectExpr("0L rid", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice p", "l_quantity q", "l_discount d", "l_tax t")
     return parts_of_rows(rows, KEY, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p"], ["q", "d", "t", "p"], lambda q, d, t, p: (q, 100 * d, -100 * t, p / 1000), 4, F.floor(F.col("l_orderkey") / 4096))
 
@@ -91,7 +91,6 @@ def _rows_only():
         "long_butter_5hz": lambda s: transforms.butter(s, KEY, 44_150.0, high=5.0),
         "long_butter_bandpass": lambda s: transforms.butter(s, KEY, RATE, 5.0, 200.0),
         "long_jarne": lambda s: transforms.envelope(s, KEY, 44_150.0, "jarne"),
-        "long_mindlin": lambda s: transforms.envelope(s, KEY, RATE, "mindlin"),
         "long_absint": lambda s: transforms.envelope(s, KEY, RATE, "absint"),
         "long_log_robust_teager": lambda s: transforms.envelope(s, KEY, RATE, "log_robust_teager"),
         "long_decimate": lambda s: transforms.decimate(s, KEY, 10),
@@ -99,6 +98,7 @@ def _rows_only():
     }
     for name, f in made.items():
         query(name)(lambda spark, d, f=f: f(long_signal(spark, d)))
+    query("long_mindlin")(lambda spark, d: explode_signal(transforms.envelope(long_parts(spark, d), KEY, RATE, "mindlin"), [*KEY, "env_rate"]).select(*KEY, "i", "v", "env_rate"))
     for m in ("scipy", "scipy_praat", "mlab", "mlab_praat"):
         query(f"long_spectrogram_{m}")(lambda spark, d, m=m: transforms.spectrogram(long_parts(spark, d), KEY, RATE, m))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigweave.dataset import Dataset
 from sigweave.functions import kernels as K
 from sigweave.functions.query import row_predicate, to_sql
-from sigweave.operators import catalogue, correlate, ensemble, intervals, ordered, pipeline, pitch, signals, transforms
+from sigweave.operators import catalogue, correlate, ensemble, intervals, longfft, ordered, pipeline, pitch, signals, transforms
 
 KEY = ["rid"]
 
@@ -266,6 +266,60 @@ def test_parts_of_rows_number_as_rows_do(spark):
     assert none.count() == 0
 
 
+def shuffled_mb(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+def test_analytic_signals_of_array_parts_shuffle_little(spark):
+    """The parts go through one shuffle with small halos; the transform that this replaces sent 64 bytes or more a sample."""
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for rid, n in enumerate((300_000, 262_145, 65_537, 500)):
+        x = rng.standard_normal(n) + 20 * np.sin(np.arange(n) / 3) + 5
+        rows += [(rid, a, x[a : a + 70_001].tolist()) for a in range(0, n, 70_001)] + [(rid, 0, [])]
+        want[rid] = x
+    parts = spark.createDataFrame(rows, "rid bigint, first bigint, samples array<double>").checkpoint()
+    was = shuffled_mb(spark)
+    got = transforms.hilbert(parts, KEY).checkpoint()
+    assert shuffled_mb(spark) - was < 2.5 * 8e-6 * sum(map(len, want.values()))
+    assert got.columns == ["rid", "first", "samples"]
+    for rid, v in values(ordered.explode_signal(got, KEY)).items():
+        exact = K.hilbert_magnitude(want[rid])
+        assert len(v) == len(exact) and np.abs(v - exact).max() < 1e-13 * np.abs(exact).max() * 10
+    got = transforms.envelope(parts, KEY, 1000.0, "mindlin")
+    assert got.columns == ["rid", "first", "samples", "env_rate"]
+    got = values(ordered.explode_signal(got, KEY))
+    assert all(np.allclose(got[rid], K.envelope(x, 1000.0, "mindlin")[0], rtol=0, atol=1e-11) for rid, x in want.items()) and len(got) == 4
+
+
+@pytest.mark.parametrize("n", [1000, 1001, 65_538, 131_071])
+@pytest.mark.parametrize("before,after", [(0, 0), (700, 30), (40_000, 0)])
+def test_boxes_of_an_analytic_signal(n, before, after):
+    x = np.random.default_rng(n).standard_normal(n) + np.arange(n) * 30 / n
+    c = np.zeros((longfft.boxes(n), 2, longfft.NODES))
+    for a in range(0, n, 777):
+        low, own = longfft.sums(n, a, x[a : a + 777])
+        c[low : low + len(own)] += own
+    f, b, out = longfft.far(n, c), longfft.blocks_of(n, before, after), []
+    for k, (lo, hi, low, high, s0, s1) in enumerate(zip(*(b[c].tolist() for c in ("lo", "hi", "low", "high", "s0", "s1")), strict=True)):
+        assert lo == max(0, s0 - before) and hi == min(n, s1 + after) and longfft.start(n, low) <= lo and longfft.start(n, high + 1) >= hi
+        y = longfft.magnitudes(n, low, high, x[np.arange(b["e0"][k], b["e1"][k]) % n], f[low : high + 1])
+        exact = K.hilbert_magnitude(x)[longfft.start(n, low) : longfft.start(n, high + 1)]
+        assert len(y) == len(exact) and np.abs(y - exact).max() < 1e-12 * np.abs(exact).max()
+        out.append((s0, s1))
+    assert out[0][0] == 0 and out[-1][1] == n and all(p[1] == q[0] for p, q in zip(out, out[1:], strict=False))
+
+
+@pytest.mark.parametrize("n", [65_540, 65_541])
+def test_a_missing_sample_spreads_over_its_analytic_signal(spark, n):
+    rows = [(0, 0, [1.0] * 40_000), (0, 40_000, [2.0] * (n - 40_001) + [None]), (1, 0, [1.0, 2.0] * (n // 2)), (2, 0, [float("inf")] + [0.0] * (n - 1))]
+    got = values(ordered.explode_signal(transforms.hilbert(spark.createDataFrame(rows, "rid bigint, first bigint, samples array<double>"), KEY), KEY))
+    assert len(got[0]) == n and np.isnan(got[0]).all() and not np.isnan(got[1]).any() and np.isnan(got[2]).all()
+
+
 def test_chains_of_array_parts(spark):
     x = np.sin(np.arange(5000) / 30) + np.random.default_rng(1).random(5000)
     rng, cuts = random.Random(3), [0]
