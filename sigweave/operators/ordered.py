@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import carry_forward, checkpointed, shipped  # noqa: F401  (part of this module's surface)
 
 CHUNK = 4096
-#: Rows of a task that are packed together before a shuffle.
-PACKED = 1 << 19
+#: Rows of a task that are packed together before a shuffle, and samples of a part at most.
+PACKED, PART = 1 << 19, 1 << 16
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, chunk: Column, scan: bool = False) -> DataFrame:
@@ -57,9 +57,9 @@ def _unpack(packed: bytes, n: int, dtypes: Sequence[np.dtype]) -> list[np.ndarra
 
 
 def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], values: Callable[..., Sequence[np.ndarray]], width: int, chunk: Column) -> DataFrame:
-    """Array parts (keys, first, samples, n), one a chunk: the signals whose samples are width values a row, rows by order.
+    """Array parts (keys, first, samples, n) of a chunk's samples or less: the signals whose samples are width values a row,
+    rows by order. n is the length of the signal.
 
-    n is the length of the signal.
     values: arrays of columns (doubles, NULL as NaN) to width arrays. order and columns are numbers, NULLs come first;
     rows that tie on order go by columns, so the result is deterministic. chunk is a bigint as in number_rows, and df a
     plain scan, which is read twice. Rows go packed and compressed through the one shuffle; a chunk must fit a task.
@@ -110,12 +110,16 @@ def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
                 parts.append(_unpack(blob, n, [*dtypes, np.dtype(np.int64)]))
         *cols, there = [np.concatenate(c) for c in zip(*parts, strict=True)]
         # order first, then the other columns; of each, NULLs before values
-        sort = [x for j, c in enumerate(cols) for x in ((there >> j) & 1, c)]
-        by = np.lexsort(sort[::-1])
-        got = {c: np.where((there >> j) & 1 == 1, a, np.nan)[by] for j, (c, a) in enumerate(zip(names, cols, strict=True)) if c in columns}
+        if (there == (1 << len(names)) - 1).all():
+            by = np.lexsort(cols[::-1])
+            got = {c: a[by] for c, a in zip(names, cols, strict=True) if c in columns}
+        else:
+            by = np.lexsort([x for j, c in enumerate(cols) for x in ((there >> j) & 1, c)][::-1])
+            got = {c: np.where((there >> j) & 1 == 1, a, np.nan)[by] for j, (c, a) in enumerate(zip(names, cols, strict=True)) if c in columns}
         samples = np.stack([np.asarray(v, float) for v in values(*(got[c] for c in columns))], axis=1).ravel()
-        samples = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
-        return pa.table([*(pa.array([k.as_py()], k.type) for k in key[:n_keys]), pa.array([base * width], pa.int64()), samples, pa.array([total * width], pa.int64())], names=[*keys, "first", "samples", "n"])
+        at = np.arange(0, len(samples), PART)
+        lists = pa.ListArray.from_arrays(pa.array([*at.tolist(), len(samples)], pa.int32()), pa.array(samples))
+        return pa.table([*(pa.array([k.as_py()] * len(at), k.type) for k in key[:n_keys]), pa.array(base * width + at, pa.int64()), lists, pa.array([total * width] * len(at), pa.int64())], names=[*keys, "first", "samples", "n"])
 
     sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     base = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))

@@ -262,6 +262,8 @@ def test_parts_of_rows_number_as_rows_do(spark):
     nan = float("nan")
     want = [(str(r.rid), str(2 * r.n + j), str(v)) for r in want for j, v in enumerate((nan if r.q is None else 10 * r.q, nan if r.o is None else -r.o))]
     assert got == want and len(got) == 6000
+    one = ordered.parts_of_rows(spark.range(50_000).selectExpr("0L rid", "id k", "id / 4 q"), KEY, ["k"], ["q"], lambda q: (q, -q), 2, F.lit(7))
+    assert sorted((r.first, r.n, len(r.samples), r.samples[1]) for r in one.collect()) == [(0, 100_000, 65_536, 0.0), (65_536, 100_000, 34_464, -8192.0)]
     none = ordered.parts_of_rows(df.where("k > 99"), KEY, ["k"], ["q"], lambda q: (q,), 1, F.floor(F.col("k") / 16))
     assert none.count() == 0
 
