@@ -109,6 +109,7 @@ def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
             else:
                 parts.append(_unpack(blob, n, [*dtypes, np.dtype(np.int64)]))
         *cols, there = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        del parts
         # order first, then the other columns; of each, NULLs before values
         if (there == (1 << len(names)) - 1).all():
             by = np.lexsort(cols[::-1])
@@ -116,6 +117,7 @@ def parts_of_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
         else:
             by = np.lexsort([x for j, c in enumerate(cols) for x in ((there >> j) & 1, c)][::-1])
             got = {c: np.where((there >> j) & 1 == 1, a, np.nan)[by] for j, (c, a) in enumerate(zip(names, cols, strict=True)) if c in columns}
+        del cols, there, by
         samples = np.stack([np.asarray(v, float) for v in values(*(got[c] for c in columns))], axis=1).ravel()
         at = np.arange(0, len(samples), PART)
         lists = pa.ListArray.from_arrays(pa.array([*at.tolist(), len(samples)], pa.int32()), pa.array(samples))
