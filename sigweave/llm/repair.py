@@ -18,12 +18,11 @@ _SPECIALS = re.compile(f"[{_SPECIAL}]")
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _UTF8_RUN = re.compile(f"(?:{_UTF8.pattern})+")
 _BYTES = re.compile("[\x80-\xff]+")
+_C1_SIGN = re.compile("[\x80-\x9f]")
 # begins with one class, which is looked for fast
 _SUSPECT = re.compile(f"[\x80-\xff&](?:(?<=[\xc2-\xf4])[\x80-\xbf{_SPECIAL}]|(?<=[\x80-\x9f\xc0-\xff])[\x80-\x9f\xc0-\xff]{{2}}|(?<=[\x80-\x9f])|(?<=&)[#a-z])")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|quot|amp|lt|gt|apos|nbsp);")
-_NARROW = re.compile("[\xa0-\xff]+")
 _GB = re.compile("(?:[\xa1-\xf7][\xa1-\xfe])+")
-_LATIN, _LOWS, _BEYOND = re.compile("[A-Za-z]+"), re.compile("[\xa1-\xbf]+"), re.compile("[\u0250-\U0010ffff]+")
 
 
 class Repaired:
@@ -89,9 +88,17 @@ def _decoded(codec: str) -> Callable[[str], str]:
     return lambda run: run.encode("latin-1").decode(codec, "replace")
 
 
-def _count(pattern: re.Pattern, text: str) -> int:
-    """Characters in the matches of pattern."""
-    return sum(map(len, pattern.findall(text)))
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _count(codes: np.ndarray, first: str, last: str) -> int:
+    """Characters from first to last."""
+    return int(np.count_nonzero((codes >= ord(first)) & (codes <= ord(last))))
+
+
+def _length(runs: list[str]) -> int:
+    return sum(map(len, runs))
 
 
 def repair(text: str) -> Repaired:
@@ -109,21 +116,31 @@ def repair(text: str) -> Repaired:
         out.replace(out.text, _ENTITY, html.unescape, _shares)
     for _ in range(2):
         seen = _SPECIALS.sub(lambda m: _TO_BYTE[m[0]], out.text)
-        high = _count(_BYTES, seen)
-        if not high or _count(_UTF8_RUN, seen) < 0.9 * high:
+        codes = _codes(seen)
+        high = _count(codes, "\x80", "\xff")
+        # at least every second character of a run continues one
+        if not high or 2 * _count(codes, "\x80", "\xbf") < 0.9 * high:
+            break
+        runs = _UTF8_RUN.findall(seen)
+        if _length(runs) < 0.9 * high:
             break
+        read = {r: _utf8(r) for r in set(runs)}
         # a run that holds what is no character is taken character by character
-        out.replace(seen, _UTF8_RUN if all(_utf8(r) for r in _UTF8_RUN.findall(seen)) else _UTF8, _utf8, _utf8_sizes)
+        if all(read.values()):
+            out.replace(seen, _UTF8_RUN, read.get, _utf8_sizes)
+        else:
+            out.replace(seen, _UTF8, _utf8, _utf8_sizes)
     t = out.text
-    narrow = _count(_NARROW, t)
+    codes = _codes(t)
+    narrow = _count(codes, "\xa0", "\xff")
     if narrow >= 6:
-        if not any(c.isalpha() for run in _BEYOND.findall(t) for c in run):
-            letters, low, paired = _count(_LATIN, t), _count(_LOWS, t), _count(_GB, t)
+        if not any(c.isalpha() for c in set(t) if c >= "\u0250"):
+            letters, low, paired = _count(codes, "A", "Z") + _count(codes, "a", "z"), _count(codes, "\xa1", "\xbf"), _length(_GB.findall(t))
             runs = re.findall("[\xc0-\xff]{4}", t)
             if paired >= 0.9 * narrow and low > 0.12 * narrow and re.search("[\xa1-\xfe]{4}", t):
                 out.replace(t, _GB, _decoded("gb18030"), _shares)
             elif len(runs) * 4 > 0.3 * narrow and narrow > 0.1 * letters:
                 out.replace(t, _BYTES, _decoded("cp1251"), _shares)
-    if re.search("[\x80-\x9f]", out.text):
+    if _C1_SIGN.search(out.text):
         out.text = out.text.translate(_C1)
     return out

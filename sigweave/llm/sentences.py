@@ -40,6 +40,7 @@ TITLES = set(
 NUMBERED = set("no nr núm num pág p art fig vol ch abs env approx aprox ca h стр см kap s".split())
 # Abbreviations that may end a sentence before a capital.
 CLOSERS = set("""a.m p.m am pm etc ltd inc co corp cie usw usf cía s.a u.n.r u.s u.k gmbh т.д т.п др bc ad bros""".split())
+_LISTED = TITLES | NUMBERED | CLOSERS
 # Those of firms, after which initials name their legal form.
 FIRMS = set("cía cie co corp inc ltd bros gmbh".split())
 # What a speaker says while hesitating, before an ellipsis that does not end the sentence.
@@ -81,6 +82,7 @@ _BEFORE_LETTER = re.compile(r"[\x00 \t]*(?=[^\s\x00\d-])")
 
 _TERM = "[.!?…。！？｡؟।॥．‼⁇⁉⁈|]"
 _TERMS = _TERM[1:-1]
+_AFTER_WHOLE = frozenset(_TERMS + "\"”»」』“")
 #: A verb of saying is looked for in so many words after a quotation, or so many signs of a script without spaces.
 WORDS_AHEAD, SIGNS_AHEAD = 5, 24
 _BARE = r"[^.!?…。！？｡؟।॥．|\x03\"“«「\s\x00\x02]+"
@@ -90,7 +92,7 @@ _GAPS = re.compile(_GAP)
 _CLOSE = "[\"'”’»›」』】〉》)\\]“‚‘]"
 # patterns begin with one class or character, which is looked for fast; what stands before is looked back at
 _TOKEN = re.compile(rf"([{_TERMS}\x02\x03](?:(?<![\x02\x03])(?:[\x00 ]?{_TERM})*|))((?<![\x02\x03])(?:\x00*{_CLOSE}|[\x00 \u00a0\u202f]+»)*(?:�(?!\w))?|)")
-_QUOTE = re.compile("[“”„«»「」『』《》\"\x03\x02]")
+_QUOTE = re.compile("[“”„«»「」『』《》\"\x03]")
 _WCH = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e00-\u0e4e]"
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
 _AFTER_LETTER = re.compile(r"[!?,;:…](?!\w)")
@@ -113,9 +115,11 @@ _NEXT = re.compile(r"[\s\x00\xa0]*")
 _VISIBLE = re.compile(r"[^\W_]")
 _LETTERS = re.compile(r"[^\W_]*")
 _INITIALS = re.compile(r"[^\W\d_]\.")
+_SPELT = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_DOTS_ON = re.compile(r"\.\.+[^\W\d_]|…[^\W\d_]")
 _OPENERS = "\"'“”„«‹「『《¿¡([（�-–—"
 _NOSPACE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
-_STOP = re.compile(r"\.([,\s]+)(\S)")
+_STOP = re.compile(r"\.(,[,\s]*|\s[,\s]*(?![A-ZÀ-ÖØ-ÞА-ЯЁ]))(\S)")
 _ENDS = frozenset(".!?…。！？｡؟।॥．‼⁇⁉⁈|\"'”’»›」』】〉》“‚‘")
 _PUNCT = ".,;:!?…。！？｡؟।॥．‼|\"'”’»›«‹「」『』【】〉》《“„‚‘()[]（）［］*♪#=<>-–—،、，؛·~～\ufeff\u200b"
 
@@ -145,24 +149,56 @@ def _key(word: str) -> int:
     return k
 
 
+_EDGES: tuple[dict[str, str], dict[str, str]] = {}, {}
+
+
 def edge_word(text: str, last: bool) -> str:
     """The last or first word of text; of scripts without spaces its two characters."""
-    if last:
-        w = text[max(text.rfind(" "), text.rfind("\n")) + 1 :].strip(_PUNCT)
-    else:
-        k = text.find(" ")
-        w = (text[:k] if k >= 0 else text).strip(_PUNCT)
-    if not w.isalpha():  # more than a word, or none
+    words = text.rsplit(None, 1) if last else text.split(None, 1)
+    if not words:
+        return ""
+    shown = words[-last]
+    known = _EDGES[last].get(shown)
+    if known is not None:
+        return known
+    w = shown.strip(_PUNCT)
+    found = bool(w)
+    if not found:
         words = text.rsplit(None, 3) if last else text.split(None, 3)
         w = next(filter(None, (x.strip(_PUNCT) for x in (reversed(words) if last else words))), "")
     if w and "\u0e00" <= w[-1] and _NOSPACE.search(w):
-        return w[-2:] if last else w[:2]
+        w = w[-2:] if last else w[:2]
+    if found and len(shown) < 32:
+        if len(_EDGES[last]) > 100_000:  # only a memo, as above
+            _EDGES[last].clear()
+        _EDGES[last][shown] = w
     return w
 
 
+#: A timing line, with the number line before it, as nearly all are written.
+_CUE = re.compile("\n(?:(\\d+)[ \t\r]*\n)?[\ufeff \t]*\\d[^\n:>]*:[^\n>]*->[^\n]*(?:\n|\\Z)")
+
+
+def _content_end(text: str, begin: int, a: int) -> int:
+    """Where the text of a cue ends that begins at begin, before the timing line at a: at its number line if there is one."""
+    if a > begin:
+        line = text.rfind("\n", begin, a - 1) + 1 or begin
+        if text[line : a - 1].strip("\ufeff�? \t\r").isdigit():
+            return line
+    return a
+
+
 def cue_spans(text: str) -> list[tuple[int, int]]:
     """Where the text lines of each cue stand: between timing lines, without the number line and outer blanks."""
     spans, begin, n = [], 0, len(text)
+    for m in _CUE.finditer("\n" + text):
+        a, e = m.span()
+        spans.append((begin, a if m.start(1) > 0 else _content_end(text, begin, a)))
+        begin = e - 1
+    if text.count("->") == len(spans):  # each arrow stands in a line of its own that was found
+        spans.append((begin, n))
+        return spans
+    spans, begin = [], 0
     find, back = text.find, text.rfind
     k = find("->")
     while k >= 0:
@@ -171,18 +207,21 @@ def cue_spans(text: str) -> list[tuple[int, int]]:
         if e < 0:
             e = n
         if find(":", a, e) >= 0 and text[a:e].lstrip("\ufeff \t")[:1].isdigit():
-            end = a
-            if a > begin:
-                line = back("\n", begin, a - 1) + 1 or begin
-                if text[line : a - 1].strip("\ufeff�? \t\r").isdigit():
-                    end = line
-            spans.append((begin, end))
+            spans.append((begin, _content_end(text, begin, a)))
             begin = e + 1
         k = find("->", e)
     spans.append((begin, n))
     return spans
 
 
+def _cue_bodies(text: str) -> list[str]:
+    """The text of each cue, perhaps with blanks around it."""
+    parts = _CUE.split("\n" + text)
+    if text.count("->") == len(parts) // 2 and None not in parts:
+        return parts[::2]
+    return [text[a:b] for a, b in cue_spans(text)]
+
+
 def script(ch: str) -> str:
     """Block of a letter, as the key of its script's totals."""
     c = ord(ch)
@@ -194,7 +233,7 @@ class Stats:
 
     def __init__(self, counts: np.ndarray | None = None, keys: np.ndarray | None = None):
         self.counts = np.zeros((BUCKETS, KINDS), np.int64) if counts is None else counts
-        self.keys, self._found = keys, {}
+        self.keys, self._found, self._stops = keys, {}, {}
 
     def get(self, word: str) -> list[int]:
         if self.keys is None:
@@ -208,6 +247,16 @@ class Stats:
             n = self._found[word] = self.counts[i].tolist() if i < len(self.keys) and self.keys[i] == k else [0] * KINDS
         return n
 
+    def stops(self, word: str) -> bool:
+        """Whether a full stop after the word mostly stands inside a sentence."""
+        known = self._stops.get(word)
+        if known is None:
+            if len(self._stops) > 50_000:  # only a memo, as above
+                self._stops.clear()
+            n = self.get(word)
+            known = self._stops[word] = n[STOP_INSIDE] >= 5 and n[STOP_INSIDE] > 2 * n[STOP_FINAL]
+        return known
+
     @classmethod
     def of(cls, k: np.ndarray, n: np.ndarray) -> Stats:
         """From counts n of k, which are key * KINDS + kind."""
@@ -238,19 +287,24 @@ def _dots(text: str, cased: Callable[[int], bool] | None = None) -> Iterator[str
 def gather_words(text: str, seen: list[list[str]]) -> None:
     """Adds the document's words, and scripts of words (after a \x00), to the lists of their kinds."""
     closed_last, open_last, closed_first, open_first, inside, final, common, name = seen
-    before = ""
-    for a, b in cue_spans(text):
-        body = text[a:b].strip()
+    before, w = "", None
+    for body in _cue_bodies(text):
+        body = body.strip()
         if not body:
             continue
-        if "." in body:
-            inside += _dots(body)
+        end, last = before[-1:], None
+        k = body.find(".")
+        if k >= 0:
+            if k < len(body) - 1 and _STOP.search(body, k):
+                inside += _dots(body)
             if body[-1] == ".":
-                final.append(edge_word(body, True))
-        if before and before[-1] not in ">])）]】♪*=～":
+                last = edge_word(body, True)
+                final.append(last)
+        if before and end not in ">])）]】♪*=～":
             first = body[0]
-            closed = before[-1] in _ENDS and first not in ".…"
-            w = edge_word(before, True)
+            closed = end in _ENDS and first not in ".…"
+            if w is None:
+                w = edge_word(before, True)
             if w and (closed or first not in "-–—[(♪*"):
                 (closed_last if closed else open_last).append(w)
                 if w.islower():
@@ -266,9 +320,9 @@ def gather_words(text: str, seen: list[list[str]]) -> None:
                         open_last.append("\x00" + v[0])
                     if v.islower():
                         common.append(v)
-                    elif v[0].isupper() and before[-1].islower() and not v.isupper():
+                    elif v[0].isupper() and end.islower() and not v.isupper():
                         name.append(v)
-        before = body
+        before, w = body, last
 
 
 def add_counts(seen: list[list[str]], into: dict[int, int], key: Callable[[str], int]) -> None:
@@ -289,8 +343,15 @@ def count_words(text: str, into: dict[int, int], key: Callable[[str], int] = _bu
     add_counts(seen, into, key)
 
 
+_NO_BREAK = re.compile(r"[^\n\x02]")
+
+
+def _blanked(s: str) -> str:
+    return _NO_BREAK.sub("\x00", s) if "\n" in s or "\x02" in s else "\x00" * len(s)
+
+
 def _blank(m: re.Match) -> str:
-    return re.sub(r"[^\n\x02]", "\x00", m[0])
+    return _blanked(m[0])
 
 
 def _blank_spans(s: str, spans: list[tuple[int, int]]) -> str:
@@ -299,7 +360,7 @@ def _blank_spans(s: str, spans: list[tuple[int, int]]) -> str:
     for a, b in sorted(spans):
         if b > at:
             a = max(a, at)
-            out += [s[at:a], re.sub(r"[^\n\x02]", "\x00", s[a:b])]
+            out += [s[at:a], _blanked(s[a:b])]
             at = b
     return "".join([*out, s[at:]])
 
@@ -354,7 +415,7 @@ def _between(s: str, mark: re.Pattern) -> list[tuple[int, int]]:
 
 
 _HEAD = re.compile(
-    r"[\W_]*(?:s.bt|.nt.rt|s..s-|перев|субт|字幕|翻|l.g.nd|tr.d|t ?r ?. ?n ?s|s.nc|r.pp|.nc.d|c.rr.ct|c.pt|.dv.rt|r.te th|g.t t|d.wn|v.s.t|ترجمة|अनुवाद|คำบรร)|[?�]{3}|\W?=|[\W_]*(?:https?:|www\.)",
+    r"[\W_]*(?:(?=[slrtcgdvпс字翻تअค]|.[nd])(?:s.bt|.nt.rt|s..s-|перев|субт|字幕|翻|l.g.nd|tr.d|t ?r ?. ?n ?s|s.nc|r.pp|.nc.d|c.rr.ct|c.pt|.dv.rt|r.te th|g.t t|d.wn|v.s.t|ترجمة|अनुवाद|คำบรร)|https?:|www\.)|[?�]{3}|\W?=",
     re.I,
 )
 _TLD = re.compile(r"\.\s?(?:example|invalid|com|net|org|info|tv|io|me)\b")
@@ -380,21 +441,22 @@ class Stream:
     Unspoken characters are \\x00, cues are parted by \\x02 and a new line, speakers by \\x03 in place of their mark.
     """
 
-    __slots__ = ("text", "marked", "_own", "_there")
+    __slots__ = ("text", "_own", "_there")
 
     def __init__(self, text: str):
         marked_up = "<" in text or "{" in text or "\ufeff" in text or "\u200b" in text
         bodies, there = [], []
         for a, b in cue_spans(text):
             cut = text[a:b].rstrip()
-            if not cut or cut.isdecimal() or cut.strip().isdigit():
+            if not cut or cut[-1].isdigit() and cut.strip().isdigit():
                 continue
             bodies.append(_MARKUP.sub(_blank, cut) if marked_up else cut)
             there.append(a)
-        if "&" in text or "==" in text or "." in text and _TLD.search(text):
-            spoken = [not _is_credit(c) for c in bodies]
+        head, tld = _HEAD.match, _TLD.search
+        odd, url = "&" in text or "==" in text, "." in text and tld(text)
+        if odd or url:
+            spoken = [not ((head(c) or odd and ("&" in c or "==" in c) or url and "." in c and tld(c)) and _is_credit(c)) for c in bodies]
         else:
-            head = _HEAD.match
             spoken = [not (head(c) and _is_credit(c)) for c in bodies]
         if not all(spoken):
             bodies, there = list(compress(bodies, spoken)), list(compress(there, spoken))
@@ -412,9 +474,12 @@ class Stream:
             s = _marked(s, _labels(s))
         s = _marked(s, _dashes(s))
         self.text, self._own, self._there = s, own, there
-        ends = [p.rstrip("\x00 \r\n\t")[-1:] for p in s.split("\x02\n")]
+
+    def marked(self) -> bool:
+        """Whether marks close most of the cues."""
+        ends = [p.rstrip("\x00 \r\n\t")[-1:] for p in self.text.split("\x02\n")]
         ends = [e for e in ends if e]
-        self.marked = 2 * sum(e in _ENDS for e in ends) > len(ends)
+        return 2 * sum([e in _ENDS for e in ends]) > len(ends)
 
     def places(self, ends: list[int]) -> list[int]:
         """Places in the document of ascending positions in the text."""
@@ -460,29 +525,28 @@ def _marked(s: str, spans: Iterator[tuple[int, int]]) -> str:
     return "".join([*out, s[last:]]) if out else s
 
 
-def _style(cue: str) -> str:
-    """n: capitals and small letters as usual, s: small letters only, c: mostly capitals; '' if too few letters tell."""
-    if cue == (small := cue.lower()):
-        return "" if small == cue.upper() else "s"
-    if not _CAPITALS.search(cue):
-        return "n" if cue != cue.upper() else ""
-    return "c" if len(_UPPER.findall(cue)) > len(_LOWER.findall(cue)) else "n"
+def _styles(s: str, breaks: list[int]) -> str:
+    """A sign for each cue. n: capitals and small letters as usual, s: small letters only, c: mostly capitals; - if too few letters tell."""
+    cues = s.split("\x02")
+    cased = zip(cues, s.lower().split("\x02"), s.upper().split("\x02"), strict=True)
+    out = [("n" if cue != large else "-") if cue != small else "s" if small != large else "-" for cue, small, large in cased]
+    m = _CAPITALS.search(s)
+    while m:
+        k = bisect_right(breaks, m.start())
+        out[k] = "c" if len(_UPPER.findall(cues[k])) > len(_LOWER.findall(cues[k])) else "n"
+        m = _CAPITALS.search(s, breaks[k]) if k < len(breaks) else None
+    return "".join(out)
 
 
 #: Cues before and after one that tell with it how the text around is written.
 NEAR = 20
 
 
-def _cased_cues(cues: list[str]) -> list[bool]:
-    """For each cue whether the cues around it are written with capitals and small letters as usual."""
-    styles = [_style(c) for c in cues]
-    usual, small, large = (list(accumulate((x == k for x in styles), initial=0)) for k in "nsc")
-    out = []
-    for k in range(len(styles)):
-        a, b = max(0, k - NEAR), min(len(styles), k + NEAR + 1)
-        n, s, c = usual[b] - usual[a], small[b] - small[a], large[b] - large[a]
-        out.append(n > 0 and n >= c and n + 1 >= s + c)  # cues in small letters may go on from others
-    return out
+def _cased_cue(styles: str, k: int) -> bool:
+    """Whether the cues around the k-th are written with capitals and small letters as usual."""
+    a, b = max(0, k - NEAR), k + NEAR + 1
+    n, s, c = styles.count("n", a, b), styles.count("s", a, b), styles.count("c", a, b)
+    return n > 0 and n >= c and n + 1 >= s + c  # cues in small letters may go on from others
 
 
 class _Doc:
@@ -490,12 +554,12 @@ class _Doc:
 
     def __init__(self, stream: Stream, stats: Stats):
         s = stream.text
-        self.s, self.stats, self.marked = s, stats, stream.marked
+        self.s, self.stats, self._stream = s, stats, stream
         self._breaks = [m.start() for m in _CUE_BREAK.finditer(s)]
-        self._cased = self._closing = None
-        # the document's own evidence: stops inside sentences, and stops that end a cue
+        self._styles = self._marked = self._closing = self._final = None
+        self._cased: dict[int, bool] = {}
+        # the document's own evidence of stops inside sentences
         self.inside = set(_dots(s, self.cased)) if "." in s else set()
-        self.final = {_word(s, m.start()).lower() for m in _LAST_STOP.finditer(s)} if self.inside else set()
         self.lower, self._plain = None, {}
         self.lost = "?" if "?" in s and _LOST_Q.search(s) else "�" if "�" in s and _LOST_R.search(s) else ""
         self.spans = self._quotes() if _QUOTE_MARK.search(s) else []
@@ -504,9 +568,27 @@ class _Doc:
 
     def cased(self, i: int) -> bool:
         """Whether sentences begin with capitals, and only they and names do, around the cue of position i."""
-        if self._cased is None:
-            self._cased = _cased_cues(self.s.split("\x02"))
-        return self._cased[bisect_right(self._breaks, i - 1)]
+        k = bisect_right(self._breaks, i - 1)
+        known = self._cased.get(k)
+        if known is None:
+            if self._styles is None:
+                self._styles = _styles(self.s, self._breaks)
+            known = self._cased[k] = _cased_cue(self._styles, k)
+        return known
+
+    @property
+    def final(self) -> set[str]:
+        """Words before a stop that ends a cue."""
+        if self._final is None:
+            self._final = {_word(self.s, m.start()).lower() for m in _LAST_STOP.finditer(self.s)}
+        return self._final
+
+    @property
+    def marked(self) -> bool:
+        """Whether marks close most of the cues."""
+        if self._marked is None:
+            self._marked = self._stream.marked()
+        return self._marked
 
     def closes_turn(self, low: str) -> bool:
         """Whether the document has the word before a stop that closes a turn or the text, where a title cannot stand."""
@@ -553,7 +635,8 @@ class _Doc:
         return known
 
     def after(self, i: int) -> int:
-        return _NEXT.match(self.s, i).end()
+        ch = self.s[i : i + 1]
+        return i if ch.isalnum() or ch == "\x02" else _NEXT.match(self.s, i).end()
 
     def _before(self, i: int) -> str:
         """Last visible character before i in the same cue stream, '' at a break of speakers or the start."""
@@ -571,31 +654,28 @@ class _Doc:
             if q == "\x03":
                 stack.clear()
                 continue
-            if q == "\x02":
-                stack = [(c, o, n + 1) for c, o, n in stack]
-                continue
             if q == '"':
                 prev = s[i - 1] if i else " "
                 opening = (prev in " \n\r\t\x00\x02\x03-–—¿¡(\"“" or not stack) and self._opens(i)
                 if not opening and stack and stack[-1][0] == '"':
                     found.append((stack.pop()[1], i))
                 elif opening:
-                    stack = self._opened_anew(stack, '"')
-                    stack.append(('"', i, 0))
+                    stack = self._opened_anew(stack, '"', i)
+                    stack.append(('"', i))
                 continue
             if stack and q in stack[-1][0] and not (q == "“" and self._opens(i) and not stack[-1][0].startswith("“")):
                 found.append((stack.pop()[1], i))
             elif q in close_of:
-                stack = self._opened_anew(stack, close_of[q])
-                stack.append((close_of[q], i, 0))
-            elif any(q in c for c, _, _ in stack):
+                stack = self._opened_anew(stack, close_of[q], i)
+                stack.append((close_of[q], i))
+            elif any(q in c for c, _ in stack):
                 while q not in stack[-1][0]:
                     stack.pop()
                 found.append((stack.pop()[1], i))
         out = []
         for o, c in sorted(found):
             prev = self._before(o)
-            mid = bool(prev) and not re.match(f"{_TERM}|[\"”»」』“]", prev) and not (prev in "¿¡-–—“«「『„\"" and self._fresh(o))
+            mid = bool(prev) and prev not in _AFTER_WHOLE and not (prev in "¿¡-–—“«「『„\"" and self._fresh(o))
             out.append((o, c, mid, self._goes_on(o, c, mid)))
         return out
 
@@ -609,10 +689,9 @@ class _Doc:
                 out.append((o, c, mid, self._goes_on(o, c, mid)))
         return out
 
-    @staticmethod
-    def _opened_anew(stack: list[tuple[str, int, int]], close: str) -> list[tuple[str, int, int]]:
-        """stack without a quotation of that kind, and those inside it, that an earlier cue opened: it has lost its end."""
-        k = next((k for k, (c, _, n) in enumerate(stack) if c == close and n), len(stack))
+    def _opened_anew(self, stack: list[tuple[str, int]], close: str, i: int) -> list[tuple[str, int]]:
+        """stack without a quotation of that kind, and those inside it, that a cue before that of i opened: it has lost its end."""
+        k = next((k for k, (c, o) in enumerate(stack) if c == close and self.s.find("\x02", o, i) >= 0), len(stack))
         return stack[:k]
 
     def _fresh(self, o: int) -> bool:
@@ -681,14 +760,14 @@ class _Doc:
     def cut(self) -> list[int]:
         """Positions in s of the last characters of the sentences."""
         s, ends, last = self.s, [], -1
-        visible = _VISIBLE.search
+        visible, is_end, lost = _VISIBLE.search, self._is_end, self.lost == "?"
         mute = [(o, c) for o, c, mid, on in self.spans if mid or on]
         ending = {c for o, c, mid, on in self.spans if mid and not on}
         held, mi, nm = [], 0, len(mute)
         for m in _TOKEN.finditer(s):
-            i = m.start()
+            i, e = m.span()
             brk = s[i]
-            brk = brk if brk in "\x02\x03" else ""
+            brk = brk if brk == "\x02" or brk == "\x03" else ""
             if i <= last or brk and i == last + 1:
                 continue
             while mi < nm and mute[mi][0] < i:
@@ -696,24 +775,24 @@ class _Doc:
                 mi += 1
             if held:
                 held = [x for x in held if x[1] >= i]
-            if not (s[last + 2 : last + 3].isalnum() and last + 2 < i or visible(s, last + 1, i)):
+            if not (i > last + 1 and s[i - 1].isalnum() or i > last + 3 and (s[last + 2].isalnum() or s[last + 3].isalnum()) or visible(s, last + 1, i)):
                 continue
             if brk:
-                j = self._last_visible(i)
+                j = i - 1 if s[i - 1].isalnum() else self._last_visible(i)
                 if j <= last or brk == "\x02" and (held or self._runs_on(last + 1, j, i)):
                     continue
                 ends.append(j)
                 last = j
                 continue
             first = m.end(1)
-            if self.lost == "?" and " ?" in m[1] and s[first : first + 1].isupper():
+            if lost and " ?" in m[1] and s[first : first + 1].isupper():
                 # what stands after the blank opens the next sentence
                 e = i + m[1].rindex(" ") - 1
-                if not held and self._is_end(last + 1, i, m[1][: e - i + 1], e):
+                if not held and is_end(last + 1, i, m[1][: e - i + 1], e):
                     ends.append(e)
                     last = e
                 continue
-            e = m.end() - 1
+            e -= 1
             if e >= first:
                 e = self._closers(first, e)
             if held:
@@ -721,7 +800,7 @@ class _Doc:
                 c = next((k for k in range(first, e + 1) if k in ending), None)
                 if c is None or any(x[1] != c for x in held):
                     continue
-            if self._is_end(last + 1, i, m[1], e):
+            if is_end(last + 1, i, m[1], e):
                 ends.append(e)
                 last = e
         if visible(s, last + 1):
@@ -750,12 +829,19 @@ class _Doc:
 
     def _is_end(self, a: int, i: int, term: str, e: int) -> bool:
         s = self.s
-        t = term.replace("\x00", "").replace(" ", "")
-        j = self.after(e + 1)
-        nxt = s[j] if j < len(s) else ""
+        t = term if len(term) == 1 else term.replace("\x00", "").replace(" ", "")
+        j = e + 1
+        nxt = s[j : j + 1]
+        if nxt == " " and s[j + 1 : j + 2].isalnum():
+            j += 1
+            nxt = s[j]
+        elif nxt != "\x02" and not nxt.isalnum():
+            j = _NEXT.match(s, j).end()
+            nxt = s[j : j + 1]
         direct = j == e + 1
         prev = s[i - 1] if i else ""
-        if (s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?") and nxt.isalpha() and not direct and self._reported(j):
+        unclosed = s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?"
+        if unclosed and nxt.isalpha() and not direct and self._reported(j):
             return False  # a quotation whose closing mark was lost
         if t == "|":
             return "ऀ" <= self._before(i) <= "ॣ" or not nxt or nxt in "\x02\x03"
@@ -768,7 +854,7 @@ class _Doc:
             if nxt.islower() or nxt in ",;:":
                 return not nxt
             return nxt != "\x02" or self._next_starts(j)
-        if direct and nxt and nxt not in "\x02\x03":
+        if direct and nxt and nxt != "\x02" and nxt != "\x03":
             if t == "." or t == "．":
                 if nxt in "“„«「『¿¡" and prev.islower() and s[j + 1 : j + 2].isalpha():
                     return True
@@ -781,7 +867,7 @@ class _Doc:
                 return False
         if nxt and nxt in ",;:،、，；)" and nxt != ")":
             return False
-        if t != "." and not t.strip(".…"):
+        if t != "." and t[0] in ".…" and not t.strip(".…"):
             before = self._shown_end(i)
             w = _word(s, before).lower()
             if not _VISIBLE.search(s, a, i):
@@ -793,7 +879,7 @@ class _Doc:
             if nxt == "\x02":
                 return self._next_starts(j, True)
             return not (nxt.islower() and self.cased(j))
-        if (s[e] == "�" or self.lost == "?" and len(t) > 1 and t[-1] == "?") and self.cased(i):
+        if unclosed and self.cased(i):
             k = self._next_cue(j) if nxt == "\x02" else j
             if k < len(s) and s[k].islower():
                 return False  # the sentence around a quotation whose closing mark was lost
@@ -805,16 +891,16 @@ class _Doc:
                 return not (prev.isspace() and e == i)
             return True
         # one full stop
+        if not nxt or nxt == "\x03":
+            return True
         w = _word(s, i)
         low = w.lower()
         if self.lost and self.lost in low:
             low = self._restored(low) or low
-        if not nxt or nxt == "\x03":
-            return True
         if nxt == "\x02":
             return not self._abbreviation(low, w, i) or self._closed_by_cue(low, w, j, a, i)
         k = j
-        while k < len(s) and (s[k] in _OPENERS or s[k] == "\x00" or s[k].isspace()):
+        while k < len(s) and not s[k].isalnum() and (s[k] in _OPENERS or s[k] == "\x00" or s[k].isspace()):
             k += 1
         ch = s[k] if k < len(s) else ""
         if ch.islower() and self.cased(k):
@@ -870,18 +956,18 @@ class _Doc:
             return False
         if self.lost and self.lost in w and self._restored(low):
             return True
-        if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w):
+        if "." in w and _SPELT.fullmatch(w):
             return True
-        listed = low in TITLES or low in NUMBERED or low in CLOSERS or (len(w) == 1 and w.isalpha())
+        listed = low in _LISTED or (len(w) == 1 and w.isalpha())
         inside = low in self.inside
         if listed and not inside and not (len(w) == 1 and self._shown_before(i - 1) == ".") and (self.is_plain(w) or low in TITLES and self.closes_turn(low)):
             return False
         if listed:
             return True
-        n = self.stats.get(low)
         if inside and low not in self.final and not self.is_plain(w):
+            n = self.stats.get(low)
             return n[STOP_INSIDE] >= n[STOP_FINAL]
-        return n[STOP_INSIDE] >= 5 and n[STOP_INSIDE] > 2 * n[STOP_FINAL]
+        return self.stats.stops(low)
 
     def _restored(self, low: str) -> str:
         """The listed abbreviation that low is with its lost letters filled in, or ''."""
@@ -901,7 +987,7 @@ class _Doc:
         s, k = self.s, self._next_cue(j)
         if k >= len(s) or s[k] == "\x03":
             return True
-        if re.match(r"\.\.+[^\W\d_]|…[^\W\d_]", s[k : k + 5]):
+        if s[k] in ".…" and _DOTS_ON.match(s[k : k + 5]):
             m = re.match(r"[.…]+", s[k : k + 5])
             c = s[k + m.end()] if k + m.end() < len(s) else ""
             return c.isupper() and self.cased(k) and not weak
@@ -921,7 +1007,7 @@ class _Doc:
             w = _word(s, j)
             if self._abbreviation(w.lower(), w, j) and not self._closed_by_cue(w.lower(), w, i, a, j):
                 return True
-        if re.match(r"\.\.+|…", s[k : k + 3]):
+        if ch == "…" or s.startswith("..", k):
             return True
         if ch.islower() and self.cased(k):
             return True
@@ -957,6 +1043,9 @@ _INSIDE = re.compile("[\x00-\x03\"“”«»„「『《!！？…¿¡(（]+(?=.
 
 def _word(s: str, i: int) -> str:
     """The word that ends right before i, inner full stops included; '' if there is none."""
+    k = s.rfind(" ", max(0, i - 24), i)
+    if k >= 0 and (w := s[k + 1 : i]).isalnum():
+        return w
     words = s[_line_word(s, i) : i].rsplit(None, 1)
     if not words:
         return ""

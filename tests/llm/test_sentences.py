@@ -1,5 +1,7 @@
 """Sentence ends: marked by ¶ in the expected text, which is otherwise the input."""
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,62 @@ def test_what_goes_on_over_a_stop(name):
     text, want = expect(cues(*GOES_ON[name]))
     got = S.sentence_ends(text)
     assert got == want, [text[max(0, k - 12) : k + 1] for k in got]
+
+
+def _calls(f):
+    """Calls of functions of Python and C while f runs."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_calls_a_sentence_are_few():
+    lines = ["It is late.¶ Who fed\nthe herons?¶", "Prof. Hill left at 10:45 a.m. every day.¶", "Mukaux dit : « Attends. » et\na raté le signal.¶", "Keep your voice", "down...¶", "Come here!¶"]
+    text, want = expect(cues(*lines * 40))
+    ends = []
+    S.sentence_ends(text)  # what is kept between documents is there
+    assert _calls(lambda: ends.extend(S.sentence_ends(text))) < 75 * len(want)
+    assert ends == want
+    seen = [[] for _ in range(S.KINDS)]
+    assert _calls(lambda: S.gather_words(text, seen)) < 28 * len(lines) * 40
+
+
+def _plain_cues(text):
+    """Texts of cues, line by line: a timing line begins one, and a number line before it belongs to it."""
+    bodies = [[]]
+    for line in text.split("\n"):
+        if "->" in line and ":" in line and line.lstrip("﻿ \t")[:1].isdigit():
+            if bodies[-1] and bodies[-1][-1].strip("﻿�? \t\r").isdigit():
+                bodies[-1].pop()
+            bodies.append([])
+        else:
+            bodies[-1].append(line)
+    return ["\n".join(b).strip() for b in bodies]
+
+
+ODD_CUES = [
+    cues("It is late.", "42", "No."),
+    cues("It is late.", "No.").replace("\n", "\r\n"),
+    cues("An arrow -> here.", "Two: 3 -> 4", "5: 6 -> 7", "No."),
+    "﻿" + cues("First.", "Second."),
+    "00:00:01,000 --> 00:00:02,000\nNo number.\n00:00:03,000 --> 00:00:04,000\nNor here.\n\n?3\n 00:00:05,000 --> 00:00:06,000 X1:5 -> 6\nYes.",
+    "1\n00:00:01,000 --> 00:00:02,000\n2\n00:00:03,000 --> 00:00:04,000\n\n²\n00:00:05,000 --> 00:00:06,000",
+    "1\n00 -> 00:01\nA\n\n٣\n٠:٠ -> ٠:١\nB\n7\n\n8\nC",
+    "",
+]
+
+
+@pytest.mark.parametrize("k", range(len(ODD_CUES)))
+def test_cues_are_those_of_a_reading_by_lines(k):
+    text = ODD_CUES[k]
+    assert [text[a:b].strip() for a, b in S.cue_spans(text)] == _plain_cues(text)
+    assert [b.strip() for b in S._cue_bodies(text)] == _plain_cues(text)
