@@ -15,14 +15,14 @@ _C1 = {b: ord(ch) for b, ch in _HIGH.items() if ord(ch) != b}
 _SPECIAL = "".join(re.escape(c) for c in _HIGH.values() if ord(c) > 0xFF)
 _SPECIALS = re.compile(f"[{_SPECIAL}]")
 # characters as bytes, once windows-1252's own are put back to theirs
-_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_UTF8_RUN = re.compile(f"(?:{_UTF8.pattern})+")
-_BYTES = re.compile("[\x80-\xff]+")
+# patterns begin with one class, which is looked for fast
+_UTF8 = re.compile("[\xc2-\xf4](?:(?<=[\xc2-\xdf])[\x80-\xbf]|(?<=[\xe0-\xef])[\x80-\xbf]{2}|(?<=[\xf0-\xf4])[\x80-\xbf]{3})")
+_UTF8_RUN = re.compile(f"{_UTF8.pattern}(?:{_UTF8.pattern})*")
+_BYTES = re.compile("[\x80-\xff][\x80-\xff]*")
 _C1_SIGN = re.compile("[\x80-\x9f]")
-# begins with one class, which is looked for fast
 _SUSPECT = re.compile(f"[\x80-\xff&](?:(?<=[\xc2-\xf4])[\x80-\xbf{_SPECIAL}]|(?<=[\x80-\x9f\xc0-\xff])[\x80-\x9f\xc0-\xff]{{2}}|(?<=[\x80-\x9f])|(?<=&)[#a-z])")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|quot|amp|lt|gt|apos|nbsp);")
-_GB = re.compile("(?:[\xa1-\xf7][\xa1-\xfe])+")
+_GB = re.compile("[\xa1-\xf7][\xa1-\xfe](?:[\xa1-\xf7][\xa1-\xfe])*")
 
 
 class Repaired:
@@ -136,8 +136,8 @@ def repair(text: str) -> Repaired:
     if narrow >= 6:
         if not any(c.isalpha() for c in set(t) if c >= "\u0250"):
             letters, low, paired = _count(codes, "A", "Z") + _count(codes, "a", "z"), _count(codes, "\xa1", "\xbf"), _length(_GB.findall(t))
-            runs = re.findall("[\xc0-\xff]{4}", t)
-            if paired >= 0.9 * narrow and low > 0.12 * narrow and re.search("[\xa1-\xfe]{4}", t):
+            runs = re.findall("[\xc0-\xff][\xc0-\xff]{3}", t)
+            if paired >= 0.9 * narrow and low > 0.12 * narrow and re.search("[\xa1-\xfe][\xa1-\xfe]{3}", t):
                 out.replace(t, _GB, _decoded("gb18030"), _shares)
             elif len(runs) * 4 > 0.3 * narrow and narrow > 0.1 * letters:
                 out.replace(t, _BYTES, _decoded("cp1251"), _shares)

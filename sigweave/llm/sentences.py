@@ -66,11 +66,11 @@ _ONLY_URL = re.compile(rf"^[\W_]*{_URL}[\W_]*$", re.I)
 _HAS_URL = re.compile(_URL, re.I)
 _LOST_CREDIT = re.compile(r"^[?�]{3,} ?:?\s?[A-Za-z]")
 
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*>|\{\\[^{}\n]*\}|\{[a-z]:[^{}\n]*\}|﻿|[​-‏‪-‮]")
+_MARKUP = re.compile(r"[<{﻿​-‏‪-‮](?:(?<=<)/?[a-zA-Z][^<>\n]*>|(?<=\{)\\[^{}\n]*\}|(?<=\{)[a-z]:[^{}\n]*\}|(?<=[﻿​-‏‪-‮]))")
 _PAIRS = dict(zip("])）］】", "[(（［【", strict=True))
 _PAIR_MARK = re.compile(r"[\[\]()（）［］【】]")
 _SHOWN = re.compile("[^\x00]")
-_STAR, _NOTE = re.compile(r"\*+"), re.compile("♪[～~]|[♪♫]+")
+_STAR, _NOTE = re.compile(r"\*+"), re.compile("[♪♫](?:(?<=♪)[～~]|[♪♫]*)")
 #: Between notes that were lost: nothing else stands between such marks and blanks without a mark of its own.
 _LOST_NOTE = re.compile(r"�(?<![^\s\x00]�) [^�.!?…\n\x02]+ �(?=[ \r\x00]*(?:\n|\x02|\Z))")
 _BRACKET = re.compile(r"[\[(（［【*♪♫]")
@@ -97,7 +97,7 @@ _WCH = r"[\w\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e00-\u0e4e]"
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]")
 _AFTER_LETTER = re.compile(r"[!?,;:…](?!\w)")
 _AFTER_PLAIN = re.compile(r"[!?,;:…](?!\w)|[ \n]+[a-zß-öø-ÿа-яё]")
-_CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}")
+_CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞА-ЯЁ][A-ZÀ-ÖØ-ÞА-ЯЁ]")
 _CUE_BREAK = re.compile("\x02")
 _LOWER = re.compile("[a-zß-öø-ÿа-яё]")
 _LOST_Q = re.compile(r"\?(?<=[^\W\d_]\?)[a-zа-я]")
